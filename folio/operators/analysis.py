@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import word_tokens
-from folio.functions.titles import index_title
+from folio.functions.titles import DOC_TYPES, index_title
 
 TITLE_COL, DOC_COL = 0, 1
 
@@ -20,15 +20,26 @@ def with_index_title(docs: DataFrame, glue: str = "") -> DataFrame:
     return docs.withColumn("ititle", index_title(F.col("type"), F.col("title"), glue))
 
 
+def indexable(docs: DataFrame, glue: str = "") -> DataFrame:
+    """Rows the title rules accept, with ``ititle``.
+
+    Filters on ``type`` (``ititle`` is null exactly for unknown types) so the
+    predicate stays cheap when pushed below the title projection.
+    """
+    ok = F.col("type").isin(DOC_TYPES)
+    return with_index_title(docs.where(ok), glue)
+
+
 def quarantine(docs: DataFrame, glue: str = "") -> DataFrame:
     """Rows the title rules reject (unknown type); the reference aborts on them."""
-    return with_index_title(docs, glue).where(F.col("ititle").isNull())
+    return docs.where(~F.col("type").isin(DOC_TYPES) | F.col("type").isNull()
+                      | F.col("title").isNull()).withColumn("ititle", F.lit(None).cast("string"))
 
 
 def token_arrays(docs: DataFrame, stem: bool = False, raw_titles: bool = False) -> DataFrame:
     """``(package, id, title_tokens, doc_tokens)``; stemming runs on whole arrays."""
     title = F.col("title") if raw_titles else F.col("ititle")
-    src = docs if raw_titles else with_index_title(docs).where(F.col("ititle").isNotNull())
+    src = docs if raw_titles else indexable(docs)
     out = src.select("package", "id", word_tokens(title).alias("title_tokens"),
                      word_tokens(F.col("doc")).alias("doc_tokens"))
     if stem:
@@ -41,11 +52,12 @@ def token_arrays(docs: DataFrame, stem: bool = False, raw_titles: bool = False)
 def postings(docs: DataFrame, stem: bool = False, raw_titles: bool = False) -> DataFrame:
     """Positional postings for title (col 0) and body (col 1)."""
     arrays = token_arrays(docs, stem, raw_titles)
-    title = arrays.select("package", "id", F.lit(TITLE_COL).alias("col"),
-                          F.posexplode("title_tokens").alias("pos", "term"))
-    body = arrays.select("package", "id", F.lit(DOC_COL).alias("col"),
-                         F.posexplode("doc_tokens").alias("pos", "term"))
-    return title.unionByName(body)
+    # One pass over the documents: explode (title, body) then each token list.
+    per_col = arrays.select("package", "id", F.explode(F.array(
+        F.struct(F.lit(TITLE_COL).alias("col"), F.col("title_tokens").alias("toks")),
+        F.struct(F.lit(DOC_COL).alias("col"), F.col("doc_tokens").alias("toks")))).alias("c"))
+    return per_col.select("package", "id", F.col("c.col").alias("col"),
+                          F.posexplode("c.toks").alias("pos", "term"))
 
 
 def tokens(docs: DataFrame, stem: bool = False) -> DataFrame:

@@ -295,5 +295,5 @@ def q_match_substring(spark, sf):
     reqs = R.requests_frame(spark, AUTOCOMPLETE_REQUESTS)
     c = R.clauses(reqs)
     meta = R.request_meta(reqs, c, allowed_fields=("title",))
-    titles = A.with_index_title(_docs(spark, sf)).where(F.col("ititle").isNotNull())
+    titles = A.indexable(_docs(spark, sf))
     return substring_matches(titles, c, R.request_packages(reqs), meta).drop("title_hit")

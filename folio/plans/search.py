@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.titles import type_boost
-from folio.operators.analysis import with_index_title
+from folio.operators.analysis import indexable
 from folio.operators.match import match_documents, substring_matches
 from folio.operators.requests import clauses, request_meta, request_packages
 
@@ -57,7 +57,7 @@ def autocomplete(requests: DataFrame, docs: DataFrame, k: int = AUTOCOMPLETE_HIT
     c = clauses(requests)
     meta = request_meta(requests, c, allowed_fields=("title",))
     rp = request_packages(requests)
-    titles = with_index_title(docs, glue).where(F.col("ititle").isNotNull())
+    titles = indexable(docs, glue)
     matches = substring_matches(titles, c, rp, meta)
     top = top_per_package(matches, k, ["id"])
     d = docs.select(F.col("package").alias("d_package"), F.col("id").alias("d_id"), "title", "ref", "type")
