@@ -29,28 +29,28 @@ def name_runs(packages: DataFrame) -> DataFrame:
 
 
 def similarly_named(packages: DataFrame, heads: DataFrame, min_downloads: float = 10) -> DataFrame:
-    """``(package, similar, recent_downloads)`` for each head package in ``heads(name)``."""
+    """``(package, similar_name, recent_downloads)`` for each head package in ``heads(name)``."""
     cand = packages.where(F.col("recent_downloads") > min_downloads)
     runs = name_runs(cand)
     h = heads.select(F.col("name").alias("package"))
     j = runs.join(h, runs["run"] == h["package"])
-    return (j.join(cand.select(F.col("name").alias("similar"), "recent_downloads"),
-                   j["name"] == F.col("similar"))
-            .where(F.col("similar") != F.col("package"))
-            .select("package", "similar", "recent_downloads").distinct())
+    return (j.join(cand.select(F.col("name").alias("similar_name"), "recent_downloads"),
+                   j["name"] == F.col("similar_name"))
+            .where(F.col("similar_name") != F.col("package"))
+            .select("package", "similar_name", "recent_downloads").distinct())
 
 
 def similarly_named_connected(similar: DataFrame, edges: DataFrame, max_separation: int = 4,
                               require_reachable: bool = False, stdlib=None) -> DataFrame:
     """Similar names whose separation degree is < ``max_separation``
     (unreachable, -1, passes unless ``require_reachable``)."""
-    pairs = similar.select(F.col("package").alias("a"), F.col("similar").alias("b")).distinct()
+    pairs = similar.select(F.col("package").alias("a"), F.col("similar_name").alias("b")).distinct()
     sep = separation(edges, pairs, stdlib)
     ok = F.col("degree") < max_separation
     if require_reachable:
         ok = ok & (F.col("degree") >= 0)
-    good = sep.where(ok).select(F.col("a").alias("package"), F.col("b").alias("similar"))
-    return similar.join(good, ["package", "similar"], "left_semi")
+    good = sep.where(ok).select(F.col("a").alias("package"), F.col("b").alias("similar_name"))
+    return similar.join(good, ["package", "similar_name"], "left_semi")
 
 
 def name_groups(packages: DataFrame, edges: DataFrame, head_min_downloads: float = 1000,
@@ -60,7 +60,7 @@ def name_groups(packages: DataFrame, edges: DataFrame, head_min_downloads: float
     connected to that contain no other kept group name as a substring."""
     heads = packages.where(F.col("recent_downloads") > head_min_downloads).select("name")
     sim = similarly_named(packages, heads, min_downloads)
-    mapping = sim.select(F.col("similar").alias("package"), F.col("package").alias("package_group"))
+    mapping = sim.select(F.col("similar_name").alias("package"), F.col("package").alias("package_group"))
     pairs = mapping.select(F.col("package_group").alias("a"), F.col("package").alias("b")).distinct()
     sep = separation(edges, pairs, stdlib).where(F.col("degree") < max_separation)
     connected = mapping.join(sep, (mapping["package_group"] == sep["a"]) & (mapping["package"] == sep["b"]),

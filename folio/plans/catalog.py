@@ -19,19 +19,7 @@ from folio.operators.match import match_documents
 from folio.plans import oracle as O
 from folio.plans.search import autocomplete, search
 from folio.sources import testdata as D
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
+from folio.plans.registry import ORACLE, QUERIES, register  # noqa: F401
 
 with_sql = D.with_sql
 
@@ -297,3 +285,7 @@ def q_match_substring(spark, sf):
     meta = R.request_meta(reqs, c, allowed_fields=("title",))
     titles = A.indexable(_docs(spark, sf))
     return substring_matches(titles, c, R.request_packages(reqs), meta).drop("title_hit")
+
+
+# Further query families register themselves on import.
+from folio.plans import catalog_graph  # noqa: E402,F401

@@ -167,3 +167,70 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_sql(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes) + "\n"
+
+
+# ---------------------------------------------------------------- doc-package graph
+
+def doc_package_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``packages_edges(source, target)`` between documentation packages that hold
+    an exact copy of the same text (both directions).
+
+    Copies are first reduced to the distinct package set of each text, so a
+    text copied into a third of all rows costs one row per package, and pairs
+    are only formed inside each distinct set (bounded by packages squared).
+    """
+    d = table(spark, sf_dir, "documents").select(F.xxhash64("text").alias("h"), "text", "source")
+    sets = (d.groupBy("h", "text").agg(F.array_sort(F.collect_set("source")).alias("pk"))
+            .where(F.size("pk") > 1).select("pk").distinct())
+    a = sets.select("pk", F.explode("pk").alias("source"))
+    return (a.select("source", F.explode("pk").alias("target"))
+            .where(F.col("source") != F.col("target")).distinct())
+
+
+DOC_EDGES_SQL = """
+dedges AS (
+  SELECT DISTINCT a.source AS source, b.source AS target
+  FROM documents a JOIN documents b ON a.text = b.text AND a.source <> b.source
+)"""
+
+
+def doc_package_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``similarly_named(package, package_group)`` for documentation packages:
+    the group of a package is its most frequent document language (ties by
+    language), standing in for a name group in J8-style joins."""
+    from pyspark.sql import Window
+
+    c = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("source").orderBy(F.desc("n"), "lang")
+    return (c.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1)
+            .select(F.col("source").alias("package"), F.col("lang").alias("package_group")))
+
+
+DOC_GROUPS_SQL = """
+dgroups AS (
+  SELECT source AS package, lang AS package_group FROM (
+    SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS r
+    FROM documents GROUP BY source, lang) s
+  WHERE r = 1
+)"""
+
+
+def name_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph over part names: an edge between the names of two linked parts."""
+    names = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("k"),
+        F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("n"))
+    e = package_edges(spark, sf_dir)
+    return (e.join(names.withColumnRenamed("k", "source").withColumnRenamed("n", "s"), "source")
+            .join(names.withColumnRenamed("k", "target").withColumnRenamed("n", "t"), "target")
+            .where(F.col("s") != F.col("t"))
+            .select(F.col("s").alias("source"), F.col("t").alias("target")).distinct())
+
+
+NAME_EDGES_SQL = """
+nedges AS (
+  SELECT DISTINCT replace(pa.p_name, ' ', '_') AS source, replace(pb.p_name, ' ', '_') AS target
+  FROM edges e JOIN part pa ON e.source = CAST(pa.p_partkey AS VARCHAR)
+  JOIN part pb ON e.target = CAST(pb.p_partkey AS VARCHAR)
+  WHERE replace(pa.p_name, ' ', '_') <> replace(pb.p_name, ' ', '_')
+)"""
