@@ -289,3 +289,4 @@ def q_match_substring(spark, sf):
 
 # Further query families register themselves on import.
 from folio.plans import catalog_graph  # noqa: E402,F401
+from folio.plans import catalog_more  # noqa: E402,F401
