@@ -22,6 +22,9 @@ and package, after the top-k cut, inside Arrow batches.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import OrderedDict
+
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -60,23 +63,36 @@ def sentence_starts(text: str, toks) -> list[int]:
     return starts
 
 
-def instances(toks, phrases) -> list[tuple[int, int, int]]:
+def _positions(terms) -> dict[str, list[int]]:
+    pos: dict[str, list[int]] = {}
+    for i, t in enumerate(terms):
+        pos.setdefault(t, []).append(i)
+    return pos
+
+
+def instances(toks, phrases, positions=None) -> list[tuple[int, int, int]]:
     """(position, phrase index, phrase size) sorted by position then phrase."""
     terms = [t for t, _, _ in toks]
+    positions = positions if positions is not None else _positions(terms)
+    n = len(terms)
     out = []
     for pi, (ptoks, prefix) in enumerate(phrases):
         k = len(ptoks)
         if k == 0:
             continue
-        for o in range(len(terms) - k + 1):
+        if prefix and k == 1:
+            starts = sorted(i for t, ps in positions.items() if t.startswith(ptoks[0]) for i in ps)
+        else:
+            starts = positions.get(ptoks[0], [])
+        for o in starts:
+            if o + k > n:
+                continue
             ok = True
-            for j, pt in enumerate(ptoks):
+            for j in range(1, k):
                 t = terms[o + j]
-                if prefix and j == k - 1:
-                    if not t.startswith(pt):
-                        ok = False
-                        break
-                elif t != pt:
+                pt = ptoks[j]
+                if (prefix and j == k - 1 and not t.startswith(pt)) or \
+                        (not (prefix and j == k - 1) and t != pt):
                     ok = False
                     break
             if ok:
@@ -85,36 +101,37 @@ def instances(toks, phrases) -> list[tuple[int, int, int]]:
     return out
 
 
-def _score(inst, n_phr, size, start, n):
-    seen = [False] * n_phr
+def _score(inst, offsets, n_phr, size, start, n):
+    """Score of the window [start, start + n) using the sorted hit offsets."""
+    lo = bisect_left(offsets, start)
+    hi = bisect_left(offsets, start + n)
+    seen = set()
     score, first, last = 0, -1, 0
-    for o, p, k in inst:
-        if start <= o < start + n:
-            score += 1 if seen[p] else 1000
-            seen[p] = True
-            if first < 0:
-                first = o
-            last = o + k
+    for o, p, k in inst[lo:hi]:
+        score += 1 if p in seen else 1000
+        seen.add(p)
+        if first < 0:
+            first = o
+        last = o + k
     adj = first - int((n - (last - first)) / 2)
     if adj + n > size:
         adj = size - n
     return score, max(adj, 0)
 
 
-def best_start(text, toks, inst, n_phr, n) -> int:
+def best_start(text, toks, inst, n_phr, n, firsts=None) -> int:
     size = len(toks)
     best, best_start_ = 0, 0
-    firsts = sentence_starts(text, toks)
+    firsts = sentence_starts(text, toks) if firsts is None else firsts
+    offsets = [o for o, _p, _k in inst]
     for o, _p, _k in inst:
-        sc, adj = _score(inst, n_phr, size, o, n)
+        sc, adj = _score(inst, offsets, n_phr, size, o, n)
         if sc > best:
             best, best_start_ = sc, adj
         if firsts and size > n:
-            jj = 0
-            while jj < len(firsts) - 1 and firsts[jj + 1] <= o:
-                jj += 1
+            jj = max(bisect_right(firsts, o) - 1, 0)
             if firsts[jj] < o:
-                sc, _ = _score(inst, n_phr, size, firsts[jj], n)
+                sc, _ = _score(inst, offsets, n_phr, size, firsts[jj], n)
                 sc += 120 if firsts[jj] == 0 else 100
                 if sc > best:
                     best, best_start_ = sc, firsts[jj]
@@ -133,14 +150,41 @@ def _ranges(inst):
     return out
 
 
+class _DocCache:
+    """Per-worker cache of analysed bodies: the same document is excerpted for
+    many requests of a batch, so it is tokenised once."""
+
+    def __init__(self, size: int = 2048):
+        self.size, self.data = size, OrderedDict()
+
+    def get(self, key, text, stem):
+        hit = self.data.get(key)
+        if hit is not None and hit[0] is text or (hit is not None and hit[0] == text):
+            self.data.move_to_end(key)
+            return hit[1]
+        toks = tokenize(text, stem)
+        val = (toks, _positions([t for t, _, _ in toks]), sentence_starts(text, toks))
+        self.data[key] = (text, val)
+        if len(self.data) > self.size:
+            self.data.popitem(last=False)
+        return val
+
+
+_CACHE = _DocCache()
+
+
 def snippet(text: str | None, phrases, n: int = 20, open_: str = "<em>", close: str = "</em>",
-            ellipsis: str = "...", stem: bool = False) -> str | None:
+            ellipsis: str = "...", stem: bool = False, key=None) -> str | None:
     """The excerpt of ``text`` for ``phrases`` = [(tokens, is_prefix), ...]."""
     if text is None:
         return None
-    toks = tokenize(text, stem)
-    inst = instances(toks, phrases)
-    start = best_start(text, toks, inst, len(phrases), n) if inst else 0
+    if key is None:
+        toks = tokenize(text, stem)
+        positions, firsts = _positions([t for t, _, _ in toks]), None
+    else:
+        toks, positions, firsts = _CACHE.get((key, stem), text, stem)
+    inst = instances(toks, phrases, positions)
+    start = best_start(text, toks, inst, len(phrases), n, firsts) if inst else 0
     end = start + n - 1
     ranges = [r for r in _ranges(inst) if r[0] >= start]
     out = [ellipsis] if start > 0 else []
@@ -178,15 +222,16 @@ PHRASES = T.ArrayType(T.StructType([T.StructField("tokens", T.ArrayType(T.String
                                     T.StructField("is_prefix", T.BooleanType())]))
 
 
-def excerpt_column(doc: Column, phrases: Column, stem: bool = False, n: int = 20) -> Column:
-    """Arrow-batched excerpt of ``doc`` for ``phrases`` (array<struct<tokens, is_prefix>>)."""
+def excerpt_column(doc: Column, phrases: Column, key: Column, stem: bool = False, n: int = 20) -> Column:
+    """Arrow-batched excerpt of ``doc`` for ``phrases`` (array<struct<tokens, is_prefix>>);
+    ``key`` identifies the document (analysed bodies are cached by it)."""
 
     @pandas_udf(T.StringType())
-    def _ex(docs: pd.Series, phr: pd.Series) -> pd.Series:
+    def _ex(docs: pd.Series, phr: pd.Series, keys: pd.Series) -> pd.Series:
         res = []
-        for d, ps in zip(docs, phr):
+        for d, ps, k in zip(docs, phr, keys):
             plist = [] if ps is None else [(list(p["tokens"]), bool(p["is_prefix"])) for p in ps]
-            res.append(snippet(d, plist, n=n, stem=stem))
+            res.append(snippet(d, plist, n=n, stem=stem, key=k))
         return pd.Series(res, dtype=object)
 
-    return _ex(doc, phrases)
+    return _ex(doc, phrases, key)

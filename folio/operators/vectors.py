@@ -72,8 +72,8 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
         .withColumn("rk", F.col("rk").cast("bigint"))
 
 
-def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, bucket_length: float = 0.5,
-            num_tables: int = 8, threshold: float = 1.0, seed: int = 7) -> DataFrame:
+def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, bucket_length: float = 1.0,
+            num_tables: int = 16, threshold: float = 1.5, seed: int = 7) -> DataFrame:
     """V6: approximate variant. Unit-normalised vectors go through
     ``BucketedRandomProjectionLSH``; candidates within Euclidean ``threshold``
     (on unit vectors, cosine similarity >= 1 - threshold^2 / 2) are re-ranked

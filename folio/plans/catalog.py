@@ -290,3 +290,36 @@ def q_match_substring(spark, sf):
 # Further query families register themselves on import.
 from folio.plans import catalog_graph  # noqa: E402,F401
 from folio.plans import catalog_more  # noqa: E402,F401
+
+
+# ------------------------------------------------------------------ C2, B6, B8 (rows-only)
+
+def _search_full(spark, sf, rows, stem):
+    from folio.plans.search import with_excerpts
+    d = _docs(spark, sf)
+    reqs = R.requests_frame(spark, rows)
+    res = search(reqs, d, A.postings(d, stem=stem), stem=stem)
+    return with_excerpts(res, reqs, d, stem=stem)
+
+
+@register("search_stemmed")
+def q_search_stemmed(spark, sf):
+    return _search_full(spark, sf, SEARCH_REQUESTS, True).select(*SEARCH_COLS, "excerpts")
+
+
+@register("excerpts")
+def q_excerpts(spark, sf):
+    r = _search_full(spark, sf, SEARCH_REQUESTS, False)
+    return r.select("request_id", "result_pos", "id", F.col("excerpts")[0].alias("excerpt"))
+
+
+@register("search_json")
+def q_search_json(spark, sf):
+    from folio.plans.search import to_json_response
+    r = _search_full(spark, sf, SEARCH_REQUESTS, False)
+    return to_json_response(r, ["ref", "type", "title", "excerpts", "rank", "package"])
+
+
+@register("stemmed_vocabulary")
+def q_stemmed_vocabulary(spark, sf):
+    return A.vocabulary(_docs(spark, sf), min_docs=2, stem=True)

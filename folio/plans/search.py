@@ -73,3 +73,37 @@ def to_json_response(results: DataFrame, fields: list[str]) -> DataFrame:
     return results.groupBy("request_id").agg(
         F.to_json(F.struct(F.transform(items, lambda s: F.struct(*[s[f].alias(f) for f in fields]))
                            .alias("results"))).alias("body"))
+
+
+def request_phrases(requests: DataFrame, stem: bool = False) -> DataFrame:
+    """``(request_id, phrases)``: tokenised non-absent clauses that can hit the body,
+    in query order, for the excerpt."""
+    from folio.functions.text import word_tokens
+
+    c = clauses(requests)
+    toks = word_tokens(F.col("text"))
+    if stem:
+        from folio.functions.porter import stem_tokens
+        toks = stem_tokens(toks)
+    ph = c.where((F.col("kind") != "absent") & (F.col("field").isNull() | (F.col("field") == "doc")))
+    ph = ph.select("request_id", F.struct("clause_no", F.struct(toks.alias("tokens"), "is_prefix").alias("p"))
+                   .alias("s"))
+    return ph.groupBy("request_id").agg(
+        F.transform(F.array_sort(F.collect_list("s")), lambda s: s["p"]).alias("phrases"))
+
+
+def with_excerpts(results: DataFrame, requests: DataFrame, docs: DataFrame, stem: bool = False,
+                  n: int = 20) -> DataFrame:
+    """Add ``excerpts`` (one highlighted excerpt, as in the reference's
+    result map) to search results; computed only for the rows returned."""
+    from folio.functions.excerpt import excerpt_column
+
+    body = docs.select(F.col("package").alias("b_package"), F.col("id").alias("b_id"), "doc")
+    r = (results.join(request_phrases(requests, stem), "request_id", "left")
+         .join(body, (F.col("package") == F.col("b_package")) & (F.col("id") == F.col("b_id"))))
+    key = F.concat_ws("/", F.col("package"), F.col("id").cast("string"))
+    # Either join strategy emits the rows of one document together (sort-merge:
+    # sorted by key; broadcast of the results: per streamed body), so the
+    # per-worker body cache hits without an extra shuffle of bodies.
+    return r.withColumn("excerpts", F.array(excerpt_column(F.col("doc"), F.col("phrases"), key, stem, n))) \
+        .drop("b_package", "b_id", "doc", "phrases")

@@ -18,7 +18,11 @@ BROADCAST_ROW_LIMIT = 200_000
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "folio") -> SparkSession:
-    """Build (or reuse) a session with the settings this library assumes."""
+    """Build (or reuse) a session with the settings this library assumes.
+
+    ``spark.checkpoint.dir`` is left to the cluster; only a local session
+    without one (tests, the bench) gets a private scratch folder.
+    """
     master = master or os.environ.get("FOLIO_MASTER", "local[8]")
     parts = shuffle_partitions or int(os.environ.get("FOLIO_SHUFFLE_PARTITIONS", "8"))
     builder = (
@@ -34,6 +38,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.driver.memory", os.environ.get("FOLIO_DRIVER_MEMORY", "16g"))
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
+    if master.startswith("local"):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="folio-ckpt-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -42,18 +48,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is only read. When it is
-    unset (local runs and tests) a private scratch folder is created and set.
+    On a cluster this setting names shared storage and is only read. When a
+    session has none (a local session built elsewhere), a private scratch
+    folder is used for that session.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) \
-        or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        spark.sparkContext.setCheckpointDir(conf)
-        return conf
-    local = tempfile.mkdtemp(prefix="folio-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    sc = spark.sparkContext
+    conf = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not conf:
+        conf = tempfile.mkdtemp(prefix="folio-ckpt-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(conf)
+    return conf.removeprefix("file:")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
