@@ -69,10 +69,11 @@ def main() -> None:
     reqs.count()
 
     postings = IX.read_index(spark, path, "postings")
+    terms_ix = IX.read_index(spark, path, "terms")
     idocs = IX.read_index(spark, path, "docs")
 
     def do_search():
-        res = search(reqs, idocs, postings)
+        res = search(reqs, idocs, postings, terms=terms_ix)
         run(with_excerpts(res, reqs, idocs))
 
     def do_autocomplete():

@@ -51,8 +51,12 @@ def token_arrays(docs: DataFrame, stem: bool = False, raw_titles: bool = False)
 
 def postings(docs: DataFrame, stem: bool = False, raw_titles: bool = False) -> DataFrame:
     """Positional postings for title (col 0) and body (col 1)."""
-    arrays = token_arrays(docs, stem, raw_titles)
-    # One pass over the documents: explode (title, body) then each token list.
+    return postings_of(token_arrays(docs, stem, raw_titles))
+
+
+def postings_of(arrays: DataFrame) -> DataFrame:
+    """Postings from ``token_arrays`` output, in one pass: explode (title, body)
+    then each token list."""
     per_col = arrays.select("package", "id", F.explode(F.array(
         F.struct(F.lit(TITLE_COL).alias("col"), F.col("title_tokens").alias("toks")),
         F.struct(F.lit(DOC_COL).alias("col"), F.col("doc_tokens").alias("toks")))).alias("c"))
@@ -60,6 +64,20 @@ def postings(docs: DataFrame, stem: bool = False, raw_titles: bool = False) -> D
                           F.posexplode("c.toks").alias("pos", "term"))
 
 
+def term_docs(docs: DataFrame, stem: bool = False, raw_titles: bool = False) -> DataFrame:
+    """Document-level postings ``(package, id, col, term)``: each distinct term of a
+    column once. Built without a shuffle (de-duplicated inside each row); used
+    for single-word clauses, which only need to know that a term occurs."""
+    return term_docs_of(token_arrays(docs, stem, raw_titles))
+
+
+def term_docs_of(arrays: DataFrame) -> DataFrame:
+    per_col = arrays.select("package", "id", F.explode(F.array(
+        F.struct(F.lit(TITLE_COL).alias("col"), F.array_distinct("title_tokens").alias("toks")),
+        F.struct(F.lit(DOC_COL).alias("col"), F.array_distinct("doc_tokens").alias("toks")))).alias("c"))
+    return per_col.select("package", "id", F.col("c.col").alias("col"), F.explode("c.toks").alias("term"))
+
+
 def tokens(docs: DataFrame, stem: bool = False) -> DataFrame:
     """Body tokens with their position ``(id, pos, token)``."""
     return token_arrays(docs, stem).select(

@@ -45,28 +45,35 @@ def clause_tokens(clause_df: DataFrame, stem: bool = False) -> DataFrame:
                 (F.col("is_prefix") & (F.col("tok_idx") == F.col("n_tokens") - 1)).alias("is_prefix_tok"))
 
 
-def phrase_instances(postings: DataFrame, ctp: DataFrame) -> DataFrame:
+def phrase_instances(postings: DataFrame, ctp: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """Phrase instances ``(request_id, package_pos, package, clause_no, kind, id, col)``.
 
     ``ctp`` = clause tokens joined with request packages (has ``package_pos``,
-    ``package``); it is broadcast when its size is proven small.
+    ``package``); it is broadcast when its size is proven small. Single-word
+    clauses are matched against the document-level table ``terms`` when given
+    (one row per distinct term of a column instead of one per occurrence);
+    phrases need the positional ``postings``.
     """
     side = ctp.where(F.col("token").isNotNull()).select(
         "request_id", "package_pos", F.col("package").alias("c_package"), "clause_no", "kind",
         "field_col", "n_tokens", "tok_idx", "token", "is_prefix_tok")
     side = bounded_broadcast(side)
-    p = postings.select("package", "id", "col", "pos", "term")
-    col_ok = F.col("field_col").isNull() | (F.col("col") == F.col("field_col"))
-    exact = p.join(side.where(~F.col("is_prefix_tok")),
-                   (p["package"] == F.col("c_package")) & (p["term"] == F.col("token"))).where(col_ok)
-    prefix = p.join(side.where(F.col("is_prefix_tok")),
-                    (p["package"] == F.col("c_package")) & F.startswith(p["term"], F.col("token"))
-                    ).where(col_ok)
     keys = ["request_id", "package_pos", "package", "clause_no", "kind", "id", "col"]
-    hits = exact.unionByName(prefix).select(*keys, "n_tokens", (F.col("pos") - F.col("tok_idx")).alias("start"))
-    single = hits.where(F.col("n_tokens") == 1).select(*keys)
-    multi = (hits.where(F.col("n_tokens") > 1)
-             .groupBy(*keys, "n_tokens", "start").agg(F.count(F.lit(1)).alias("k"))
+    col_ok = F.col("field_col").isNull() | (F.col("col") == F.col("field_col"))
+
+    def joined(table: DataFrame, clauses: DataFrame) -> DataFrame:
+        exact = table.join(clauses.where(~F.col("is_prefix_tok")),
+                           (table["package"] == F.col("c_package")) & (table["term"] == F.col("token")))
+        prefix = table.join(clauses.where(F.col("is_prefix_tok")),
+                            (table["package"] == F.col("c_package")) & F.startswith(table["term"], F.col("token")))
+        return exact.unionByName(prefix).where(col_ok)
+
+    single_src = (terms if terms is not None else postings).select("package", "id", "col", "term")
+    single = joined(single_src, side.where(F.col("n_tokens") == 1)).select(*keys)
+    p = postings.select("package", "id", "col", "pos", "term")
+    hits = joined(p, side.where(F.col("n_tokens") > 1)) \
+        .select(*keys, "n_tokens", (F.col("pos") - F.col("tok_idx")).alias("start"))
+    multi = (hits.groupBy(*keys, "n_tokens", "start").agg(F.count(F.lit(1)).alias("k"))
              .where(F.col("k") == F.col("n_tokens")).select(*keys))
     return single.unionByName(multi)
 
@@ -88,12 +95,12 @@ def boolean_filter(instances: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def match_documents(postings: DataFrame, clause_df: DataFrame, req_pk: DataFrame,
-                    meta: DataFrame, stem: bool = False) -> DataFrame:
+                    meta: DataFrame, stem: bool = False, terms: DataFrame | None = None) -> DataFrame:
     """E1-E11 end to end: matching ``(request_id, package_pos, package, id, title_hit)``."""
     ct = clause_tokens(clause_df, stem)
     valid = meta.where("valid").select("request_id")
     ctp = ct.join(valid, "request_id", "left_semi").join(req_pk, "request_id")
-    return boolean_filter(phrase_instances(postings, ctp), meta)
+    return boolean_filter(phrase_instances(postings, ctp, terms), meta)
 
 
 def substring_matches(titles: DataFrame, clause_df: DataFrame, req_pk: DataFrame,

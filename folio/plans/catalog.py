@@ -224,8 +224,9 @@ def _match_query(name, rows):
     def fn(spark, sf):
         reqs = R.requests_frame(spark, rows)
         c = R.clauses(reqs)
-        return match_documents(A.postings(_docs(spark, sf)), c, R.request_packages(reqs),
-                               R.request_meta(reqs, c))
+        d = _docs(spark, sf)
+        return match_documents(A.postings(d), c, R.request_packages(reqs), R.request_meta(reqs, c),
+                               terms=A.term_docs(d))
 
     register(name, sql)(fn)
 
@@ -242,7 +243,7 @@ SEARCH_COLS = ["request_id", "result_pos", "package_pos", "package", "id", "ref"
 
 def _search_df(spark, sf, rows, k=25):
     d = _docs(spark, sf)
-    return search(R.requests_frame(spark, rows), d, A.postings(d), k=k)
+    return search(R.requests_frame(spark, rows), d, A.postings(d), k=k, terms=A.term_docs(d))
 
 
 @register("search", O.search_sql(SEARCH_REQUESTS) + """
@@ -298,7 +299,7 @@ def _search_full(spark, sf, rows, stem):
     from folio.plans.search import with_excerpts
     d = _docs(spark, sf)
     reqs = R.requests_frame(spark, rows)
-    res = search(reqs, d, A.postings(d, stem=stem), stem=stem)
+    res = search(reqs, d, A.postings(d, stem=stem), stem=stem, terms=A.term_docs(d, stem=stem))
     return with_excerpts(res, reqs, d, stem=stem)
 
 

@@ -5,12 +5,16 @@ An index is a set of parquet tables in a folder:
 * ``postings/`` ``(package, id, col, pos, term)`` partitioned by ``package`` and
   sorted by ``term`` inside each file, so a term lookup prunes partitions and
   row groups (min/max statistics);
+* ``terms/`` ``(package, id, col, term)``: each distinct term of a column once,
+  for single-word clauses;
 * ``docs/`` ``(package, id, ref, type, title, doc)`` partitioned by ``package``
   (bodies are stored once; postings refer to them by id);
 * ``titles/`` ``(package, id, ititle, ref, type)`` for autocomplete.
 
-One Spark job builds every package at once; ``repartition('package')`` makes
-one writer per package partition. Writes are whole-folder overwrites, so a
+One Spark job builds every package at once. Rows are range-partitioned on
+``(package, term)`` (or ``(package, id)``): the sampled range boundaries split
+a package holding a large share of all rows over many tasks, and every file
+covers a narrow, sorted term range. Writes are whole-folder overwrites, so a
 rebuild is idempotent.
 """
 
@@ -21,7 +25,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.operators.analysis import indexable, postings
+from pyspark import StorageLevel
+
+from folio.operators.analysis import indexable, postings_of, term_docs_of, token_arrays
 from folio.session import checkpoint_dir
 
 
@@ -35,13 +41,18 @@ def build_search_index(docs: DataFrame, path: str, packages: DataFrame | None =
     """Write postings (+ docs) for the selected packages."""
     if packages is not None:
         docs = docs.join(packages.select(F.col("name").alias("package")), "package", "left_semi")
-    p = postings(docs, stem=stem, raw_titles=raw_titles)
-    writer_df = p.repartition("package").sortWithinPartitions("package", "term") if partitioned \
-        else p.sortWithinPartitions("term")
-    w = writer_df.write.mode("overwrite")
-    (w.partitionBy("package") if partitioned else w).parquet(f"{path}/postings")
+    # Tokenise once: both tables (and the range sampling of both writes) read
+    # the persisted token arrays; lost blocks are recomputed from lineage.
+    arrays = token_arrays(docs, stem=stem, raw_titles=raw_titles).persist(StorageLevel.MEMORY_AND_DISK)
+    for name, table in (("postings", postings_of(arrays)), ("terms", term_docs_of(arrays))):
+        laid = (table.repartitionByRange("package", "term").sortWithinPartitions("package", "term")
+                if partitioned else table.repartitionByRange("term").sortWithinPartitions("term"))
+        w = laid.write.mode("overwrite")
+        (w.partitionBy("package") if partitioned else w).parquet(f"{path}/{name}")
+    arrays.unpersist()
     d = docs.select("package", "id", "ref", "type", "title", "doc")
-    (d.repartition("package").write.mode("overwrite").partitionBy("package").parquet(f"{path}/docs"))
+    (d.repartitionByRange("package", "id").sortWithinPartitions("package", "id")
+     .write.mode("overwrite").partitionBy("package").parquet(f"{path}/docs"))
 
 
 def build_title_index(docs: DataFrame, path: str, packages: DataFrame | None = None) -> None:
@@ -49,7 +60,8 @@ def build_title_index(docs: DataFrame, path: str, packages: DataFrame | None = N
     if packages is not None:
         docs = docs.join(packages.select(F.col("name").alias("package")), "package", "left_semi")
     t = indexable(docs).select("package", "id", "ititle", "ref", "type")
-    t.repartition("package").write.mode("overwrite").partitionBy("package").parquet(f"{path}/titles")
+    (t.repartitionByRange("package", "id").sortWithinPartitions("package", "id")
+     .write.mode("overwrite").partitionBy("package").parquet(f"{path}/titles"))
 
 
 def read_index(spark: SparkSession, path: str, table: str = "postings",

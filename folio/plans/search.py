@@ -31,14 +31,14 @@ def top_per_package(ranked: DataFrame, k: int, order: list) -> DataFrame:
 
 
 def search(requests: DataFrame, docs: DataFrame, postings: DataFrame, stem: bool = False,
-           k: int = SEARCH_HITS_PER_PACKAGE) -> DataFrame:
+           k: int = SEARCH_HITS_PER_PACKAGE, terms: DataFrame | None = None) -> DataFrame:
     """``(request_id, result_pos, package_pos, package, id, ref, type, title,
     base_rank, boost, rank)`` ordered per request by final rank (stable over
     package order and per-package rank)."""
     c = clauses(requests)
     meta = request_meta(requests, c)
     rp = request_packages(requests)
-    matches = base_rank(match_documents(postings, c, rp, meta, stem))
+    matches = base_rank(match_documents(postings, c, rp, meta, stem, terms))
     top = top_per_package(matches, k, [F.desc("base_rank"), "id"])
     d = docs.select(F.col("package").alias("d_package"), F.col("id").alias("d_id"), "ref", "type", "title")
     joined = top.join(d, (top["package"] == d["d_package"]) & (top["id"] == d["d_id"]))
@@ -95,15 +95,23 @@ def request_phrases(requests: DataFrame, stem: bool = False) -> DataFrame:
 def with_excerpts(results: DataFrame, requests: DataFrame, docs: DataFrame, stem: bool = False,
                   n: int = 20) -> DataFrame:
     """Add ``excerpts`` (one highlighted excerpt, as in the reference's
-    result map) to search results; computed only for the rows returned."""
+    result map) to search results; computed only for the rows returned.
+
+    An excerpt depends only on the body and the phrase list, so it is computed
+    once per distinct (document, phrases) of the batch and joined back.
+    """
     from folio.functions.excerpt import excerpt_column
 
-    body = docs.select(F.col("package").alias("b_package"), F.col("id").alias("b_id"), "doc")
-    r = (results.join(request_phrases(requests, stem), "request_id", "left")
-         .join(body, (F.col("package") == F.col("b_package")) & (F.col("id") == F.col("b_id"))))
-    key = F.concat_ws("/", F.col("package"), F.col("id").cast("string"))
-    # Either join strategy emits the rows of one document together (sort-merge:
-    # sorted by key; broadcast of the results: per streamed body), so the
+    r = results.join(request_phrases(requests, stem), "request_id", "left")
+    keys = r.select(F.col("package").alias("k_package"), F.col("id").alias("k_id"),
+                    F.col("phrases").alias("k_phrases")).distinct()
+    body = docs.select(F.col("package").alias("k_package"), F.col("id").alias("k_id"), "doc")
+    # Either join strategy emits the rows of one document together, so the
     # per-worker body cache hits without an extra shuffle of bodies.
-    return r.withColumn("excerpts", F.array(excerpt_column(F.col("doc"), F.col("phrases"), key, stem, n))) \
-        .drop("b_package", "b_id", "doc", "phrases")
+    ex = keys.join(body, ["k_package", "k_id"])
+    key = F.concat_ws("/", F.col("k_package"), F.col("k_id").cast("string"))
+    ex = ex.select("k_package", "k_id", "k_phrases",
+                   F.array(excerpt_column(F.col("doc"), F.col("k_phrases"), key, stem, n)).alias("excerpts"))
+    cond = ((F.col("package") == F.col("k_package")) & (F.col("id") == F.col("k_id"))
+            & F.col("phrases").eqNullSafe(F.col("k_phrases")))
+    return r.join(ex, cond).drop("k_package", "k_id", "k_phrases", "phrases")
