@@ -76,8 +76,11 @@ def main() -> None:
         res = search(reqs, idocs, postings, terms=terms_ix)
         run(with_excerpts(res, reqs, idocs))
 
+    titles_ix = IX.read_index(spark, path, "titles")
+    tri_ix = IX.read_index(spark, path, "trigrams")
+
     def do_autocomplete():
-        run(autocomplete(reqs, idocs))
+        run(autocomplete(reqs, idocs, titles=titles_ix, tri_index=tri_ix))
 
     timed("search_batch", do_search)
     timed("autocomplete_batch", do_autocomplete)

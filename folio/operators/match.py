@@ -17,7 +17,7 @@ aggregates are keyed by document id, with map-side partial aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import word_tokens
@@ -103,21 +103,56 @@ def match_documents(postings: DataFrame, clause_df: DataFrame, req_pk: DataFrame
     return boolean_filter(phrase_instances(postings, ctp, terms), meta)
 
 
+def trigrams(text: Column) -> Column:
+    """Distinct character trigrams of ``text`` (empty below 3 characters)."""
+    n = F.char_length(text)
+    tris = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, 3))
+    return F.when(n >= 3, F.array_distinct(tris)).otherwise(F.array().cast("array<string>"))
+
+
+def title_trigrams(titles: DataFrame, title_col: str = "ititle") -> DataFrame:
+    """``(package, id, tri)``: the trigram index of lower-cased titles (one row per
+    distinct trigram of a title; built without a shuffle)."""
+    lt = titles.select("package", "id", F.lower(F.col(title_col)).alias("lt"))
+    return lt.select("package", "id", F.explode(trigrams(F.col("lt"))).alias("tri"))
+
+
+def trigram_candidates(tri_index: DataFrame, needles: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``tri_index(package, id, tri)`` holding every trigram of a needle.
+
+    ``needles`` has ``keys`` + ``c_package`` + ``needle``; it is request-sized and
+    broadcast when its size is proven small, so hot trigrams never shuffle. The
+    aggregate is keyed by document id. Returns ``keys`` + ``package, id, needle``.
+    """
+    nt = needles.select(*keys, "c_package", "needle", F.explode(trigrams(F.col("needle"))).alias("n_tri"),
+                        F.size(trigrams(F.col("needle"))).alias("n_tris"))
+    nt = bounded_broadcast(nt)
+    j = tri_index.join(nt, (tri_index["package"] == F.col("c_package")) & (tri_index["tri"] == F.col("n_tri")))
+    return (j.groupBy(*keys, "package", "id", "needle", "n_tris").agg(F.count(F.lit(1)).alias("k"))
+            .where(F.col("k") == F.col("n_tris")).select(*keys, "package", "id", "needle"))
+
+
 def substring_matches(titles: DataFrame, clause_df: DataFrame, req_pk: DataFrame,
-                      meta: DataFrame, min_chars: int = 3) -> DataFrame:
+                      meta: DataFrame, min_chars: int = 3, tri_index: DataFrame | None = None) -> DataFrame:
     """Case-insensitive substring match of each clause on ``ititle``.
 
     Clauses shorter than ``min_chars`` characters never match (they contribute
-    nothing when optional, block the request when required).
+    nothing when optional, block the request when required). Candidates come
+    from the title trigram index (given, or derived from ``titles``) and are
+    confirmed with ``contains`` on the title.
     """
     valid = meta.where("valid").select("request_id")
     cp = (clause_df.join(valid, "request_id", "left_semi").join(req_pk, "request_id")
           .where(F.char_length("text") >= min_chars)
           .select("request_id", "package_pos", F.col("package").alias("c_package"), "clause_no",
                   "kind", F.lower(F.col("text")).alias("needle")))
-    cp = bounded_broadcast(cp)
-    t = titles.select("package", "id", F.lower(F.col("ititle")).alias("lt"))
-    inst = (t.join(cp, (t["package"] == F.col("c_package")) & F.col("lt").contains(F.col("needle")))
+    tri = tri_index if tri_index is not None else title_trigrams(titles)
+    keys = ["request_id", "package_pos", "clause_no", "kind"]
+    cand = trigram_candidates(tri, cp, keys)
+    t = titles.select(F.col("package").alias("t_package"), F.col("id").alias("t_id"),
+                      F.lower(F.col("ititle")).alias("lt"))
+    inst = (cand.join(t, (cand["package"] == t["t_package"]) & (cand["id"] == t["t_id"]))
+            .where(F.col("lt").contains(F.col("needle")))
             .select("request_id", "package_pos", "package", "clause_no", "kind", "id",
                     F.lit(TITLE_COL).alias("col")))
     return boolean_filter(inst, meta)

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import occurrences
-from folio.operators.match import boolean_filter, clause_tokens, phrase_instances
-from folio.session import bounded_broadcast
+from folio.operators.match import (boolean_filter, clause_tokens, phrase_instances, trigram_candidates,
+                                   trigrams)
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
@@ -65,8 +65,12 @@ def bm25_trigram(corpus_rows: DataFrame, clause_df: DataFrame, meta: DataFrame,
     cp = (clause_df.join(meta.where("valid").select("request_id"), "request_id", "left_semi")
           .where(F.char_length("text") >= min_chars)
           .select("request_id", "clause_no", "kind", F.lower(F.col("text")).alias("needle")))
-    cp = bounded_broadcast(cp)
-    hits = (corpus_rows.join(cp, F.col("lt").contains(F.col("needle")))
+    # Candidates from the trigram index of the corpus (equi-join, no nested
+    # loop over the corpus), confirmed with contains; f counts overlapping hits.
+    tri = corpus_rows.select(F.lit("*").alias("package"), "id", F.explode(trigrams(F.col("lt"))).alias("tri"))
+    cand = trigram_candidates(tri, cp.withColumn("c_package", F.lit("*")), ["request_id", "clause_no", "kind"])
+    rows = corpus_rows.select(F.col("id").alias("r_id"), "lt", "dl")
+    hits = (cand.join(rows, cand["id"] == rows["r_id"]).where(F.col("lt").contains(F.col("needle")))
             .select("request_id", "clause_no", "kind", "id", "dl",
                     occurrences(F.col("lt"), F.col("needle")).alias("f")))
     inst = hits.select("request_id", F.lit(0).cast("bigint").alias("package_pos"), F.lit("*").alias("package"),

@@ -9,7 +9,8 @@ An index is a set of parquet tables in a folder:
   for single-word clauses;
 * ``docs/`` ``(package, id, ref, type, title, doc)`` partitioned by ``package``
   (bodies are stored once; postings refer to them by id);
-* ``titles/`` ``(package, id, ititle, ref, type)`` for autocomplete.
+* ``titles/`` ``(package, id, ititle, ref, type)`` for autocomplete and
+  ``trigrams/`` ``(package, id, tri)``, its trigram index.
 
 One Spark job builds every package at once. Rows are range-partitioned on
 ``(package, term)`` (or ``(package, id)``): the sampled range boundaries split
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark import StorageLevel
 
 from folio.operators.analysis import indexable, postings_of, term_docs_of, token_arrays
+from folio.operators.match import title_trigrams
 from folio.session import checkpoint_dir
 
 
@@ -62,6 +64,9 @@ def build_title_index(docs: DataFrame, path: str, packages: DataFrame | None = N
     t = indexable(docs).select("package", "id", "ititle", "ref", "type")
     (t.repartitionByRange("package", "id").sortWithinPartitions("package", "id")
      .write.mode("overwrite").partitionBy("package").parquet(f"{path}/titles"))
+    tri = title_trigrams(t)
+    (tri.repartitionByRange("package", "tri").sortWithinPartitions("package", "tri")
+     .write.mode("overwrite").partitionBy("package").parquet(f"{path}/trigrams"))
 
 
 def read_index(spark: SparkSession, path: str, table: str = "postings",

@@ -51,14 +51,15 @@ def search(requests: DataFrame, docs: DataFrame, postings: DataFrame, stem: bool
 
 
 def autocomplete(requests: DataFrame, docs: DataFrame, k: int = AUTOCOMPLETE_HITS_PER_PACKAGE,
-                 glue: str = "") -> DataFrame:
+                 glue: str = "", titles: DataFrame | None = None, tri_index: DataFrame | None = None
+                 ) -> DataFrame:
     """first ``k`` title matches per package in id order, packages in request
     order: ``(request_id, result_pos, package_pos, package, id, title, ref, type)``."""
     c = clauses(requests)
     meta = request_meta(requests, c, allowed_fields=("title",))
     rp = request_packages(requests)
-    titles = indexable(docs, glue)
-    matches = substring_matches(titles, c, rp, meta)
+    titles = titles if titles is not None else indexable(docs, glue)
+    matches = substring_matches(titles, c, rp, meta, tri_index=tri_index)
     top = top_per_package(matches, k, ["id"])
     d = docs.select(F.col("package").alias("d_package"), F.col("id").alias("d_id"), "title", "ref", "type")
     joined = top.join(d, (top["package"] == d["d_package"]) & (top["id"] == d["d_id"]))

@@ -23,8 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- docs
 
-def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``docs(id, package, ref, type, title, doc)`` from ``documents``."""
+_DOCS: dict[tuple[str, str], DataFrame] = {}
+
+
+def docs(spark: SparkSession, sf_dir: str, cache: bool = True) -> DataFrame:
+    """``docs(id, package, ref, type, title, doc)`` from ``documents``.
+
+    The synthetic titles are a derived table that almost every query reads;
+    it is persisted once per session and folder (memory and disk; lost blocks
+    are recomputed from lineage), so later plans read plain columns instead
+    of re-deriving titles inside every pushed-down predicate.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if cache and key in _DOCS:
+        return _DOCS[key]
+    df = _docs_plan(spark, sf_dir)
+    if cache:
+        from pyspark import StorageLevel
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _DOCS[key] = df
+    return df
+
+
+def _docs_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Staged projections: the word array is computed once (CollapseProject keeps
     # a non-cheap expression that is referenced several times in its own project).
     d = (table(spark, sf_dir, "documents")
