@@ -1,9 +1,9 @@
 """Document vectors.
 
-Exact nearest neighbours broadcast the (request-sized, size-checked) query
-batch and stream the corpus past it: one pass, no shuffle of the corpus, a
-per-query top-k with a partial limit before the final exchange. Cosine is
-computed in double precision with built-in array functions.
+Exact nearest neighbours ship the (request-sized, size-checked) query batch
+to every task and score each corpus partition with one matrix product,
+keeping a per-partition top-k: one pass, no shuffle of the corpus. Cosine is
+computed in double precision.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.session import bounded_broadcast
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,18 +56,56 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
             .select(F.col(key).alias("query_id"), F.transform("s", lambda s: s["x"]).alias("query")))
 
 
+MAX_QUERY_ROWS = 50_000
+
+
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
-    """V5: ``(query_id, id, similarity)`` for the ``k`` most cosine-similar rows of
+    """V5: ``(query_id, id, similarity, rk)`` for the ``k`` most cosine-similar rows of
     ``corpus(id, embedding)`` to each ``queries(query_id, query)``; similarity =
-    1 - cosine distance, nearest first, ties by id."""
-    q = bounded_broadcast(queries.select("query_id", "query", norm(F.col("query")).alias("qn")))
-    c = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding",
-                                                          norm(F.col("embedding")).alias("cn"))
-    scored = c.join(q).select("query_id", "id",
-                              (dot(F.col("embedding"), F.col("query")) / (F.col("cn") * F.col("qn")))
-                              .alias("similarity"))
+    1 - cosine distance, nearest first, ties by id.
+
+    The query batch is request-sized: its size is checked, then it is shipped
+    to every task as one matrix. Each corpus partition is scored with a single
+    matrix product and keeps only its own top ``k`` per query, so the exchange
+    before the final per-query window carries partitions x queries x k rows,
+    never corpus x queries pairs.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = corpus.sparkSession
+    n_q = queries.limit(MAX_QUERY_ROWS + 1).count()
+    if n_q > MAX_QUERY_ROWS:
+        raise ValueError(f"query batch above {MAX_QUERY_ROWS} rows; split it into several batches")
+    qs = queries.select("query_id", "query").collect()
+    qids = np.array([r.query_id for r in qs], dtype=np.int64)
+    qmat = np.array([r.query for r in qs], dtype=np.float64).reshape(len(qs), -1)
+    qn = np.linalg.norm(qmat, axis=1, keepdims=True)
+    bq = spark.sparkContext.broadcast((qids, qmat / np.where(qn == 0, 1, qn)))
+
+    def score(batches):
+        ids_l, vecs = [], []
+        for pdf in batches:
+            pdf = pdf[pdf["embedding"].notna()]
+            ids_l.append(pdf["id"].to_numpy(dtype=np.int64))
+            vecs.extend(pdf["embedding"].tolist())
+        q_ids, q_unit = bq.value
+        if not vecs or len(q_ids) == 0:
+            return
+        ids = np.concatenate(ids_l)
+        m = np.asarray(vecs, dtype=np.float64)
+        mn = np.linalg.norm(m, axis=1)
+        sims = (m @ q_unit.T) / np.where(mn == 0, 1, mn)[:, None]
+        kk = min(k, len(ids))
+        for j, qid in enumerate(q_ids):
+            col = sims[:, j]
+            order = np.lexsort((ids, -col))[:kk]
+            yield pd.DataFrame({"query_id": qid, "id": ids[order], "similarity": col[order]})
+
+    part = corpus.select("id", "embedding").mapInPandas(
+        score, "query_id bigint, id bigint, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k) \
+    return part.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k) \
         .withColumn("rk", F.col("rk").cast("bigint"))
 
 
