@@ -17,6 +17,21 @@ SEARCH_HITS_PER_PACKAGE = 25
 AUTOCOMPLETE_HITS_PER_PACKAGE = 3
 
 
+MAX_PRUNE_PACKAGES = 10_000
+
+
+def restrict_packages(rp: DataFrame, *tables: DataFrame | None) -> list[DataFrame | None]:
+    """Static partition pruning: the distinct packages a batch asks for (at most
+    the number of packages, size-checked) become an ``isin`` filter on each
+    ``package``-partitioned table, so only those folders are listed and read.
+    Beyond the bound the tables are returned unfiltered (joins still restrict)."""
+    pk = rp.select("package").distinct().limit(MAX_PRUNE_PACKAGES + 1).collect()
+    if len(pk) > MAX_PRUNE_PACKAGES:
+        return list(tables)
+    names = [r.package for r in pk]
+    return [None if t is None else t.where(F.col("package").isin(names)) for t in tables]
+
+
 def base_rank(matches: DataFrame) -> DataFrame:
     """F1: 2.0 when any matched phrase instance is in the title, else 1.0."""
     return matches.withColumn("base_rank", F.when(F.col("title_hit"), 2.0).otherwise(1.0))
@@ -38,6 +53,7 @@ def search(requests: DataFrame, docs: DataFrame, postings: DataFrame, stem: bool
     c = clauses(requests)
     meta = request_meta(requests, c)
     rp = request_packages(requests)
+    postings, terms, docs = restrict_packages(rp, postings, terms, docs)
     matches = base_rank(match_documents(postings, c, rp, meta, stem, terms))
     top = top_per_package(matches, k, [F.desc("base_rank"), "id"])
     d = docs.select(F.col("package").alias("d_package"), F.col("id").alias("d_id"), "ref", "type", "title")
@@ -58,6 +74,7 @@ def autocomplete(requests: DataFrame, docs: DataFrame, k: int = AUTOCOMPLETE_HIT
     c = clauses(requests)
     meta = request_meta(requests, c, allowed_fields=("title",))
     rp = request_packages(requests)
+    titles, tri_index, docs = restrict_packages(rp, titles, tri_index, docs)
     titles = titles if titles is not None else indexable(docs, glue)
     matches = substring_matches(titles, c, rp, meta, tri_index=tri_index)
     top = top_per_package(matches, k, ["id"])
