@@ -120,21 +120,45 @@ def _score(inst, offsets, n_phr, size, start, n):
 
 
 def best_start(text, toks, inst, n_phr, n, firsts=None) -> int:
+    """Start of the best window (rule 3), in one sliding pass over the hits.
+
+    The window starting at each hit is scored with two pointers and per-phrase
+    counts; sentence-start windows are scored once per sentence. Candidates are
+    visited in the same order as a direct scan, so ties resolve the same way.
+    """
     size = len(toks)
     best, best_start_ = 0, 0
     firsts = sentence_starts(text, toks) if firsts is None else firsts
     offsets = [o for o, _p, _k in inst]
-    for o, _p, _k in inst:
-        sc, adj = _score(inst, offsets, n_phr, size, o, n)
+    counts = [0] * n_phr
+    distinct, hi = 0, 0
+    sent_score: dict[int, int] = {}
+    for lo, (o, _p, _k) in enumerate(inst):
+        while hi < len(inst) and offsets[hi] < o + n:
+            p = inst[hi][1]
+            counts[p] += 1
+            distinct += counts[p] == 1
+            hi += 1
+        sc = 1000 * distinct + (hi - lo - distinct)
+        last_o, _lp, last_k = inst[hi - 1]
+        adj = o - int((n - (last_o + last_k - o)) / 2)
+        if adj + n > size:
+            adj = size - n
+        adj = max(adj, 0)
         if sc > best:
             best, best_start_ = sc, adj
         if firsts and size > n:
             jj = max(bisect_right(firsts, o) - 1, 0)
-            if firsts[jj] < o:
-                sc, _ = _score(inst, offsets, n_phr, size, firsts[jj], n)
-                sc += 120 if firsts[jj] == 0 else 100
-                if sc > best:
-                    best, best_start_ = sc, firsts[jj]
+            f = firsts[jj]
+            if f < o:
+                if f not in sent_score:
+                    sent_score[f] = _score(inst, offsets, n_phr, size, f, n)[0] + (120 if f == 0 else 100)
+                if sent_score[f] > best:
+                    best, best_start_ = sent_score[f], f
+        # slide: drop the hit at lo before moving on
+        p = inst[lo][1]
+        counts[p] -= 1
+        distinct -= counts[p] == 0
     return best_start_
 
 
@@ -189,9 +213,8 @@ def snippet(text: str | None, phrases, n: int = 20, open_: str = "<em>", close:
     ranges = [r for r in _ranges(inst) if r[0] >= start]
     out = [ellipsis] if start > 0 else []
     off, is_open, ri = 0, False, 0
-    for pos, (_t, s, e) in enumerate(toks):
-        if pos < start or pos > end:
-            continue
+    for pos in range(start, min(end, len(toks) - 1) + 1):
+        _t, s, e = toks[pos]
         if start and pos == start:
             off = s
         cur = ranges[ri] if ri < len(ranges) else None
