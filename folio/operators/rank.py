@@ -36,10 +36,15 @@ def _bm25(freq: DataFrame, rows: DataFrame, stats: DataFrame) -> DataFrame:
     return s.groupBy("request_id", "id").agg((-F.sum("term")).alias("rank"))
 
 
-def bm25_words(postings: DataFrame, clause_df: DataFrame, meta: DataFrame, doc_lengths: DataFrame,
-               stem: bool = False) -> DataFrame:
+def bm25_words(postings: DataFrame, clause_df: DataFrame, meta: DataFrame,
+               doc_lengths: DataFrame | None = None, stem: bool = False) -> DataFrame:
     """F4 over a word index holding every package (one cross-package table):
-    ``(request_id, id, rank)`` for rows satisfying the request."""
+    ``(request_id, id, rank)`` for rows satisfying the request. Row lengths
+    ``(id, dl)`` must list every row of the index (0 for rows without tokens);
+    by default they are counted from the postings (partially aggregated
+    map-side, so the corpus is tokenised once), which omits empty rows."""
+    if doc_lengths is None:
+        doc_lengths = postings.groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
     p = postings.withColumn("package", F.lit("*"))
     rp = meta.select("request_id", F.lit(0).cast("bigint").alias("package_pos"), F.lit("*").alias("package"))
     ct = clause_tokens(clause_df, stem).join(meta.where("valid").select("request_id"), "request_id", "left_semi")

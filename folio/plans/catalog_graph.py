@@ -284,9 +284,11 @@ def q_bm25(spark, sf):
     reqs = R.requests_frame(spark, BM25_REQUESTS)
     c = R.clauses(reqs)
     meta = R.request_meta(reqs, c)
-    arrays = A.token_arrays(d)
-    lengths = arrays.select("id", (F.size("title_tokens") + F.size("doc_tokens")).alias("dl"))
-    r = RK.bm25_words(A.postings(d), c, meta, lengths)
+    p = A.postings(d)
+    # Every indexed row counts in N and the mean length, also rows without tokens.
+    lengths = (A.indexable(d).select("id").join(p.groupBy("id").agg(F.count(F.lit(1)).alias("dl")), "id", "left")
+               .select("id", F.coalesce("dl", F.lit(0)).alias("dl")))
+    r = RK.bm25_words(p, c, meta, lengths)
     return r.select("request_id", "id", F.round("rank", 6).alias("rank"))
 
 
