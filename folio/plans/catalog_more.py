@@ -228,8 +228,7 @@ def q_docs_serving(spark, sf):
 
 
 @register("package_select", with_sql(D.SEARCH_PACKAGES_SQL) + f"""
-SELECT name, recent_downloads, CAST(row_number() OVER (ORDER BY recent_downloads DESC, name) AS BIGINT) AS pos
-FROM packages WHERE recent_downloads > {SELECT_MIN}""")
+SELECT name, recent_downloads FROM packages WHERE recent_downloads > {SELECT_MIN}""")
 def q_package_select(spark, sf):
     return I.select_packages(D.search_packages(spark, sf), SELECT_MIN)
 

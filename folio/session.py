@@ -42,6 +42,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="folio-ckpt-"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -79,3 +80,37 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Dat
 
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``folio`` importable in Python workers (Arrow UDFs import it).
+
+    The package is zipped once per application into the checkpoint folder and
+    added with ``addPyFile``, Spark's own mechanism for distributing Python
+    code to every executor.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    base = checkpoint_dir(spark)
+    if "://" in base and not base.startswith("file:"):
+        staging = tempfile.mkdtemp(prefix="folio-pkg-")  # zip is built locally, then shipped by Spark
+    else:
+        staging = os.path.join(base, "folio-pkg")
+        os.makedirs(staging, exist_ok=True)
+    zpath = os.path.join(staging, f"folio-{sc.applicationId}.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)

@@ -109,10 +109,10 @@ def quarantine(parsed: DataFrame, json_col: str = "json", width: int = 20) -> Da
 
 
 def select_packages(packages: DataFrame, min_downloads: float = 500) -> DataFrame:
-    """Packages to index, most downloaded first (``pos`` = order)."""
-    w = Window.orderBy(F.desc("recent_downloads"), "name")
-    sel = packages.where(F.col("recent_downloads") > min_downloads)
-    return sel.withColumn("pos", F.row_number().over(w).cast("bigint"))
+    """Packages to index, most downloaded first (a distributed range sort;
+    no global window, so no single task sees every package)."""
+    return packages.where(F.col("recent_downloads") > min_downloads) \
+        .orderBy(F.desc("recent_downloads"), "name")
 
 
 def package_band(packages: DataFrame, low: float = 500, high: float = 2500,
