@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import word_tokens
 from folio.operators.analysis import DOC_COL, TITLE_COL
-from folio.session import bounded_broadcast
+from folio.session import small_side
 
 
 def clause_tokens(clause_df: DataFrame, stem: bool = False) -> DataFrame:
@@ -45,7 +45,8 @@ def clause_tokens(clause_df: DataFrame, stem: bool = False) -> DataFrame:
                 (F.col("is_prefix") & (F.col("tok_idx") == F.col("n_tokens") - 1)).alias("is_prefix_tok"))
 
 
-def phrase_instances(postings: DataFrame, ctp: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+def phrase_instances(postings: DataFrame, ctp: DataFrame, terms: DataFrame | None = None,
+                     small: bool | None = None) -> DataFrame:
     """Phrase instances ``(request_id, package_pos, package, clause_no, kind, id, col)``.
 
     ``ctp`` = clause tokens joined with request packages (has ``package_pos``,
@@ -57,7 +58,7 @@ def phrase_instances(postings: DataFrame, ctp: DataFrame, terms: DataFrame | Non
     side = ctp.where(F.col("token").isNotNull()).select(
         "request_id", "package_pos", F.col("package").alias("c_package"), "clause_no", "kind",
         "field_col", "n_tokens", "tok_idx", "token", "is_prefix_tok")
-    side = bounded_broadcast(side)
+    side = small_side(side, small)
     keys = ["request_id", "package_pos", "package", "clause_no", "kind", "id", "col"]
     col_ok = F.col("field_col").isNull() | (F.col("col") == F.col("field_col"))
 
@@ -78,7 +79,7 @@ def phrase_instances(postings: DataFrame, ctp: DataFrame, terms: DataFrame | Non
     return single.unionByName(multi)
 
 
-def boolean_filter(instances: DataFrame, meta: DataFrame) -> DataFrame:
+def boolean_filter(instances: DataFrame, meta: DataFrame, small: bool | None = None) -> DataFrame:
     """Documents satisfying each request's boolean expression, with ``title_hit``."""
     agg = instances.groupBy("request_id", "package_pos", "package", "id").agg(
         F.size(F.collect_set(F.when(F.col("kind") == "required", F.col("clause_no")))).alias("req_hits"),
@@ -86,7 +87,7 @@ def boolean_filter(instances: DataFrame, meta: DataFrame) -> DataFrame:
         F.max(F.col("kind") == "absent").alias("abs_hit"),
         F.max((F.col("col") == TITLE_COL) & (F.col("kind") != "absent")).alias("title_hit"),
     )
-    m = bounded_broadcast(meta.where("valid").select("request_id", "n_required", "n_optional"))
+    m = small_side(meta.where("valid").select("request_id", "n_required", "n_optional"), small)
     return (agg.join(m, "request_id")
             .where((F.col("req_hits") == F.col("n_required"))
                    & ((F.col("n_optional") == 0) | F.col("opt_hit"))
@@ -95,12 +96,16 @@ def boolean_filter(instances: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def match_documents(postings: DataFrame, clause_df: DataFrame, req_pk: DataFrame,
-                    meta: DataFrame, stem: bool = False, terms: DataFrame | None = None) -> DataFrame:
-    """E1-E11 end to end: matching ``(request_id, package_pos, package, id, title_hit)``."""
+                    meta: DataFrame, stem: bool = False, terms: DataFrame | None = None,
+                    small: bool | None = None) -> DataFrame:
+    """E1-E11 end to end: matching ``(request_id, package_pos, package, id, title_hit)``.
+
+    ``small`` says whether the request-derived tables are proven small enough
+    to broadcast (``None``: count them here)."""
     ct = clause_tokens(clause_df, stem)
     valid = meta.where("valid").select("request_id")
     ctp = ct.join(valid, "request_id", "left_semi").join(req_pk, "request_id")
-    return boolean_filter(phrase_instances(postings, ctp, terms), meta)
+    return boolean_filter(phrase_instances(postings, ctp, terms, small), meta, small)
 
 
 def trigrams(text: Column) -> Column:
@@ -117,7 +122,8 @@ def title_trigrams(titles: DataFrame, title_col: str = "ititle") -> DataFrame:
     return lt.select("package", "id", F.explode(trigrams(F.col("lt"))).alias("tri"))
 
 
-def trigram_candidates(tri_index: DataFrame, needles: DataFrame, keys: list[str]) -> DataFrame:
+def trigram_candidates(tri_index: DataFrame, needles: DataFrame, keys: list[str],
+                       small: bool | None = None) -> DataFrame:
     """Rows of ``tri_index(package, id, tri)`` holding every trigram of a needle.
 
     ``needles`` has ``keys`` + ``c_package`` + ``needle``; it is request-sized and
@@ -126,14 +132,15 @@ def trigram_candidates(tri_index: DataFrame, needles: DataFrame, keys: list[str]
     """
     nt = needles.select(*keys, "c_package", "needle", F.explode(trigrams(F.col("needle"))).alias("n_tri"),
                         F.size(trigrams(F.col("needle"))).alias("n_tris"))
-    nt = bounded_broadcast(nt)
+    nt = small_side(nt, small)
     j = tri_index.join(nt, (tri_index["package"] == F.col("c_package")) & (tri_index["tri"] == F.col("n_tri")))
     return (j.groupBy(*keys, "package", "id", "needle", "n_tris").agg(F.count(F.lit(1)).alias("k"))
             .where(F.col("k") == F.col("n_tris")).select(*keys, "package", "id", "needle"))
 
 
 def substring_matches(titles: DataFrame, clause_df: DataFrame, req_pk: DataFrame,
-                      meta: DataFrame, min_chars: int = 3, tri_index: DataFrame | None = None) -> DataFrame:
+                      meta: DataFrame, min_chars: int = 3, tri_index: DataFrame | None = None,
+                      small: bool | None = None) -> DataFrame:
     """Case-insensitive substring match of each clause on ``ititle``.
 
     Clauses shorter than ``min_chars`` characters never match (they contribute
@@ -148,11 +155,11 @@ def substring_matches(titles: DataFrame, clause_df: DataFrame, req_pk: DataFrame
                   "kind", F.lower(F.col("text")).alias("needle")))
     tri = tri_index if tri_index is not None else title_trigrams(titles)
     keys = ["request_id", "package_pos", "clause_no", "kind"]
-    cand = trigram_candidates(tri, cp, keys)
+    cand = trigram_candidates(tri, cp, keys, small)
     t = titles.select(F.col("package").alias("t_package"), F.col("id").alias("t_id"),
                       F.lower(F.col("ititle")).alias("lt"))
     inst = (cand.join(t, (cand["package"] == t["t_package"]) & (cand["id"] == t["t_id"]))
             .where(F.col("lt").contains(F.col("needle")))
             .select("request_id", "package_pos", "package", "clause_no", "kind", "id",
                     F.lit(TITLE_COL).alias("col")))
-    return boolean_filter(inst, meta)
+    return boolean_filter(inst, meta, small)

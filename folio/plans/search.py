@@ -20,16 +20,35 @@ AUTOCOMPLETE_HITS_PER_PACKAGE = 3
 MAX_PRUNE_PACKAGES = 10_000
 
 
-def restrict_packages(rp: DataFrame, *tables: DataFrame | None) -> list[DataFrame | None]:
-    """Static partition pruning: the distinct packages a batch asks for (at most
-    the number of packages, size-checked) become an ``isin`` filter on each
-    ``package``-partitioned table, so only those folders are listed and read.
-    Beyond the bound the tables are returned unfiltered (joins still restrict)."""
-    pk = rp.select("package").distinct().limit(MAX_PRUNE_PACKAGES + 1).collect()
-    if len(pk) > MAX_PRUNE_PACKAGES:
+def batch_profile(requests: DataFrame) -> tuple[bool, list[str] | None]:
+    """One small job per batch: a proven upper bound on every request-derived
+    table (a clause token needs at least one character of ``q``, so tokens <=
+    (chars + 1) x packages) and the distinct packages asked for.
+
+    Returns (small enough to broadcast, package list for partition pruning or
+    None when there are too many)."""
+    from folio.session import BROADCAST_ROW_LIMIT
+
+    rp = request_packages(requests)
+    n_pk = rp.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_pk"))
+    per_req = requests.select("request_id", (F.char_length(F.coalesce("q", F.lit(""))) + 1).alias("n_ch")) \
+        .join(n_pk, "request_id", "left")
+    bound_df = per_req.agg(F.sum(F.col("n_ch") * (F.coalesce("n_pk", F.lit(0)) + 1)).alias("bound"),
+                           F.count(F.lit(1)).alias("n_req"))
+    pk_df = rp.agg(F.slice(F.collect_set("package"), 1, MAX_PRUNE_PACKAGES + 1).alias("pk"))
+    row = bound_df.crossJoin(pk_df).first()
+    bound = max(int(row["bound"] or 0), int(row["n_req"] or 0))
+    pk = list(row["pk"] or [])
+    return bound <= BROADCAST_ROW_LIMIT, (pk if len(pk) <= MAX_PRUNE_PACKAGES else None)
+
+
+def restrict_packages(packages: list[str] | None, *tables: DataFrame | None) -> list[DataFrame | None]:
+    """Static partition pruning: the distinct packages a batch asks for become an
+    ``isin`` filter on each ``package``-partitioned table, so only those folders
+    are listed and read. Without a list the tables stay whole (joins restrict)."""
+    if packages is None:
         return list(tables)
-    names = [r.package for r in pk]
-    return [None if t is None else t.where(F.col("package").isin(names)) for t in tables]
+    return [None if t is None else t.where(F.col("package").isin(packages)) for t in tables]
 
 
 def base_rank(matches: DataFrame) -> DataFrame:
@@ -53,8 +72,9 @@ def search(requests: DataFrame, docs: DataFrame, postings: DataFrame, stem: bool
     c = clauses(requests)
     meta = request_meta(requests, c)
     rp = request_packages(requests)
-    postings, terms, docs = restrict_packages(rp, postings, terms, docs)
-    matches = base_rank(match_documents(postings, c, rp, meta, stem, terms))
+    small, pk = batch_profile(requests)
+    postings, terms, docs = restrict_packages(pk, postings, terms, docs)
+    matches = base_rank(match_documents(postings, c, rp, meta, stem, terms, small))
     top = top_per_package(matches, k, [F.desc("base_rank"), "id"])
     d = docs.select(F.col("package").alias("d_package"), F.col("id").alias("d_id"), "ref", "type", "title")
     joined = top.join(d, (top["package"] == d["d_package"]) & (top["id"] == d["d_id"]))
@@ -74,9 +94,10 @@ def autocomplete(requests: DataFrame, docs: DataFrame, k: int = AUTOCOMPLETE_HIT
     c = clauses(requests)
     meta = request_meta(requests, c, allowed_fields=("title",))
     rp = request_packages(requests)
-    titles, tri_index, docs = restrict_packages(rp, titles, tri_index, docs)
+    small, pk = batch_profile(requests)
+    titles, tri_index, docs = restrict_packages(pk, titles, tri_index, docs)
     titles = titles if titles is not None else indexable(docs, glue)
-    matches = substring_matches(titles, c, rp, meta, tri_index=tri_index)
+    matches = substring_matches(titles, c, rp, meta, tri_index=tri_index, small=small)
     top = top_per_package(matches, k, ["id"])
     d = docs.select(F.col("package").alias("d_package"), F.col("id").alias("d_id"), "title", "ref", "type")
     joined = top.join(d, (top["package"] == d["d_package"]) & (top["id"] == d["d_id"]))

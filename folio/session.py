@@ -68,6 +68,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, small: bool | None, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Broadcast ``df`` when the caller has proven it small (``small=True``),
+    leave it to the planner when proven large (``False``), or count it (``None``)."""
+    from pyspark.sql import functions as F
+
+    if small is None:
+        return bounded_broadcast(df, max_rows)
+    return F.broadcast(df) if small else df
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast ``df`` only when its row count is proven to be under ``max_rows``.
 
