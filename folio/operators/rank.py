@@ -25,14 +25,20 @@ IDF_FLOOR = 1e-6
 
 
 def _bm25(freq: DataFrame, rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """freq(request_id, clause_no, id, f), rows(id, dl), stats(n_rows, avgdl) -> (request_id, id, rank)."""
-    n = freq.groupBy("request_id", "clause_no").agg(F.countDistinct("id").alias("n"))
-    idf = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    """freq(request_id, clause_no, id, f), rows(id, dl), stats(n_rows, avgdl) -> (request_id, id, rank).
+
+    ``freq`` holds one row per (request, phrase, row), so ``n`` is a plain
+    (partially aggregated) count. The two corpus statistics are one row of an
+    aggregate and enter the plan as literals."""
+    n = freq.groupBy("request_id", "clause_no").agg(F.count(F.lit(1)).alias("n"))
+    st = stats.first()
+    n_rows, avgdl = F.lit(float(st["n_rows"] or 0)), F.lit(float(st["avgdl"] or 0.0))
+    idf = F.log((n_rows - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
-    s = (freq.join(n, ["request_id", "clause_no"]).join(rows, "id").crossJoin(F.broadcast(stats))
+    s = (freq.join(n, ["request_id", "clause_no"]).join(rows, "id")
          .select("request_id", "id",
                  (idf * F.col("f") * (K1 + 1)
-                  / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("term")))
+                  / (F.col("f") + K1 * (1 - B + B * F.col("dl") / avgdl))).alias("term")))
     return s.groupBy("request_id", "id").agg((-F.sum("term")).alias("rank"))
 
 

@@ -21,7 +21,7 @@ MAX_PRUNE_PACKAGES = 10_000
 
 
 def batch_profile(requests: DataFrame) -> tuple[bool, list[str] | None]:
-    """One small job per batch: a proven upper bound on every request-derived
+    """Two small jobs per batch: a proven upper bound on every request-derived
     table (a clause token needs at least one character of ``q``, so tokens <=
     (chars + 1) x packages) and the distinct packages asked for.
 
@@ -33,12 +33,11 @@ def batch_profile(requests: DataFrame) -> tuple[bool, list[str] | None]:
     n_pk = rp.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_pk"))
     per_req = requests.select("request_id", (F.char_length(F.coalesce("q", F.lit(""))) + 1).alias("n_ch")) \
         .join(n_pk, "request_id", "left")
-    bound_df = per_req.agg(F.sum(F.col("n_ch") * (F.coalesce("n_pk", F.lit(0)) + 1)).alias("bound"),
-                           F.count(F.lit(1)).alias("n_req"))
-    pk_df = rp.agg(F.slice(F.collect_set("package"), 1, MAX_PRUNE_PACKAGES + 1).alias("pk"))
-    row = bound_df.crossJoin(pk_df).first()
+    row = per_req.agg(F.sum(F.col("n_ch") * (F.coalesce("n_pk", F.lit(0)) + 1)).alias("bound"),
+                      F.count(F.lit(1)).alias("n_req")).first()
     bound = max(int(row["bound"] or 0), int(row["n_req"] or 0))
-    pk = list(row["pk"] or [])
+    # Distinct packages: a partially aggregated set, at most the number of packages.
+    pk = list(rp.agg(F.slice(F.collect_set("package"), 1, MAX_PRUNE_PACKAGES + 1).alias("pk")).first()["pk"] or [])
     return bound <= BROADCAST_ROW_LIMIT, (pk if len(pk) <= MAX_PRUNE_PACKAGES else None)
 
 
