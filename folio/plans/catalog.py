@@ -324,3 +324,18 @@ def q_search_json(spark, sf):
 @register("stemmed_vocabulary")
 def q_stemmed_vocabulary(spark, sf):
     return A.vocabulary(_docs(spark, sf), min_docs=2, stem=True)
+
+
+@register("random_requests")
+def q_random_requests(spark, sf):
+    """the benchmark workload drawn from the data (13 most common terms, 4 largest packages)."""
+    from pyspark.sql import Window
+    d = _docs(spark, sf)
+    top_terms = A.vocabulary(d).orderBy(F.desc("doc"), "term").limit(13)
+    terms = top_terms.select(
+        (F.row_number().over(Window.orderBy(F.desc("doc"), "term")) - 1).cast("bigint").alias("rank"), "term")
+    top_pk = D.search_packages(spark, sf).orderBy(F.desc("recent_downloads"), "name").limit(4)
+    pks = top_pk.select(
+        (F.row_number().over(Window.orderBy(F.desc("recent_downloads"), "name")) - 1).cast("bigint").alias("rank"),
+        F.col("name").alias("package"))
+    return R.random_workload(terms, pks, 500, seed=42)
