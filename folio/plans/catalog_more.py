@@ -94,8 +94,9 @@ FROM knn k JOIN docs d ON d.id = k.id""")
 def q_knn_exact(spark, sf):
     _, knn = _knn(spark, sf)
     d = D.docs(spark, sf).select("id", "title", "ref", "package")
-    return knn.join(d, "id").select("query_id", "rk", "id", "title", "ref", "package",
-                                    F.round("similarity", 6).alias("similarity"))
+    # query_id is the label of the centroid; keep the label's own type.
+    return knn.join(d, "id").select(F.col("query_id").cast("int").alias("query_id"), "rk", "id", "title", "ref",
+                                    "package", F.round("similarity", 6).alias("similarity"))
 
 
 @register("knn_lsh")
