@@ -1,0 +1 @@
+"""Column expressions: titles, text analysis, stemming, excerpts."""

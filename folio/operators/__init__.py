@@ -1,0 +1 @@
+"""DataFrame operators: analysis, requests, matching, ranking, graph, names, vectors."""

@@ -1,0 +1 @@
+"""Plans: batch search and autocomplete, index build/read, registered queries and oracles."""

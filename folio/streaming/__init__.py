@@ -1,0 +1 @@
+"""Structured Streaming: answering a stream of request files."""
