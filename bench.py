@@ -72,7 +72,7 @@ def main() -> None:
     idocs = IX.read_index(spark, path, "docs")
 
     def do_search():
-        res = search(reqs, idocs, postings, terms=terms_ix)
+        res = search(reqs, idocs, postings, terms=terms_ix, vocab=IX.read_index(spark, path, "vocab"))
         run(with_excerpts(res, reqs, idocs))
 
     titles_ix = IX.read_index(spark, path, "titles")

@@ -46,14 +46,16 @@ def clause_tokens(clause_df: DataFrame, stem: bool = False) -> DataFrame:
 
 
 def phrase_instances(postings: DataFrame, ctp: DataFrame, terms: DataFrame | None = None,
-                     small: bool | None = None) -> DataFrame:
+                     small: bool | None = None, vocab: DataFrame | None = None) -> DataFrame:
     """Phrase instances ``(request_id, package_pos, package, clause_no, kind, id, col)``.
 
     ``ctp`` = clause tokens joined with request packages (has ``package_pos``,
     ``package``); it is broadcast when its size is proven small. Single-word
     clauses are matched against the document-level table ``terms`` when given
     (one row per distinct term of a column instead of one per occurrence);
-    phrases need the positional ``postings``.
+    phrases need the positional ``postings``. With a per-package vocabulary
+    ``vocab(package, term)``, prefix tokens are first expanded against it (a
+    table far smaller than the postings) and then equi-joined like exact ones.
     """
     side = ctp.where(F.col("token").isNotNull()).select(
         "request_id", "package_pos", F.col("package").alias("c_package"), "clause_no", "kind",
@@ -62,9 +64,20 @@ def phrase_instances(postings: DataFrame, ctp: DataFrame, terms: DataFrame | Non
     keys = ["request_id", "package_pos", "package", "clause_no", "kind", "id", "col"]
     col_ok = F.col("field_col").isNull() | (F.col("col") == F.col("field_col"))
 
+    if vocab is not None:
+        v = vocab.select(F.col("package").alias("v_package"), F.col("term").alias("v_term"))
+        pre = side.where(F.col("is_prefix_tok"))
+        expanded = (v.join(pre, (F.col("v_package") == F.col("c_package"))
+                           & F.startswith(F.col("v_term"), F.col("token")))
+                    .drop("v_package", "token").withColumnRenamed("v_term", "token")
+                    .withColumn("is_prefix_tok", F.lit(False)))
+        side = side.where(~F.col("is_prefix_tok")).unionByName(expanded.select(*side.columns))
+
     def joined(table: DataFrame, clauses: DataFrame) -> DataFrame:
         exact = table.join(clauses.where(~F.col("is_prefix_tok")),
                            (table["package"] == F.col("c_package")) & (table["term"] == F.col("token")))
+        if vocab is not None:
+            return exact.where(col_ok)
         prefix = table.join(clauses.where(F.col("is_prefix_tok")),
                             (table["package"] == F.col("c_package")) & F.startswith(table["term"], F.col("token")))
         return exact.unionByName(prefix).where(col_ok)
@@ -97,7 +110,7 @@ def boolean_filter(instances: DataFrame, meta: DataFrame, small: bool | None = N
 
 def match_documents(postings: DataFrame, clause_df: DataFrame, req_pk: DataFrame,
                     meta: DataFrame, stem: bool = False, terms: DataFrame | None = None,
-                    small: bool | None = None) -> DataFrame:
+                    small: bool | None = None, vocab: DataFrame | None = None) -> DataFrame:
     """E1-E11 end to end: matching ``(request_id, package_pos, package, id, title_hit)``.
 
     ``small`` says whether the request-derived tables are proven small enough
@@ -105,7 +118,7 @@ def match_documents(postings: DataFrame, clause_df: DataFrame, req_pk: DataFrame
     ct = clause_tokens(clause_df, stem)
     valid = meta.where("valid").select("request_id")
     ctp = ct.join(valid, "request_id", "left_semi").join(req_pk, "request_id")
-    return boolean_filter(phrase_instances(postings, ctp, terms, small), meta, small)
+    return boolean_filter(phrase_instances(postings, ctp, terms, small, vocab), meta, small)
 
 
 def trigrams(text: Column) -> Column:

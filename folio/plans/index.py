@@ -6,7 +6,8 @@ An index is a set of parquet tables in a folder:
   sorted by ``term`` inside each file, so a term lookup prunes partitions and
   row groups (min/max statistics);
 * ``terms/`` ``(package, id, col, term)``: each distinct term of a column once,
-  for single-word clauses;
+  for single-word clauses; ``vocab/`` ``(package, term, docs)`` for prefix
+  expansion;
 * ``docs/`` ``(package, id, ref, type, title, doc)`` partitioned by ``package``
   (bodies are stored once; postings refer to them by id);
 * ``titles/`` ``(package, id, ititle, ref, type)`` for autocomplete and
@@ -33,6 +34,10 @@ from folio.operators.match import title_trigrams
 from folio.session import checkpoint_dir
 
 
+def spark_of(df: DataFrame) -> SparkSession:
+    return df.sparkSession
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/folio-{name}-{uuid.uuid4().hex[:12]}"
@@ -52,6 +57,12 @@ def build_search_index(docs: DataFrame, path: str, packages: DataFrame | None =
         w = laid.write.mode("overwrite")
         (w.partitionBy("package") if partitioned else w).parquet(f"{path}/{name}")
     arrays.unpersist()
+    # Per-package vocabulary (C5 per package) from the written terms table:
+    # expands prefix clauses without touching the postings.
+    vocab = (spark_of(docs).read.parquet(f"{path}/terms").groupBy("package", "term")
+             .agg(F.count(F.lit(1)).alias("docs")))
+    vl = vocab.repartitionByRange("package", "term").sortWithinPartitions("package", "term").write.mode("overwrite")
+    (vl.partitionBy("package") if partitioned else vl).parquet(f"{path}/vocab")
     d = docs.select("package", "id", "ref", "type", "title", "doc")
     (d.repartitionByRange("package", "id").sortWithinPartitions("package", "id")
      .write.mode("overwrite").partitionBy("package").parquet(f"{path}/docs"))

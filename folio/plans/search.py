@@ -64,7 +64,8 @@ def top_per_package(ranked: DataFrame, k: int, order: list) -> DataFrame:
 
 
 def search(requests: DataFrame, docs: DataFrame, postings: DataFrame, stem: bool = False,
-           k: int = SEARCH_HITS_PER_PACKAGE, terms: DataFrame | None = None) -> DataFrame:
+           k: int = SEARCH_HITS_PER_PACKAGE, terms: DataFrame | None = None,
+           vocab: DataFrame | None = None) -> DataFrame:
     """``(request_id, result_pos, package_pos, package, id, ref, type, title,
     base_rank, boost, rank)`` ordered per request by final rank (stable over
     package order and per-package rank)."""
@@ -72,8 +73,8 @@ def search(requests: DataFrame, docs: DataFrame, postings: DataFrame, stem: bool
     meta = request_meta(requests, c)
     rp = request_packages(requests)
     small, pk = batch_profile(requests)
-    postings, terms, docs = restrict_packages(pk, postings, terms, docs)
-    matches = base_rank(match_documents(postings, c, rp, meta, stem, terms, small))
+    postings, terms, docs, vocab = restrict_packages(pk, postings, terms, docs, vocab)
+    matches = base_rank(match_documents(postings, c, rp, meta, stem, terms, small, vocab))
     top = top_per_package(matches, k, [F.desc("base_rank"), "id"])
     d = docs.select(F.col("package").alias("d_package"), F.col("id").alias("d_id"), "ref", "type", "title")
     joined = top.join(d, (top["package"] == d["d_package"]) & (top["id"] == d["d_id"]))

@@ -20,12 +20,16 @@ def test_build_is_idempotent_and_matches_on_the_fly(spark):
     first = IX.read_index(spark, path).groupBy("package").count().collect()
     IX.build_search_index(d, path)
     assert sorted(first) == sorted(IX.read_index(spark, path).groupBy("package").count().collect())
-    reqs = R.requests_frame(spark, [(1, "alpha", "p1,p2"), (2, "fun*", "p0"), (3, "beta_1", "p1")])
+    reqs = R.requests_frame(spark, [(1, "alpha", "p1,p2"), (2, "fun*", "p0"), (3, "beta_1", "p1"),
+                                    (4, "gam* -del*", "p0,p2"), (5, "alpha_be*", "p1"), (6, "title:fu*", "p2")])
     on_the_fly = search(reqs, d, A.postings(d), terms=A.term_docs(d))
     indexed = search(reqs, IX.read_index(spark, path, "docs"), IX.read_index(spark, path),
                      terms=IX.read_index(spark, path, "terms"))
     cols = ["request_id", "result_pos", "id", "rank"]
     assert sorted(on_the_fly.select(*cols).collect()) == sorted(indexed.select(*cols).collect())
+    with_vocab = search(reqs, IX.read_index(spark, path, "docs"), IX.read_index(spark, path),
+                        terms=IX.read_index(spark, path, "terms"), vocab=IX.read_index(spark, path, "vocab"))
+    assert sorted(on_the_fly.select(*cols).collect()) == sorted(with_vocab.select(*cols).collect())
     IX.build_title_index(d, path)
     ac1 = autocomplete(reqs, d).select("request_id", "result_pos", "id").collect()
     ac2 = autocomplete(reqs, IX.read_index(spark, path, "docs"), titles=IX.read_index(spark, path, "titles"),
