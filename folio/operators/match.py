@@ -60,18 +60,22 @@ def phrase_instances(postings: DataFrame, ctp: DataFrame, terms: DataFrame | Non
     side = ctp.where(F.col("token").isNotNull()).select(
         "request_id", "package_pos", F.col("package").alias("c_package"), "clause_no", "kind",
         "field_col", "n_tokens", "tok_idx", "token", "is_prefix_tok")
-    side = small_side(side, small)
     keys = ["request_id", "package_pos", "package", "clause_no", "kind", "id", "col"]
     col_ok = F.col("field_col").isNull() | (F.col("col") == F.col("field_col"))
 
     if vocab is not None:
         v = vocab.select(F.col("package").alias("v_package"), F.col("term").alias("v_term"))
-        pre = side.where(F.col("is_prefix_tok"))
+        pre = small_side(side.where(F.col("is_prefix_tok")), small)
         expanded = (v.join(pre, (F.col("v_package") == F.col("c_package"))
                            & F.startswith(F.col("v_term"), F.col("token")))
                     .drop("v_package", "token").withColumnRenamed("v_term", "token")
                     .withColumn("is_prefix_tok", F.lit(False)))
         side = side.where(~F.col("is_prefix_tok")).unionByName(expanded.select(*side.columns))
+        # The expansion grows with the vocabulary, not only with the requests:
+        # its size is counted before it is broadcast.
+        side = small_side(side, None)
+    else:
+        side = small_side(side, small)
 
     def joined(table: DataFrame, clauses: DataFrame) -> DataFrame:
         exact = table.join(clauses.where(~F.col("is_prefix_tok")),
