@@ -20,13 +20,13 @@ AUTOCOMPLETE_HITS_PER_PACKAGE = 3
 MAX_PRUNE_PACKAGES = 10_000
 
 
-def batch_profile(requests: DataFrame) -> tuple[bool, list[str] | None]:
+def batch_profile(requests: DataFrame) -> tuple[bool, list[str] | None, bool]:
     """Two small jobs per batch: a proven upper bound on every request-derived
     table (a clause token needs at least one character of ``q``, so tokens <=
     (chars + 1) x packages) and the distinct packages asked for.
 
     Returns (small enough to broadcast, package list for partition pruning or
-    None when there are too many)."""
+    None when there are too many, whether any request has a '*')."""
     from folio.session import BROADCAST_ROW_LIMIT
 
     rp = request_packages(requests)
@@ -35,10 +35,11 @@ def batch_profile(requests: DataFrame) -> tuple[bool, list[str] | None]:
         .join(n_pk, "request_id", "left")
     row = per_req.agg(F.sum(F.col("n_ch") * (F.coalesce("n_pk", F.lit(0)) + 1)).alias("bound"),
                       F.count(F.lit(1)).alias("n_req")).first()
+    has_star = requests.agg(F.max(F.instr(F.coalesce("q", F.lit("")), "*") > 0).alias("s")).first()["s"]
     bound = max(int(row["bound"] or 0), int(row["n_req"] or 0))
     # Distinct packages: a partially aggregated set, at most the number of packages.
     pk = list(rp.agg(F.slice(F.collect_set("package"), 1, MAX_PRUNE_PACKAGES + 1).alias("pk")).first()["pk"] or [])
-    return bound <= BROADCAST_ROW_LIMIT, (pk if len(pk) <= MAX_PRUNE_PACKAGES else None)
+    return bound <= BROADCAST_ROW_LIMIT, (pk if len(pk) <= MAX_PRUNE_PACKAGES else None), bool(has_star)
 
 
 def restrict_packages(packages: list[str] | None, *tables: DataFrame | None) -> list[DataFrame | None]:
@@ -72,7 +73,8 @@ def search(requests: DataFrame, docs: DataFrame, postings: DataFrame, stem: bool
     c = clauses(requests)
     meta = request_meta(requests, c)
     rp = request_packages(requests)
-    small, pk = batch_profile(requests)
+    small, pk, has_star = batch_profile(requests)
+    vocab = vocab if has_star else None  # prefix expansion only when a request has a prefix
     postings, terms, docs, vocab = restrict_packages(pk, postings, terms, docs, vocab)
     matches = base_rank(match_documents(postings, c, rp, meta, stem, terms, small, vocab))
     top = top_per_package(matches, k, [F.desc("base_rank"), "id"])
@@ -94,7 +96,7 @@ def autocomplete(requests: DataFrame, docs: DataFrame, k: int = AUTOCOMPLETE_HIT
     c = clauses(requests)
     meta = request_meta(requests, c, allowed_fields=("title",))
     rp = request_packages(requests)
-    small, pk = batch_profile(requests)
+    small, pk, _ = batch_profile(requests)
     titles, tri_index, docs = restrict_packages(pk, titles, tri_index, docs)
     titles = titles if titles is not None else indexable(docs, glue)
     matches = substring_matches(titles, c, rp, meta, tri_index=tri_index, small=small)
