@@ -67,8 +67,10 @@ def has_map(t: T.DataType) -> bool:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder name below the shared checkpoint folder (``spark.checkpoint.dir``)."""
+    local = checkpoint_dir(spark)
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or local
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def mounted(path: str) -> str:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import simhash
+from folio.llm import decontam, langid, licenses, lm, packing, quality, quality_rules, simhash, sql, substring_dedup
 from folio.llm.common import table
+from folio.llm.line_dedup import LineIndex
 from folio.llm.registry import ORACLE, QUERIES, query
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -16,3 +18,73 @@ __all__ = ["ORACLE", "QUERIES"]
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
     return out.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op9_decontaminate", sql.OP9)
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op10_line_dedup", sql.OP10)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = LineIndex.create(spark).insert(docs).dedup(docs, counts=("n_lines", "n_dropped"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def held_out(id_col: str, folds: int, fold: int) -> Column:
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(~held_out("doc_id", 4, 2)))
+    out = docs.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
+
+
+@query("op3_pack")
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = langid.profiles(docs.where(~held_out("doc_id", 3, 1)))
+    out = docs.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), langid.predict(F.col("text"), known).alias("p"))
+    return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring_dedup.dedup(docs)
+    return out.select("doc_id", "text", F.coalesce(F.size("removed_sentences"), F.lit(0)).cast("bigint").alias("n_removed"),
+                      "removed_sentences")
+
+
+@query("op2_quality_rules", sql.OP2)
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules(table(spark, sf_dir, "documents")).drop("clean_text")
+
+
+@query("op4_licenses", sql.op4(licenses.NOTICES))
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notices = spark.createDataFrame(licenses.NOTICES, "license string, notice string")
+    out = licenses.scan(table(spark, sf_dir, "documents"), notices)
+    return out.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"),
+                      F.array_join("licenses", ",").alias("licenses"))
+
+
+@query("op7_lm_score")
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = lm.train(docs.where(~held_out("doc_id", 5, 1)))
+    return lm.score(docs, model).select(
+        "doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity")
