@@ -85,7 +85,7 @@ def op4(notices: list[tuple[str, str]]) -> str:
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
     return rf"""
 WITH n AS (SELECT row_number() OVER () AS nid, license, {words.format('notice')} AS w FROM (VALUES {rows}) v(license, notice)),
-ns AS (SELECT nid, license, len(w) - 2 AS n, list_distinct(list_transform(range(1, len(w) - 1), i -> list_slice(w, i, i + 2))) AS own FROM n),
+ns AS (SELECT nid, license, len(w) - 2 AS n, list_distinct(list_transform(range(1, len(w) - 1), lambda i: list_slice(w, i, i + 2))) AS own FROM n),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {words.format('text')} AS w FROM documents),
 s AS (SELECT rid, w, i - 1 AS pos, list_slice(w, i, i + 2) AS sh, greatest(len(w) - 2, 1) AS size
       FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
