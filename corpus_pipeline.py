@@ -7,12 +7,35 @@ but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folio.llm import simhash
-from folio.llm.common import shared_folder, table
+from folio.llm import decontam, packing, quality, simhash
+from folio.llm.common import col, fresh, shared_folder, table
+from folio.llm.line_dedup import LineIndex
 from folio.session import ship_package
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the classifier's cut go; it learns from the ``labels`` of ``docs``."""
+    ship_package(spark)
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a smaller document has too go from the texts; ``n_chars`` follows where a text changed.
+    A document that loses all lines stays, with an empty text."""
+    ship_package(spark)
+    lines, dropped = fresh(docs, "n_lines", "n_dropped")
+    out = LineIndex.create(spark).insert(docs).dedup(docs, counts=(lines, dropped))
+    if "n_chars" in docs.columns:
+        now = F.when(col(out, dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.coalesce(now, F.col("n_chars")))
+    return out.drop(lines, dropped)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
@@ -20,8 +43,23 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one_per_group(docs, shingle=3, max_bits=3)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share ten words in a row (or a whole shorter item) with ``benchmark`` go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, placed in sequences of 1024 tokens."""
+    ship_package(spark)
+    return packing.pack(docs, TOKENIZER)
+
+
 STAGES = [
+    ("quality_filter", quality_filter),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
 ]
 
 #: Fingerprints, trees and packing are not SQL; the stages are tested against brute force.
