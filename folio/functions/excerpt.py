@@ -1,4 +1,4 @@
-"""Highlighted excerpt of a document body (B6), applied only to result rows.
+"""Highlighted excerpt of a document body (B6) as Column expressions, for result rows only.
 
 Rules (windows of ``n`` tokens):
 
@@ -16,245 +16,97 @@ Rules (windows of ``n`` tokens):
 5. The original text between tokens is kept; overlapping hits share one
    ``<em>``; ``...`` marks a cut head or tail.
 
-Per-row Python is the right tool here: it runs on at most k rows per request
-and package, after the top-k cut, inside Arrow batches.
+A body is its tokens and the text between them, two arrays; an excerpt is put
+together from slices of both.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections import OrderedDict
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-import pandas as pd
-import regex
-from pyspark.sql import Column
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from folio.functions.porter import stem_tokens
+from folio.functions.text import MARKS, TOKEN_PATTERN, fold
 
-from folio.functions.text import FOLD_FROM, FOLD_TO, TOKEN_PATTERN
+#: A token as it stands in the text: marks that ``fold`` drops may follow its first letter.
+RAW_TOKEN = TOKEN_PATTERN[:-1] + "[" + TOKEN_PATTERN[1:-2] + MARKS + "]*"
+OPEN, CLOSE, CUT = "<em>", "</em>", "..."
 
-_TOKEN = regex.compile(TOKEN_PATTERN)
-_FOLD = str.maketrans(FOLD_FROM, FOLD_TO)
-_SPACE = " \t\n\r"
 
+def _hits(tokens: str, phrases: str) -> Column:
+    """(o, p, k): place, phrase number and size of every hit, in order."""
+    def of(phrase: Column, p: Column) -> Column:
+        want, k = phrase["tokens"], F.size(phrase["tokens"])
+        head = F.when(phrase["is_prefix"], k - 1).otherwise(k)
+        fits = lambda o: ((F.slice(F.col(tokens), o + 1, head) == F.slice(want, 1, head))
+                          & (~phrase["is_prefix"] | F.startswith(F.get(F.col(tokens), o + k - 1), F.get(want, k - 1))))
+        places = F.when((k > 0) & (F.size(tokens) >= k), F.sequence(F.lit(0), F.size(tokens) - k))
+        return F.transform(F.filter(places, fits), lambda o: F.struct(o.alias("o"), p.alias("p"), k.alias("k")))
 
-def tokenize(text: str, stem: bool = False) -> list[tuple[str, int, int]]:
-    out = []
-    for m in _TOKEN.finditer(text):
-        t = m.group(0).lower().translate(_FOLD)
-        out.append((t, m.start(), m.end()))
-    if stem:
-        from folio.functions.porter import stem as _stem
-        out = [(_stem(t), s, e) for t, s, e in out]
-    return out
+    found = F.filter(F.transform(phrases, of), lambda x: x.isNotNull())
+    return F.sort_array(F.flatten(found))
 
 
-def sentence_starts(text: str, toks) -> list[int]:
-    starts = []
-    for i, (_, s, _e) in enumerate(toks):
-        if i == 0:
-            starts.append(0)
-            continue
-        j = s - 1
-        while j >= 0 and text[j] in _SPACE:
-            j -= 1
-        if j != s - 1 and j >= 0 and text[j] in ".:":
-            starts.append(i)
-    return starts
+def _window(start: Column, n: int) -> Column:
+    """(score, start re-centred on the hits) of the window from ``start``."""
+    inside = F.filter("hits", lambda h: (h["o"] >= start) & (h["o"] < start + n))
 
+    def of(h: Column) -> Column:
+        kinds = F.size(F.array_distinct(F.transform(h, lambda x: x["p"])))
+        last = F.try_element_at(h, F.lit(-1))
+        around = ((F.lit(n) - (last["o"] + last["k"] - F.get(h, 0)["o"])) / 2).cast("int")
+        centred = F.greatest(F.least(F.get(h, 0)["o"] - around, F.size("tokens") - n), F.lit(0))
+        return F.struct((1000 * kinds + F.size(h) - kinds).alias("score"), centred.alias("start"))
 
-def _positions(terms) -> dict[str, list[int]]:
-    pos: dict[str, list[int]] = {}
-    for i, t in enumerate(terms):
-        pos.setdefault(t, []).append(i)
-    return pos
+    return F.get(F.transform(F.array(inside), of), 0)
 
 
-def instances(toks, phrases, positions=None) -> list[tuple[int, int, int]]:
-    """(position, phrase index, phrase size) sorted by position then phrase."""
-    terms = [t for t, _, _ in toks]
-    positions = positions if positions is not None else _positions(terms)
-    n = len(terms)
-    out = []
-    for pi, (ptoks, prefix) in enumerate(phrases):
-        k = len(ptoks)
-        if k == 0:
-            continue
-        if prefix and k == 1:
-            starts = sorted(i for t, ps in positions.items() if t.startswith(ptoks[0]) for i in ps)
-        else:
-            starts = positions.get(ptoks[0], [])
-        for o in starts:
-            if o + k > n:
-                continue
-            ok = True
-            for j in range(1, k):
-                t = terms[o + j]
-                pt = ptoks[j]
-                if (prefix and j == k - 1 and not t.startswith(pt)) or \
-                        (not (prefix and j == k - 1) and t != pt):
-                    ok = False
-                    break
-            if ok:
-                out.append((o, pi, k))
-    out.sort()
-    return out
+def excerpts(rows: DataFrame, doc_col: str = "doc", phrases_col: str = "phrases", out: str = "excerpt", n: int = 20,
+             stem: bool = False) -> DataFrame:
+    """``rows`` with the excerpt of ``doc_col`` for ``phrases_col`` (array<struct<tokens, is_prefix>>) as ``out``.
 
-
-def _score(inst, offsets, n_phr, size, start, n):
-    """Score of the window [start, start + n) using the sorted hit offsets."""
-    lo = bisect_left(offsets, start)
-    hi = bisect_left(offsets, start + n)
-    seen = set()
-    score, first, last = 0, -1, 0
-    for o, p, k in inst[lo:hi]:
-        score += 1 if p in seen else 1000
-        seen.add(p)
-        if first < 0:
-            first = o
-        last = o + k
-    adj = first - int((n - (last - first)) / 2)
-    if adj + n > size:
-        adj = size - n
-    return score, max(adj, 0)
-
-
-def best_start(text, toks, inst, n_phr, n, firsts=None) -> int:
-    """Start of the best window (rule 3), in one sliding pass over the hits.
-
-    The window starting at each hit is scored with two pointers and per-phrase
-    counts; sentence-start windows are scored once per sentence. Candidates are
-    visited in the same order as a direct scan, so ties resolve the same way.
+    A null body gives null; null phrases, no hits.
     """
-    size = len(toks)
-    best, best_start_ = 0, 0
-    firsts = sentence_starts(text, toks) if firsts is None else firsts
-    offsets = [o for o, _p, _k in inst]
-    counts = [0] * n_phr
-    distinct, hi = 0, 0
-    sent_score: dict[int, int] = {}
-    for lo, (o, _p, _k) in enumerate(inst):
-        while hi < len(inst) and offsets[hi] < o + n:
-            p = inst[hi][1]
-            counts[p] += 1
-            distinct += counts[p] == 1
-            hi += 1
-        sc = 1000 * distinct + (hi - lo - distinct)
-        last_o, _lp, last_k = inst[hi - 1]
-        adj = o - int((n - (last_o + last_k - o)) / 2)
-        if adj + n > size:
-            adj = size - n
-        adj = max(adj, 0)
-        if sc > best:
-            best, best_start_ = sc, adj
-        if firsts and size > n:
-            jj = max(bisect_right(firsts, o) - 1, 0)
-            f = firsts[jj]
-            if f < o:
-                if f not in sent_score:
-                    sent_score[f] = _score(inst, offsets, n_phr, size, f, n)[0] + (120 if f == 0 else 100)
-                if sent_score[f] > best:
-                    best, best_start_ = sent_score[f], f
-        # slide: drop the hit at lo before moving on
-        p = inst[lo][1]
-        counts[p] -= 1
-        distinct -= counts[p] == 0
-    return best_start_
-
-
-def _ranges(inst):
-    """Merge overlapping hits into (start, end) token ranges."""
-    out = []
-    for o, _p, k in inst:
-        end = o + k - 1
-        if out and o <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([o, end])
-    return out
-
-
-class _DocCache:
-    """Per-worker cache of analysed bodies: the same document is excerpted for
-    many requests of a batch, so it is tokenised once."""
-
-    def __init__(self, size: int = 2048):
-        self.size, self.data = size, OrderedDict()
-
-    def get(self, key, text, stem):
-        hit = self.data.get(key)
-        if hit is not None and hit[0] is text or (hit is not None and hit[0] == text):
-            self.data.move_to_end(key)
-            return hit[1]
-        toks = tokenize(text, stem)
-        val = (toks, _positions([t for t, _, _ in toks]), sentence_starts(text, toks))
-        self.data[key] = (text, val)
-        if len(self.data) > self.size:
-            self.data.popitem(last=False)
-        return val
-
-
-_CACHE = _DocCache()
-
-
-def snippet(text: str | None, phrases, n: int = 20, open_: str = "<em>", close: str = "</em>",
-            ellipsis: str = "...", stem: bool = False, key=None) -> str | None:
-    """The excerpt of ``text`` for ``phrases`` = [(tokens, is_prefix), ...]."""
-    if text is None:
-        return None
-    if key is None:
-        toks = tokenize(text, stem)
-        positions, firsts = _positions([t for t, _, _ in toks]), None
-    else:
-        toks, positions, firsts = _CACHE.get((key, stem), text, stem)
-    inst = instances(toks, phrases, positions)
-    start = best_start(text, toks, inst, len(phrases), n, firsts) if inst else 0
-    end = start + n - 1
-    ranges = [r for r in _ranges(inst) if r[0] >= start]
-    out = [ellipsis] if start > 0 else []
-    off, is_open, ri = 0, False, 0
-    for pos in range(start, min(end, len(toks) - 1) + 1):
-        _t, s, e = toks[pos]
-        if start and pos == start:
-            off = s
-        cur = ranges[ri] if ri < len(ranges) else None
-        if cur is not None and pos == cur[0]:
-            out.append(text[off:s])
-            out.append(open_)
-            off, is_open = s, True
-        if cur is not None and pos == cur[1]:
-            out.append(text[off:e])
-            out.append(close)
-            off, is_open = e, False
-            ri += 1
-        if pos == end:
-            if is_open:
-                out.append(text[off:e])
-                out.append(close)
-                off, is_open = e, False
-            out.append(text[off:e])
-            off = e
-    if end >= len(toks) - 1:
-        out.append(text[off:])
-    else:
-        out.append(ellipsis)
-    return "".join(out)
-
-
-PHRASES = T.ArrayType(T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())),
-                                    T.StructField("is_prefix", T.BooleanType())]))
-
-
-def excerpt_column(doc: Column, phrases: Column, key: Column, stem: bool = False, n: int = 20) -> Column:
-    """Arrow-batched excerpt of ``doc`` for ``phrases`` (array<struct<tokens, is_prefix>>);
-    ``key`` identifies the document (analysed bodies are cached by it)."""
-
-    @pandas_udf(T.StringType())
-    def _ex(docs: pd.Series, phr: pd.Series, keys: pd.Series) -> pd.Series:
-        res = []
-        for d, ps, k in zip(docs, phr, keys):
-            plist = [] if ps is None else [(list(p["tokens"]), bool(p["is_prefix"])) for p in ps]
-            res.append(snippet(d, plist, n=n, stem=stem, key=k))
-        return pd.Series(res, dtype=object)
-
-    return _ex(doc, phrases, key)
+    names = rows.columns
+    text = F.col(doc_col)
+    raw = F.regexp_extract_all(text, F.lit(RAW_TOKEN), F.lit(0))
+    folded = F.transform(raw, fold)
+    none = F.array().cast("array<struct<tokens:array<string>,is_prefix:boolean>>")
+    df = rows.withColumns({"raw": raw, "tokens": stem_tokens(folded) if stem else folded,
+                           "between": F.split(text, RAW_TOKEN, -1), "asked": F.coalesce(F.col(phrases_col), none)})
+    df = df.withColumn("hits", _hits("tokens", "asked"))
+    df = df.withColumn("firsts", F.filter(F.sequence(F.lit(0), F.size("tokens")), lambda i: (i == 0) | F.get(
+        "between", i).rlike(r"[.:][ \t\n\r]+$")))
+    sentence = lambda o: F.array_max(F.filter("firsts", lambda f: f <= o))
+
+    def candidates(h: Column) -> Column:
+        def earlier(f: Column) -> Column:
+            bonus = F.when(f == 0, 120).otherwise(100)
+            return F.when((f < h["o"]) & (F.size("tokens") > n),
+                          F.struct((_window(f, n)["score"] + bonus).alias("score"), f.alias("start")))
+        return F.array(_window(h["o"], n), F.get(F.transform(F.array(sentence(h["o"])), earlier), 0))
+
+    df = df.withColumn("windows", F.array_compact(F.flatten(F.transform("hits", candidates))))
+    df = df.withColumn("best", F.array_max(F.transform("windows", lambda w: w["score"])))
+    first = F.get(F.filter("windows", lambda w: w["score"] == F.col("best")), 0)["start"]
+    df = df.withColumn("start", F.coalesce(first, F.lit(0)))
+    df = df.withColumn("stop", F.col("start") + n - 1)
+    grown = F.aggregate("hits", F.array().cast("array<struct<s:int,e:int>>"), lambda acc, h: F.when(
+        (F.size(acc) > 0) & (h["o"] <= F.try_element_at(acc, F.lit(-1))["e"]),
+        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
+            F.try_element_at(acc, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(acc, F.lit(-1))["e"], h["o"] + h["k"] - 1).alias("e"))))
+    ).otherwise(F.concat(acc, F.array(F.struct(h["o"].cast("int").alias("s"), (h["o"] + h["k"] - 1).cast("int").alias("e"))))))
+    df = df.withColumn("marked", F.filter(grown, lambda r: r["s"] >= F.col("start")))
+    start, stop = F.col("start"), F.col("stop")
+
+    def shown(i: Column) -> Column:
+        opens = F.exists("marked", lambda r: r["s"] == i)
+        closes = F.exists("marked", lambda r: (r["e"] == i) | ((i == stop) & (r["s"] <= i) & (r["e"] > i)))
+        return F.concat(F.when((i > start) | (start == 0), F.get("between", i)).otherwise(""),
+                        F.when(opens, OPEN).otherwise(""), F.get("raw", i), F.when(closes, CLOSE).otherwise(""))
+
+    last = F.size("tokens") - 1
+    body = F.array_join(F.transform(F.sequence(start, F.least(stop, last)), shown), "")
+    whole = F.concat(F.when(start > 0, CUT).otherwise(""), body,
+                     F.when(stop >= last, F.get("between", last + 1)).otherwise(CUT))
+    return df.select(*names, F.when(last < 0, text).otherwise(whole).alias(out))

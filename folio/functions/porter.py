@@ -1,25 +1,22 @@
-"""Porter (1980) suffix stripping, as an Arrow-batched Spark function.
+"""Porter (1980) suffix stripping as Column expressions.
 
 The algorithm follows M. F. Porter, "An algorithm for suffix stripping",
 Program 14(3), 1980, with the two well-known revisions of the author's own
 distribution (``bli -> ble``, ``logi -> log`` in step 2). Tokens whose UTF-8
-form is shorter than 3 or longer than 64 bytes are left alone, and the rules
-run on the UTF-8 bytes (non-ASCII bytes count as consonants), which is how a
-byte-oriented full-text tokenizer applies them.
+form is shorter than 3 or longer than 64 bytes are left alone; letters outside
+ASCII count as consonants.
 
-``stem_tokens`` maps an ``array<string>`` column; each distinct token is
-stemmed once per Python worker (memoised), so repeated words cost a lookup.
+Each step is one ``transform`` over an array of tokens, so a step's result is
+computed once however often its rules look at it. A corpus is never stemmed by
+occurrence: ``stems`` maps its distinct terms, and they are joined back.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 MIN_BYTES, MAX_BYTES = 3, 64
 
@@ -34,139 +31,98 @@ STEP3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ica
 STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou",
          "ism", "ate", "iti", "ous", "ive", "ize"]
 
+# A y is a vowel after a consonant: a run of consonants may start with one, a run of vowels too.
+_C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+M_OVER_0 = f"^({_C})?{_V}{_C}"
+M_IS_1 = f"^({_C})?{_V}{_C}({_V})?$"
+M_OVER_1 = f"^({_C})?{_V}{_C}{_V}{_C}"
+HAS_VOWEL = f"^({_C})?[aeiouy]"
+SHORT = f"^{_C}[aeiouy][\\x00-\\x7f&&[^aeiouwxy]]$"  # consonant, vowel, consonant, where m is 1
+DOUBLE = r"([\x00-\x7f&&[^aeiouylsz]])\1$"
 
-def _cons(w: str, i: int) -> bool:
-    c = w[i]
-    if c in "aeiou":
-        return False
-    if c == "y":
-        return i == 0 or not _cons(w, i - 1)
-    return True
-
-
-def _measure(stem: str) -> int:
-    """Number of VC sequences in [C](VC)^m[V]."""
-    m, i, n = 0, 0, len(stem)
-    while i < n and _cons(stem, i):
-        i += 1
-    while i < n:
-        while i < n and not _cons(stem, i):
-            i += 1
-        if i >= n:
-            break
-        while i < n and _cons(stem, i):
-            i += 1
-        m += 1
-    return m
-
-
-def _has_vowel(stem: str) -> bool:
-    return any(not _cons(stem, i) for i in range(len(stem)))
-
-
-def _double_cons(w: str) -> bool:
-    return len(w) >= 2 and w[-1] == w[-2] and _cons(w, len(w) - 1)
-
-
-def _cvc(w: str) -> bool:
-    if len(w) < 3:
-        return False
-    n = len(w)
-    return (_cons(w, n - 3) and not _cons(w, n - 2) and _cons(w, n - 1)
-            and w[-1] not in "wxy")
-
-
-def _replace(w: str, rules, min_m: int) -> str:
-    for suf, rep in rules:
-        if w.endswith(suf):
-            stem = w[: len(w) - len(suf)]
-            return stem + rep if _measure(stem) > min_m else w
-    return w
-
-
-def _step1(w: str) -> str:
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("ss"):
-        pass
-    elif w.endswith("s"):
-        w = w[:-1]
-    again = False
-    if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-    elif w.endswith("ed") and _has_vowel(w[:-2]):
-        w, again = w[:-2], True
-    elif w.endswith("ing") and _has_vowel(w[:-3]):
-        w, again = w[:-3], True
-    if again:
-        if w.endswith(("at", "bl", "iz")):
-            w += "e"
-        elif _double_cons(w) and w[-1] not in "lsz":
-            w = w[:-1]
-        elif _measure(w) == 1 and _cvc(w):
-            w += "e"
-    if w.endswith("y") and _has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    return w
-
-
-def _step5(w: str) -> str:
-    if w.endswith("e"):
-        stem = w[:-1]
-        m = _measure(stem)
-        if m > 1 or (m == 1 and not _cvc(stem)):
-            w = stem
-    if _measure(w) > 1 and _double_cons(w) and w.endswith("l"):
-        w = w[:-1]
-    return w
-
-
-def _longest_first(rules):
-    # A word can end with several suffixes of a step; the longest one applies.
-    return sorted(rules, key=lambda r: -len(r[0] if isinstance(r, tuple) else r))
-
-
-_STEP2, _STEP3, _STEP4 = _longest_first(STEP2), _longest_first(STEP3), _longest_first(STEP4)
-
-
-@lru_cache(maxsize=1 << 18)
-def stem(token: str) -> str:
-    """Porter stem of one lower-case token."""
-    raw = token.encode("utf-8")
-    if len(raw) < MIN_BYTES or len(raw) > MAX_BYTES:
-        return token
-    w = raw.decode("latin-1")
-    w = _step1(w)
-    w = _replace(w, _STEP2, 0)
-    w = _replace(w, _STEP3, 0)
-    w = _step4(w)
-    w = _step5(w)
-    return w.encode("latin-1").decode("utf-8", errors="ignore")
-
-
-def _step4(w: str) -> str:
-    for suf in _STEP4:
-        if w.endswith(suf):
-            stem_ = w[: len(w) - len(suf)]
-            if suf == "ion" and not stem_.endswith(("s", "t")):
-                return w
-            return stem_ if _measure(stem_) > 1 else w
-    return w
-
-
-@pandas_udf(T.ArrayType(T.StringType()))
-def _stem_arrays(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda ts: None if ts is None else [stem(t) for t in ts])
-
-
-def stem_tokens(col: Column) -> Column:
-    """Stem every token of an ``array<string>`` column (Arrow batches)."""
-    return _stem_arrays(col)
-
-
-def stem_column(col: Column) -> Column:
-    """Stem a single-token string column."""
-    return F.get(_stem_arrays(F.array(col)), 0)
+
+def _cut(w: Column, n: int) -> Column:
+    return F.substring(w, F.lit(1), F.length(w) - n)
+
+
+def _first(w: Column, rules: list[tuple[str, Callable[[Column], Column]]]) -> Column:
+    """The rule of the longest suffix that ``w`` has decides, whether or not it changes ``w``."""
+    out = w
+    for suffix, rule in sorted(rules, key=lambda r: len(r[0])):
+        out = F.when(w.endswith(suffix), rule(_cut(w, len(suffix)))).otherwise(out)
+    return out
+
+
+def _swap(w: Column, test: str, rep: str) -> Callable[[Column], Column]:
+    return lambda stem: F.when(stem.rlike(test), F.concat(stem, F.lit(rep))).otherwise(w)
+
+
+def _plural(w: Column) -> Column:
+    return _first(w, [("sses", lambda s: F.concat(s, F.lit("ss"))), ("ies", lambda s: F.concat(s, F.lit("i"))),
+                      ("ss", lambda s: w), ("s", lambda s: s)])
+
+
+def _past(w: Column) -> Column:
+    """Step 1b; a stem that lost ``ed`` or ``ing`` is marked by a leading ``#`` for the next step."""
+    mark = lambda s: F.when(s.rlike(HAS_VOWEL), F.concat(F.lit("#"), s)).otherwise(w)
+    return _first(w, [("eed", _swap(w, M_OVER_0, "ee")), ("ed", mark), ("ing", mark)])
+
+
+def _mend(w: Column) -> Column:
+    s = F.substring(w, F.lit(2), F.length(w))
+    fixed = (F.when(s.rlike("(at|bl|iz)$"), F.concat(s, F.lit("e")))
+             .when(s.rlike(DOUBLE), _cut(s, 1))
+             .when(s.rlike(SHORT), F.concat(s, F.lit("e"))).otherwise(s))
+    return F.when(w.startswith("#"), fixed).otherwise(w)
+
+
+def _final_y(w: Column) -> Column:
+    return _first(w, [("y", _swap(w, HAS_VOWEL, "i"))])
+
+
+def _step2(w: Column) -> Column:
+    return _first(w, [(s, _swap(w, M_OVER_0, r)) for s, r in STEP2])
+
+
+def _step3(w: Column) -> Column:
+    return _first(w, [(s, _swap(w, M_OVER_0, r)) for s, r in STEP3])
+
+
+def _step4(w: Column) -> Column:
+    ion = lambda s: F.when(s.rlike("[st]$") & s.rlike(M_OVER_1), s).otherwise(w)
+    return _first(w, [(s, ion if s == "ion" else _swap(w, M_OVER_1, "")) for s in STEP4])
+
+
+def _final_e(w: Column) -> Column:
+    return _first(w, [("e", lambda s: F.when(s.rlike(M_OVER_1) | (s.rlike(M_IS_1) & ~s.rlike(SHORT)), s).otherwise(w))])
+
+
+def _final_l(w: Column) -> Column:
+    return F.when(w.endswith("ll") & w.rlike(M_OVER_1), _cut(w, 1)).otherwise(w)
+
+
+def stem_tokens(tokens: Column) -> Column:
+    """Stem every token of an ``array<string>`` column (lower-case tokens without a ``#``): for
+    request-sized and result-sized columns; a corpus goes through ``stems``."""
+    out = tokens
+    for step in (_plural, _past, _mend, _final_y, _step2, _step3, _step4, _final_e, _final_l):
+        out = F.transform(out, step)
+    fits = lambda w: F.octet_length(w).between(MIN_BYTES, MAX_BYTES)
+    return F.zip_with(tokens, out, lambda w, s: F.when(fits(w), s).otherwise(w))
+
+
+def stem_column(token: Column) -> Column:
+    return F.get(stem_tokens(F.array(token)), 0)
+
+
+def stems(terms: DataFrame) -> DataFrame:
+    """``(term, stem)`` for the distinct values of ``terms(term)``."""
+    return terms.select("term").distinct().withColumn("stem", stem_column(F.col("term")))
+
+
+def stemmed(rows: DataFrame) -> DataFrame:
+    """``rows`` with a column ``term``, stemmed: each distinct term once, joined back (a join whose hot terms
+    Spark splits)."""
+    s = stems(rows).withColumnRenamed("term", "_term")
+    return rows.join(s, rows["term"] == s["_term"]).select(
+        *[F.col("stem").alias("term") if c == "term" else rows[c] for c in rows.columns])

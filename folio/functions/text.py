@@ -19,33 +19,31 @@ WORD_PATTERN = r"[\p{L}\p{N}]+"
 
 
 def _fold_table() -> tuple[str, str]:
-    """Latin letters with a canonical decomposition -> their base letter.
+    """Latin letters that are an ASCII letter with one mark -> that letter; then the marks themselves,
+    which have no counterpart and so are dropped where they stand alone after a letter.
 
-    Built from a rule (NFD, keep the ASCII base when everything after it is a
-    combining mark) over Latin-1 Supplement, Latin Extended-A/B and Latin
-    Extended Additional. Letters without such a decomposition (ß, æ, ø, ł)
-    stay as they are.
+    Built from a rule (NFD) over Latin-1 Supplement, Latin Extended-A/B and
+    Latin Extended Additional. Letters with two marks and letters without a
+    decomposition (ß, æ, ø, ł) stay as they are; a long s is an s.
     """
-    src, dst = [], []
+    src, dst, marks = [], [], set()
     ranges = [(0x00C0, 0x024F), (0x1E00, 0x1EFF)]
     for lo, hi in ranges:
         for cp in range(lo, hi + 1):
-            ch = chr(cp)
-            nfd = unicodedata.normalize("NFD", ch)
-            if len(nfd) < 2:
-                continue
-            base, marks = nfd[0], nfd[1:]
-            if base.isascii() and base.isalpha() and all(unicodedata.combining(m) for m in marks):
-                src.append(ch)
-                dst.append(base)
-    return "".join(src), "".join(dst)
+            nfd = unicodedata.normalize("NFD", chr(cp)).replace("\u017f", "s")
+            if len(nfd) == 2 and nfd[0].isascii() and nfd[0].isalpha() and unicodedata.combining(nfd[1]):
+                src.append(chr(cp))
+                dst.append(nfd[0])
+                marks.add(nfd[1])
+    return "".join(src) + "\u017f" + "".join(sorted(marks)), "".join(dst) + "s"
 
 
 FOLD_FROM, FOLD_TO = _fold_table()
+MARKS = FOLD_FROM[len(FOLD_TO):]
 
 
 def fold(col: Column) -> Column:
-    """Lower-case and strip Latin diacritics (``Café`` -> ``cafe``)."""
+    """Lower-case and strip single Latin diacritics (``Café`` -> ``cafe``)."""
     return F.translate(F.lower(col), FOLD_FROM, FOLD_TO)
 
 

@@ -8,9 +8,12 @@ lineage is cut with a reliable checkpoint every ``checkpoint_every`` levels.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.components import components
 from folio.session import cut_lineage
 
 # Per-degree download floors used to keep neighbours (degree 0..4).
@@ -106,26 +109,69 @@ def nearest_distance(walk: DataFrame) -> DataFrame:
         F.min("distance").alias("distance"), F.min("recent_downloads").alias("recent_downloads"))
 
 
+def by_downloads(group: list[str], name: str) -> Column:
+    """Place within the group, most downloads first, ties by name."""
+    w = Window.partitionBy(*group).orderBy(F.desc("recent_downloads"), name)
+    return F.row_number().over(w).cast("bigint").alias("pos")
+
+
 def degree_floor(neighbours: DataFrame, packages: DataFrame, floors: dict[int, float] | None = None
                  ) -> DataFrame:
-    """Neighbours whose downloads exceed the floor of their degree."""
+    """Neighbours whose downloads exceed the floor of their degree, numbered within (start, degree) from
+    the most downloaded (``pos``, ties by name)."""
     floors = floors or DEGREE_FLOORS
     spark = neighbours.sparkSession
     ft = spark.createDataFrame([(int(k), float(v)) for k, v in floors.items()], "degree bigint, floor double")
     return (neighbours.join(F.broadcast(ft), "degree")
             .join(packages.withColumnRenamed("name", "package"), "package")
             .where(F.col("recent_downloads") > F.col("floor"))
-            .select("start", "degree", "package", "recent_downloads"))
+            .select("start", "degree", "package", "recent_downloads", by_downloads(["start", "degree"], "package")))
 
 
 def separation(edges: DataFrame, pairs: DataFrame, stdlib: list[str] | None = None,
                max_levels: int | None = None) -> DataFrame:
     """Degree of separation for ``pairs(a, b)``: 1 when either is a standard
-    package, 0 for itself, the undirected BFS distance, or -1 when unreachable."""
+    package, 0 for itself, the undirected BFS distance, or -1 when unreachable.
+
+    Component labels settle the unreachable pairs at once. The walk starts only from
+    packages that have an open pair and drops a start with its last one, so it
+    ends after the largest distance asked for and never lists all pairs. With
+    ``max_levels``, what is farther gets ``max_levels + 1``.
+    """
     stdlib = STDLIB if stdlib is None else stdlib
-    starts = pairs.select(F.col("a").alias("start")).distinct()
-    dist = bfs(edges, starts, max_levels)
-    j = pairs.join(dist, (pairs["a"] == dist["start"]) & (pairs["b"] == dist["package"]), "left")
+    adj = cut_lineage(undirected(edges))
+    labels = component_labels(adj)
+    pairs = pairs.select("a", "b").distinct()
     std = F.col("a").isin(stdlib) | F.col("b").isin(stdlib) if stdlib else F.lit(False)
-    return j.select("a", "b", F.when(std, F.lit(1)).otherwise(F.coalesce(F.col("degree"), F.lit(-1)))
-                    .cast("bigint").alias("degree"))
+    known = (pairs.join(labels.withColumnRenamed("node", "a").withColumnRenamed("label", "la"), "a", "left")
+             .join(labels.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b", "left"))
+    known = cut_lineage(known.select("a", "b", F.when(std, 1).when(F.col("a") == F.col("b"), 0).when(
+        F.col("la").isNull() | F.col("lb").isNull() | (F.col("la") != F.col("lb")), -1).cast("bigint").alias("degree")))
+    found = [known.where(F.col("degree").isNotNull())]
+    left = known.where(F.col("degree").isNull()).select("a", "b")
+    visited = left.select(F.col("a").alias("start"), F.col("a").alias("package")).distinct()
+    frontier, level = visited, 0
+    while (max_levels is None or level < max_levels) and left.limit(1).count():
+        level += 1
+        step = (frontier.join(adj, F.col("package") == F.col("src")).select("start", F.col("dst").alias("package")).distinct()
+                .join(visited, ["start", "package"], "left_anti"))
+        step = cut_lineage(step)
+        here = (F.col("a") == F.col("start")) & (F.col("b") == F.col("package"))
+        found.append(cut_lineage(left.join(step, here, "left_semi").withColumn("degree", F.lit(level).cast("bigint"))))
+        left = cut_lineage(left.join(step, here, "left_anti"))
+        starts = left.select(F.col("a").alias("start")).distinct()
+        visited = visited.unionByName(step).join(starts, "start", "left_semi")
+        frontier = step.join(starts, "start", "left_semi")
+    if max_levels is not None:
+        found.append(left.withColumn("degree", F.lit(max_levels + 1).cast("bigint")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def component_labels(adj: DataFrame) -> DataFrame:
+    """``(node, label)`` for the nodes of ``adj(src, dst)``, both directions given: nodes with one label reach
+    each other. Names are numbered by a 64-bit hash, and components found on the numbers."""
+    number = lambda c: F.xxhash64(c)
+    found = components(adj.select(number("src").alias("u"), number("dst").alias("v")))
+    nodes = adj.select(F.col("src").alias("node")).distinct().withColumn("number", number("node"))
+    return nodes.join(found.withColumnRenamed("node", "number"), "number", "left").select(
+        "node", F.coalesce("component", "number").alias("label"))

@@ -47,7 +47,7 @@ def clause_tokens(clause_df: DataFrame, stem: bool = False) -> DataFrame:
 
 def phrase_instances(postings: DataFrame, ctp: DataFrame, terms: DataFrame | None = None,
                      small: bool | None = None, vocab: DataFrame | None = None) -> DataFrame:
-    """Phrase instances ``(request_id, package_pos, package, clause_no, kind, id, col)``.
+    """Phrase instances ``(request_id, package_pos, package, clause_no, kind, id, col, f)``, ``f`` of them a row.
 
     ``ctp`` = clause tokens joined with request packages (has ``package_pos``,
     ``package``); it is broadcast when its size is proven small. Single-word
@@ -86,13 +86,16 @@ def phrase_instances(postings: DataFrame, ctp: DataFrame, terms: DataFrame | Non
                             (table["package"] == F.col("c_package")) & F.startswith(table["term"], F.col("token")))
         return exact.unionByName(prefix).where(col_ok)
 
-    single_src = (terms if terms is not None else postings).select("package", "id", "col", "term")
-    single = joined(single_src, side.where(F.col("n_tokens") == 1)).select(*keys)
+    if terms is not None:
+        single_src = terms.select("package", "id", "col", "term", F.col("tf").alias("f"))
+    else:
+        single_src = postings.select("package", "id", "col", "term", F.lit(1).cast("bigint").alias("f"))
+    single = joined(single_src, side.where(F.col("n_tokens") == 1)).select(*keys, "f")
     p = postings.select("package", "id", "col", "pos", "term")
     hits = joined(p, side.where(F.col("n_tokens") > 1)) \
         .select(*keys, "n_tokens", (F.col("pos") - F.col("tok_idx")).alias("start"))
     multi = (hits.groupBy(*keys, "n_tokens", "start").agg(F.count(F.lit(1)).alias("k"))
-             .where(F.col("k") == F.col("n_tokens")).select(*keys))
+             .where(F.col("k") == F.col("n_tokens")).select(*keys, F.lit(1).cast("bigint").alias("f")))
     return single.unionByName(multi)
 
 

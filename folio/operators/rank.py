@@ -24,42 +24,39 @@ K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 
 
-def _bm25(freq: DataFrame, rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """freq(request_id, clause_no, id, f), rows(id, dl), stats(n_rows, avgdl) -> (request_id, id, rank).
+def _bm25(freq: DataFrame, rows: DataFrame) -> DataFrame:
+    """freq(request_id, clause_no, id, f), rows(id, dl) -> (request_id, id, rank).
 
     ``freq`` holds one row per (request, phrase, row), so ``n`` is a plain
-    (partially aggregated) count. The two corpus statistics are one row of an
-    aggregate and enter the plan as literals."""
+    (partially aggregated) count. The corpus statistics are an aggregate of one row
+    inside the plan."""
     n = freq.groupBy("request_id", "clause_no").agg(F.count(F.lit(1)).alias("n"))
-    st = stats.first()
-    n_rows, avgdl = F.lit(float(st["n_rows"] or 0)), F.lit(float(st["avgdl"] or 0.0))
-    idf = F.log((n_rows - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    stats = rows.agg(F.count(F.lit(1)).cast("double").alias("n_rows"), F.avg("dl").alias("avgdl"))
+    idf = F.log((F.col("n_rows") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, F.lit(IDF_FLOOR)).otherwise(idf)
-    s = (freq.join(n, ["request_id", "clause_no"]).join(rows, "id")
+    s = (freq.join(n, ["request_id", "clause_no"]).join(rows, "id").join(F.broadcast(stats))
          .select("request_id", "id",
                  (idf * F.col("f") * (K1 + 1)
-                  / (F.col("f") + K1 * (1 - B + B * F.col("dl") / avgdl))).alias("term")))
+                  / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).alias("term")))
     return s.groupBy("request_id", "id").agg((-F.sum("term")).alias("rank"))
 
 
-def bm25_words(postings: DataFrame, clause_df: DataFrame, meta: DataFrame,
-               doc_lengths: DataFrame | None = None, stem: bool = False) -> DataFrame:
-    """F4 over a word index holding every package (one cross-package table):
-    ``(request_id, id, rank)`` for rows satisfying the request. Row lengths
-    ``(id, dl)`` must list every row of the index (0 for rows without tokens);
-    by default they are counted from the postings (partially aggregated
-    map-side, so the corpus is tokenised once), which omits empty rows."""
-    if doc_lengths is None:
-        doc_lengths = postings.groupBy("id").agg(F.count(F.lit(1)).alias("dl"))
-    p = postings.withColumn("package", F.lit("*"))
+def bm25_words(postings: DataFrame, terms: DataFrame, lengths: DataFrame, clause_df: DataFrame, meta: DataFrame,
+               vocab: DataFrame | None = None, stem: bool = False) -> DataFrame:
+    """F4 over a word index holding every package: ``(request_id, id, rank)`` for rows satisfying the request.
+
+    Reads the index tables: single words from ``terms(id, col, term, tf)``, phrases from
+    ``postings(id, col, pos, term)``, ``lengths(id, dl)`` with every row of the index, and
+    prefixes by ``vocab(term)``. Nothing is tokenised here but the requests."""
+    whole = lambda df: df.withColumn("package", F.lit("*"))
     rp = meta.select("request_id", F.lit(0).cast("bigint").alias("package_pos"), F.lit("*").alias("package"))
     ct = clause_tokens(clause_df, stem).join(meta.where("valid").select("request_id"), "request_id", "left_semi")
-    inst = phrase_instances(p, ct.join(rp, "request_id"))
+    vocab = whole(vocab.select("term").distinct()) if vocab is not None else None
+    inst = phrase_instances(whole(postings), ct.join(rp, "request_id"), whole(terms), vocab=vocab)
     keep = boolean_filter(inst, meta).select("request_id", "id")
     freq = (inst.where(F.col("kind") != "absent")
-            .groupBy("request_id", "clause_no", "id").agg(F.count(F.lit(1)).alias("f")))
-    stats = doc_lengths.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("dl").alias("avgdl"))
-    return _bm25(freq, doc_lengths, stats).join(keep, ["request_id", "id"], "left_semi")
+            .groupBy("request_id", "clause_no", "id").agg(F.sum("f").alias("f")))
+    return _bm25(freq, lengths.select("id", "dl")).join(keep, ["request_id", "id"], "left_semi")
 
 
 def trigram_rows(corpus: DataFrame, title_col: str = "atitle") -> DataFrame:
@@ -69,16 +66,22 @@ def trigram_rows(corpus: DataFrame, title_col: str = "atitle") -> DataFrame:
         F.greatest(F.char_length(title_col) - 2, F.lit(0)).alias("dl"))
 
 
+def row_trigrams(rows: DataFrame) -> DataFrame:
+    """``(package, id, tri)``: the distinct trigrams of ``trigram_rows``."""
+    return rows.select("package", "id", F.explode(trigrams(F.col("lt"))).alias("tri"))
+
+
 def bm25_trigram(corpus_rows: DataFrame, clause_df: DataFrame, meta: DataFrame,
-                 min_chars: int = 3) -> DataFrame:
+                 min_chars: int = 3, tri_index: DataFrame | None = None) -> DataFrame:
     """F4 over the trigram title corpus (``trigram_rows``): ``(request_id, id, rank)``
-    for rows satisfying the request (substring semantics of E9)."""
+    for rows satisfying the request (substring semantics of E9).
+
+    Candidates come from the trigram index of the corpus (read, or derived from
+    the rows), confirmed with ``contains``; f counts overlapping hits."""
     cp = (clause_df.join(meta.where("valid").select("request_id"), "request_id", "left_semi")
           .where(F.char_length("text") >= min_chars)
           .select("request_id", "clause_no", "kind", F.lower(F.col("text")).alias("needle")))
-    # Candidates from the trigram index of the corpus (equi-join, no nested
-    # loop over the corpus), confirmed with contains; f counts overlapping hits.
-    tri = corpus_rows.select(F.lit("*").alias("package"), "id", F.explode(trigrams(F.col("lt"))).alias("tri"))
+    tri = (tri_index if tri_index is not None else row_trigrams(corpus_rows)).select(F.lit("*").alias("package"), "id", "tri")
     cand = trigram_candidates(tri, cp.withColumn("c_package", F.lit("*")), ["request_id", "clause_no", "kind"])
     rows = corpus_rows.select(F.col("id").alias("r_id"), "lt", "dl")
     hits = (cand.join(rows, cand["id"] == rows["r_id"]).where(F.col("lt").contains(F.col("needle")))
@@ -88,8 +91,7 @@ def bm25_trigram(corpus_rows: DataFrame, clause_df: DataFrame, meta: DataFrame,
                        "clause_no", "kind", "id", F.lit(0).alias("col"))
     keep = boolean_filter(inst, meta).select("request_id", "id")
     freq = hits.where(F.col("kind") != "absent").select("request_id", "clause_no", "id", "f")
-    stats = corpus_rows.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("dl").alias("avgdl"))
-    return _bm25(freq, corpus_rows.select("id", "dl"), stats).join(keep, ["request_id", "id"], "left_semi")
+    return _bm25(freq, corpus_rows.select("id", "dl")).join(keep, ["request_id", "id"], "left_semi")
 
 
 def top_k(df: DataFrame, k: int, order: list, by: str = "request_id") -> DataFrame:

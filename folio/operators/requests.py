@@ -12,12 +12,12 @@ A request ``(request_id, q, packages)`` becomes:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Leading markers of a column filter in a query segment.
-FIELD_PREFIX = r"^((?:title:|doc:)*)(.*)$"
+FIELD_PREFIX = r"(?s)^((?:title:|doc:)*)(.*)$"
 
 REQUEST_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType(), False),
@@ -133,30 +133,24 @@ def canonical_query(requests: DataFrame) -> DataFrame:
 
 
 def random_workload(vocab_terms: DataFrame, package_names: DataFrame, n_requests: int,
-                    seed: int = 42, max_words: int = 3, max_packages: int = 4) -> DataFrame:
-    """seeded random requests of 1..max_words words and 1..max_packages packages.
+                    seed: int = 42, max_words: int = 3, max_packages: int = 5) -> DataFrame:
+    """seeded random requests of distinct words and distinct packages.
 
-    ``vocab_terms(term, rank)`` and ``package_names(package, rank)`` are small
-    ranked pick-lists derived from the data. Choices are ``xxhash64`` of
-    (seed, request, slot), so the batch is reproducible and built in Spark.
+    ``vocab_terms(term)`` and ``package_names(package)`` are pick-lists of tens of rows.
+    A request draws 1..max_words words and 1..max_packages packages, or all if the list is
+    shorter: it orders a list by a digest of (seed, request, entry) and takes the first ones.
     """
-    spark = vocab_terms.sparkSession
-    n_terms = vocab_terms.count()
-    n_pk = package_names.count()
-    reqs = spark.range(n_requests).withColumnRenamed("id", "request_id")
-    h = lambda *cols: F.abs(F.xxhash64(F.lit(seed), *cols))
-    nw = (h(F.col("request_id"), F.lit("nw")) % max_words + 1).cast("int")
-    npk = (h(F.col("request_id"), F.lit("np")) % max_packages + 1).cast("int")
-    words = reqs.select("request_id", F.posexplode(F.array_repeat(F.lit(0), nw)).alias("slot", "_")) \
-        .select("request_id", "slot", (h(F.col("request_id"), F.col("slot"), F.lit("w")) % n_terms)
-                .alias("rank"))
-    pks = reqs.select("request_id", F.posexplode(F.array_repeat(F.lit(0), npk)).alias("slot", "_")) \
-        .select("request_id", "slot", (h(F.col("request_id"), F.col("slot"), F.lit("p")) % n_pk)
-                .alias("rank"))
-    wq = words.join(F.broadcast(vocab_terms), "rank").groupBy("request_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "term"))),
-                                 lambda s: s["term"]), " ").alias("q"))
-    pq = pks.join(F.broadcast(package_names), "rank").groupBy("request_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "package"))),
-                                 lambda s: s["package"]), ",").alias("packages"))
-    return wq.join(pq, "request_id")
+    reqs = vocab_terms.sparkSession.range(n_requests).withColumnRenamed("id", "request_id")
+
+    def digest(*parts) -> Column:
+        return F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("request_id").cast("string"), *parts))
+
+    def draw(entries: list[str], most: int, glue: str, name: str) -> Column:
+        listed = F.array(*[F.struct(digest(F.lit(e)).alias("h"), F.lit(e).alias("e")) for e in entries])
+        count = F.conv(F.substring(digest(F.lit(f"{name} count")), 1, 8), 16, 10).cast("bigint") % most + 1
+        first = F.slice(F.array_sort(listed), 1, count.cast("int"))
+        return F.array_join(F.transform(first, lambda s: s["e"]), glue).alias(name)
+
+    words = [r["term"] for r in vocab_terms.select("term").collect()]
+    packages = [r["package"] for r in package_names.select("package").collect()]
+    return reqs.select("request_id", draw(words, max_words, " ", "q"), draw(packages, max_packages, ",", "packages"))

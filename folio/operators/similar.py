@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators.graph import separation
+from folio.operators.graph import by_downloads, separation
 
 
 def name_runs(packages: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def name_runs(packages: DataFrame) -> DataFrame:
 
 
 def similarly_named(packages: DataFrame, heads: DataFrame, min_downloads: float = 10) -> DataFrame:
-    """``(package, similar_name, recent_downloads)`` for each head package in ``heads(name)``."""
+    """``(package, similar_name, recent_downloads, pos)`` for each head package in ``heads(name)``;
+    ``pos`` orders the names of a head by downloads."""
     cand = packages.where(F.col("recent_downloads") > min_downloads)
     runs = name_runs(cand)
     h = heads.select(F.col("name").alias("package"))
@@ -37,7 +38,8 @@ def similarly_named(packages: DataFrame, heads: DataFrame, min_downloads: float
     return (j.join(cand.select(F.col("name").alias("similar_name"), "recent_downloads"),
                    j["name"] == F.col("similar_name"))
             .where(F.col("similar_name") != F.col("package"))
-            .select("package", "similar_name", "recent_downloads").distinct())
+            .select("package", "similar_name", "recent_downloads").distinct()
+            .select("*", by_downloads(["package"], "similar_name")))
 
 
 def similarly_named_connected(similar: DataFrame, edges: DataFrame, max_separation: int = 4,
@@ -45,7 +47,7 @@ def similarly_named_connected(similar: DataFrame, edges: DataFrame, max_separati
     """Similar names whose separation degree is < ``max_separation``
     (unreachable, -1, passes unless ``require_reachable``)."""
     pairs = similar.select(F.col("package").alias("a"), F.col("similar_name").alias("b")).distinct()
-    sep = separation(edges, pairs, stdlib)
+    sep = separation(edges, pairs, stdlib, max_separation - 1)
     ok = F.col("degree") < max_separation
     if require_reachable:
         ok = ok & (F.col("degree") >= 0)
@@ -62,7 +64,7 @@ def name_groups(packages: DataFrame, edges: DataFrame, head_min_downloads: float
     sim = similarly_named(packages, heads, min_downloads)
     mapping = sim.select(F.col("similar_name").alias("package"), F.col("package").alias("package_group"))
     pairs = mapping.select(F.col("package_group").alias("a"), F.col("package").alias("b")).distinct()
-    sep = separation(edges, pairs, stdlib).where(F.col("degree") < max_separation)
+    sep = separation(edges, pairs, stdlib, max_separation - 1).where(F.col("degree") < max_separation)
     connected = mapping.join(sep, (mapping["package_group"] == sep["a"]) & (mapping["package"] == sep["b"]),
                              "left_semi")
     return group_dedup(connected)
@@ -93,9 +95,10 @@ def group_members(groups: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def group_siblings(groups: DataFrame, packages: DataFrame) -> DataFrame:
-    """Packages sharing a group with ``name``, with their downloads."""
+    """Packages sharing a group with ``name``, with their downloads and, by these, their order."""
     g = groups.select(F.col("package").alias("name"), "package_group")
     sib = groups.select("package_group", F.col("package").alias("sibling"))
     return (g.join(sib, "package_group")
             .join(packages.select(F.col("name").alias("sibling"), "recent_downloads"), "sibling")
-            .select("name", "sibling", "recent_downloads").distinct())
+            .select("name", "sibling", "recent_downloads").distinct()
+            .select("*", by_downloads(["name"], "sibling")))

@@ -1,9 +1,8 @@
 """Document vectors.
 
-Exact nearest neighbours ship the (request-sized, size-checked) query batch
-to every task and score each corpus partition with one matrix product,
-keeping a per-partition top-k: one pass, no shuffle of the corpus. Cosine is
-computed in double precision.
+Exact nearest neighbours score blocks of the corpus against blocks of the
+queries, one matrix product a pair, and keep a top-k of each. Cosine is computed
+in double precision.
 """
 
 from __future__ import annotations
@@ -56,83 +55,93 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
             .select(F.col(key).alias("query_id"), F.transform("s", lambda s: s["x"]).alias("query")))
 
 
-MAX_QUERY_ROWS = 50_000
+#: Rows in a block of the corpus and of the queries: a scored pair of blocks is 64 MB.
+CORPUS_BLOCK, QUERY_BLOCK = 4096, 2048
+
+
+def _blocks(df: DataFrame, id_col: str, vec_col: str, size: int, prefix: str) -> DataFrame:
+    """Rows packed to blocks of at most ``size``: ``(<prefix>_ids, <prefix>_unit)``, ids and unit vectors as
+    one binary each (zero vectors stay zero)."""
+    import numpy as np
+    import pandas as pd
+
+    def pack(frames):
+        for pdf in frames:
+            for i in range(0, len(pdf), size):
+                part = pdf.iloc[i:i + size]
+                m = np.asarray(part["v"].tolist(), dtype=np.float64).reshape(len(part), -1)
+                n = np.linalg.norm(m, axis=1, keepdims=True)
+                yield pd.DataFrame({f"{prefix}_ids": [part["id"].to_numpy(np.int64).tobytes()],
+                                    f"{prefix}_unit": [(m / np.where(n == 0, 1, n)).tobytes()]})
+
+    rows = df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    return rows.mapInPandas(pack, f"{prefix}_ids binary, {prefix}_unit binary")
+
+
+def _top(df: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return df.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k) \
+        .withColumn("rk", F.col("rk").cast("bigint"))
 
 
 def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     """V5: ``(query_id, id, similarity, rk)`` for the ``k`` most cosine-similar rows of
     ``corpus(id, embedding)`` to each ``queries(query_id, query)``; similarity =
-    1 - cosine distance, nearest first, ties by id.
+    1 - cosine distance, nearest first, ties by id. Rows without a vector are left out.
 
-    The query batch is request-sized: its size is checked, then it is shipped
-    to every task as one matrix. Each corpus partition is scored with a single
-    matrix product and keeps only its own top ``k`` per query, so the exchange
-    before the final per-query window carries partitions x queries x k rows,
-    never corpus x queries pairs.
+    Corpus and queries are packed to blocks and every pair of blocks is one
+    matrix product that keeps the top ``k`` per query: a task holds one pair at a
+    time, any number of queries will do, and the window at the end sees blocks x
+    queries x k rows, never all pairs. Neither side is collected.
     """
     import numpy as np
     import pandas as pd
 
-    spark = corpus.sparkSession
-    n_q = queries.limit(MAX_QUERY_ROWS + 1).count()
-    if n_q > MAX_QUERY_ROWS:
-        raise ValueError(f"query batch above {MAX_QUERY_ROWS} rows; split it into several batches")
-    qs = queries.select("query_id", "query").collect()
-    qids = np.array([r.query_id for r in qs], dtype=np.int64)
-    qmat = np.array([r.query for r in qs], dtype=np.float64).reshape(len(qs), -1)
-    qn = np.linalg.norm(qmat, axis=1, keepdims=True)
-    bq = spark.sparkContext.broadcast((qids, qmat / np.where(qn == 0, 1, qn)))
-
-    def score(batches):
-        ids_l, vecs = [], []
-        for pdf in batches:
-            pdf = pdf[pdf["embedding"].notna()]
-            ids_l.append(pdf["id"].to_numpy(dtype=np.int64))
-            vecs.extend(pdf["embedding"].tolist())
-        q_ids, q_unit = bq.value
-        if not vecs or len(q_ids) == 0:
-            return
-        ids = np.concatenate(ids_l)
-        m = np.asarray(vecs, dtype=np.float64)
-        mn = np.linalg.norm(m, axis=1)
-        sims = (m @ q_unit.T) / np.where(mn == 0, 1, mn)[:, None]
-        kk = min(k, len(ids))
-        for j, qid in enumerate(q_ids):
-            col = sims[:, j]
-            order = np.lexsort((ids, -col))[:kk]
-            yield pd.DataFrame({"query_id": qid, "id": ids[order], "similarity": col[order]})
-
-    part = corpus.select("id", "embedding").mapInPandas(
-        score, "query_id bigint, id bigint, similarity double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return part.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k) \
-        .withColumn("rk", F.col("rk").cast("bigint"))
+    def score(frames):
+        for pdf in frames:
+            for c_ids, c, q_ids, q in zip(pdf["c_ids"], pdf["c_unit"], pdf["q_ids"], pdf["q_unit"], strict=True):
+                ids, qids = np.frombuffer(c_ids, np.int64), np.frombuffer(q_ids, np.int64)
+                sims = np.frombuffer(q).reshape(len(qids), -1) @ np.frombuffer(c).reshape(len(ids), -1).T
+                best = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
+                yield pd.DataFrame({"query_id": np.repeat(qids, best.shape[1]), "id": ids[best].ravel(),
+                                    "similarity": np.take_along_axis(sims, best, 1).ravel()})
 
+    pairs = _blocks(corpus, "id", "embedding", CORPUS_BLOCK, "c").crossJoin(
+        _blocks(queries, "query_id", "query", QUERY_BLOCK, "q"))  # blocks of the query set against blocks of rows
+    return _top(pairs.mapInPandas(score, "query_id bigint, id bigint, similarity double"), k)
 
-def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, bucket_length: float = 1.0,
-            num_tables: int = 16, threshold: float = 1.5, seed: int = 7) -> DataFrame:
-    """V6: approximate variant. Unit-normalised vectors go through
-    ``BucketedRandomProjectionLSH``; candidates within Euclidean ``threshold``
-    (on unit vectors, cosine similarity >= 1 - threshold^2 / 2) are re-ranked
-    exactly. Returns the same columns as ``knn_exact``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df, idc, vc):
-        return df.select(F.col(idc).alias("id"), vc,
-                         array_to_vector(F.transform(vc, lambda x: x.cast("double") / norm(F.col(vc))))
-                         .alias("v"))
-
-    c = unit(corpus.where(F.col("embedding").isNotNull()), "id", "embedding")
-    qv = unit(queries.withColumnRenamed("query", "embedding"), "query_id", "embedding")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                        numHashTables=num_tables, seed=seed).fit(c)
-    pairs = model.approxSimilarityJoin(qv, c, threshold, distCol="dist")
-    cand = pairs.select(F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("id"),
-                        (1 - F.col("dist") * F.col("dist") / 2).alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return cand.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k) \
-        .withColumn("rk", F.col("rk").cast("bigint"))
+
+def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, bands: int = 24, bits: int = 8,
+            seed: int = 7) -> DataFrame:
+    """V6: approximate variant by signs of random projections.
+
+    Each vector gets ``bands`` keys of ``bits`` signs; rows that share a key with a query are
+    its candidates and are ranked exactly. A query with fewer than ``k`` candidates
+    is answered by ``knn_exact``, so every query has its ``k`` rows. Returns the columns
+    of ``knn_exact`` and ``candidates``, the number of rows ranked for the query.
+    """
+    import numpy as np
+    import pandas as pd
+
+    @F.pandas_udf("array<bigint>", F.PandasUDFType.SCALAR)
+    def keys(vectors):
+        m = np.asarray(vectors.tolist(), dtype=np.float64).reshape(len(vectors), -1)
+        planes = np.random.default_rng(seed).normal(size=(m.shape[1], bands * bits))
+        signs = (m @ planes > 0).reshape(len(m), bands, bits)
+        key = signs @ (1 << np.arange(bits)) + (np.arange(bands) << bits)
+        return pd.Series(list(key))
+
+    c = corpus.where(F.col("embedding").isNotNull()).select("id", "embedding")
+    q = queries.where(F.col("query").isNotNull()).select("query_id", "query")
+    met = (c.select("id", F.explode(keys("embedding")).alias("key"))
+           .join(q.select("query_id", F.explode(keys("query")).alias("key")), "key").select("query_id", "id").distinct())
+    near = dot(F.col("embedding"), F.col("query")) / (norm(F.col("embedding")) * norm(F.col("query")))
+    ranked = met.join(c, "id").join(q, "query_id").select("query_id", "id", near.alias("similarity"))
+    counts = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
+    few = q.join(counts.where(F.col("candidates") >= k), "query_id", "left_anti")
+    top = _top(ranked, k).join(counts.where(F.col("candidates") >= k), "query_id")
+    rest = knn_exact(few, corpus, k).join(c.agg(F.count(F.lit(1)).alias("candidates")))
+    return top.unionByName(rest)
 
 
 def recall(approx: DataFrame, exact: DataFrame) -> DataFrame:

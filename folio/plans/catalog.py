@@ -67,6 +67,29 @@ def _docs(spark, sf):
     return D.docs(spark, sf)
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def index_path(spark, sf, stem: bool = False) -> str:
+    """An index of the documents (search, titles, autocomplete), built once a session in the shared folder."""
+    from folio.plans import index as IX
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), stem)
+    if key not in _INDEXES:
+        path = IX.scratch_path(spark, "stemmed" if stem else "words")
+        d = _docs(spark, sf)
+        IX.build_search_index(d, path, stem=stem)
+        if not stem:
+            IX.build_title_index(d, path)
+            IX.build_autocomplete_index(autocomplete_corpus(d), path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def _index(spark, sf, table, stem=False):
+    from folio.plans import index as IX
+    return IX.read_index(spark, index_path(spark, sf, stem), table)
+
+
 # ------------------------------------------------------------------ B1-B5 titles
 
 @register("title_extract_function", with_sql(D.DOCS_SQL) + """
@@ -111,10 +134,10 @@ def autocomplete_corpus(docs: DataFrame) -> DataFrame:
 AUTOCOMPLETE_CORPUS_SQL = f"""
 acorpus AS (
   SELECT id, package, title AS atitle FROM docs
-  WHERE type IN ('behaviour','callback','exception','function','macro','macrocallback','opaque','type')
+  WHERE type IN ({O.strings(T.AUTOCOMPLETE_CODE_TYPES)})
     AND instr(title, ' ') = 0
   UNION ALL
-  SELECT id, package, {O.extras_sql('title')} AS atitle FROM docs WHERE type IN ('extras','module','protocol')
+  SELECT id, package, {O.extras_sql('title')} AS atitle FROM docs WHERE type IN ({O.strings(T.AUTOCOMPLETE_PAGE_TYPES)})
   UNION ALL
   SELECT id, package, {O.task_title_sql('title')} AS atitle FROM docs WHERE type = 'task'
 )"""
@@ -161,32 +184,50 @@ def q_corpus_stats(spark, sf):
     return A.corpus_stats(_docs(spark, sf))
 
 
-SPELL_WORDS = ["teh", "adn", "eth", "ofthe", "lae", "unt", "dre", "mentoi", "tion", "qeu"]
+TITLE_VOCAB_SQL = f"""
+titles AS (SELECT id, {O.tokens_sql('atitle')} AS toks FROM acorpus WHERE atitle IS NOT NULL),
+tvocab AS (SELECT term, count(*) AS doc FROM (SELECT DISTINCT id, unnest(toks) AS term FROM titles) s
+           GROUP BY term HAVING count(*) >= 2)"""
+
+
+def title_vocabulary(spark, sf):
+    """C5 over the autocomplete titles."""
+    return A.title_vocabulary(autocomplete_corpus(_docs(spark, sf)))
 
 
-@register("spell_candidates", with_sql(D.DOCS_SQL, O.IDX_SQL, O.POSTINGS_SQL, VOCAB_SQL) + f"""
-, words AS (SELECT unnest([{', '.join(O.q(w) for w in SPELL_WORDS)}]) AS word)
+@register("title_vocabulary", with_sql(D.DOCS_SQL, AUTOCOMPLETE_CORPUS_SQL, TITLE_VOCAB_SQL) + "SELECT term, doc FROM tvocab")
+def q_title_vocabulary(spark, sf):
+    return title_vocabulary(spark, sf)
+
+
+@register("spell_candidates", with_sql(D.DOCS_SQL, AUTOCOMPLETE_CORPUS_SQL, TITLE_VOCAB_SQL) + """
+, words AS (SELECT DISTINCT term AS word FROM (SELECT unnest(toks) AS term FROM titles) s
+            WHERE term NOT IN (SELECT term FROM tvocab))
 SELECT word, term, doc, distance, rk FROM (
   SELECT word, term, doc, distance,
     CAST(row_number() OVER (PARTITION BY word ORDER BY distance, doc DESC, term) AS BIGINT) AS rk
-  FROM (SELECT w.word, v.term, v.doc, CAST(levenshtein(w.word, v.term) AS BIGINT) AS distance
-        FROM words w JOIN vocab v ON abs(length(v.term) - length(w.word)) <= 2) s
+  FROM (SELECT w.word, v.term, v.doc, CAST(levenshtein(
+          translate(w.word, 'ßœæøłđ', 'ABCDEF'), translate(v.term, 'ßœæøłđ', 'ABCDEF')) AS BIGINT) AS distance  -- it counts bytes
+        FROM words w JOIN tvocab v ON abs(length(v.term) - length(w.word)) <= 2) s
   WHERE distance <= 2) s2
 WHERE rk <= 5""")
 def q_spell_candidates(spark, sf):
-    words = spark.createDataFrame([(w,) for w in SPELL_WORDS], "word string")
-    return A.spell_candidates(words, A.vocabulary(_docs(spark, sf)))
+    """The closest known words to every title word that is not one."""
+    corpus, known = autocomplete_corpus(_docs(spark, sf)), title_vocabulary(spark, sf)
+    words = A.title_terms(corpus).select(F.col("term").alias("word")).distinct() \
+        .join(known.select(F.col("term").alias("word")), "word", "left_anti")
+    return A.spell_candidates(words, known)
 
 
 # ------------------------------------------------------------------ D1-D7
 
-@register("request_clauses", with_sql(O.requests_sql(SEARCH_REQUESTS), O.clauses_sql()) + """
+@register("request_clauses", with_sql(D.REQUEST_LOG_SQL, O.clauses_sql()) + """
 SELECT request_id, clause_no, kind, field, text, is_prefix, rendered, bad FROM clauses""")
 def q_request_clauses(spark, sf):
-    return R.clauses(R.requests_frame(spark, SEARCH_REQUESTS))
+    return R.clauses(D.request_log(spark, sf))
 
 
-@register("canonical_query", with_sql(O.requests_sql(SEARCH_REQUESTS), O.clauses_sql()) + """
+@register("canonical_query", with_sql(D.REQUEST_LOG_SQL, O.clauses_sql()) + """
 , g AS (
   SELECT request_id,
     string_agg(CASE WHEN kind = 'optional' THEN rendered END, ' OR ' ORDER BY clause_no DESC) AS o,
@@ -204,14 +245,14 @@ SELECT m.request_id, coalesce(CASE
     ELSE '' END, '') AS expression
 FROM meta m LEFT JOIN g ON m.request_id = g.request_id""")
 def q_canonical_query(spark, sf):
-    return R.canonical_query(R.requests_frame(spark, SEARCH_REQUESTS))
+    return R.canonical_query(D.request_log(spark, sf))
 
 
-@register("request_packages", with_sql(O.requests_sql(SEARCH_REQUESTS), O.clauses_sql()) + """
+@register("request_packages", with_sql(D.REQUEST_LOG_SQL, O.clauses_sql()) + """
 SELECT r.request_id, r.package_pos, r.package, m.valid, m.n_required, m.n_optional, m.n_absent
 FROM rp r JOIN meta m ON r.request_id = m.request_id""")
 def q_request_packages(spark, sf):
-    reqs = R.requests_frame(spark, SEARCH_REQUESTS)
+    reqs = D.request_log(spark, sf)
     return R.request_packages(reqs).join(R.request_meta(reqs), "request_id")
 
 
@@ -224,9 +265,8 @@ def _match_query(name, rows):
     def fn(spark, sf):
         reqs = R.requests_frame(spark, rows)
         c = R.clauses(reqs)
-        d = _docs(spark, sf)
-        return match_documents(A.postings(d), c, R.request_packages(reqs), R.request_meta(reqs, c),
-                               terms=A.term_docs(d))
+        return match_documents(_index(spark, sf, "postings"), c, R.request_packages(reqs), R.request_meta(reqs, c),
+                               terms=_index(spark, sf, "terms"), vocab=_index(spark, sf, "vocab"))
 
     register(name, sql)(fn)
 
@@ -241,9 +281,9 @@ SEARCH_COLS = ["request_id", "result_pos", "package_pos", "package", "id", "ref"
                "base_rank", "boost", "rank", "pkg_rank"]
 
 
-def _search_df(spark, sf, rows, k=25):
-    d = _docs(spark, sf)
-    return search(R.requests_frame(spark, rows), d, A.postings(d), k=k, terms=A.term_docs(d))
+def _search_df(spark, sf, rows, k=25, stem=False):
+    docs, postings, terms, vocab = (_index(spark, sf, t, stem) for t in ("docs", "postings", "terms", "vocab"))
+    return search(R.requests_frame(spark, rows), docs, postings, stem=stem, k=k, terms=terms, vocab=vocab)
 
 
 @register("search", O.search_sql(SEARCH_REQUESTS) + """
@@ -259,7 +299,8 @@ def q_base_rank(spark, sf):
     from folio.plans.search import base_rank
     reqs = R.requests_frame(spark, SEARCH_REQUESTS)
     c = R.clauses(reqs)
-    m = match_documents(A.postings(_docs(spark, sf)), c, R.request_packages(reqs), R.request_meta(reqs, c))
+    m = match_documents(_index(spark, sf, "postings"), c, R.request_packages(reqs), R.request_meta(reqs, c),
+                        terms=_index(spark, sf, "terms"), vocab=_index(spark, sf, "vocab"))
     return base_rank(m).select("request_id", "package_pos", "id", "base_rank")
 
 
@@ -275,7 +316,8 @@ def q_type_boost(spark, sf):
 
 @register("autocomplete", O.autocomplete_sql(AUTOCOMPLETE_REQUESTS) + "SELECT * FROM results")
 def q_autocomplete(spark, sf):
-    return autocomplete(R.requests_frame(spark, AUTOCOMPLETE_REQUESTS), _docs(spark, sf))
+    return autocomplete(R.requests_frame(spark, AUTOCOMPLETE_REQUESTS), _index(spark, sf, "docs"),
+                        titles=_index(spark, sf, "titles"), tri_index=_index(spark, sf, "trigrams"))
 
 
 @register("match_substring", O.autocomplete_sql(AUTOCOMPLETE_REQUESTS) + "SELECT * FROM matched")
@@ -284,8 +326,8 @@ def q_match_substring(spark, sf):
     reqs = R.requests_frame(spark, AUTOCOMPLETE_REQUESTS)
     c = R.clauses(reqs)
     meta = R.request_meta(reqs, c, allowed_fields=("title",))
-    titles = A.indexable(_docs(spark, sf))
-    return substring_matches(titles, c, R.request_packages(reqs), meta).drop("title_hit")
+    return substring_matches(_index(spark, sf, "titles"), c, R.request_packages(reqs), meta,
+                             tri_index=_index(spark, sf, "trigrams")).drop("title_hit")
 
 
 # Further query families register themselves on import.
@@ -293,19 +335,20 @@ from folio.plans import catalog_graph  # noqa: E402,F401
 from folio.plans import catalog_more  # noqa: E402,F401
 
 
-# ------------------------------------------------------------------ C2, B6, B8 (rows-only)
+# ------------------------------------------------------------------ C2, B6, B8
 
 def _search_full(spark, sf, rows, stem):
     from folio.plans.search import with_excerpts
-    d = _docs(spark, sf)
-    reqs = R.requests_frame(spark, rows)
-    res = search(reqs, d, A.postings(d, stem=stem), stem=stem, terms=A.term_docs(d, stem=stem))
-    return with_excerpts(res, reqs, d, stem=stem)
+    res = _search_df(spark, sf, rows, stem=stem)
+    return with_excerpts(res, R.requests_frame(spark, rows), _index(spark, sf, "docs"), stem=stem)
 
 
-@register("search_stemmed")
+@register("search_stemmed", O.search_sql(SEARCH_REQUESTS, stem=True) + """
+SELECT request_id, result_pos, package_pos, package, id, ref, type, title, base_rank, boost,
+  round(rank, 6) AS rank, pkg_rank FROM results""")
 def q_search_stemmed(spark, sf):
-    return _search_full(spark, sf, SEARCH_REQUESTS, True).select(*SEARCH_COLS, "excerpts")
+    """The search as it is served: documents and requests stemmed."""
+    return _search_df(spark, sf, SEARCH_REQUESTS, stem=True).withColumn("rank", F.round("rank", 6)).select(*SEARCH_COLS)
 
 
 @register("excerpts")
@@ -314,6 +357,12 @@ def q_excerpts(spark, sf):
     return r.select("request_id", "result_pos", "id", F.col("excerpts")[0].alias("excerpt"))
 
 
+@register("excerpts_stemmed")
+def q_excerpts_stemmed(spark, sf):
+    r = _search_full(spark, sf, SEARCH_REQUESTS, True)
+    return r.select("request_id", "result_pos", "id", F.col("excerpts")[0].alias("excerpt"))
+
+
 @register("search_json")
 def q_search_json(spark, sf):
     from folio.plans.search import to_json_response
@@ -321,21 +370,30 @@ def q_search_json(spark, sf):
     return to_json_response(r, ["ref", "type", "title", "excerpts", "rank", "package"])
 
 
-@register("stemmed_vocabulary")
+@register("stemmed_vocabulary", with_sql(D.DOCS_SQL, O.IDX_SQL, O.POSTINGS_SQL, O.stems_sql("SELECT DISTINCT term FROM postings")) + """
+SELECT stem AS term, count(*) AS doc FROM (SELECT DISTINCT id, stem FROM postings JOIN stems USING (term)) s
+GROUP BY stem HAVING count(*) >= 2""")
 def q_stemmed_vocabulary(spark, sf):
     return A.vocabulary(_docs(spark, sf), min_docs=2, stem=True)
 
 
-@register("random_requests")
+WORKLOAD_SQL = with_sql(D.DOCS_SQL, O.IDX_SQL, O.POSTINGS_SQL, VOCAB_SQL, D.SEARCH_PACKAGES_SQL) + """
+, words AS (SELECT term AS e FROM vocab ORDER BY doc DESC, term LIMIT 13),
+names AS (SELECT name AS e FROM packages ORDER BY recent_downloads DESC, name LIMIT 4),
+reqs AS (SELECT unnest(range(500)) AS request_id),
+drawn AS (
+  SELECT request_id, kind, e, row_number() OVER (PARTITION BY request_id, kind ORDER BY md5('42/' || request_id || '/' || e)) AS r,
+    ('0x' || substr(md5('42/' || request_id || '/' || kind || ' count'), 1, 8))::BIGINT
+      % (CASE WHEN kind = 'q' THEN 3 ELSE 5 END) + 1 AS n
+  FROM reqs, (SELECT 'q' AS kind, e FROM words UNION ALL SELECT 'packages', e FROM names))
+SELECT request_id, string_agg(e, ' ' ORDER BY r) FILTER (WHERE kind = 'q') AS q,
+  string_agg(e, ',' ORDER BY r) FILTER (WHERE kind = 'packages') AS packages
+FROM drawn WHERE r <= n GROUP BY request_id"""
+
+
+@register("random_requests", WORKLOAD_SQL)
 def q_random_requests(spark, sf):
     """the benchmark workload drawn from the data (13 most common terms, 4 largest packages)."""
-    from pyspark.sql import Window
-    d = _docs(spark, sf)
-    top_terms = A.vocabulary(d).orderBy(F.desc("doc"), "term").limit(13)
-    terms = top_terms.select(
-        (F.row_number().over(Window.orderBy(F.desc("doc"), "term")) - 1).cast("bigint").alias("rank"), "term")
-    top_pk = D.search_packages(spark, sf).orderBy(F.desc("recent_downloads"), "name").limit(4)
-    pks = top_pk.select(
-        (F.row_number().over(Window.orderBy(F.desc("recent_downloads"), "name")) - 1).cast("bigint").alias("rank"),
-        F.col("name").alias("package"))
-    return R.random_workload(terms, pks, 500, seed=42)
+    terms = A.vocabulary(_docs(spark, sf)).orderBy(F.desc("doc"), "term").limit(13)
+    names = D.search_packages(spark, sf).orderBy(F.desc("recent_downloads"), "name").limit(4)
+    return R.random_workload(terms, names.select(F.col("name").alias("package")), 500, seed=42)

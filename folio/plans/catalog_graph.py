@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.operators import analysis as A
 from folio.operators import graph as G
 from folio.operators import rank as RK
 from folio.operators import requests as R
@@ -25,7 +24,7 @@ EDGE_MIN = 800
 WALK = dict(base=500.0, growth=1.25, max_distance=3)
 FLOORS = {0: 1, 1: 700, 2: 900}
 # Name groups (scaled).
-HEAD_MIN, SIMILAR_MIN = 100, 10
+HEAD_MIN, SIMILAR_MIN = 20, 2
 # Documentation-package blends (scaled).
 DOC_WALK = dict(base=100_000.0, growth=1.2, max_distance=3)
 BLEND_FLOOR = 100_000
@@ -92,7 +91,8 @@ def q_neighbour_lists(spark, sf):
 @register("degree_floor", "WITH RECURSIVE " + with_sql(D.GRAPH_PACKAGES_SQL, D.EDGES_SQL, NODES_SQL, BFS2_SQL)[5:]
           + f"""
 , floors AS (SELECT * FROM (VALUES {', '.join(f'({k}, {float(v)})' for k, v in FLOORS.items())}) t(degree, floor))
-SELECT b.start, b.degree, b.package, p.recent_downloads FROM bfs b JOIN floors f ON b.degree = f.degree
+SELECT b.start, b.degree, b.package, p.recent_downloads, CAST(row_number() OVER (
+  PARTITION BY b.start, b.degree ORDER BY p.recent_downloads DESC, b.package) AS BIGINT) AS pos FROM bfs b JOIN floors f ON b.degree = f.degree
 JOIN gpackages p ON p.name = b.package WHERE p.recent_downloads > f.floor""")
 def q_degree_floor(spark, sf):
     return G.degree_floor(_bfs2(spark, sf), D.graph_packages(spark, sf), FLOORS)
@@ -100,15 +100,25 @@ def q_degree_floor(spark, sf):
 
 # ------------------------------------------------------------------ G4, G5
 
-PRUNED_SQL = """
-pwalk(start, target, recent_downloads, distance) AS (
-  SELECT e.source, e.target, p.recent_downloads, 1 FROM edges e JOIN gpackages p ON e.target = p.name
-  WHERE p.recent_downloads > {base}
-  UNION
-  SELECT w.start, e.target, p.recent_downloads, w.distance + 1
-  FROM pwalk w JOIN edges e ON w.target = e.source JOIN gpackages p ON e.target = p.name
-  WHERE w.distance <= {last} AND p.recent_downloads > {base} * pow({growth}, w.distance)
-)""".format(base=WALK["base"], growth=WALK["growth"], last=WALK["max_distance"] - 1)
+def _steps_sql(name: str, edges: str, packages: str, walk: dict, starts: str) -> str:
+    """The rule of the pruned walk, a query for each distance: whoever a step of distance k reaches
+    must have more downloads than the limit of k."""
+    out, before = [], starts
+    limits = ", ".join(f"({k}, {walk['base'] * walk['growth'] ** (k - 1)!r})" for k in range(1, walk["max_distance"] + 1))
+    out.append(f"{name}_limits AS (SELECT * FROM (VALUES {limits}) v(k, least))")
+    for k in range(1, walk["max_distance"] + 1):
+        out.append(f"""{name}_{k} AS (
+  SELECT DISTINCT here.start, reached.name AS target, reached.recent_downloads
+  FROM {before} here, {edges} link, {packages} reached, {name}_limits lim
+  WHERE link.source = here.target AND reached.name = link.target AND lim.k = {k} AND reached.recent_downloads > lim.least)""")
+        before = f"{name}_{k}"
+    every = " UNION ALL ".join(f"SELECT start, target, recent_downloads, {k} AS distance FROM {name}_{k}"
+                               for k in range(1, walk["max_distance"] + 1))
+    return ",\n".join([*out, f"{name} AS ({every})"])
+
+
+PRUNED_SQL = _steps_sql("pwalk", "edges", "gpackages", WALK,
+                        "(SELECT DISTINCT source AS start, source AS target FROM edges)")
 
 
 def _pruned(spark, sf):
@@ -117,13 +127,13 @@ def _pruned(spark, sf):
     return G.pruned_walk(e, D.graph_packages(spark, sf), starts, **WALK)
 
 
-@register("pruned_walk", "WITH RECURSIVE " + with_sql(D.GRAPH_PACKAGES_SQL, D.EDGES_SQL, PRUNED_SQL)[5:]
+@register("pruned_walk", with_sql(D.GRAPH_PACKAGES_SQL, D.EDGES_SQL, PRUNED_SQL)
           + "SELECT start, target, recent_downloads, CAST(distance AS BIGINT) AS distance FROM pwalk")
 def q_pruned_walk(spark, sf):
     return _pruned(spark, sf)
 
 
-@register("nearest_distance", "WITH RECURSIVE " + with_sql(D.GRAPH_PACKAGES_SQL, D.EDGES_SQL, PRUNED_SQL)[5:]
+@register("nearest_distance", with_sql(D.GRAPH_PACKAGES_SQL, D.EDGES_SQL, PRUNED_SQL)
           + """SELECT start, target AS package, CAST(min(distance) AS BIGINT) AS distance,
   min(recent_downloads) AS recent_downloads FROM pwalk GROUP BY start, target""")
 def q_nearest_distance(spark, sf):
@@ -150,12 +160,11 @@ def _shared_word_pairs(spark, sf):
 def _sep_sql(pairs_cte: str, pairs_name: str) -> str:
     return f"""
 nund AS (SELECT source AS src, target AS dst FROM nedges UNION SELECT target, source FROM nedges),
-nn AS (SELECT count(*) AS c FROM (SELECT src FROM nund UNION SELECT dst FROM nund) s),
 sstarts AS (SELECT DISTINCT a AS start FROM {pairs_name}),
 swalk(start, node, d) AS (
   SELECT start, start, 0 FROM sstarts
   UNION
-  SELECT w.start, u.dst, w.d + 1 FROM swalk w JOIN nund u ON w.node = u.src WHERE w.d < (SELECT c FROM nn)
+  SELECT w.start, u.dst, w.d + 1 FROM swalk w JOIN nund u ON w.node = u.src WHERE w.d < 64  -- the name chains are shorter
 ),
 sdist AS (SELECT start, node, min(d) AS d FROM swalk GROUP BY start, node),
 sep AS (
@@ -165,7 +174,7 @@ sep AS (
 )"""
 
 
-@register("separation", "WITH RECURSIVE " + with_sql(D.EDGES_SQL, D.NAME_EDGES_SQL, SHARED_WORD_PAIRS_SQL,
+@register("separation", "WITH RECURSIVE " + with_sql(D.NAMES_SQL, D.NAME_EDGES_SQL, SHARED_WORD_PAIRS_SQL,
                                                        _sep_sql("", "pairs"))[5:] + "SELECT a, b, degree FROM sep")
 def q_separation(spark, sf):
     return G.separation(D.name_edges(spark, sf), _shared_word_pairs(spark, sf))
@@ -187,7 +196,9 @@ def _similar(spark, sf):
     return S.similarly_named(p, heads, SIMILAR_MIN)
 
 
-@register("similar_names", with_sql(D.NAMES_SQL, SIMILAR_SQL) + "SELECT * FROM sim")
+@register("similar_names", with_sql(D.NAMES_SQL, SIMILAR_SQL) + """
+SELECT *, CAST(row_number() OVER (PARTITION BY package ORDER BY recent_downloads DESC, similar_name) AS BIGINT) AS pos
+FROM sim""")
 def q_similar_names(spark, sf):
     return _similar(spark, sf)
 
@@ -196,8 +207,10 @@ SIM_PAIRS_SQL = "simpairs AS (SELECT DISTINCT package AS a, similar_name AS b FR
 
 
 @register("similar_connected", "WITH RECURSIVE " + with_sql(
-    D.NAMES_SQL, SIMILAR_SQL, D.EDGES_SQL, D.NAME_EDGES_SQL, SIM_PAIRS_SQL, _sep_sql("", "simpairs"))[5:] + """
-SELECT s.* FROM sim s JOIN sep ON s.package = sep.a AND s.similar_name = sep.b WHERE sep.degree < 4""")
+    D.NAMES_SQL, SIMILAR_SQL, D.NAME_EDGES_SQL, SIM_PAIRS_SQL, _sep_sql("", "simpairs"))[5:] + """
+SELECT s.* FROM (SELECT *, CAST(row_number() OVER (PARTITION BY package ORDER BY recent_downloads DESC, similar_name)
+  AS BIGINT) AS pos FROM sim) s
+JOIN sep ON s.package = sep.a AND s.similar_name = sep.b WHERE sep.degree < 4""")
 def q_similar_connected(spark, sf):
     return S.similarly_named_connected(_similar(spark, sf), D.name_edges(spark, sf))
 
@@ -215,7 +228,7 @@ groups AS (
                     AND contains(c.package_group, o.package_group))
 )"""
 GROUPS_FULL_SQL = "WITH RECURSIVE " + with_sql(
-    D.NAMES_SQL, SIMILAR_SQL, D.EDGES_SQL, D.NAME_EDGES_SQL, GROUPS_SQL, _sep_sql("", "gpairs"), GROUPS_SQL2)[5:]
+    D.NAMES_SQL, SIMILAR_SQL, D.NAME_EDGES_SQL, GROUPS_SQL, _sep_sql("", "gpairs"), GROUPS_SQL2)[5:]
 
 
 def _groups(spark, sf):
@@ -250,8 +263,9 @@ def q_group_members(spark, sf):
 
 
 @register("group_siblings", GROUPS_FULL_SQL + """
+SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY recent_downloads DESC, sibling) AS BIGINT) AS pos FROM (
 SELECT DISTINCT g1.package AS name, g2.package AS sibling, n.recent_downloads
-FROM groups g1 JOIN groups g2 ON g1.package_group = g2.package_group JOIN npackages n ON n.name = g2.package""")
+FROM groups g1 JOIN groups g2 ON g1.package_group = g2.package_group JOIN npackages n ON n.name = g2.package) s""")
 def q_group_siblings(spark, sf):
     return S.group_siblings(_groups(spark, sf), D.package_names(spark, sf))
 
@@ -280,25 +294,16 @@ sc AS (
 SELECT s.request_id, s.id, round(s.rank, 6) AS rank FROM sc s
 JOIN matched m ON m.request_id = s.request_id AND m.id = s.id""")
 def q_bm25(spark, sf):
-    d = D.docs(spark, sf)
+    from folio.plans.catalog import _index
     reqs = R.requests_frame(spark, BM25_REQUESTS)
     c = R.clauses(reqs)
-    meta = R.request_meta(reqs, c)
-    p = A.postings(d)
-    # Every indexed row counts in N and the mean length, also rows without tokens.
-    lengths = (A.indexable(d).select("id").join(p.groupBy("id").agg(F.count(F.lit(1)).alias("dl")), "id", "left")
-               .select("id", F.coalesce("dl", F.lit(0)).alias("dl")))
-    r = RK.bm25_words(p, c, meta, lengths)
+    postings, terms, lengths, vocab = (_index(spark, sf, t) for t in ("postings", "terms", "lengths", "vocab"))
+    r = RK.bm25_words(postings, terms, lengths, c, R.request_meta(reqs, c), vocab)
     return r.select("request_id", "id", F.round("rank", 6).alias("rank"))
 
 
 # ------------------------------------------------------------------ F4 trigram, F5-F11
 
-def _acorpus(spark, sf):
-    from folio.plans.catalog import autocomplete_corpus
-    return autocomplete_corpus(D.docs(spark, sf))
-
-
 TRIGRAM_SQL = """
 ac AS (SELECT id, package, lower(atitle) AS lt, greatest(length(atitle) - 2, 0) AS dl FROM acorpus
        WHERE atitle IS NOT NULL),
@@ -329,23 +334,16 @@ tranks AS (
   GROUP BY t.request_id, t.id
 )"""
 
-DOC_WALK_SQL = """
-dwalk(start, target, recent_downloads, distance) AS (
-  SELECT e.source, e.target, p.recent_downloads, 1 FROM dedges e JOIN packages p ON e.target = p.name
-  WHERE p.recent_downloads > {base} AND e.source IN (SELECT packages FROM requests)
-  UNION
-  SELECT w.start, e.target, p.recent_downloads, w.distance + 1
-  FROM dwalk w JOIN dedges e ON w.target = e.source JOIN packages p ON e.target = p.name
-  WHERE w.distance <= {last} AND p.recent_downloads > {base} * pow({growth}, w.distance)
-),
+DOC_WALK_SQL = _steps_sql("dwalk", "dedges", "packages", DOC_WALK,
+                          "(SELECT DISTINCT packages AS start, packages AS target FROM requests)") + """,
 nearest AS (
   SELECT r.request_id, w.target AS package, min(w.distance) AS distance
   FROM requests r JOIN dwalk w ON w.start = r.packages GROUP BY r.request_id, w.target
-)""".format(base=DOC_WALK["base"], growth=DOC_WALK["growth"], last=DOC_WALK["max_distance"] - 1)
+)"""
 
 
 def _blend_sql(floor, tail: str) -> str:
-    return "WITH RECURSIVE " + with_sql(
+    return with_sql(
         D.DOCS_SQL, D.SEARCH_PACKAGES_SQL, D.DOC_EDGES_SQL,
         __import__("folio.plans.catalog", fromlist=["x"]).AUTOCOMPLETE_CORPUS_SQL,
         O.requests_sql(BLEND_REQUESTS), O.clauses_sql(("title",)), TRIGRAM_SQL, DOC_WALK_SQL, f"""
@@ -354,14 +352,15 @@ brows AS (
     CAST(n.distance AS BIGINT) AS distance
   FROM tranks r JOIN docs d ON r.id = d.id JOIN packages p ON d.package = p.name AND p.recent_downloads > {floor}
   LEFT JOIN nearest n ON n.request_id = r.request_id AND n.package = d.package
-)""")[5:] + tail
+)""") + tail
 
 
 def _tranks(spark, sf, rows):
     reqs = R.requests_frame(spark, rows)
     c = R.clauses(reqs)
     meta = R.request_meta(reqs, c, allowed_fields=("title",))
-    return reqs, RK.bm25_trigram(RK.trigram_rows(_acorpus(spark, sf)), c, meta)
+    from folio.plans.catalog import _index
+    return reqs, RK.bm25_trigram(_index(spark, sf, "atitles"), c, meta, tri_index=_index(spark, sf, "atrigrams"))
 
 
 def _nearest(spark, sf, reqs):

@@ -13,6 +13,12 @@ from folio.sources import testdata as D
 
 with_sql = D.with_sql
 
+
+def _index_ctes() -> tuple[str, str]:
+    from folio.plans import oracle as O
+    return O.IDX_SQL, O.POSTINGS_SQL
+
+
 VEC_MIN, VEC_ALWAYS = 125_000, ["src1", "src2"]
 STATS_MIN = 110_000
 SELECT_MIN = 110_000
@@ -89,23 +95,26 @@ def _knn(spark, sf):
 
 
 @register("knn_exact", with_sql(D.DOCS_SQL, KNN_SQL) + """
-SELECT k.query_id, k.rk, k.id, d.title, d.ref, d.package, round(k.similarity, 6) AS similarity
+SELECT k.query_id, k.rk, k.id, d.title, d.ref, d.package, d.doc, round(k.similarity, 6) AS similarity
 FROM knn k JOIN docs d ON d.id = k.id""")
 def q_knn_exact(spark, sf):
     _, knn = _knn(spark, sf)
-    d = D.docs(spark, sf).select("id", "title", "ref", "package")
+    d = D.docs(spark, sf).select("id", "title", "ref", "package", "doc")
     # query_id is the label of the centroid; keep the label's own type.
     return knn.join(d, "id").select(F.col("query_id").cast("int").alias("query_id"), "rk", "id", "title", "ref",
-                                    "package", F.round("similarity", 6).alias("similarity"))
+                                    "package", "doc", F.round("similarity", 6).alias("similarity"))
 
 
 @register("knn_lsh")
 def q_knn_lsh(spark, sf):
+    """Every vector of the table as a query's neighbour, with the share of rows ranked and the recall."""
     q, exact = _knn(spark, sf)
-    approx = V.knn_lsh(q, D.vectors(spark, sf), 10)
-    rec = V.recall(approx, exact)
-    return approx.join(rec, "query_id").select("query_id", "rk", "id", F.round("similarity", 6).alias("similarity"),
-                                               "recall")
+    vec = D.vectors(spark, sf)
+    approx = V.knn_lsh(q, vec, 10)
+    total = vec.agg(F.count("embedding").alias("total"))
+    return approx.join(V.recall(approx, exact), "query_id").join(total).select(
+        "query_id", "rk", "id", F.round("similarity", 6).alias("similarity"), "recall",
+        (F.col("candidates") / F.col("total")).alias("candidate_share"))
 
 
 # ------------------------------------------------------------------ A1-A10, K5
@@ -165,6 +174,37 @@ def q_ingest_items(spark, sf):
     return I.parse_items(_items_json(spark, sf))
 
 
+def _doc_files(spark, sf):
+    """A JSON file a document, of five kinds: a list of items, one with a bare ``<<...>>`` body, one with an illegal
+    escape, one cut short and one without items."""
+    d = D.docs(spark, sf)
+    items = F.to_json(F.struct(F.array(F.struct("doc", "ref", "title", "type")).alias("items")))
+    bare = F.concat(F.lit('{"items":[{"doc":<<65, '), F.col("id").cast("string"), F.lit('>>,"ref":"'), "ref",
+                    F.lit('","title":"t","type":"task"}]}'))
+    escape = F.replace(items, F.lit('"ref":"'), F.lit('"ref":"\\a'))
+    kind = F.col("id") % 5
+    text = F.when(kind == 0, items).when(kind == 1, bare).when(kind == 2, escape) \
+        .when(kind == 3, F.expr("substring(whole, 1, length(whole) - 5)")).otherwise('{"other":1}')
+    return d.withColumn("whole", items).select("package", F.concat("ref", F.lit(".json")).alias("file"), text.alias("json"))
+
+
+@register("ingest_docs_repair", with_sql(D.DOCS_SQL) + """
+SELECT package, CASE id % 5 WHEN 2 THEN 'a' || ref ELSE ref END AS ref, CASE id % 5 WHEN 1 THEN 't' ELSE title END AS title,
+  CASE id % 5 WHEN 1 THEN 'task' ELSE type END AS type, CASE id % 5 WHEN 1 THEN '<<65, ' || id || '>>' ELSE doc END AS doc,
+  NULL AS context
+FROM docs WHERE id % 5 < 3
+UNION ALL
+SELECT package, ref || '.json', NULL, NULL, NULL,
+  CASE id % 5 WHEN 3 THEN right(left('"type":"' || type || '"}]}', -5), 10) ELSE right('{"other":1}', 10) END
+FROM docs WHERE id % 5 >= 3""")
+def q_ingest_docs_repair(spark, sf):
+    """Items of the files that can be read or repaired, and the files that cannot, with the text round the error."""
+    items, bad = I.items_with_repair(_doc_files(spark, sf))
+    none = F.lit(None).cast("string")
+    return items.select("package", "ref", "title", "type", "doc", none.alias("context")).unionByName(bad.select(
+        "package", F.col("file").alias("ref"), none.alias("title"), none.alias("type"), none.alias("doc"), "context"))
+
+
 def _broken_events(spark, sf):
     e = D.table(spark, sf, "events").select("event_id", "event_type", "props")
     body = F.expr("substring(props, 1, length(props) - 1)")
@@ -204,7 +244,7 @@ def q_ingest_repair(spark, sf):
 
 
 @register("ingest_quarantine", with_sql(BROKEN_SQL) + """
-SELECT event_id, json, substr(json, 1, 20) AS context FROM fixed WHERE NOT json_valid(fj)""")
+SELECT event_id, json, right(json, 10) AS context FROM fixed WHERE NOT json_valid(fj)""")
 def q_ingest_quarantine(spark, sf):
     return I.quarantine(I.parse_with_repair(_broken_events(spark, sf), EVENT_SCHEMA))
 
@@ -247,56 +287,119 @@ def _selected(spark, sf):
     return I.select_packages(D.search_packages(spark, sf), SELECT_MIN)
 
 
-INDEX_AGG_SQL = """
-SELECT package, count(*) AS n_postings, min(id) AS min_id, max(id) AS max_id,
-  count(DISTINCT term) AS n_terms FROM postings
-WHERE package IN (SELECT name FROM packages WHERE recent_downloads > {m}) GROUP BY package"""
+POSTING = ["package", "id", "col", "pos", "term"]
 
 
-def _index_agg(df):
-    return df.groupBy("package").agg(F.count(F.lit(1)).alias("n_postings"), F.min("id").alias("min_id"),
-                                     F.max("id").alias("max_id"), F.countDistinct("term").alias("n_terms"))
+def _postings_out(df):
+    return df.select("package", "id", F.col("col").cast("int").alias("col"), F.col("pos").cast("bigint").alias("pos"), "term")
 
 
-def _postings_sql():
+def _postings_sql(where: str) -> str:
     from folio.plans import oracle as O
-    return with_sql(D.DOCS_SQL, D.SEARCH_PACKAGES_SQL, O.IDX_SQL, O.POSTINGS_SQL)
+    return with_sql(D.DOCS_SQL, D.SEARCH_PACKAGES_SQL, O.IDX_SQL, O.POSTINGS_SQL) + f"""
+SELECT package, id, col, pos, term FROM postings WHERE {where}"""
 
 
-@register("index_roundtrip", _postings_sql() + INDEX_AGG_SQL.format(m=SELECT_MIN))
+IN_SELECTED = f"package IN (SELECT name FROM packages WHERE recent_downloads > {SELECT_MIN})"
+
+
+@register("index_roundtrip", _postings_sql(IN_SELECTED))
 def q_index_roundtrip(spark, sf):
     path = IX.scratch_path(spark, "index")
     IX.build_search_index(D.docs(spark, sf), path, _selected(spark, sf))
-    return _index_agg(IX.read_index(spark, path))
+    return _postings_out(IX.read_index(spark, path))
 
 
-@register("index_all_packages", _postings_sql() + INDEX_AGG_SQL.format(m=-1))
+@register("index_rebuild", _postings_sql(IN_SELECTED))
+def q_index_rebuild(spark, sf):
+    """A second build with fewer packages leaves none of the first one's."""
+    path = IX.scratch_path(spark, "rebuild")
+    IX.build_search_index(D.docs(spark, sf), path)
+    IX.build_search_index(D.docs(spark, sf), path, _selected(spark, sf))
+    return _postings_out(IX.read_index(spark, path))
+
+
+@register("index_all_packages", _postings_sql("true"))
 def q_index_all_packages(spark, sf):
     path = IX.scratch_path(spark, "index-all")
     IX.build_search_index(D.docs(spark, sf), path, partitioned=False)
-    return _index_agg(IX.read_index(spark, path))
+    return _postings_out(IX.read_index(spark, path))
+
+
+@register("index_terms", with_sql(D.DOCS_SQL, *_index_ctes()) + """
+SELECT 'term' AS part, package, id, col, term, count(*) AS n FROM postings GROUP BY ALL
+UNION ALL SELECT 'vocab', package, NULL, NULL, term, count(*) FROM (SELECT DISTINCT package, id, col, term FROM postings) s
+GROUP BY package, term
+UNION ALL SELECT 'length', package, id, NULL, NULL, len(tt) + len(dt) FROM ptok""")
+def q_index_terms(spark, sf):
+    """The tables derived from the postings: terms with their counts, the vocabulary, row lengths."""
+    path = IX.scratch_path(spark, "terms")
+    IX.build_search_index(D.docs(spark, sf), path)
+    null = lambda t: F.lit(None).cast(t)
+    rows = lambda part, table, *cols: IX.read_index(spark, path, table).select(F.lit(part).alias("part"), "package", *cols)
+    return rows("term", "terms", "id", F.col("col").cast("int").alias("col"), "term", F.col("tf").alias("n")).union(
+        rows("vocab", "vocab", null("bigint"), null("int"), "term", "docs")).union(
+        rows("length", "lengths", "id", null("int"), null("string"), "dl"))
 
 
 @register("index_raw_titles", with_sql(D.DOCS_SQL, D.SEARCH_PACKAGES_SQL) + f"""
-SELECT package, count(*) AS n_postings, min(id) AS min_id, max(id) AS max_id, count(DISTINCT term) AS n_terms
-FROM (SELECT package, id, unnest(regexp_extract_all(strip_accents(lower(title)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'))
-      AS term FROM docs
-      UNION ALL
-      SELECT package, id, unnest(regexp_extract_all(strip_accents(lower(doc)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+'))
-      FROM docs) s
-WHERE package IN (SELECT name FROM packages WHERE recent_downloads > {SELECT_MIN}) GROUP BY package""")
+SELECT package, id, col, CAST(generate_subscripts(toks, 1) - 1 AS BIGINT) AS pos, unnest(toks) AS term FROM (
+  SELECT package, id, 0 AS col, regexp_extract_all(strip_accents(lower(title)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') AS toks FROM docs
+  UNION ALL
+  SELECT package, id, 1, regexp_extract_all(strip_accents(lower(doc)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+') FROM docs) s
+WHERE {IN_SELECTED}""")
 def q_index_raw_titles(spark, sf):
     path = IX.scratch_path(spark, "index-raw")
     IX.build_search_index(D.docs(spark, sf), path, _selected(spark, sf), raw_titles=True)
-    return _index_agg(IX.read_index(spark, path))
+    return _postings_out(IX.read_index(spark, path))
 
 
-@register("index_titles_roundtrip", with_sql(D.DOCS_SQL, D.SEARCH_PACKAGES_SQL) + f"""
-SELECT package, count(*) AS n_titles, min(id) AS min_id, max(id) AS max_id FROM docs
-WHERE package IN (SELECT name FROM packages WHERE recent_downloads > {SELECT_MIN}) GROUP BY package""")
+@register("index_titles_roundtrip", with_sql(D.DOCS_SQL, D.SEARCH_PACKAGES_SQL, *_index_ctes()[:1]) + f"""
+SELECT package, id, ititle, ref, type FROM idx WHERE {IN_SELECTED}""")
 def q_index_titles_roundtrip(spark, sf):
     path = IX.scratch_path(spark, "titles")
     IX.build_title_index(D.docs(spark, sf), path, _selected(spark, sf))
-    t = IX.read_index(spark, path, "titles")
-    return t.groupBy("package").agg(F.count(F.lit(1)).alias("n_titles"), F.min("id").alias("min_id"),
-                                    F.max("id").alias("max_id"))
+    return IX.read_index(spark, path, "titles").select("package", "id", "ititle", "ref", "type")
+
+
+@register("index_titles_only", with_sql(D.DOCS_SQL, *_index_ctes()[:1]) + """
+SELECT package, id, ititle, tri FROM (SELECT package, id, ititle, lower(ititle) AS lt,
+  unnest(list_distinct(list_transform(range(1, length(lower(ititle)) - 1), lambda i: substr(lower(ititle), i, 3)))) AS tri
+  FROM idx) s""")
+def q_index_titles_only(spark, sf):
+    """The normalised titles without ref and type, joined to their trigrams."""
+    path = IX.scratch_path(spark, "titles-only")
+    IX.build_title_index(D.docs(spark, sf), path, with_ref=False)
+    titles = IX.read_index(spark, path, "titles")
+    assert "ref" not in titles.columns and "type" not in titles.columns
+    return titles.join(IX.read_index(spark, path, "trigrams"), ["package", "id"]).select("package", "id", "ititle", "tri")
+
+
+DAMAGED_SQL = """
+damaged AS (SELECT id, package, ref, CASE id % 7 WHEN 0 THEN 'widget' WHEN 1 THEN NULL ELSE type END AS type,
+  CASE WHEN id % 11 <> 0 THEN title END AS title, doc FROM docs)"""
+
+
+@register("docs_quarantine", with_sql(D.DOCS_SQL, DAMAGED_SQL) + """
+SELECT id, CASE WHEN type IS NULL THEN 'null type' WHEN type = 'widget' THEN 'unknown type'
+  WHEN title IS NULL THEN 'null title' ELSE 'indexed' END AS state FROM damaged""")
+def q_docs_quarantine(spark, sf):
+    """Every row of a damaged table is in the index or, with the reason, in its quarantine."""
+    kind = F.col("id") % 7
+    d = D.docs(spark, sf).withColumn("type", F.when(kind == 0, "widget").when(kind != 1, F.col("type"))) \
+        .withColumn("title", F.when(F.col("id") % 11 != 0, F.col("title")))
+    path = IX.scratch_path(spark, "damaged")
+    IX.build_search_index(d, path)
+    return IX.read_index(spark, path, "docs").select("id", F.lit("indexed").alias("state")).union(
+        IX.read_index(spark, path, "quarantine").select("id", F.col("reason").alias("state")))
+
+
+@register("serving_quarantine", with_sql(D.DOCS_SQL, DAMAGED_SQL) + """
+SELECT id, CASE WHEN type IS NULL THEN 'null type' WHEN title IS NULL THEN 'null title' ELSE 'served' END AS state FROM damaged""")
+def q_serving_quarantine(spark, sf):
+    """Every row is served or rejected with the first column that is null."""
+    kind = F.col("id") % 7
+    d = D.docs(spark, sf).withColumn("type", F.when(kind == 0, "widget").when(kind != 1, F.col("type"))) \
+        .withColumn("title", F.when(F.col("id") % 11 != 0, F.col("title")))
+    return I.serving_docs(d).select("id", F.lit("served").alias("state")).union(
+        I.serving_quarantine(d).select("id", F.col("reason").alias("state")))

@@ -5,19 +5,22 @@ An index is a set of parquet tables in a folder:
 * ``postings/`` ``(package, id, col, pos, term)`` partitioned by ``package`` and
   sorted by ``term`` inside each file, so a term lookup prunes partitions and
   row groups (min/max statistics);
-* ``terms/`` ``(package, id, col, term)``: each distinct term of a column once,
-  for single-word clauses; ``vocab/`` ``(package, term, docs)`` for prefix
-  expansion;
+* ``terms/`` ``(package, id, col, term, tf)``: each distinct term of a column once,
+  for single-word clauses; ``lengths/`` ``(package, id, dl)``: tokens of every indexed row;
+  ``vocab/`` ``(package, term, docs)`` for prefix expansion;
 * ``docs/`` ``(package, id, ref, type, title, doc)`` partitioned by ``package``
   (bodies are stored once; postings refer to them by id);
 * ``titles/`` ``(package, id, ititle, ref, type)`` for autocomplete and
-  ``trigrams/`` ``(package, id, tri)``, its trigram index.
-
-One Spark job builds every package at once. Rows are range-partitioned on
-``(package, term)`` (or ``(package, id)``): the sampled range boundaries split
-a package holding a large share of all rows over many tasks, and every file
-covers a narrow, sorted term range. Writes are whole-folder overwrites, so a
-rebuild is idempotent.
+  ``trigrams/`` ``(package, id, tri)``, its trigram index;
+* ``atitles/`` ``(id, package, lt, dl)`` and ``atrigrams/`` ``(package, id, tri)``: the
+  autocomplete corpus (B5) for title BM25.
+
+Rows are range-partitioned on ``(package, term, id)`` (or ``(package, id)``): the sampled
+borders split a package, and a term, that holds a large share of all rows over
+many tasks, and every file covers a narrow, sorted range. Each build writes
+new folders and becomes visible with one commit row at the end: readers never see
+half a build, nor packages of an earlier one. Rows that the title rules reject are
+written to ``quarantine/`` with the reason: rows in = indexed + quarantined.
 """
 
 from __future__ import annotations
@@ -27,63 +30,96 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark import StorageLevel
-
-from folio.operators.analysis import indexable, postings_of, term_docs_of, token_arrays
+from folio.operators.analysis import index_fault, indexable, postings, quarantine, term_docs_of
 from folio.operators.match import title_trigrams
+from folio.operators.rank import row_trigrams, trigram_rows
 from folio.session import checkpoint_dir
 
 
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder (never machine-local)."""
+    """A fresh folder under the shared checkpoint folder (never machine-local on a cluster)."""
     return f"{checkpoint_dir(spark).rstrip('/')}/folio-{name}-{uuid.uuid4().hex[:12]}"
 
 
+class _Build:
+    """Tables of one index build; ``commit`` makes them the current ones."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.version, self.tables = spark, path, uuid.uuid4().hex, []
+
+    def write(self, name: str, table: DataFrame, order: list[str], by: str | None = "package") -> DataFrame:
+        laid = table.repartitionByRange(*order).sortWithinPartitions(*order).write
+        (laid.partitionBy(by) if by else laid).parquet(f"{self.path}/{name}/{self.version}")
+        self.tables.append(name)
+        return self.spark.read.parquet(f"{self.path}/{name}/{self.version}")
+
+    def commit(self) -> None:
+        last = _commits(self.spark, self.path)
+        turn = (last.agg(F.max("turn")).first()[0] or 0) + 1 if last is not None else 1
+        rows = [(t, self.version, turn) for t in self.tables]
+        self.spark.createDataFrame(rows, "table string, version string, turn bigint").coalesce(1) \
+            .write.mode("append").parquet(f"{self.path}/commits")
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.parquet(f"{path}/commits") if there else None
+
+
+def _selected(docs: DataFrame, packages: DataFrame | None) -> DataFrame:
+    if packages is None:
+        return docs
+    return docs.join(packages.select(F.col("name").alias("package")), "package", "left_semi")
+
+
 def build_search_index(docs: DataFrame, path: str, packages: DataFrame | None = None,
                        stem: bool = False, raw_titles: bool = False, partitioned: bool = True) -> None:
-    """Write postings (+ docs) for the selected packages."""
-    if packages is not None:
-        docs = docs.join(packages.select(F.col("name").alias("package")), "package", "left_semi")
-    # Tokenise once: both tables (and the range sampling of both writes) read
-    # the persisted token arrays; lost blocks are recomputed from lineage.
-    arrays = token_arrays(docs, stem=stem, raw_titles=raw_titles).persist(StorageLevel.MEMORY_AND_DISK)
-    for name, table in (("postings", postings_of(arrays)), ("terms", term_docs_of(arrays))):
-        laid = (table.repartitionByRange("package", "term").sortWithinPartitions("package", "term")
-                if partitioned else table.repartitionByRange("term").sortWithinPartitions("term"))
-        w = laid.write.mode("overwrite")
-        (w.partitionBy("package") if partitioned else w).parquet(f"{path}/{name}")
-    arrays.unpersist()
-    # Per-package vocabulary (C5 per package) from the written terms table:
-    # expands prefix clauses without touching the postings.
-    vocab = (spark_of(docs).read.parquet(f"{path}/terms").groupBy("package", "term")
-             .agg(F.count(F.lit(1)).alias("docs")))
-    vl = vocab.repartitionByRange("package", "term").sortWithinPartitions("package", "term").write.mode("overwrite")
-    (vl.partitionBy("package") if partitioned else vl).parquet(f"{path}/vocab")
-    d = docs.select("package", "id", "ref", "type", "title", "doc")
-    (d.repartitionByRange("package", "id").sortWithinPartitions("package", "id")
-     .write.mode("overwrite").partitionBy("package").parquet(f"{path}/docs"))
-
-
-def build_title_index(docs: DataFrame, path: str, packages: DataFrame | None = None) -> None:
-    """Normalised titles with ref and type, per package."""
-    if packages is not None:
-        docs = docs.join(packages.select(F.col("name").alias("package")), "package", "left_semi")
-    t = indexable(docs).select("package", "id", "ititle", "ref", "type")
-    (t.repartitionByRange("package", "id").sortWithinPartitions("package", "id")
-     .write.mode("overwrite").partitionBy("package").parquet(f"{path}/titles"))
-    tri = title_trigrams(t)
-    (tri.repartitionByRange("package", "tri").sortWithinPartitions("package", "tri")
-     .write.mode("overwrite").partitionBy("package").parquet(f"{path}/trigrams"))
+    """Write postings, terms, lengths, vocabulary, documents and quarantine
+    for the selected packages (``partitioned=False``: one cross-package order, by term)."""
+    docs = _selected(docs, packages)
+    build, by = _Build(docs.sparkSession, path), "package" if partitioned else None
+    order = ["package", "term", "id"] if partitioned else ["term", "package", "id"]
+    # Tokenised once: what follows is derived from the written postings.
+    found = build.write("postings", postings(docs, stem, raw_titles), order, by)
+    terms = build.write("terms", term_docs_of(found), order, by)
+    build.write("vocab", terms.groupBy("package", "term").agg(F.count(F.lit(1)).alias("docs")), order[:2], by)
+    rows = (docs if raw_titles else docs.where(index_fault().isNull())).select("package", "id")
+    counted = terms.groupBy("package", "id").agg(F.sum("tf").alias("dl"))
+    build.write("lengths", rows.join(counted, ["package", "id"], "left").select(
+        "package", "id", F.coalesce("dl", F.lit(0)).alias("dl")), ["package", "id"], by)
+    kept = docs if raw_titles else docs.where(index_fault().isNull())
+    build.write("docs", kept.select("package", "id", "ref", "type", "title", "doc"), ["package", "id"])
+    if not raw_titles:
+        build.write("quarantine", quarantine(docs), ["package", "id"], None)
+    build.commit()
+
+
+def build_title_index(docs: DataFrame, path: str, packages: DataFrame | None = None,
+                      with_ref: bool = True) -> None:
+    """Normalised titles, with ref and type or without, per package, and their trigrams."""
+    docs = _selected(docs, packages)
+    build = _Build(docs.sparkSession, path)
+    t = indexable(docs).select("package", "id", "ititle", *(["ref", "type"] if with_ref else []))
+    titles = build.write("titles", t, ["package", "id"])
+    build.write("trigrams", title_trigrams(titles), ["package", "tri", "id"])
+    build.commit()
+
+
+def build_autocomplete_index(corpus: DataFrame, path: str) -> None:
+    """The autocomplete corpus ``(id, package, atitle)`` for title BM25 and its trigrams, in one order over all packages."""
+    build = _Build(corpus.sparkSession, path)
+    rows = build.write("atitles", trigram_rows(corpus), ["id"], None)
+    build.write("atrigrams", row_trigrams(rows), ["tri", "id"], None)
+    build.commit()
 
 
 def read_index(spark: SparkSession, path: str, table: str = "postings",
                packages: list[str] | None = None) -> DataFrame:
-    """Read an index table; a package list becomes a partition filter."""
-    df = spark.read.parquet(f"{path}/{table}")
+    """Read the current version of an index table; a package list becomes a partition filter."""
+    version = spark.read.parquet(f"{path}/commits").where(F.col("table") == table) \
+        .orderBy(F.desc("turn")).first()["version"]
+    df = spark.read.parquet(f"{path}/{table}/{version}")
     if packages is not None:
         df = df.where(F.col("package").isin(packages))
     return df

@@ -7,6 +7,7 @@ when both implement the rule.
 
 from __future__ import annotations
 
+from folio.functions.titles import CODE_TYPES, PAGE_TYPES
 from folio.sources.testdata import DOCS_SQL, with_sql
 
 TOKEN_RE = r"[\p{L}\p{N}\p{Co}]+"
@@ -18,6 +19,10 @@ def q(s: str | None) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def strings(values: list[str]) -> str:
+    return ", ".join(q(v) for v in values)
+
+
 def extras_sql(title: str, glue: str = "") -> str:
     parts = f"string_split({title}, ' - ')"
     return (f"(CASE WHEN len({parts}) = 1 THEN {title} "
@@ -25,10 +30,10 @@ def extras_sql(title: str, glue: str = "") -> str:
 
 
 def index_title_sql(type_: str = "type", title: str = "title") -> str:
-    return (f"(CASE WHEN {type_} IN ('function','callback','macro','macrocallback','opaque','type') THEN "
+    return (f"(CASE WHEN {type_} IN ({strings(CODE_TYPES)}) THEN "
             f"(CASE WHEN contains({title}, ' - ') THEN {extras_sql(title)} "
             f"ELSE string_split({title}, '.')[-1] END) "
-            f"WHEN {type_} IN ('behaviour','exception','extras','module','protocol') THEN {extras_sql(title)} "
+            f"WHEN {type_} IN ({strings(PAGE_TYPES)}) THEN {extras_sql(title)} "
             f"WHEN {type_} = 'task' THEN {title} END)")
 
 
@@ -99,8 +104,8 @@ c2 AS (
   FROM (SELECT *, CASE WHEN kind = 'optional' THEN seg ELSE substr(seg, 2) END AS body FROM c1) s
 ),
 c3 AS (
-  SELECT *, regexp_extract(stripped, '^((?:title:|doc:)*)(.*)$', 1) AS prefixes,
-    regexp_extract(stripped, '^((?:title:|doc:)*)(.*)$', 2) AS rest,
+  SELECT *, regexp_extract(stripped, '(?s)^((?:title:|doc:)*)(.*)$', 1) AS prefixes,
+    regexp_extract(stripped, '(?s)^((?:title:|doc:)*)(.*)$', 2) AS rest,
     regexp_extract(stripped, '^(title|doc):', 1) AS first_field
   FROM c2
 ),
@@ -210,9 +215,57 @@ results AS (
 )"""
 
 
-def search_sql(rows, k: int = 25) -> str:
-    return with_sql(DOCS_SQL, IDX_SQL, POSTINGS_SQL, requests_sql(rows), clauses_sql(), MATCH_SQL,
-                    SEARCH_SQL.format(k=k))
+def _measure(stem: str, least: int) -> str:
+    """SQL: the stem has at least ``least`` vowel-consonant sequences."""
+    seq = "[aeiouy][aeiou]*[^aeiou][^aeiouy]*"
+    return f"regexp_matches({stem}, '^([^aeiou][^aeiouy]*)?{seq * least}')"
+
+
+def _ending(step: int, rules: list[tuple[str, str, str]], w: str = "w") -> str:
+    """SQL of a step: of the suffixes of a word the longest decides; (suffix, condition on the stem s, result)."""
+    whens = []
+    for suffix, test, result in sorted(rules, key=lambda r: -len(r[0])):
+        stem = f"left({w}, -{len(suffix)})"
+        whens.append(f"WHEN ends_with({w}, '{suffix}') THEN CASE WHEN {test.replace('s~', stem)} THEN {result.replace('s~', stem)} ELSE {w} END")
+    return f"p{step} AS (SELECT term, CASE {' '.join(whens)} ELSE {w} END AS w FROM p{step - 1})"
+
+
+def stems_sql(terms: str) -> str:
+    """stems(term, stem) of the words that ``terms`` selects, by the steps of Porter's paper."""
+    vowel = "regexp_matches(s~, '^([^aeiou][^aeiouy]*)?[aeiouy]')"
+    short = "regexp_matches({0}, '^[^aeiou][^aeiouy]*[aeiouy][^aeiouwxy]$') AND ascii(right({0}, 1)) < 128"
+    m1 = f"({_measure('s~', 1)} AND NOT {_measure('s~', 2)})"
+    swap = lambda rules, least: [(a, _measure("s~", least), f"s~ || '{b}'") for a, b in rules]
+    from folio.functions.porter import STEP2, STEP3, STEP4
+    step4 = [(x, ("right(s~, 1) IN ('s', 't') AND " if x == "ion" else "") + _measure("s~", 2), "s~") for x in STEP4]
+    return ",\n".join([
+        f"p0 AS (SELECT term, term AS w FROM ({terms}) t)",
+        _ending(1, [("sses", "true", "s~ || 'ss'"), ("ies", "true", "s~ || 'i'"), ("ss", "true", "s~ || 'ss'"), ("s", "true", "s~")]),
+        _ending(2, [("eed", _measure("s~", 1), "s~ || 'ee'"), ("ed", vowel, "s~ || '#'"), ("ing", vowel, "s~ || '#'")]),
+        f"""p3 AS (SELECT term, CASE WHEN NOT ends_with(w, '#') THEN w
+      WHEN regexp_matches(b, '(at|bl|iz)$') THEN b || 'e'
+      WHEN length(b) > 1 AND right(b, 1) = left(right(b, 2), 1) AND ascii(right(b, 1)) < 128
+        AND right(b, 1) NOT IN ('a', 'e', 'i', 'o', 'u', 'y', 'l', 's', 'z') THEN left(b, -1)
+      WHEN {short.format('b')} THEN b || 'e' ELSE b END AS w
+    FROM (SELECT term, w, replace(w, '#', '') AS b FROM p2) x)""",
+        _ending(4, [("y", vowel, "s~ || 'i'")]), _ending(5, swap(STEP2, 1)), _ending(6, swap(STEP3, 1)), _ending(7, step4),
+        _ending(8, [("e", f"({_measure('s~', 2)} OR ({m1} AND NOT ({short.format('s~')})))", "s~")]),
+        f"p9 AS (SELECT term, CASE WHEN ends_with(w, 'll') AND {_measure('w', 2)} THEN left(w, -1) ELSE w END AS w FROM p8)",
+        "stems AS (SELECT term, CASE WHEN octet_length(encode(term)) BETWEEN 3 AND 64 THEN w ELSE term END AS stem FROM p9)"])
+
+
+def search_sql(rows, k: int = 25, stem: bool = False) -> str:
+    if not stem:
+        return with_sql(DOCS_SQL, IDX_SQL, POSTINGS_SQL, requests_sql(rows), clauses_sql(), MATCH_SQL,
+                        SEARCH_SQL.format(k=k))
+    asked = f"SELECT term FROM words UNION SELECT unnest({tokens_sql('text')}) FROM clauses"
+    return with_sql(
+        DOCS_SQL, IDX_SQL, POSTINGS_SQL.replace("postings AS (", "words AS ("), requests_sql(rows), clauses_sql(),
+        stems_sql(asked), "postings AS (SELECT package, id, col, pos, stem AS term FROM words JOIN stems USING (term))",
+        MATCH_SQL.replace("ctx AS (", "ctx0 AS (").replace("ctp AS (", """ctx AS (
+  SELECT c.* REPLACE (coalesce(s.stem, c.token) AS token) FROM ctx0 c LEFT JOIN stems s ON s.term = c.token
+),
+ctp AS ("""), SEARCH_SQL.format(k=k))
 
 
 AUTOCOMPLETE_SQL = """

@@ -5,6 +5,8 @@ Both take a requests table and answer all of it in one Spark job.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,43 +14,30 @@ from folio.functions.titles import type_boost
 from folio.operators.analysis import indexable
 from folio.operators.match import match_documents, substring_matches
 from folio.operators.requests import clauses, request_meta, request_packages
+from folio.session import BROADCAST_ROW_LIMIT, cut_lineage
 
 SEARCH_HITS_PER_PACKAGE = 25
 AUTOCOMPLETE_HITS_PER_PACKAGE = 3
 
 
-MAX_PRUNE_PACKAGES = 10_000
-
+def request_blocks(requests: DataFrame) -> list[DataFrame]:
+    """The batch in blocks whose request-derived tables are small enough to broadcast.
 
-def batch_profile(requests: DataFrame) -> tuple[bool, list[str] | None, bool]:
-    """Two small jobs per batch: a proven upper bound on every request-derived
-    table (a clause token needs at least one character of ``q``, so tokens <=
-    (chars + 1) x packages) and the distinct packages asked for.
+    One small job bounds them: a clause token needs at least one character of ``q``, so a
+    request makes at most (chars + 1) x (packages + 1) rows. A batch under the limit is one block."""
+    dtype = requests.schema["packages"].dataType.typeName()
+    packages = F.col("packages") if dtype == "array" else F.split("packages", ",", -1)
+    size = (F.char_length(F.coalesce("q", F.lit(""))) + 1) * (F.coalesce(F.size(packages), F.lit(0)) + 1)
+    bound = requests.agg(F.sum(size.cast("bigint"))).first()[0] or 0
+    n = -(-bound // BROADCAST_ROW_LIMIT)
+    return [requests] if n <= 1 else [requests.where(F.pmod(F.xxhash64("request_id"), F.lit(n)) == i) for i in range(n)]
 
-    Returns (small enough to broadcast, package list for partition pruning or
-    None when there are too many, whether any request has a '*')."""
-    from folio.session import BROADCAST_ROW_LIMIT
 
-    rp = request_packages(requests)
-    n_pk = rp.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_pk"))
-    per_req = requests.select("request_id", (F.char_length(F.coalesce("q", F.lit(""))) + 1).alias("n_ch")) \
-        .join(n_pk, "request_id", "left")
-    row = per_req.agg(F.sum(F.col("n_ch") * (F.coalesce("n_pk", F.lit(0)) + 1)).alias("bound"),
-                      F.count(F.lit(1)).alias("n_req")).first()
-    has_star = requests.agg(F.max(F.instr(F.coalesce("q", F.lit("")), "*") > 0).alias("s")).first()["s"]
-    bound = max(int(row["bound"] or 0), int(row["n_req"] or 0))
-    # Distinct packages: a partially aggregated set, at most the number of packages.
-    pk = list(rp.agg(F.slice(F.collect_set("package"), 1, MAX_PRUNE_PACKAGES + 1).alias("pk")).first()["pk"] or [])
-    return bound <= BROADCAST_ROW_LIMIT, (pk if len(pk) <= MAX_PRUNE_PACKAGES else None), bool(has_star)
-
-
-def restrict_packages(packages: list[str] | None, *tables: DataFrame | None) -> list[DataFrame | None]:
-    """Static partition pruning: the distinct packages a batch asks for become an
-    ``isin`` filter on each ``package``-partitioned table, so only those folders
-    are listed and read. Without a list the tables stay whole (joins restrict)."""
-    if packages is None:
-        return list(tables)
-    return [None if t is None else t.where(F.col("package").isin(packages)) for t in tables]
+def restrict_packages(packages: DataFrame, *tables: DataFrame | None) -> list[DataFrame | None]:
+    """The tables' rows of the packages asked for. On ``package``-partitioned tables this broadcast semi-join
+    is a dynamic partition filter: only those folders are read."""
+    asked = F.broadcast(packages.select("package").where("package <> ''").distinct())  # request-sized, see request_blocks
+    return [None if t is None else t.join(asked, "package", "left_semi") for t in tables]
 
 
 def base_rank(matches: DataFrame) -> DataFrame:
@@ -70,13 +59,16 @@ def search(requests: DataFrame, docs: DataFrame, postings: DataFrame, stem: bool
     """``(request_id, result_pos, package_pos, package, id, ref, type, title,
     base_rank, boost, rank)`` ordered per request by final rank (stable over
     package order and per-package rank)."""
+    return reduce(DataFrame.unionByName, [
+        _search_block(block, docs, postings, stem, k, terms, vocab) for block in request_blocks(requests)])
+
+
+def _search_block(requests, docs, postings, stem, k, terms, vocab) -> DataFrame:
     c = clauses(requests)
     meta = request_meta(requests, c)
     rp = request_packages(requests)
-    small, pk, has_star = batch_profile(requests)
-    vocab = vocab if has_star else None  # prefix expansion only when a request has a prefix
-    postings, terms, docs, vocab = restrict_packages(pk, postings, terms, docs, vocab)
-    matches = base_rank(match_documents(postings, c, rp, meta, stem, terms, small, vocab))
+    postings, terms, docs, vocab = restrict_packages(rp, postings, terms, docs, vocab)
+    matches = base_rank(match_documents(postings, c, rp, meta, stem, terms, True, vocab))
     top = top_per_package(matches, k, [F.desc("base_rank"), "id"])
     d = docs.select(F.col("package").alias("d_package"), F.col("id").alias("d_id"), "ref", "type", "title")
     joined = top.join(d, (top["package"] == d["d_package"]) & (top["id"] == d["d_id"]))
@@ -93,13 +85,17 @@ def autocomplete(requests: DataFrame, docs: DataFrame, k: int = AUTOCOMPLETE_HIT
                  ) -> DataFrame:
     """first ``k`` title matches per package in id order, packages in request
     order: ``(request_id, result_pos, package_pos, package, id, title, ref, type)``."""
+    titles = titles if titles is not None else indexable(docs, glue)
+    return reduce(DataFrame.unionByName, [
+        _autocomplete_block(block, docs, k, titles, tri_index) for block in request_blocks(requests)])
+
+
+def _autocomplete_block(requests, docs, k, titles, tri_index) -> DataFrame:
     c = clauses(requests)
     meta = request_meta(requests, c, allowed_fields=("title",))
     rp = request_packages(requests)
-    small, pk, _ = batch_profile(requests)
-    titles, tri_index, docs = restrict_packages(pk, titles, tri_index, docs)
-    titles = titles if titles is not None else indexable(docs, glue)
-    matches = substring_matches(titles, c, rp, meta, tri_index=tri_index, small=small)
+    titles, tri_index, docs = restrict_packages(rp, titles, tri_index, docs)
+    matches = substring_matches(titles, c, rp, meta, tri_index=tri_index, small=True)
     top = top_per_package(matches, k, ["id"])
     d = docs.select(F.col("package").alias("d_package"), F.col("id").alias("d_id"), "title", "ref", "type")
     joined = top.join(d, (top["package"] == d["d_package"]) & (top["id"] == d["d_id"]))
@@ -139,20 +135,18 @@ def with_excerpts(results: DataFrame, requests: DataFrame, docs: DataFrame, stem
     result map) to search results; computed only for the rows returned.
 
     An excerpt depends only on the body and the phrase list, so it is computed
-    once per distinct (document, phrases) of the batch and joined back.
+    once per distinct (document, phrases) of the batch and joined back. The
+    results are written once, as both sides of that join read them.
     """
-    from folio.functions.excerpt import excerpt_column
+    from folio.functions.excerpt import excerpts
 
-    r = results.join(request_phrases(requests, stem), "request_id", "left")
+    r = cut_lineage(results.join(request_phrases(requests, stem), "request_id", "left"))
     keys = r.select(F.col("package").alias("k_package"), F.col("id").alias("k_id"),
                     F.col("phrases").alias("k_phrases")).distinct()
+    docs, = restrict_packages(r.select("package"), docs.select("package", "id", "doc"))
     body = docs.select(F.col("package").alias("k_package"), F.col("id").alias("k_id"), "doc")
-    # Either join strategy emits the rows of one document together, so the
-    # per-worker body cache hits without an extra shuffle of bodies.
-    ex = keys.join(body, ["k_package", "k_id"])
-    key = F.concat_ws("/", F.col("k_package"), F.col("k_id").cast("string"))
-    ex = ex.select("k_package", "k_id", "k_phrases",
-                   F.array(excerpt_column(F.col("doc"), F.col("k_phrases"), key, stem, n)).alias("excerpts"))
+    ex = excerpts(keys.join(body, ["k_package", "k_id"]), "doc", "k_phrases", "excerpt", n, stem)
+    ex = ex.select("k_package", "k_id", "k_phrases", F.array("excerpt").alias("excerpts"))
     cond = ((F.col("package") == F.col("k_package")) & (F.col("id") == F.col("k_id"))
             & F.col("phrases").eqNullSafe(F.col("k_phrases")))
     return r.join(ex, cond).drop("k_package", "k_id", "k_phrases", "phrases")

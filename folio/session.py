@@ -20,26 +20,28 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "folio") -> SparkSession:
     """Build (or reuse) a session with the settings this library assumes.
 
-    ``spark.checkpoint.dir`` is left to the cluster; only a local session
-    without one (tests, the bench) gets a private scratch folder.
+    Only a local session (tests, the bench) gets a size: shuffle partitions, driver
+    memory and a private checkpoint folder. On a cluster these are the cluster's.
     """
     master = master or os.environ.get("FOLIO_MASTER", "local[8]")
-    parts = shuffle_partitions or int(os.environ.get("FOLIO_SHUFFLE_PARTITIONS", "8"))
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("FOLIO_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
+    if shuffle_partitions is None and "FOLIO_SHUFFLE_PARTITIONS" in os.environ:
+        shuffle_partitions = int(os.environ["FOLIO_SHUFFLE_PARTITIONS"])
     if master.startswith("local"):
-        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="folio-ckpt-"))
+        shuffle_partitions = shuffle_partitions or 8
+        builder = (builder.config("spark.driver.memory", os.environ.get("FOLIO_DRIVER_MEMORY", "16g"))
+                   .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="folio-ckpt-")))
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
@@ -49,13 +51,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is only read. When a
-    session has none (a local session built elsewhere), a private scratch
-    folder is used for that session.
+    On a cluster this setting names shared storage and is only read; a cluster
+    session without it is an error, as executors would not see each other's
+    files. A local session without it gets a private scratch folder.
     """
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not conf:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="folio-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(conf)

@@ -43,11 +43,22 @@ def parse_stats(raw: DataFrame) -> DataFrame:
                       .alias("recent_downloads"))
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Union, and on a key clash keep the incoming row (newest load wins)."""
-    both = existing.withColumn("_load", F.lit(0)).unionByName(incoming.withColumn("_load", F.lit(1)))
-    w = Window.partitionBy(*key).orderBy(F.desc("_load"))
-    return both.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_load")
+def upsert(existing: DataFrame, incoming: DataFrame, key: list[str], seq: str | None = None) -> DataFrame:
+    """Union, and on a key clash the incoming row wins (newest load).
+
+    ``seq``: a column of ``incoming`` that orders its rows; of several with one
+    key the last in this order wins. It is not part of the result. One
+    aggregate with map-side partial maxima, so a hot key is no hot task.
+    """
+    names = existing.columns
+    order = F.col(seq) if seq else F.lit(0)
+    old = existing.select(F.lit(0).alias("_load"), F.lit(None).cast(incoming.select(order).schema[0].dataType).alias("_seq"),
+                          *names)
+    new = incoming.select(F.lit(1).alias("_load"), order.alias("_seq"), *names)
+    rest = [c for c in names if c not in key]
+    newest = old.unionByName(new).groupBy(*key).agg(
+        F.max(F.struct("_load", "_seq", *rest)).alias("_row"))
+    return newest.select(*[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in names])
 
 
 def add_stdlib(packages: DataFrame, names: list[str] | None = None,
@@ -61,22 +72,20 @@ def add_stdlib(packages: DataFrame, names: list[str] | None = None,
 
 def parse_items(raw: DataFrame, lenient: bool = False) -> DataFrame:
     """A4: ``(package, ref, title, type, doc)`` from ``(package, json)`` where json is
-    ``{"items": [...]}`` or a bare list; a null type becomes ``extras``."""
+    ``{"items": [...]}`` or a bare list; a null type becomes ``extras``. For texts known to be
+    valid; ``items_with_repair`` also hands back what cannot be parsed."""
     opts = LENIENT if lenient else {}
     obj = F.from_json(F.col("json"), ITEMS_OBJECT, opts)
     lst = F.from_json(F.col("json"), ITEMS_LIST, opts)
     items = F.when(F.ltrim(F.col("json")).startswith("["), lst).otherwise(obj["items"])
-    return (raw.select("package", F.explode(items).alias("it"))
-            .select("package", F.col("it.ref").alias("ref"), F.col("it.title").alias("title"),
-                    F.coalesce(F.col("it.type"), F.lit("extras")).alias("type"),
-                    F.col("it.doc").alias("doc")))
+    return _flat_items(raw.select("package", F.explode(items).alias("it")))
 
 
 def repair_json(json: Column) -> Column:
-    """A5 text fixes that parser options do not cover: quote bare ``<<...>>`` doc
-    values and drop the backslash of ``\\#{``."""
-    fixed = F.regexp_replace(json, r'"doc":<<', '"doc":"')
-    fixed = F.regexp_replace(fixed, r'>>,"', '","')
+    """A5 text fixes that parser options do not cover: quote a bare ``<<...>>`` doc
+    value, delimiters included, and drop the backslash of ``\\#{``."""
+    fixed = F.replace(json, F.lit('"doc":<<'), F.lit('"doc":"<<'))
+    fixed = F.replace(fixed, F.lit('>>,"'), F.lit('>>","'))
     return F.replace(fixed, F.lit("\\#{"), F.lit("#{"))
 
 
@@ -101,11 +110,53 @@ def parse_with_repair(raw: DataFrame, schema: T.DataType, json_col: str = "json"
     return df.select(*[c for c in raw.columns], F.when(ok, F.struct(*cols)).alias("parsed"), "repaired")
 
 
+def error_position(json: Column) -> Column:
+    """Where a text that cannot be parsed goes wrong (from 1): its first illegal escape or raw control
+    character, else its end (a text cut short)."""
+    spots = [F.regexp_instr(json, F.lit(p)) for p in (r'\\[^"\\/bfnrtu]', r"[\x00-\x08\x0b\x0c\x0e-\x1f]")]
+    return F.coalesce(F.least(*[F.when(x > 0, x) for x in spots]), F.char_length(json))
+
+
 def quarantine(parsed: DataFrame, json_col: str = "json", width: int = 20) -> DataFrame:
-    """Rows still unparsed after repair, with a slice of their text for context."""
+    """Rows still unparsed after repair, with the text round the error: ``width`` characters
+    of the repaired text, half of them before it."""
+    fixed = repair_json(F.col(json_col))
+    start = F.greatest(error_position(fixed) - width // 2 + 1, F.lit(1))
     return parsed.where(F.col("parsed").isNull()).select(
         *[c for c in parsed.columns if c not in ("parsed", "repaired")],
-        F.substring(F.col(json_col), 1, width).alias("context"))
+        F.substr(fixed, start, F.lit(width)).alias("context"))
+
+
+def items_with_repair(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(package, json, ...)`` rows, one a file -> (items, quarantine).
+
+    Each text is parsed strictly, then repaired and parsed again. ``items`` has
+    ``(package, ref, title, type, doc)`` with a null type as ``extras``; what cannot be
+    parsed, or holds no list of items, is in ``quarantine`` with all columns of
+    ``raw`` and the text round the error. No file is in neither (one with an
+    empty list has no items and is no error).
+    """
+    text = F.trim(F.col("json"))
+    wrapped = raw.withColumn("_text", F.when(text.startswith("["), F.concat(F.lit('{"items":'), text, F.lit("}")))
+                             .otherwise(F.col("json")))
+    parsed = parse_with_repair(wrapped, ITEMS_OBJECT, "_text")
+    parsed = parsed.withColumn("parsed", F.when(F.col("parsed.items").isNotNull(), F.col("parsed")))
+    bad = quarantine(parsed).drop("_text")
+    return _flat_items(parsed.select("package", F.explode("parsed.items").alias("it"))), bad
+
+
+def read_docs_items(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A4-A6 from a folder of JSON files, package name from the file name: (items, quarantine), the latter
+    with the ``file`` it is about."""
+    raw = spark.read.text(path, wholetext=True).select(
+        name_from_file(F.col("_metadata.file_name")).alias("package"), F.col("_metadata.file_path").alias("file"),
+        F.col("value").alias("json"))
+    return items_with_repair(raw)
+
+
+def _flat_items(items: DataFrame) -> DataFrame:
+    return items.select("package", F.col("it.ref").alias("ref"), F.col("it.title").alias("title"),
+                        F.coalesce(F.col("it.type"), F.lit("extras")).alias("type"), F.col("it.doc").alias("doc"))
 
 
 def select_packages(packages: DataFrame, min_downloads: float = 500) -> DataFrame:
@@ -122,7 +173,19 @@ def package_band(packages: DataFrame, low: float = 500, high: float = 2500,
                           & ~F.col("name").like(exclude_like))
 
 
+SERVING = ["id", "ref", "type", "title", "doc"]
+
+
 def serving_docs(docs: DataFrame) -> DataFrame:
     """The serving schema, every column non-null."""
-    cols = ["id", "ref", "type", "title", "doc"]
-    return docs.select(*cols).where(F.greatest(*[F.col(c).isNull() for c in cols]) == F.lit(False))
+    return docs.select(*SERVING).where(serving_fault().isNull())
+
+
+def serving_fault() -> Column:
+    """The first column of the serving schema that is null; null for a row it takes."""
+    return F.coalesce(*[F.when(F.col(c).isNull(), F.lit(f"null {c}")) for c in SERVING])
+
+
+def serving_quarantine(docs: DataFrame) -> DataFrame:
+    """The rows that the serving schema rejects, with the ``reason``."""
+    return docs.withColumn("reason", serving_fault()).where(F.col("reason").isNotNull())

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.text import words
-from folio.functions.titles import DOC_TYPES
+from folio.functions.titles import CODE_TYPES, DOC_TYPES
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -23,26 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- docs
 
-_DOCS: dict[tuple[str, str], DataFrame] = {}
-
-
-def docs(spark: SparkSession, sf_dir: str, cache: bool = True) -> DataFrame:
-    """``docs(id, package, ref, type, title, doc)`` from ``documents``.
-
-    The synthetic titles are a derived table that almost every query reads;
-    it is persisted once per session and folder (memory and disk; lost blocks
-    are recomputed from lineage), so later plans read plain columns instead
-    of re-deriving titles inside every pushed-down predicate.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if cache and key in _DOCS:
-        return _DOCS[key]
-    df = _docs_plan(spark, sf_dir)
-    if cache:
-        from pyspark import StorageLevel
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        _DOCS[key] = df
-    return df
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``docs(id, package, ref, type, title, doc)`` from ``documents``; titles are derived from the text."""
+    return _docs_plan(spark, sf_dir)
 
 
 def _docs_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,32 +62,70 @@ def _docs_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _names(values: list[str]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
 DOCS_SQL = r"""
 docs AS (
   SELECT id, package, ref, type,
     CASE
       WHEN type = 'task' THEN
-        CASE WHEN id % 24 < 12 THEN 'mix ' || lower(w1) || '.' || lower(w2)
+        CASE WHEN id %% 24 < 12 THEN 'mix ' || lower(w1) || '.' || lower(w2)
              ELSE 'Mix.Tasks.' || w1 || '.' || w2 END
-      WHEN type IN ('function','callback','macro','macrocallback','opaque','type') THEN
-        CASE WHEN (id // 12) % 5 = 0 THEN w1 || ' ' || w2 || ' - ' || package
-             ELSE w1 || '.' || w2 || '/' || CAST(id % 4 AS VARCHAR) END
+      WHEN type IN (%(code)s) THEN
+        CASE WHEN (id // 12) %% 5 = 0 THEN w1 || ' ' || w2 || ' - ' || package
+             ELSE w1 || '.' || w2 || '/' || CAST(id %% 4 AS VARCHAR) END
       ELSE
-        CASE WHEN (id // 12) % 3 = 0 THEN w1 || '.' || w2
-             WHEN (id // 12) % 3 = 1 THEN w1 || ' ' || w2 || ' - ' || package
+        CASE WHEN (id // 12) %% 3 = 0 THEN w1 || '.' || w2
+             WHEN (id // 12) %% 3 = 1 THEN w1 || ' ' || w2 || ' - ' || package
              ELSE w1 || ' - ' || w2 || ' - ' || package END
     END AS title,
     doc
   FROM (
     SELECT doc_id AS id, source AS package, source || '.html#' || CAST(doc_id AS VARCHAR) AS ref,
-      (['behaviour','callback','exception','extras','function','macro','macrocallback','module',
-        'opaque','protocol','task','type'])[doc_id % 12 + 1] AS type,
+      ([%(types)s])[doc_id %% 12 + 1] AS type,
       coalesce(regexp_extract_all(text, '[\p{L}\p{N}]+')[1], 'x') AS w1,
       coalesce(regexp_extract_all(text, '[\p{L}\p{N}]+')[2], 'x') AS w2,
       text AS doc
     FROM documents
   ) s
-)"""
+)""" % {"code": _names(CODE_TYPES), "types": _names(DOC_TYPES)}
+
+
+# ---------------------------------------------------------------- requests
+
+def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``requests(request_id, q, packages)``, one a conversation turn: the first words of its text, marked as
+    required, absent, a field or a prefix in turn; some with a quote, a newline or nothing in them."""
+    t = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "conv_id", "turn",
+        F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \\n\\t]+"), F.lit(0)).alias("w"))
+    w = [F.coalesce(F.get("w", i), F.lit("")) for i in range(4)]
+    forms = [[w[0], " ", w[1]], ["+", w[0], " ", w[1]], [w[0], " -", w[1], "  ", w[2]], ["+", w[0], " +", w[1], " -", w[2]],
+             ["title:", w[0], "* ", w[1]], ["doc:", w[0], " title:doc:", w[1]], ["-", w[0]], [w[0], "\n", w[1], ' say"', w[2]],
+             [""], ["* ", w[3], "*x"]]
+    q = F.lit(None).cast("string")
+    for k, parts in enumerate(forms):
+        text = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+        q = F.when(F.col("request_id") % (len(forms) + 1) == k, text).otherwise(q)
+    packages = F.when(F.col("request_id") % 7 != 0, F.concat(
+        F.lit("src"), (F.col("conv_id") % 20).cast("string"), F.lit(",src"), (F.col("turn") % 20).cast("string")))
+    return t.select(F.col("request_id").cast("bigint").alias("request_id"), q.alias("q"), packages.alias("packages"))
+
+
+REQUEST_LOG_SQL = r"""
+turns AS (SELECT conv_id * 1000 + turn AS request_id, conv_id, turn,
+                 list_transform(list_resize(regexp_extract_all(coalesce(text, ''), '[^ \n\t]+'), 4), lambda x: coalesce(x, '')) AS w
+          FROM conversations),
+requests AS (
+  SELECT CAST(request_id AS BIGINT) AS request_id,
+    CASE request_id % 11 WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN '+' || w[1] || ' ' || w[2]
+      WHEN 2 THEN w[1] || ' -' || w[2] || '  ' || w[3] WHEN 3 THEN '+' || w[1] || ' +' || w[2] || ' -' || w[3]
+      WHEN 4 THEN 'title:' || w[1] || '* ' || w[2] WHEN 5 THEN 'doc:' || w[1] || ' title:doc:' || w[2] WHEN 6 THEN '-' || w[1]
+      WHEN 7 THEN w[1] || chr(10) || w[2] || ' say"' || w[3] WHEN 8 THEN '' WHEN 9 THEN '* ' || w[4] || '*x' END AS q,
+    CASE WHEN request_id % 7 <> 0 THEN 'src' || (conv_id % 20) || ',src' || (turn % 20) END AS packages
+  FROM turns)"""
 
 
 # ---------------------------------------------------------------- packages
@@ -159,24 +180,46 @@ edges AS (
 )"""
 
 
+def _name_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(name, parent)`` for each part: its words, its two-word name and that with its type."""
+    p = table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("w"), F.lower("p_type").alias("t"))
+    full = F.array_join("w", "_")
+    return p.select(F.explode(F.array(
+        F.struct(full.alias("name"), F.get("w", 0).alias("parent")),
+        F.struct(F.concat_ws("_", full, "t").alias("name"), full.alias("parent")),
+        F.struct(F.get("w", 0).alias("name"), F.lit(None).cast("string").alias("parent")),
+        F.struct(F.get("w", 1).alias("name"), F.lit(None).cast("string").alias("parent")))).alias("n")) \
+        .select("n.*").where("name <> ''")
+
+
 def package_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``packages(name, recent_downloads)`` for name similarity: part names with '_'
-    for space, plus their single words; downloads = number of part rows."""
-    p = table(spark, sf_dir, "part").select("p_name")
-    full = p.select(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("name"))
-    single = p.select(F.explode(F.split(F.col("p_name"), " ", -1)).alias("name"))
-    return (full.unionByName(single).where(F.col("name") != "")
-            .groupBy("name").agg(F.count(F.lit(1)).alias("recent_downloads")))
+    """``packages(name, recent_downloads)`` for name similarity: the words of part names, part names with '_'
+    for space, and these with the part's type; downloads = number of part rows."""
+    return _name_rows(spark, sf_dir).groupBy("name").agg(F.count(F.lit(1)).alias("recent_downloads"))
 
 
 NAMES_SQL = """
-npackages AS (
-  SELECT name, count(*) AS recent_downloads FROM (
-    SELECT replace(p_name, ' ', '_') AS name FROM part
-    UNION ALL
-    SELECT unnest(string_split(p_name, ' ')) AS name FROM part
-  ) s WHERE name <> '' GROUP BY name
-)"""
+name_rows AS (
+  SELECT replace(p_name, ' ', '_') AS name, split_part(p_name, ' ', 1) AS parent FROM part
+  UNION ALL SELECT replace(p_name, ' ', '_') || '_' || lower(p_type), replace(p_name, ' ', '_') FROM part
+  UNION ALL SELECT unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]), NULL FROM part),
+npackages AS (SELECT name, count(*) AS recent_downloads FROM name_rows WHERE name <> '' GROUP BY name)"""
+
+
+def name_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph over these names: a chain below each parent (a word, a two-word name) of the names that start with
+    it, in order. Names are near their first word, far from it, or, of a second word, never reached."""
+    from pyspark.sql import Window
+
+    n = _name_rows(spark, sf_dir).where("parent is not null").distinct()
+    before = F.lag("name").over(Window.partitionBy("parent").orderBy("name"))
+    return n.select(F.coalesce(before, "parent").alias("source"), F.col("name").alias("target"))
+
+
+NAME_EDGES_SQL = """
+nedges AS (
+  SELECT coalesce(lag(name) OVER (PARTITION BY parent ORDER BY name), parent) AS source, name AS target
+  FROM (SELECT DISTINCT name, parent FROM name_rows WHERE parent IS NOT NULL) s)"""
 
 
 # ---------------------------------------------------------------- vectors
@@ -200,8 +243,8 @@ def doc_package_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     text copied into a third of all rows costs one row per package, and pairs
     are only formed inside each distinct set (bounded by packages squared).
     """
-    d = table(spark, sf_dir, "documents").select(F.xxhash64("text").alias("h"), "text", "source")
-    sets = (d.groupBy("h", "text").agg(F.array_sort(F.collect_set("source")).alias("pk"))
+    d = table(spark, sf_dir, "documents").select(F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"), "source")
+    sets = (d.groupBy("h", "g").agg(F.array_sort(F.collect_set("source")).alias("pk"))
             .where(F.size("pk") > 1).select("pk").distinct())
     a = sets.select("pk", F.explode("pk").alias("source"))
     return (a.select("source", F.explode("pk").alias("target"))
@@ -234,24 +277,3 @@ dgroups AS (
     FROM documents GROUP BY source, lang) s
   WHERE r = 1
 )"""
-
-
-def name_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Graph over part names: an edge between the names of two linked parts."""
-    names = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").cast("string").alias("k"),
-        F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("n"))
-    e = package_edges(spark, sf_dir)
-    return (e.join(names.withColumnRenamed("k", "source").withColumnRenamed("n", "s"), "source")
-            .join(names.withColumnRenamed("k", "target").withColumnRenamed("n", "t"), "target")
-            .where(F.col("s") != F.col("t"))
-            .select(F.col("s").alias("source"), F.col("t").alias("target")).distinct())
-
-
-NAME_EDGES_SQL = """
-nedges AS (
-  SELECT DISTINCT replace(pa.p_name, ' ', '_') AS source, replace(pb.p_name, ' ', '_') AS target
-  FROM edges e JOIN part pa ON e.source = CAST(pa.p_partkey AS VARCHAR)
-  JOIN part pb ON e.target = CAST(pb.p_partkey AS VARCHAR)
-  WHERE replace(pa.p_name, ' ', '_') <> replace(pb.p_name, ' ', '_')
-)"""

@@ -2,16 +2,15 @@
 
 Request files (JSON lines ``{"request_id", "q", "packages"}``) arriving in a
 folder are read with Structured Streaming. Each micro-batch is answered by
-the same batch plan as ``folio.plans.search`` against a prebuilt index, and
-results are appended to a parquet sink. Progress and exactly-once file
-tracking live in the checkpoint location, so a restarted query resumes where
-it stopped.
+the same batch plan as ``folio.plans.search`` against a prebuilt index and
+written to a folder of its own in the sink, so a batch that is run again
+replaces its rows. Progress lives in the checkpoint location, so a restarted
+query resumes where it stopped.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from folio.operators.requests import REQUEST_SCHEMA
 from folio.plans.index import read_index
@@ -19,18 +18,18 @@ from folio.plans.search import autocomplete, search, with_excerpts
 
 
 def answer_stream(spark: SparkSession, requests_dir: str, index_path: str, sink_dir: str,
-                  checkpoint: str, kind: str = "search", available_now: bool = True):
-    """Start the streaming query; returns the ``StreamingQuery``."""
+                  checkpoint: str, kind: str = "search", available_now: bool = True, stem: bool = False):
+    """Start the streaming query; returns the ``StreamingQuery``. ``stem``: whether the index is stemmed."""
     stream = spark.readStream.schema(REQUEST_SCHEMA).json(requests_dir)
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        postings = read_index(spark, index_path, "postings")
-        docs = read_index(spark, index_path, "docs")
+        table = lambda name: read_index(spark, index_path, name)
         if kind == "search":
-            res = with_excerpts(search(batch, docs, postings), batch, docs)
+            found = search(batch, table("docs"), table("postings"), stem=stem, terms=table("terms"), vocab=table("vocab"))
+            res = with_excerpts(found, batch, table("docs"), stem=stem)
         else:
-            res = autocomplete(batch, docs)
-        res.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_dir)
+            res = autocomplete(batch, table("docs"), titles=table("titles"), tri_index=table("trigrams"))
+        res.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="5 seconds")

@@ -26,3 +26,14 @@ def test_bfs_and_separation(spark):
     pairs = spark.createDataFrame([("a", "e"), ("a", "a"), ("a", "zz"), ("logger", "e")], "a string, b string")
     sep = {(r.a, r.b): r.degree for r in G.separation(edges, pairs).collect()}
     assert sep == {("a", "e"): 3, ("a", "a"): 0, ("a", "zz"): -1, ("logger", "e"): 1}
+
+
+def test_separation_stops_at_the_levels_asked_for(spark):
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(12)] + [("x", "y")]
+    edges = spark.createDataFrame(chain, "source string, target string")
+    pairs = spark.createDataFrame([("n00", f"n{i:02}") for i in range(13)] + [("n05", "x"), ("y", "x"), ("eex", "n01"), ("n09", "n04")],
+                                  "a string, b string")
+    want = {("n00", f"n{i:02}"): i for i in range(13)} | {("n05", "x"): -1, ("y", "x"): 1, ("eex", "n01"): 1, ("n09", "n04"): 5}
+    assert {(r.a, r.b): r.degree for r in G.separation(edges, pairs).collect()} == want
+    near = {(r.a, r.b): r.degree for r in G.separation(edges, pairs, max_levels=3).collect()}
+    assert near == {k: min(v, 4) for k, v in want.items()}

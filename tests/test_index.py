@@ -49,3 +49,26 @@ def test_batch_split_invariance(spark):
     for x in parts[1:]:
         union = union.unionByName(x)
     assert sorted(whole.collect()) == sorted(union.collect())
+
+
+def test_rebuild_with_fewer_packages_and_quarantine(spark):
+    rows = _rows() + [(100, "p9", "widget", "X", "alpha"), (101, "p9", None, "X", "alpha"), (102, "p9", "module", None, "alpha")]
+    d = docs_frame(spark, rows)
+    path = tempfile.mkdtemp(prefix="folio-ix-test-")
+    IX.build_search_index(d, path)
+    assert sorted((r.id, r.reason) for r in IX.read_index(spark, path, "quarantine").collect()) == [
+        (100, "unknown type"), (101, "null type"), (102, "null title")]
+    assert IX.read_index(spark, path, "docs").count() == len(_rows())
+    IX.build_search_index(d, path, packages=spark.createDataFrame([("p1",)], "name string"))
+    for table in ("postings", "terms", "vocab", "lengths", "docs"):
+        assert {r.package for r in IX.read_index(spark, path, table).select("package").distinct().collect()} == {"p1"}
+
+
+def test_derived_tables(spark):
+    d = docs_frame(spark, [(1, "p", "module", "Alpha", "beta beta alpha"), (2, "p", "module", "X", ""), (3, "p", "module", "!", "!")])
+    path = tempfile.mkdtemp(prefix="folio-ix-test-")
+    IX.build_search_index(d, path)
+    read = lambda t, *c: sorted(tuple(r) for r in IX.read_index(spark, path, t).select(*c).collect())
+    assert read("terms", "id", "col", "term", "tf") == [(1, 0, "alpha", 1), (1, 1, "alpha", 1), (1, 1, "beta", 2), (2, 0, "x", 1)]
+    assert read("lengths", "id", "dl") == [(1, 4), (2, 1), (3, 0)]
+    assert read("vocab", "term", "docs") == [("alpha", 2), ("beta", 1), ("x", 1)]

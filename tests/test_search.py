@@ -4,7 +4,6 @@ import random
 import sqlite3
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import docs_frame
 from folio.operators import analysis as A
@@ -38,7 +37,7 @@ def _fts(rows, tokenizer="unicode61"):
 
 QUERIES = ["query", "alpha beta", "+alpha +beta", "alpha -beta", "gamma +delta", "+of -the", "tr*",
            "title:alpha", "doc:json", "alpha_beta", "the_of_the", "!", "! alpha", "+! alpha", "alpha -!",
-           "embed +title:json", "json -title:query"]
+           "embed +title:json", "json -title:query", "embeds", "transactions queries", "+embedding"]
 
 
 @pytest.fixture(scope="module")
@@ -134,10 +133,41 @@ def test_bm25_golden(spark):
     d = docs_frame(spark, rows)
     reqs = R.requests_frame(spark, [(1, "alpha beta", None)])
     c = R.clauses(reqs)
-    arrays = A.token_arrays(d)
-    lengths = arrays.select("id", (F.size("title_tokens") + F.size("doc_tokens")).alias("dl"))
-    got = {r.id: r.rank for r in bm25_words(A.postings(d), c, R.request_meta(reqs, c), lengths).collect()}
+    got = {r.id: r.rank for r in bm25_words(A.postings(d), A.term_docs(d), A.row_lengths(d), c,
+                                            R.request_meta(reqs, c)).collect()}
     want = {1: -1.267187326814922, 2: -0.915138622893761, 3: -0.730761799608040}
     assert set(got) == set(want)
     for k, v in want.items():
         assert abs(got[k] - v) < 1e-12
+
+
+def test_requests_beyond_one_block(spark, corpus, monkeypatch):
+    from folio.plans import search as S
+    _rows, d, _idx = corpus
+    reqs = R.requests_frame(spark, [(i, q, "p1,p2") for i, q in enumerate(QUERIES)])
+    cols = ["request_id", "result_pos", "id"]
+    whole = sorted(search(reqs, d, A.postings(d)).select(*cols).collect())
+    monkeypatch.setattr(S, "BROADCAST_ROW_LIMIT", 60)
+    assert len(S.request_blocks(reqs)) > 2
+    assert sorted(search(reqs, d, A.postings(d)).select(*cols).collect()) == whole
+
+
+def test_spelling_against_all_pairs(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(120)})
+    vocab = [(w, rng.randrange(2, 9)) for w in words[::2]]
+    got = A.spell_candidates(spark.createDataFrame([(w,) for w in words[1::2]], "word string"),
+                             spark.createDataFrame(vocab, "term string, doc bigint"), top_k=3).collect()
+    want = []
+    for w in words[1::2]:
+        near = sorted((edits(w, v), -n, v) for v, n in vocab if edits(w, v) <= 2)[:3]
+        want += [(w, v, -n, e, k) for k, (e, n, v) in enumerate(near, 1)]
+    assert sorted((r.word, r.term, r.doc, r.distance, r.rk) for r in got) == sorted(want)
