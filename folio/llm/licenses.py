@@ -57,7 +57,7 @@ NOTICES = [
 
 
 def _shingles(words: str) -> Column:
-    """Hashes of the shingles; a text of fewer words is one shingle, one without words has none."""
+    """Hashes of the shingles; a text of fewer words is one shingle (and so found whole only), one without words has none."""
     n = F.greatest(F.size(words) - (SHINGLE - 1), F.least(F.size(words), F.lit(1)))
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(F.col(words), i, SHINGLE))))
 
@@ -65,7 +65,8 @@ def _shingles(words: str) -> Column:
 def _bands(rows: DataFrame, stride: int, bands: int) -> DataFrame:
     """Rows with ``shingles`` -> a row for each window (from shingle ``p``) and band: ``band`` is its MinHash."""
     starts = F.sequence(F.lit(0), F.greatest(F.size("shingles") - WINDOW + stride - 1, F.lit(0)), F.lit(stride))
-    rows = rows.withColumn("p", F.explode(starts)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(bands))))
+    # Outer: or the optimizer would look for texts without shingles before, and cut each into words twice.
+    rows = rows.withColumn("p", F.explode_outer(starts)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(bands))))
     least = F.least(*[F.when(F.get("shingles", F.col("p") + k).isNotNull(),
                              F.xxhash64(F.get("shingles", F.col("p") + k), F.col("b"))) for k in range(WINDOW)])
     return rows.withColumn("band", F.xxhash64(least, F.col("b"))).where(F.get("shingles", F.col("p")).isNotNull()).drop("b")
@@ -77,9 +78,9 @@ def matches(docs: DataFrame, notices: DataFrame, text_col: str = "text", name_co
     share of a notice's shingles that it has. Null notices are passed over."""
     k1, k2 = text_digest(col(docs, text_col))
     texts = docs.where(col(docs, text_col).isNotNull()).select(k1.alias("k1"), k2.alias("k2"), words_of(col(docs, text_col)).alias("words"))
-    texts = texts.withColumn("shingles", _shingles("words")).drop("words").where(F.col("shingles").isNotNull())
+    texts = texts.withColumn("shingles", _shingles("words")).drop("words")
     known = notices.select(col(notices, name_col).alias("license"), words_of(col(notices, notice_col)).alias("words"))
-    known = known.withColumn("shingles", _shingles("words")).drop("words").where(F.col("shingles").isNotNull())
+    known = known.withColumn("shingles", _shingles("words")).drop("words")
     known = known.withColumn("own", F.array_distinct("shingles"))
     bound = known.agg(F.sum(F.size("shingles"))).first()[0] or 0
     if bound * bands > MAX_BAND_ROWS:

@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import ascii_lower, col, text_digest
+from folio.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 MAX_DOCS = 10
 MAX_SHARE = 0.01
@@ -58,8 +59,8 @@ def base_statistics(rows: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     return rows.withColumn("lines", lines).select(
         *[c for c in rows.columns if c not in ("words", "windows", "by_hash", "like_next", "marked", "places")],
-        F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("bigint").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         F.coalesce(_covered(F.col("places"), WINDOW), F.lit(0)).cast("bigint").alias("n_repeat_words"))
 
@@ -69,11 +70,13 @@ def line_frequency(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     """``(host, k1, k2, removed, total, lines)`` for the texts that lose lines: words in lines above the limits and
     in all lines, summed over the copies of the text, and the hashes of the lines to remove. A null host is a host."""
     k1, k2 = text_digest(col(docs, text_col))
-    rows = docs.select(col(docs, host_col).alias("host"), k1.alias("k1"), k2.alias("k2"),
-                       F.explode(F.split(col(docs, text_col), "\n")).alias("line"))
+    rows = docs.select(col(docs, host_col).alias("host"), k1.alias("k1"), k2.alias("k2"),  # hashed before it is cut
+                       F.split(col(docs, text_col), "\n").alias("all"))
+    rows = rows.select("host", "k1", "k2", F.explode("all").alias("line")).where(F.btrim("line", F.lit(SPACE)) != "")
     rows = rows.select("host", "k1", "k2", F.xxhash64(normal_line(F.col("line"))).alias("line"),
-                       F.regexp_count("line", F.lit(WORD)).alias("words")).where("words > 0")
-    held = rows.groupBy("host", "line", "k1", "k2").agg(F.sum("words").alias("words"))
+                       F.regexp_count("line", F.lit(WORD)).alias("words"))
+    # Written once: the counts and the join below read it.
+    held = cut_lineage(rows.groupBy("host", "line", "k1", "k2").agg(F.sum("words").alias("words")))
     texts = docs.where(col(docs, text_col).isNotNull()).select(col(docs, host_col).alias("host"), k1.alias("k1"), k2.alias("k2"))
     texts = texts.groupBy("host", "k1", "k2").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("texts"))
     freq = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs)

@@ -54,7 +54,7 @@ def test_changed_words_and_parts(spark):
 
 def test_odd_rows(spark, odd, empty):
     df, rows = odd
-    table = spark.createDataFrame([("a", prose(1)[:80]), ("b", None), (None, "one"), ("c", "кириллица 中文"), ("d", "")],
+    table = spark.createDataFrame([("a", prose(1)[:80]), ("b", None), (None, "one"), ("c", "кириллица 中文 words"), ("d", "")],
                                   "license string, notice string")
     got = sorted((str(r.doc_id), r.licenses) for r in L.scan(df, table).collect())
     hit = {i for i, r in enumerate(rows) if r[1] == prose(1)}
