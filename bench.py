@@ -21,7 +21,6 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
-from pyspark.sql import Window  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -33,9 +32,10 @@ def run(df) -> None:
 
 
 def main() -> None:
-    from folio.operators import analysis as A
+    from folio.operators import rank as RK
+    from folio.operators import requests as R
     from folio.plans import index as IX
-    from folio.plans.catalog import QUERIES
+    from folio.plans.catalog import QUERIES, autocomplete_corpus
     from folio.plans.search import autocomplete, search, with_excerpts
     from folio.operators.requests import random_workload
     from folio.session import get_spark
@@ -52,56 +52,43 @@ def main() -> None:
 
     docs = D.docs(spark, SF_DIR)
     path = IX.scratch_path(spark, "bench-index")
-    timed("index_build", lambda: (IX.build_search_index(docs, path), IX.build_title_index(docs, path)))
-    n_post = IX.read_index(spark, path).count()
-    extra["index_postings_per_sec"] = round(n_post / max(times["index_build"], 1e-9), 1)
-
-    # Workload pick-lists derived from the data.
-    # Top-k first (distributed TakeOrderedAndProject), numbering only the few kept rows.
-    top_terms = A.vocabulary(docs).orderBy(F.desc("doc"), "term").limit(13)
-    terms = top_terms.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("doc"), "term")) - 1) \
-        .select(F.col("rank").cast("bigint").alias("rank"), "term")
-    top_pk = D.search_packages(spark, SF_DIR).orderBy(F.desc("recent_downloads"), "name").limit(4)
-    pks = top_pk.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("recent_downloads"), "name")) - 1) \
-        .select(F.col("rank").cast("bigint").alias("rank"), F.col("name").alias("package"))
-    reqs = random_workload(terms, pks, N_REQ, seed=42).cache()
+    timed("index_build", lambda: (IX.build_search_index(docs, path), IX.build_title_index(docs, path),
+                                  IX.build_autocomplete_index(autocomplete_corpus(docs), path)))
+    table = lambda name: IX.read_index(spark, path, name)
+    extra["index_postings_per_sec"] = round(table("postings").count() / max(times["index_build"], 1e-9), 1)
+
+    # Pick-lists derived from the data: the most common terms, the largest packages.
+    terms = table("vocab").groupBy("term").agg(F.sum("docs").alias("doc")).orderBy(F.desc("doc"), "term").limit(13)
+    names = D.search_packages(spark, SF_DIR).orderBy(F.desc("recent_downloads"), "name").limit(4)
+    reqs = random_workload(terms, names.select(F.col("name").alias("package")), N_REQ, seed=42).cache()
     reqs.count()
 
-    postings = IX.read_index(spark, path, "postings")
-    terms_ix = IX.read_index(spark, path, "terms")
-    idocs = IX.read_index(spark, path, "docs")
-
     def do_search():
-        res = search(reqs, idocs, postings, terms=terms_ix, vocab=IX.read_index(spark, path, "vocab"))
-        run(with_excerpts(res, reqs, idocs))
-
-    titles_ix = IX.read_index(spark, path, "titles")
-    tri_ix = IX.read_index(spark, path, "trigrams")
+        res = search(reqs, table("docs"), table("postings"), terms=table("terms"), vocab=table("vocab"))
+        run(with_excerpts(res, reqs, table("docs")))
 
     def do_autocomplete():
-        run(autocomplete(reqs, idocs, titles=titles_ix, tri_index=tri_ix))
+        run(autocomplete(reqs, table("docs"), titles=table("titles"), tri_index=table("trigrams")))
 
-    def do_weighted():
+    def do_weighted(batch):
         # The baseline's query shape: title-trigram BM25 over the autocomplete
         # corpus, ordered by rank / 5 - downloads div 1,000,000, top 10 per request.
-        from folio.operators import rank as RK
-        from folio.operators import requests as R
-        from folio.plans.catalog import autocomplete_corpus
-        c = R.clauses(reqs)
-        meta = R.request_meta(reqs, c, allowed_fields=("title",))
-        ranks = RK.bm25_trigram(RK.trigram_rows(autocomplete_corpus(docs)), c, meta)
-        rows = RK.blend_rows(ranks, docs, D.search_packages(spark, SF_DIR), -1)
+        c = R.clauses(batch)
+        meta = R.request_meta(batch, c, allowed_fields=("title",))
+        ranks = RK.bm25_trigram(table("atitles"), c, meta, tri_index=table("atrigrams"))
+        rows = RK.blend_rows(ranks, table("docs"), D.search_packages(spark, SF_DIR), -1)
         run(RK.blend_downloads(rows, 5.0, 1_000_000, 10))
 
     timed("search_batch", do_search)
     timed("autocomplete_batch", do_autocomplete)
-    timed("weighted_autocomplete_batch", do_weighted)
+    timed("weighted_autocomplete_batch", lambda: do_weighted(reqs))
+    timed("weighted_autocomplete_single", lambda: do_weighted(reqs.limit(1)))
     for name in ("search_batch", "autocomplete_batch", "weighted_autocomplete_batch"):
         extra[name.replace("_batch", "_ms_per_request")] = round(1000 * times[name] / N_REQ, 2)
     extra["search_requests_per_sec"] = round(N_REQ / max(times["search_batch"], 1e-9), 1)
     extra["autocomplete_requests_per_sec"] = round(N_REQ / max(times["autocomplete_batch"], 1e-9), 1)
 
-    for name in ["search", "autocomplete", "bm25", "blend_distance", "pruned_walk", "name_groups",
+    for name in ["search_stemmed", "search", "autocomplete", "bm25", "blend_distance", "pruned_walk", "name_groups",
                  "knn_exact", "vocabulary", "spell_candidates", "ingest_repair"]:
         timed(name, lambda n=name: run(QUERIES[n](spark, SF_DIR)))
 
