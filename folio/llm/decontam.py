@@ -9,8 +9,9 @@ shared run has at least ``span`` words. Items shorter than ``span`` words are
 found whole: all document grams of just their length are joined.
 
 The benchmark side is broadcast, in blocks of at most ``BLOCK_WORDS`` words, so
-the documents are neither shuffled nor grouped; only hits are. Results are keyed
-by a 128-bit digest of the text: copies of a text are one key.
+the documents' fingerprints are not shuffled; hits are, and then the texts that have
+one, to extend them. Results are keyed by a 128-bit digest of the text: copies of a
+text are one key.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import ascii_lower, col, fresh, text_digest
+from folio.session import cut_lineage
 
 SPAN = 10
 GRAM = 5
@@ -33,23 +35,26 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _grams(words: str, n: int) -> Column:
-    """A hash of the n words from each place on; needs at least n words."""
-    return F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(F.col(words), i, n)))
+def _grams(words: str, n: int, least: int | None = None) -> Column:
+    """A hash of the n words from each place on; null for a text of fewer than ``least`` words."""
+    places = F.sequence(F.lit(1), F.size(words) - (n - 1))
+    return F.when(F.size(words) >= (least or n), F.transform(places, lambda i: F.xxhash64(F.slice(F.col(words), i, n))))
 
 
 def winnow(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Rows with ``words`` -> one row for each fingerprint: all columns, ``mark`` (hash) and ``at`` (place)."""
+    """Rows with ``words`` -> one row for each fingerprint: the other columns, ``mark`` (hash) and ``at`` (place)."""
     width = span - gram + 1
-    rows = rows.where(F.size("words") >= span).withColumn("grams", _grams("words", gram))
-    rows = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.size("grams") - width)))
+    keep = [c for c in rows.columns if c != "words"]
+    rows = rows.select(*keep, _grams("words", gram, span).alias("grams"))
+    # Outer: or the optimizer would look for short texts before, and cut each into words twice.
+    rows = rows.withColumn("p", F.explode_outer(F.sequence(F.lit(0), F.size("grams") - width)))
     at = lambda k: F.get("grams", F.col("p") + k)
     rows = rows.withColumns({"mark": F.least(*[at(k) for k in range(width)]),
                              "before": F.least(*[at(k) for k in range(-1, width - 1)])})
     # A window whose leftmost least hash the window before had too adds nothing.
     rows = rows.where((F.col("p") == 0) | (F.col("mark") != F.col("before")) | (at(-1) == F.col("before")))
     place = F.coalesce(*[F.when(at(k) == F.col("mark"), F.col("p") + k) for k in range(width)])
-    return rows.withColumn("at", place).drop("p", "before", "grams")
+    return rows.select(*keep, "mark", place.alias("at"))
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -59,17 +64,17 @@ def _agree(a: Column, b: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
 
 
-def _runs(hits: DataFrame, span: int, gram: int) -> DataFrame:
-    """Hits ``words, at, item_words, item_at`` with the shared run ``[start, stop)`` of document words."""
-    d, i, p, q = F.col("words"), F.col("item_words"), F.col("at"), F.col("item_at")
-    right = F.least(F.size(d) - p, F.size(i) - q) - gram
+def _run(span: int) -> tuple[Column, Column]:
+    """First word and end of the run that ``words`` from ``at`` on and ``item_words`` from ``item_at`` on, ``n`` words,
+    are part of; null ends where these words differ (two hashes were equal by chance)."""
+    d, i, p, q, n = (F.col(c) for c in ("words", "item_words", "at", "item_at", "n"))
+    right = F.least(F.size(d) - p, F.size(i) - q) - n
     left = F.least(p, q)
-    hits = hits.where(F.slice(d, p + 1, gram) == F.slice(i, q + 1, gram))
-    hits = hits.withColumns({
-        "on": _agree(F.slice(d, p + gram + 1, right), F.slice(i, q + gram + 1, right)),
-        "back": _agree(F.reverse(F.slice(d, p - left + 1, left)), F.reverse(F.slice(i, q - left + 1, left)))})
-    return hits.select("k1", "k2", "item", (p - F.col("back")).alias("start"),
-                       (p + gram + F.col("on")).alias("stop")).where(F.col("stop") - F.col("start") >= span)
+    on = _agree(F.slice(d, p + n + 1, right), F.slice(i, q + n + 1, right))
+    back = _agree(F.reverse(F.slice(d, p - left + 1, left)), F.reverse(F.slice(i, q - left + 1, left)))
+    long_enough = F.least(F.lit(span), F.size(i))
+    same = F.slice(d, p + 1, n) == F.slice(i, q + 1, n)
+    return (p - back).alias("start"), F.when(same & (back + n + on >= long_enough), p + n + on).alias("stop")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -80,23 +85,30 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
     texts = docs.where(col(docs, text_col).isNotNull()).select(k1.alias("k1"), k2.alias("k2"),
                                                               words_of(col(docs, text_col)).alias("words"))
     items = benchmark.select(col(benchmark, item_col).cast("string").alias("item"),
-                             words_of(col(benchmark, item_text_col)).alias("item_words")).where(F.size("item_words") > 0)
+                             words_of(col(benchmark, item_text_col)).alias("item_words"))
+    items = items.select("item", "item_words", *[c.alias(n) for c, n in zip(text_digest(F.col("item_words")), ("i1", "i2"), strict=True)])
     total, *short = items.agg(F.sum(F.size("item_words")), *[F.max((F.size("item_words") == n).cast("int"))
                                                              for n in range(1, span)]).first()
     blocks = -(-(total or 0) // block_words)
     found = []
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_words"), F.lit(blocks)) == b)
-        marks = winnow(part.withColumnRenamed("item_words", "words"), span, gram).select(
-            "item", F.col("words").alias("item_words"), "mark", F.col("at").alias("item_at"))
-        met = winnow(texts, span, gram).join(F.broadcast(marks), "mark")
-        found.append(_runs(met, span, gram))
+        part = items.where(F.pmod(F.col("i1"), F.lit(blocks)) == b)
+        own = part.select("i1", "i2", F.col("item_words").alias("words")).distinct()
+        marks = winnow(own, span, gram).withColumnRenamed("at", "item_at")
+        met = [winnow(texts, span, gram).join(F.broadcast(marks), "mark").withColumn("n", F.lit(gram))]
         for n in (n for n, some in enumerate(short, 1) if some):
-            own = part.where(F.size("item_words") == n).withColumn("mark", F.xxhash64("item_words"))
-            every = texts.where(F.size("words") >= n).withColumn("grams", _grams("words", n)) \
-                .select("k1", "k2", "words", F.posexplode("grams").alias("at", "mark")).join(F.broadcast(own), "mark")
-            found.append(every.where(F.slice("words", F.col("at") + 1, n) == F.col("item_words")).select(
-                "k1", "k2", "item", F.col("at").alias("start"), (F.col("at") + n).alias("stop")))
+            whole = own.where(F.size("words") == n).select("i1", "i2", F.xxhash64("words").alias("mark"), F.lit(0).alias("item_at"))
+            every = texts.select("k1", "k2", F.posexplode(_grams("words", n)).alias("at", "mark"))
+            met.append(every.join(F.broadcast(whole), "mark").withColumn("n", F.lit(n)))
+        # Hits are few. Written, they part the join of fingerprints from their extension.
+        cols = ["k1", "k2", "i1", "i2", "at", "item_at", "n"]
+        spots = cut_lineage(reduce(DataFrame.union, [m.select(*cols) for m in met]).distinct())
+        around = texts.join(spots.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        start, stop = _run(span)
+        runs = spots.join(around, ["k1", "k2"]).join(F.broadcast(own.withColumnRenamed("words", "item_words")), ["i1", "i2"]) \
+            .select("k1", "k2", "i1", "i2", start, stop).where("stop is not null").distinct()
+        found.append(runs.join(F.broadcast(part.select("i1", "i2", "item").distinct()), ["i1", "i2"]).select(
+            "k1", "k2", "item", "start", "stop"))
     if not found:
         none = texts.where(F.lit(False))
         return none.select("k1", "k2", F.lit("").alias("item"), F.lit(0).alias("start"), F.lit(0).alias("stop"))
