@@ -3,7 +3,9 @@
 Buckets have four slots of 16-bit fingerprints, 0 meaning free. A key may be
 put in more than once; ``copies`` counts the slots that hold its fingerprint,
 so it is never less than the copies put in and not taken out. A shard's state is
-a chain of filters: what does not fit the last one goes to a new one.
+a chain of filters: what does not fit the last one goes to a new one. All have
+as many buckets as the first, so two keys that look alike in one filter look alike in
+all, and taking either out leaves what the other needs.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ import numpy as np
 SLOTS = 4
 LOAD = 0.8
 KICKS = 64
+#: Buckets of a filter at least: a shard that starts small may grow.
+LEAST = 1024
 
 
 def new_filter(keys: int) -> np.ndarray:
-    buckets = 1 << max(1, int(np.ceil(np.log2(max(1, keys) / (SLOTS * LOAD)))))
+    buckets = max(LEAST, 1 << int(np.ceil(np.log2(max(1, keys) / (SLOTS * LOAD)))))
     return np.zeros((buckets, SLOTS), np.uint16)
 
 
@@ -60,7 +64,7 @@ def put(slots: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     saved = slots.copy()
     m, b, rng = mark[left], other[left], np.random.default_rng(7)
     for _ in range(KICKS):
-        b, pick = b, np.unique(b, return_index=True)[1]  # one eviction a bucket and round
+        pick = np.unique(b, return_index=True)[1]  # one eviction a bucket and round
         rest = np.ones(len(b), bool)
         rest[pick] = False
         s = rng.integers(0, SLOTS, len(pick))
@@ -68,8 +72,6 @@ def put(slots: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         slots[b[pick], s] = m[pick]
         moved = _other(len(slots), b[pick], evicted)
         m, b = np.r_[m[rest], evicted], np.r_[b[rest], moved]
-        keep = (m != 0)
-        m, b = m[keep], b[keep]
         ok = _settle(slots, b, m)
         m, b = m[~ok], b[~ok]
         if not len(m):
@@ -115,7 +117,7 @@ class Chain:
             rest = np.r_[put(last, hi[:room], lo[:room]), np.ones(max(0, len(hi) - room), bool)]
             hi, lo = hi[rest], lo[rest]
         while len(hi):
-            self.filters.append(new_filter(len(hi)))
+            self.filters.append(np.zeros_like(self.filters[0]) if self.filters else new_filter(len(hi)))
             rest = put(self.filters[-1], hi, lo)
             hi, lo = hi[rest], lo[rest]
 

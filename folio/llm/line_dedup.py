@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from folio.llm.common import ascii_lower, col, fresh, shared_folder
 from folio.llm.cuckoo import Chain
+from folio.session import cut_lineage
 
 SPACE = " \t\n\x0b\x0c\r"
 MIN_CHARS = 10
@@ -144,7 +145,7 @@ class LineIndex:
         (a null or empty text is one empty line). Rows that share an id are one
         document. A null id is larger than any other.
         """
-        keys = self._keys(docs, id_col, text_col)
+        keys = cut_lineage(self._keys(docs, id_col, text_col))  # both the filters and the join below read it
         owned = self.repeated(keys)
         lost = keys.join(owned, ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("owner"))) \
             .groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("lost"))
@@ -158,12 +159,12 @@ class LineIndex:
                              F.transform(lines, lambda x: F.length(line_key(x)) >= self.min_chars))
         left = both.withColumn(kept, _without(F.when(col(both, gone).isNotNull(), lines), key["hi"], key["lo"],
                                               long_enough, col(both, gone)["hi"], col(both, gone)["lo"]))
-        out = [F.when(col(left, gone).isNull(), col(left, c)).otherwise(F.array_join(col(left, kept), "\n")).alias(c)
+        n = F.size(_lines(col(left, text_col))).cast("bigint")
+        n_lost = F.coalesce(n - F.size(col(left, kept)), F.lit(0)).cast("bigint")
+        out = [F.when(n_lost == 0, col(left, c)).otherwise(F.array_join(col(left, kept), "\n")).alias(c)
                if c == text_col else col(left, c) for c in docs.columns]
         if counts:
-            n = F.size(_lines(col(left, text_col))).cast("bigint")
-            out += [n.alias(counts[0]), F.when(col(left, gone).isNull(), 0).otherwise(
-                n - F.size(col(left, kept))).cast("bigint").alias(counts[1])]
+            out += [n.alias(counts[0]), n_lost.alias(counts[1])]
         return left.select(*out)
 
 

@@ -23,10 +23,13 @@ class Brute:
         self.ctx = defaultdict(Counter)
         for (u, w), c in self.pairs.items():
             self.ctx[u][w] = c
+        cut = lambda d, k: [0, *d][min(k, 3)]
+        self.rest = sum(cut(self.d1, k) for k in self.follows.values()) / len(self.pairs) if self.pairs else 1
+        self.of = {u: (sum(c.values()), sum(cut(self.d, k) for k in c.values())) for u, c in self.ctx.items()}
 
     def base(self, w):
         cut = lambda k: [0, *self.d1][min(k, 3)]
-        rest = sum(cut(k) for k in self.follows.values()) / len(self.pairs) if self.pairs else 1
+        rest = self.rest
         k = self.follows[w]
         return (max(k - cut(k), 0) / len(self.pairs) if self.pairs else 0) + rest / (self.v + 1)
 
@@ -34,9 +37,8 @@ class Brute:
         if u not in self.ctx:
             return self.base(w)
         cut = lambda k: [0, *self.d][min(k, 3)]
-        total = sum(self.ctx[u].values())
-        return max(self.ctx[u][w] - cut(self.ctx[u][w]), 0) / total + sum(
-            cut(c) for c in self.ctx[u].values()) / total * self.base(w)
+        total, rest = self.of[u]
+        return max(self.ctx[u][w] - cut(self.ctx[u][w]), 0) / total + rest / total * self.base(w)
 
     def score(self, text):
         t = L.tokens(text)
