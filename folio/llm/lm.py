@@ -223,8 +223,9 @@ class Lookup:
     def _dense(self, name: str, ids: np.ndarray, columns: int) -> np.ndarray:
         out = np.zeros((len(ids), columns), np.float64)
         for s, part in _by_shard(np.where(ids < 0, -1, ids // self.model.width)):
-            if s >= 0:
-                out[part] = self.files.array(name, s, "u8", columns).reshape(-1, columns)[ids[part] - s * self.model.width]
+            table = self.files.array(name, s, "u8", columns).reshape(-1, columns) if s >= 0 else ()
+            if len(table):  # a range of which nothing was counted has no file
+                out[part] = table[ids[part] - s * self.model.width]
         return out
 
     def base(self, ids: np.ndarray) -> np.ndarray:
