@@ -37,8 +37,8 @@ def order(rows):
     return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "", r[2:]))
 
 
-def answer(index, df):
-    out = index.dedup(df, counts=("n_lines", "n_dropped"))
+def answer(index, df, indexed=False):
+    out = index.dedup(df, counts=("n_lines", "n_dropped"), indexed=indexed)
     assert out.columns == [*df.columns, "n_lines", "n_dropped"]
     return order((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect())
 
@@ -53,7 +53,8 @@ def corpus(seed, n=80):
 def test_against_brute_force(spark):
     rows = corpus(1)
     df = frame(spark, rows)
-    assert answer(LineIndex.create(spark, shards=3).insert(df), df) == order(brute(rows))
+    index = LineIndex.create(spark, shards=3).insert(df)
+    assert answer(index, df) == answer(index, df, indexed=True) == order(brute(rows))
 
 
 def test_insert_and_delete_are_reversible(spark):
@@ -76,7 +77,8 @@ def test_insert_and_delete_are_reversible(spark):
 def test_odd_rows(spark, odd, empty):
     df, rows = odd
     pairs = [(r[0], r[1]) for r in rows]
-    assert answer(LineIndex.create(spark, shards=2).insert(df), df) == order(brute(pairs))
+    index = LineIndex.create(spark, shards=2).insert(df)
+    assert answer(index, df) == answer(index, df, indexed=True) == order(brute(pairs))
     assert answer(LineIndex.create(spark, shards=2).insert(empty), empty) == []
     assert answer(LineIndex.create(spark, shards=2), df) == order(brute(pairs, [(0, "")]))
 
