@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import col
-from folio.llm.tokens import Encoder
+from folio.llm.tokens import encoder
 from folio.session import cut_lineage
 
 CAPACITY = 1024
@@ -53,12 +53,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     @F.pandas_udf(f"array<struct<{kind.replace(' ', ':').replace(',:', ',')}>>")
     def cut(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(tokenizer_path)
+        encode = encoder(tokenizer_path).encode
         for texts in series:
             out: list[list[tuple]] = []
             marks = np.cumsum([len(t) for t in texts]) // CHARS_AT_ONCE
             for part in np.split(texts.to_numpy(), np.flatnonzero(np.diff(marks)) + 1):
-                for ids in encoder.encode(part.tolist()):
+                for ids in encode(part.tolist()):
                     ids += end
                     own = [(k, s, n, ids[4 * s:4 * (s + n)]) for k, (s, n) in enumerate(cuts(len(ids) // 4, capacity))]
                     out.append([(k, s, n, zlib.crc32(x), *([np.frombuffer(x, "<i4")] * with_ids)) for k, s, n, x in own])

@@ -14,15 +14,21 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from functools import lru_cache
 
-import numpy as np
+#: Words remembered by a worker at most (about 250 bytes each): as many new ones as old ones.
+CACHE_WORDS = 1_000_000
 
-#: Words remembered by a worker at most (about 150 bytes each); then it starts anew.
-CACHE_WORDS = 400_000
-LONG_WORD = 64
-
-_WORD = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
+_ATOM = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
+_STOPS = ".,;:!?"
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, kept with what it remembers for as long as the worker lives."""
+    return Encoder(path)
 
 
 class Encoder:
@@ -31,37 +37,84 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         plan = json.loads(self.tokenizer.to_str())
         pre = plan.get("pre_tokenizer") or {}
         self.by_word = (not plan.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex")
                         and not pre.get("add_prefix_space") and not plan.get("truncation") and not plan.get("padding"))
         self.special = [t["content"] for t in plan.get("added_tokens", [])]
+        # Ids by word: its key is the word itself if it stands after one space, else "\0" and all of it.
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in
-                self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        out: list[bytes | None] = [None] * len(texts)
-        words: dict[int, list[str]] = {}
-        for i, t in enumerate(texts):
-            if not (self.by_word and not _OTHER_SPACE.search(t) and not any(s in t for s in self.special)):
-                out[i] = self._encode([t])[0]
-                continue
-            words[i] = _WORD.findall(t)
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        missing: set[str] = set()
-        for w in words.values():
-            missing.update(w)
-        missing = [w for w in missing if w not in self.known]
-        self.known.update(zip(missing, self._encode(missing), strict=True))
-        get = self.known.__getitem__
-        for i, w in words.items():
-            out[i] = b"".join(map(get, w))
-        for w in missing:
-            if len(w) > LONG_WORD:  # not worth remembering
-                del self.known[w]
-        return out
+        return [self._text(t) for t in texts]
+
+    def _text(self, t: str) -> bytes:
+        if not self.by_word or _OTHER_SPACE.search(t) or any(s in t for s in self.special):
+            return self._whole(t)
+        if "  " in t or "\n " in t or t[:1] == " " or t[-1:] == " ":
+            words = [_key(a) for a in _ATOM.findall(t)]
+        else:
+            words = t.split(" ")
+            words[0] = "\0" + words[0]
+        if len(self.known) > CACHE_WORDS // 2:
+            self.known, self.older = {}, self.known
+        parts: list = list(map(self.known.get, words))
+        for k, ids in enumerate(parts):
+            if ids is None:
+                # Words across a line end are seldom met again: only their parts are remembered.
+                parts[k] = self._parts(words[k]) if "\n" in words[k] else self._word(words[k])
+        return b"".join(parts)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, key: str) -> bytes:
+        ids = self.known.get(key)
+        if ids is None:
+            ids = self.older.get(key)
+        if ids is None:
+            ids = self._letters(" " + key) if key.isalpha() else self._parts(key)
+        self.known[key] = ids
+        return ids
+
+    def _parts(self, key: str) -> bytes:
+        atoms = _atoms(key)
+        if len(atoms) > 1:
+            return b"".join([self._word(_key(a)) for a in atoms])
+        return self._letters(atoms[0]) if atoms[0].isalpha() else self._whole(atoms[0])
+
+    def _letters(self, word: str) -> bytes:
+        """A word of letters alone is one unit: it goes to the tokenizer's model as it is."""
+        return array("I", [t.id for t in self.model.tokenize(_visible(word))]).tobytes()
+
+
+# A byte-level vocabulary writes each byte as a visible character: itself, or the next one from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_VISIBLE = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+def _visible(text: str) -> str:
+    if text.isascii():  # letters, perhaps after a space
+        return text.replace(" ", "\u0120")
+    return text.encode().decode("latin-1").translate(_VISIBLE)
+
+
+def _key(atom: str) -> str:
+    return atom[1:] if atom[:1] == " " else "\0" + atom
+
+
+def _atoms(key: str) -> list[str]:
+    """The parts of a word that are encoded each on its own: at line ends, and before the stops at its end if
+    these follow a letter."""
+    whole = key[1:] if key[:1] == "\0" else " " + key
+    out = []
+    for part in _ATOM.findall(whole) if "\n" in key else [whole]:
+        bare = part.rstrip(_STOPS)
+        if bare and bare != part and bare[-1].isalpha():
+            out += [bare, part[len(bare):]]
+        else:
+            out.append(part)
+    return out
