@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that loses all lines stays, with an empty text."""
     ship_package(spark)
     lines, dropped = fresh(docs, "n_lines", "n_dropped")
-    out = LineIndex.create(spark).insert(docs).dedup(docs, counts=(lines, dropped))
+    out = LineIndex.create(spark).insert(docs).dedup(docs, counts=(lines, dropped), indexed=True)
     if "n_chars" in docs.columns:
         now = F.when(col(out, dropped) > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", F.coalesce(now, F.col("n_chars")))

@@ -136,16 +136,23 @@ class LineIndex:
         return held.where("docs >= 2").select("hi", "lo", "owner")
 
     def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-              counts: tuple[str, str] | None = None) -> DataFrame:
+              counts: tuple[str, str] | None = None, indexed: bool = False) -> DataFrame:
         """``docs`` without the lines that a smaller document of the index holds too.
 
         All columns stay; ``text_col`` holds the lines left, joined by a newline
         (a text that loses nothing is as before, null included). ``counts``:
         names of two more columns, the number of lines before and of those dropped
         (a null or empty text is one empty line). Rows that share an id are one
-        document. A null id is larger than any other.
+        document. A null id is larger than any other. ``indexed``: all rows of ``docs``
+        are documents of the index with just these texts; their keys are then read
+        from it and not cut from the texts again.
         """
-        keys = cut_lineage(self._keys(docs, id_col, text_col))  # both the filters and the join below read it
+        if indexed:
+            ids = docs.select(col(docs, id_col).alias("asked")).distinct()
+            refs = self.refs()
+            keys = refs.join(ids, refs.doc_id.eqNullSafe(ids.asked), "left_semi")
+        else:
+            keys = cut_lineage(self._keys(docs, id_col, text_col))  # both the filters and the join below read it
         owned = self.repeated(keys)
         lost = keys.join(owned, ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("owner"))) \
             .groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("lost"))

@@ -31,7 +31,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_line_dedup", sql.OP10)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = LineIndex.create(spark).insert(docs).dedup(docs, counts=("n_lines", "n_dropped"))
+    out = LineIndex.create(spark).insert(docs).dedup(docs, counts=("n_lines", "n_dropped"), indexed=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
