@@ -109,4 +109,4 @@ def excerpts(rows: DataFrame, doc_col: str = "doc", phrases_col: str = "phrases"
     body = F.array_join(F.transform(F.sequence(start, F.least(stop, last)), shown), "")
     whole = F.concat(F.when(start > 0, CUT).otherwise(""), body,
                      F.when(stop >= last, F.get("between", last + 1)).otherwise(CUT))
-    return df.select(*names, F.when(last < 0, text).otherwise(whole).alias(out))
+    return df.select(*names, F.when(text.isNull() | (last < 0), text).otherwise(whole).alias(out))
