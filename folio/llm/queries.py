@@ -63,7 +63,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_substring_dedup")
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = substring_dedup.dedup(docs)
+    out = substring_dedup.dedup(docs, lengthen=True)
     return out.select("doc_id", "text", F.coalesce(F.size("removed_sentences"), F.lit(0)).cast("bigint").alias("n_removed"),
                       "removed_sentences")
 

@@ -92,3 +92,42 @@ def test_odd_rows(spark, odd, empty):
     assert left[1] == prose(1) and left[3] is None and left[4] == "" and left[5] == " \n\t " and left[6] == prose(99, 30_000)
     assert len(left[7]) < 0.1 * len(left[6]) and len(left[10]) < 0.5 * len(left[1])
     assert S.dedup(empty).collect() == []
+
+
+def spans(words, n=50):
+    return {tuple(words[i:i + n]) for i in range(len(words) - n + 1)}
+
+
+def test_every_shared_span_of_50_words_holds_a_run():
+    """Against a brute force on words: passages of every kind at random places of two texts."""
+    rng = random.Random(31)
+    word = lambda: "v" + "".join(rng.choice("abcdefghij") for _ in range(4))
+    kinds = [lambda i: word() + (".\n" if i % 9 == 8 else " "), lambda i: word() + " ", lambda i: word() + "\n",
+             lambda i: word() + (". " if i % 2 else " "), lambda i: word() + ("\n" if i % 3 == 2 else " "),
+             lambda i: chr(rng.randrange(0x4E00, 0x9000)), lambda i: chr(rng.randrange(0x0E01, 0x0E2E)),
+             lambda i: rng.choice(["row", "cell", "tab", "end."]) + rng.choice(" \n")]
+    ends, held = S._Ends(), 0
+    for k in range(4000):
+        passage = "".join(map(kinds[k % len(kinds)], range(50))).strip()
+        texts = []
+        for _ in range(2):
+            glue = "" if k % len(kinds) in (5, 6) else rng.choice([" ", "\n"])
+            around = ["".join(map(kinds[rng.choice([k % len(kinds), 0])], range(rng.randrange(30)))) for _ in range(2)]
+            texts.append(around[0] + glue + passage + glue + around[1])
+        one, two = ([w for line in S.sentences(t, ends) for s in line for w in s] for t in texts)
+        if spans(one) & spans(two):
+            held += 1
+            a, b = (set(S.run_hashes(t, ends, 3, 12, True)[1].tolist()) for t in texts)
+            assert a & b, texts
+    assert held > 3900
+
+
+def test_short_lines_and_text_without_blanks_are_removed(spark):
+    menu = "\n".join(f"Dish{i} {i}" for i in range(40))
+    chinese = "".join(chr(0x4E00 + i * 37 % 5000) + ("\u3002" if i % 11 == 10 else "") for i in range(80))
+    rows = [(1, prose(1) + "\n" + menu + "\n" + prose(2)), (2, prose(3) + "\n" + menu), (3, "\u958b\u59cb" + chinese + "\u7d42"),
+            (4, "\u53e6" + chinese + "\u4e00\u500b"), (5, prose(4))]
+    got = {r.doc_id: r.text for r in S.dedup(frame(spark, rows), lengthen=True).collect()}
+    assert got[1] == rows[0][1] and got[3] == rows[2][1] and got[5] == rows[4][1]
+    assert not any(f"Dish{i} " in got[2] for i in range(5, 35)) and prose(3) in got[2]
+    assert len(got[4]) < 25 and got[4].startswith("\u53e6") and got[4].endswith("\u4e00\u500b") and " " not in got[4]
