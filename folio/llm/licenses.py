@@ -9,7 +9,9 @@ in some document window (s >= 1/2: 0.99998 with 16 bands); a notice of 9 and mor
 that a document has unchanged equals one of the notice's windows there.
 
 Every notice met is then checked: it is found if at least ``MIN_SHARE`` of its
-distinct shingles are among the document's around that window. Notices
+distinct shingles are among the document's around that window. With ``apart``, so
+must be all shingles that tell it from a notice of another license which would pass
+for it (version 2 from version 3). Notices
 are a short list: their bands are broadcast once counted to be under a bound.
 The documents are neither shuffled nor grouped.
 """
@@ -54,6 +56,8 @@ NOTICES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Further short forms. NOTICES itself is part of the registered query's SQL.
+SHORT_FORMS = [("CC-BY-4.0", "Licensed under CC BY 4.0.")]
 
 
 def _shingles(words: str) -> Column:
@@ -72,10 +76,24 @@ def _bands(rows: DataFrame, stride: int, bands: int) -> DataFrame:
     return rows.withColumn("band", F.xxhash64(least, F.col("b"))).where(F.get("shingles", F.col("p")).isNotNull()).drop("b")
 
 
+def _with_marks(known: DataFrame, min_share: float) -> DataFrame:
+    """Adds ``marks`` to notices: their shingles that a notice of another license lacks which has the share asked for."""
+    each = known.select("license", "own", F.explode("own").alias("shingle")).distinct()
+    others = each.select(F.col("license").alias("license2"), F.col("own").alias("own2"), "shingle")
+    near = each.join(others, "shingle").where(~F.col("license").eqNullSafe(F.col("license2"))) \
+        .groupBy("license", "own", "license2", "own2").agg(F.count(F.lit(1)).alias("same")) \
+        .where(F.col("same") >= min_share * F.size("own"))
+    marks = near.groupBy(F.col("license").alias("l"), F.col("own").alias("o")).agg(
+        F.array_distinct(F.flatten(F.collect_list(F.array_except("own", "own2")))).alias("marks"))
+    both = known.join(marks, F.col("license").eqNullSafe(F.col("l")) & (F.col("own") == F.col("o")), "left")
+    return both.withColumn("marks", F.coalesce("marks", F.array().cast("array<bigint>"))).drop("l", "o")
+
+
 def matches(docs: DataFrame, notices: DataFrame, text_col: str = "text", name_col: str = "license",
-            notice_col: str = "notice", bands: int = BANDS, min_share: float = MIN_SHARE) -> DataFrame:
+            notice_col: str = "notice", bands: int = BANDS, min_share: float = MIN_SHARE, apart: bool = False) -> DataFrame:
     """``(k1, k2, license, share)``: licenses found in the text with the digest ``(k1, k2)``, and the largest
-    share of a notice's shingles that it has. Null notices are passed over."""
+    share of a notice's shingles that it has. Null notices are passed over. With ``apart`` a notice is found
+    only with the shingles that tell it from near notices of other licenses."""
     k1, k2 = text_digest(col(docs, text_col))
     texts = docs.where(col(docs, text_col).isNotNull()).select(k1.alias("k1"), k2.alias("k2"), words_of(col(docs, text_col)).alias("words"))
     texts = texts.withColumn("shingles", _shingles("words")).drop("words")
@@ -85,23 +103,28 @@ def matches(docs: DataFrame, notices: DataFrame, text_col: str = "text", name_co
     bound = known.agg(F.sum(F.size("shingles"))).first()[0] or 0
     if bound * bands > MAX_BAND_ROWS:
         raise ValueError(f"{bound * bands} band rows of notices exceed {MAX_BAND_ROWS}: scan them in parts")
-    theirs = _bands(known, 1, bands).select("band", "license", "own", F.size("shingles").alias("n")).distinct()
+    marks = []
+    if apart:
+        known, marks = _with_marks(known, min_share), ["marks"]
+    theirs = _bands(known, 1, bands).select("band", "license", "own", *marks, F.size("shingles").alias("n")).distinct()
     met = _bands(texts, STRIDE, bands).join(F.broadcast(theirs), "band")
     around = F.slice("shingles", F.greatest(F.col("p") - F.col("n"), F.lit(0)) + 1,
                      F.least(F.col("p"), F.col("n")) + WINDOW + F.col("n"))
     share = F.size(F.array_intersect("own", around)) / F.size("own")
+    if apart:
+        met = met.where(F.size(F.array_except("marks", around)) == 0)
     found = met.select("k1", "k2", "license", share.alias("share")).where(F.col("share") >= min_share)
     return found.groupBy("k1", "k2", "license").agg(F.max("share").alias("share"))
 
 
 def scan(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str = "license",
-         notice_col: str = "notice", bands: int = BANDS, min_share: float = MIN_SHARE) -> DataFrame:
+         notice_col: str = "notice", bands: int = BANDS, min_share: float = MIN_SHARE, apart: bool = False) -> DataFrame:
     """For every row of ``docs``: ``(doc_id, licenses)``, the names of the licenses it has a notice of, sorted.
 
     A null or empty text has none, and neither has any text if there are no
-    notices. Repeated rows each give a row. Further columns are not read.
+    notices. With ``apart`` notices of different licenses that share most shingles are told apart. Repeated rows each give a row. Further columns are not read.
     """
-    found = matches(docs, notices, text_col, name_col, notice_col, bands, min_share)
+    found = matches(docs, notices, text_col, name_col, notice_col, bands, min_share, apart)
     found = found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("license")).alias("licenses"))
     k1, k2 = text_digest(col(docs, text_col))
     rows = docs.select(col(docs, id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2"))

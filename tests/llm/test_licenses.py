@@ -68,3 +68,15 @@ def test_no_python_in_the_plan(spark):
     table = spark.createDataFrame(L.NOTICES, "license string, notice string")
     plan = L.scan(frame(spark, [(1, "x")]), table)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_near_notices_are_told_apart(spark):
+    """Each notice within a text gives its own license alone; both notices give both."""
+    notices = L.NOTICES + L.SHORT_FORMS
+    rows = [(i, prose(i, 40) + " " + notice + " " + prose(900 + i, 40)) for i, (_, notice) in enumerate(notices)]
+    two, three = (next(t for n, t in notices if n == x) for x in ("GPL-2.0", "GPL-3.0"))
+    rows += [(100, two + " " + prose(5, 60) + " " + three), (101, "Released " + three[10:]), (102, three.replace("3", "9"))]
+    table = spark.createDataFrame(notices, "license string, notice string")
+    got = {r.doc_id: r.licenses for r in L.scan(frame(spark, rows), table, apart=True).collect()}
+    assert {i: got[i] for i in range(len(notices))} == {i: [name] for i, (name, _) in enumerate(notices)}
+    assert got[100] == ["GPL-2.0", "GPL-3.0"] and got[101] == ["GPL-3.0"] and got[102] == []
