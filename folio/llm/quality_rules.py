@@ -1,7 +1,8 @@
 """Quality rules from the lines that the documents of a host share, in DataFrame functions only.
 
 Lines are normalised and hashed; for each host the distinct texts that hold a line
-are counted (copies of a text count once: they are not a host's boilerplate).
+are counted (copies of a text count once: they are not a host's boilerplate), or,
+with ``copies``, the distinct documents: pairs of an id and a text.
 A line in more than ``max_docs`` texts of its host, and in more than a share
 ``max_share`` of them, is removed. A document that keeps less than ``min_left`` of its
 words is depleted and rejected.
@@ -66,9 +67,10 @@ def base_statistics(rows: DataFrame) -> DataFrame:
 
 
 def line_frequency(docs: DataFrame, text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS,
-                   max_share: float = MAX_SHARE) -> DataFrame:
+                   max_share: float = MAX_SHARE, id_col: str | None = None) -> DataFrame:
     """``(host, k1, k2, removed, total, lines)`` for the texts that lose lines: words in lines above the limits and
-    in all lines, summed over the copies of the text, and the hashes of the lines to remove. A null host is a host."""
+    in all lines, summed over the copies of the text, and the hashes of the lines to remove. A null host is a host.
+    With ``id_col`` documents are counted, pairs of an id (null is one) and a text, not texts."""
     k1, k2 = text_digest(col(docs, text_col))
     rows = docs.select(col(docs, host_col).alias("host"), k1.alias("k1"), k2.alias("k2"),  # hashed before it is cut
                        F.split(col(docs, text_col), "\n").alias("all"))
@@ -78,8 +80,16 @@ def line_frequency(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     # Written once: the counts and the join below read it.
     held = cut_lineage(rows.groupBy("host", "line", "k1", "k2").agg(F.sum("words").alias("words")))
     texts = docs.where(col(docs, text_col).isNotNull()).select(col(docs, host_col).alias("host"), k1.alias("k1"), k2.alias("k2"))
-    texts = texts.groupBy("host", "k1", "k2").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("texts"))
-    freq = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs)
+    if id_col is None:
+        texts = texts.groupBy("host", "k1", "k2").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("texts"))
+        freq = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs)
+    else:
+        sizes = docs.where(col(docs, text_col).isNotNull()).select(
+            col(docs, host_col).alias("h"), k1.alias("g1"), k2.alias("g2"), col(docs, id_col).alias("id"))
+        sizes = sizes.groupBy("h", "g1", "g2", "id").agg(F.lit(1).alias("one")).groupBy("h", "g1", "g2").agg(F.count("one").alias("size"))
+        texts = sizes.groupBy(F.col("h").alias("host")).agg(F.sum("size").alias("texts"))
+        freq = held.join(sizes, F.col("host").eqNullSafe(F.col("h")) & (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2"))) \
+            .groupBy("host", "line").agg(F.sum("size").alias("docs")).where(F.col("docs") > max_docs)
     above = freq.join(texts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))) \
         .where(F.col("docs") > max_share * F.col("texts")).select(F.col("h"), F.col("line").alias("l"))
     gone = held.join(above, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")))
@@ -87,25 +97,26 @@ def line_frequency(docs: DataFrame, text_col: str = "text", host_col: str = "sou
 
 
 def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-          max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+          max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, copies: bool = False) -> DataFrame:
     """For every row of ``docs``: ``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_line_words, kept, clean_text)``.
 
     ``n_line_words``: words in lines above the limits; ``clean_text``: the text
     without these lines (a null text stays null). ``kept`` is false if the base rules fail (fewer than 10
     words, or over a fifth of them in repeated windows of five) or the document is depleted. A null or empty text has no words and
-    fails. Rows with the same host and text get the same result, whatever
+    fails. With ``copies`` a line's documents are counted, not its texts; a ``max_share`` of 0 leaves ``max_docs``
+    as the only limit. Rows with the same host and text get the same result, whatever
     their ids. Further columns are not read.
     """
     k1, k2 = text_digest(col(docs, text_col))
-    gone = line_frequency(docs, text_col, host_col, max_docs, max_share).select(
+    gone = line_frequency(docs, text_col, host_col, max_docs, max_share, id_col if copies else None).select(
         F.col("host").alias("h"), F.col("k1").alias("g1"), F.col("k2").alias("g2"), "removed", "lines")
     rows = base_statistics(docs.select(col(docs, id_col).alias("doc_id"), col(docs, text_col).alias("text"),
                                        col(docs, host_col).alias("host"), k1.alias("k1"), k2.alias("k2")))
     # Copies of a text lose the same words each: their sum, over their number, is one copy's.
-    copies = docs.where(col(docs, text_col).isNotNull()).select(
+    alike = docs.where(col(docs, text_col).isNotNull()).select(
         col(docs, host_col).alias("h"), k1.alias("g1"), k2.alias("g2")).groupBy("h", "g1", "g2").agg(F.count(F.lit(1)).alias("copies"))
-    gone = gone.alias("a").join(copies.alias("b"), F.expr("a.h <=> b.h and a.g1 = b.g1 and a.g2 = b.g2")).select(
+    gone = gone.alias("a").join(alike.alias("b"), F.expr("a.h <=> b.h and a.g1 = b.g1 and a.g2 = b.g2")).select(
         "a.h", "a.g1", "a.g2", (F.col("removed") / F.col("copies")).cast("bigint").alias("n_line_words"), F.col("lines").alias("gone"))
     both = rows.join(gone, F.col("host").eqNullSafe(F.col("h")) & (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2")), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))

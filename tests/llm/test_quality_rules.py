@@ -73,3 +73,17 @@ def test_no_python_in_the_plan(spark):
     df = frame(spark, [(1, prose(1))])
     plan = Q.rules(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
+
+
+def test_documents_are_counted_not_texts(spark):
+    """A line of many copies of one text goes with ``copies``, repeated rows are one document, null is an id."""
+    text = prose(1, 12) + "\nAll rights reserved by host 7"
+    own = [(100 + i, prose(100 + i, 30), "x") for i in range(2000)]
+    def lost(rows, **kw):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+        return {r.doc_id: r.n_line_words for r in Q.rules(df, copies=True, **kw).collect()}
+    twelve = [(i, text, "x") for i in range(11)] + [(None, text, "x"), (50, "Other.\nALL rights reserved by host 12", "x")]
+    assert lost(twelve)[0] == 12 + 6 and lost(twelve)[None] == 18 and lost(twelve)[50] == 6
+    assert lost([(i % 9, text, "x") for i in range(30)])[0] == 0
+    assert lost(twelve + own)[50] == 0 and lost(twelve + own, max_share=0)[50] == 6
+    assert lost([(i, text, "xy"[i % 2]) for i in range(20)])[0] == 0
