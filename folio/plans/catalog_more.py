@@ -105,11 +105,40 @@ def q_knn_exact(spark, sf):
                                     "package", "doc", F.round("similarity", 6).alias("similarity"))
 
 
+#: The query set: every row whose id is divisible by this.
+QUERY_STEP = 100
+
+
+def _query_rows(vec):
+    return vec.where((F.col("id") % QUERY_STEP == 0) & F.col("embedding").isNotNull()) \
+        .select(F.col("id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+KNN_ROWS_SQL = """
+u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL),
+sc AS (
+  SELECT q.id AS query_id, u.id, list_dot_product(u.v, q.v)
+    / (sqrt(list_dot_product(u.v, u.v)) * sqrt(list_dot_product(q.v, q.v))) AS similarity
+  FROM u, u q WHERE q.id % 100 = 0
+)"""
+
+
+@register("knn_exact_rows", with_sql(KNN_ROWS_SQL) + """
+SELECT query_id, rk, id, round(similarity, 6) AS similarity FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS BIGINT) AS rk FROM sc) s
+WHERE rk <= 10""")
+def q_knn_exact_rows(spark, sf):
+    """The whole query set, rows of the table, against all rows."""
+    vec = D.vectors(spark, sf)
+    return V.knn_exact(_query_rows(vec), vec, 10).select("query_id", "rk", "id", F.round("similarity", 6).alias("similarity"))
+
+
 @register("knn_lsh")
 def q_knn_lsh(spark, sf):
-    """Every vector of the table as a query's neighbour, with the share of rows ranked and the recall."""
-    q, exact = _knn(spark, sf)
+    """The whole query set, rows of the table, against all rows, with the share of rows ranked and the recall."""
     vec = D.vectors(spark, sf)
+    q = _query_rows(vec)
+    exact = V.knn_exact(q, vec, 10)
     approx = V.knn_lsh(q, vec, 10)
     total = vec.agg(F.count("embedding").alias("total"))
     return approx.join(V.recall(approx, exact), "query_id").join(total).select(
