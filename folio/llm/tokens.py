@@ -4,8 +4,8 @@ For a byte-level BPE file whose texts are cut by its own standard pattern,
 a new unit always starts where a space or newline follows another character. So
 a text of words parted by spaces and newlines has the ids of its words (each
 with the white space before it), one after the other, and the ids of a
-word are asked of the tokenizer once and remembered. Texts with other white space
-or a special token in them, and all texts for other tokenizer files, are
+word are asked of the tokenizer once and remembered. Texts with other white space,
+a NUL or a special token in them, and all texts for other tokenizer files, are
 encoded as a whole.
 """
 
@@ -21,7 +21,8 @@ from functools import lru_cache
 CACHE_WORDS = 1_000_000
 
 _ATOM = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+# White space other than these, and NUL, which marks keys.
+_OTHER = re.compile(r"[^\S \n]|\0")
 _STOPS = ".,;:!?"
 
 
@@ -52,7 +53,7 @@ class Encoder:
         return [self._text(t) for t in texts]
 
     def _text(self, t: str) -> bytes:
-        if not self.by_word or _OTHER_SPACE.search(t) or any(s in t for s in self.special):
+        if not self.by_word or _OTHER.search(t) or any(s in t for s in self.special):
             return self._whole(t)
         if "  " in t or "\n " in t or t[:1] == " " or t[-1:] == " ":
             words = [_key(a) for a in _ATOM.findall(t)]

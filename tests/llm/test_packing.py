@@ -102,3 +102,13 @@ def test_few_sequences(spark, monkeypatch, name, rows_a_task):
         used[r.bin] += r.size
     assert max(used.values()) <= 1024
     assert len(used) <= 1.03 * best_fit_decreasing(sizes, 1024) + 2
+
+
+def test_texts_with_nul():
+    """NUL marks keys of the word cache: 'foo' at the start of a text is remembered first."""
+    texts = ["foo bar", "a \0foo", "a \0", "\0", "\0foo bar", "x \0\0foo\n \0 bar \0", "foo\0 bar"]
+    tokenizer = Tokenizer.from_file(PATH)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = Encoder(PATH)
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == want
