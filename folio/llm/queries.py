@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import decontam, langid, licenses, lm, packing, quality, quality_rules, simhash, sql, substring_dedup
-from folio.llm.common import table
+from folio.llm import decontam, langid, licenses, lm, packing, quality, quality_rules, simhash, sql, substring_dedup, warc
+from folio.llm.common import shared_folder, table
 from folio.llm.line_dedup import LineIndex
 from folio.llm.registry import ORACLE, QUERIES, query
 
@@ -88,3 +88,12 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model).select(
         "doc_id", held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
+@query("op13_warc", sql.OP13)
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    out = warc.captures(warc.read_records(spark, folder, payload=False))
+    return out.select(warc.page_of(F.col("metadata")).cast("bigint").alias("page_id"), "payload_bytes", "payload_digest",
+                      "record_type", warc.page_of(F.col("referred.metadata")).cast("bigint").alias("refers_to"))

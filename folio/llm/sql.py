@@ -99,3 +99,15 @@ found AS (SELECT rid, string_agg(license, ',' ORDER BY license) AS licenses, cou
           FROM (SELECT DISTINCT rid, license FROM share JOIN ns USING (nid) WHERE share >= 0.8) GROUP BY rid)
 SELECT doc_id, CAST(coalesce(k, 0) AS BIGINT) AS n_licenses, coalesce(licenses, '') AS licenses FROM d LEFT JOIN found USING (rid)
 """
+
+
+OP13 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first OR first IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN f USING (html)
+"""
