@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import decontam, langid, licenses, lm, packing, quality, quality_rules, simhash, sql, substring_dedup, warc
+from folio.llm import decontam, langid, licenses, lm, packing, periodic, quality, quality_rules, simhash, sql, substring_dedup, warc
 from folio.llm.common import shared_folder, table
 from folio.llm.line_dedup import LineIndex
 from folio.llm.registry import ORACLE, QUERIES, query
@@ -97,3 +97,35 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.captures(warc.read_records(spark, folder, payload=False))
     return out.select(warc.page_of(F.col("metadata")).cast("bigint").alias("page_id"), "payload_bytes", "payload_digest",
                       "record_type", warc.page_of(F.col("referred.metadata")).cast("bigint").alias("refers_to"))
+
+
+def planted_period(doc_id: Column, text: Column) -> Column:
+    """Texts with an id whose crc32 is divisible by 10 repeat some of their words to their end."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        word = lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " "))
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # In an array, so that the words are taken once.
+    return F.when(h % 10 == 0, F.get(F.transform(F.array(words), repeat), F.lit(0))).otherwise(text)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = docs.select("doc_id", periodic.periodic_runs(planted_period(F.col("doc_id"), F.col("text"))).alias("p"))
+    runs = F.col("p.runs")
+    best = F.array_max(F.transform(runs, lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"),
+                                                            (-r["period"]).alias("period"))))
+    told = F.array_join(F.transform(runs, lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    told = F.when(F.size(runs) > 0, F.concat(told, F.lit("\n"))).otherwise("")
+    out = out.select("doc_id", F.size(runs).cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(told, 256).alias("runs_sha256"),
+                     F.sha2("p.collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), "best.length", (-F.col("best.period")).alias("period"),
+                      F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
