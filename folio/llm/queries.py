@@ -99,27 +99,24 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "record_type", warc.page_of(F.col("referred.metadata")).cast("bigint").alias("refers_to"))
 
 
-def planted_period(doc_id: Column, text: Column) -> Column:
-    """Texts with an id whose crc32 is divisible by 10 repeat some of their words to their end."""
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    g = F.floor(h / 10)
-
-    def repeat(words: Column) -> Column:
-        n = F.size(words)
-        a = g % n
-        p = 1 + F.floor((n - a) / (3 + g % 8))
-        word = lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
-        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " "))
-
-    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    # In an array, so that the words are taken once.
-    return F.when(h % 10 == 0, F.get(F.transform(F.array(words), repeat), F.lit(0))).otherwise(text)
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: texts with an id whose crc32 is divisible by 10 repeat some of their words to their end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all(
+        "text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = (F.col("n") - F.col("a")).cast("int")
+    cycle = F.slice("words", (F.col("a") + 1).cast("int"), F.col("p"))
+    tail = F.slice(F.flatten(F.array_repeat(cycle, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    text = F.concat_ws(" ", F.slice("words", F.lit(1), F.col("a").cast("int")), tail)
+    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
 
 
 @query("op12_periodic_runs")
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = docs.select("doc_id", periodic.periodic_runs(planted_period(F.col("doc_id"), F.col("text"))).alias("p"))
+    docs = planted_periods(table(spark, sf_dir, "documents"))
+    out = docs.select("doc_id", periodic.periodic_runs(F.col("text")).alias("p"))
     runs = F.col("p.runs")
     best = F.array_max(F.transform(runs, lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"),
                                                             (-r["period"]).alias("period"))))
