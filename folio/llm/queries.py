@@ -93,7 +93,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_warc", sql.OP13)
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "warc")
-    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    warc.write_archives(table(spark, sf_dir, "pages"), folder, compression="gzip")
     out = warc.captures(warc.read_records(spark, folder, payload=False))
     return out.select(warc.page_of(F.col("metadata")).cast("bigint").alias("page_id"), "payload_bytes", "payload_digest",
                       "record_type", warc.page_of(F.col("referred.metadata")).cast("bigint").alias("refers_to"))
