@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import decontam, langid, licenses, lm, packing, periodic, quality, quality_rules, simhash, sql, substring_dedup, warc
+from folio.llm import decontam, langid, licenses, lm, packing, periodic, quality, quality_rules, simhash, sql, substring_dedup, trie, warc
 from folio.llm.common import shared_folder, table
 from folio.llm.line_dedup import LineIndex
 from folio.llm.registry import ORACLE, QUERIES, query
+from folio.session import cut_lineage
 
 __all__ = ["ORACLE", "QUERIES"]
 
@@ -126,3 +127,22 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.sha2("p.collapsed", 256).alias("collapsed_sha256"))
     return out.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), "best.length", (-F.col("best.period")).alias("period"),
                       F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Numbered turns -> those of the rebuilt conversations, whose first turns are another one's, and all conversation ids."""
+    of = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).select(
+        "conv_id", "n", (F.col("conv_id") - F.col("conv_id") % 5).alias("base"),
+        (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).alias("h"))
+    of = cut_lineage(of.join(of.select(F.col("conv_id").alias("base"), F.col("n").alias("base_n")), "base", "left"))
+    lead = rows.where("pos <= 8").withColumnRenamed("conv_id", "base").join(of.select("conv_id", "base", "h"), "base").where("pos <= h")
+    own = rows.join(of.select("conv_id", "h", F.least("h", F.coalesce("base_n", F.lit(0))).alias("led")), "conv_id").where("pos > h")
+    own = own.withColumn("pos", F.col("led") + F.col("pos") - F.col("h"))
+    return cut_lineage(lead.select(*rows.columns).unionAll(own.select(*rows.columns))), of.select("conv_id")
+
+
+@query("op11_prefix_trie", sql.OP11)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, members = rebuilt(cut_lineage(trie.numbered(table(spark, sf_dir, "conversations"))))
+    return trie.prefix_trie(rows, members).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves",
+                                                  "saved_tokens", "ends_sha256")

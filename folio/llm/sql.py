@@ -111,3 +111,33 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM p JOIN f USING (html)
 """
+
+#: crc32 of the decimal conv_id, byte by byte and bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, x: list_reduce(list_prepend(xor(c, x), list_transform(range(8), lambda i: CAST(i AS BIGINT))),
+    lambda a, i: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"""
+
+OP11 = f"""
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM t GROUP BY conv_id),
+built AS (
+  SELECT c.conv_id, t.pos AS d, role, text FROM c JOIN t ON t.conv_id = c.base WHERE t.pos <= h
+  UNION ALL
+  SELECT c.conv_id, least(c.h, coalesce(b.n, 0)) + t.pos - c.h, role, text
+  FROM c JOIN t ON t.conv_id = c.conv_id LEFT JOIN c b ON b.conv_id = c.base WHERE t.pos > c.h),
+s AS (SELECT c.conv_id, coalesce(list(struct_pack(role := role, text := text) ORDER BY d) FILTER (WHERE d IS NOT NULL), []) AS s
+      FROM c LEFT JOIN built USING (conv_id) GROUP BY c.conv_id),
+p AS (SELECT conv_id, len(s) AS size, d, list_slice(s, 1, d) AS key FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM s)),
+nodes AS (SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends_sha256
+          FROM p GROUP BY key, d),
+kids AS (SELECT list_slice(key, 1, d - 1) AS key, count(*) AS n FROM nodes WHERE d > 0 GROUP BY list_slice(key, 1, d - 1)),
+own AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children,
+               CASE WHEN d > 0 THEN (n_convs - 1) * strlen(key[-1].text) ELSE 0 END AS weight FROM nodes LEFT JOIN kids USING (key)),
+sums AS (SELECT p.key, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(weight) AS saved
+         FROM own JOIN p ON p.conv_id = own.conv_id AND p.d <= own.d GROUP BY p.key)
+SELECT o.conv_id, CAST(o.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM own o JOIN sums ON sums.key = o.key LEFT JOIN nodes up ON o.d > 0 AND up.d = o.d - 1 AND up.key = list_slice(o.key, 1, o.d - 1)
+"""
