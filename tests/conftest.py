@@ -5,8 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -14,10 +12,3 @@ def spark():
 
     s = get_spark(master="local[4]", shuffle_partitions=4)
     yield s
-
-
-def docs_frame(spark, rows):
-    """rows: (id, package, type, title, doc) -> docs DataFrame with ref."""
-    return spark.createDataFrame(
-        [(i, p, f"{p}.html#{i}", t, ti, d) for i, p, t, ti, d in rows],
-        "id bigint, package string, ref string, type string, title string, doc string")

@@ -2,7 +2,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import docs_frame
+from docs_helper import docs_frame
 from folio.operators import analysis as A
 from folio.operators import requests as R
 from folio.plans import index as IX

@@ -3,7 +3,7 @@ import sqlite3
 import duckdb
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from docs_helper import SF_SMALL
 from folio.functions.porter import stem_column, stems
 from folio.functions.text import word_tokens
 from folio.plans.oracle import stems_sql

@@ -5,7 +5,7 @@ import sqlite3
 
 import pytest
 
-from conftest import docs_frame
+from docs_helper import docs_frame
 from folio.operators import analysis as A
 from folio.operators import requests as R
 from folio.operators.match import match_documents

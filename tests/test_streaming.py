@@ -1,7 +1,7 @@
 import json
 import tempfile
 
-from conftest import docs_frame
+from docs_helper import docs_frame
 from folio.plans import index as IX
 from folio.streaming.requests_stream import answer_stream
 

@@ -1,6 +1,6 @@
 import numpy as np
 import pandas as pd
-from conftest import SF_SMALL
+from docs_helper import SF_SMALL
 
 from folio.plans.catalog_more import q_knn_exact_rows, q_knn_lsh
 
