@@ -65,7 +65,7 @@ def main() -> None:
 
     def do_search():
         res = search(reqs, table("docs"), table("postings"), terms=table("terms"), vocab=table("vocab"))
-        run(with_excerpts(res, reqs, table("docs")))
+        run(with_excerpts(res, reqs, table("docs"), table("postings"), vocab=table("vocab")))
 
     def do_autocomplete():
         run(autocomplete(reqs, table("docs"), titles=table("titles"), tri_index=table("trigrams")))

@@ -1,23 +1,8 @@
-"""Highlighted excerpt of a document body (B6) as Column expressions, for result rows only.
+"""Column expressions of excerpts (B6): where the tokens of a body stand, and the text of a chosen window.
 
-Rules (windows of ``n`` tokens):
-
-1. A *hit* is an instance of a query phrase in the body (tokens as in C1,
-   optionally stemmed; a prefix phrase matches its last token as a prefix).
-2. A window scores 1000 for each distinct phrase with a hit starting inside it
-   and 1 for every further hit.
-3. For every hit at token ``o`` two candidates are scored: the window starting
-   at ``o`` (then re-centred on its hits: ``first - (n - (last - first)) / 2``,
-   truncated, clamped to the body), and, when the body is longer than ``n``
-   tokens, the window at the latest sentence start before ``o`` (a token after
-   ``.`` or ``:`` plus white space, or the first token) with a bonus of 120 at
-   the body start and 100 elsewhere. The best score wins; the first one wins ties.
-4. Without hits the window starts at token 0.
-5. The original text between tokens is kept; overlapping hits share one
-   ``<em>``; ``...`` marks a cut head or tail.
-
-A body is its tokens and the text between them, two arrays; an excerpt is put
-together from slices of both.
+A body's layout is three arrays of numbers: the characters of each token, the
+characters between tokens (one more: head and tail), and the tokens that start
+a sentence. It is part of the index, so that no body is cut into tokens again.
 """
 
 from __future__ import annotations
@@ -25,88 +10,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.porter import stem_tokens
-from folio.functions.text import MARKS, TOKEN_PATTERN, fold
+from folio.functions.text import MARKS, TOKEN_PATTERN
 
 #: A token as it stands in the text: marks that ``fold`` drops may follow its first letter.
 RAW_TOKEN = TOKEN_PATTERN[:-1] + "[" + TOKEN_PATTERN[1:-2] + MARKS + "]*"
 OPEN, CLOSE, CUT = "<em>", "</em>", "..."
-
-
-def _hits(tokens: str, phrases: str) -> Column:
-    """(o, p, k): place, phrase number and size of every hit, in order."""
-    def of(phrase: Column, p: Column) -> Column:
-        want, k = phrase["tokens"], F.size(phrase["tokens"])
-        head = F.when(phrase["is_prefix"], k - 1).otherwise(k)
-        fits = lambda o: ((F.slice(F.col(tokens), o + 1, head) == F.slice(want, 1, head))
-                          & (~phrase["is_prefix"] | F.startswith(F.get(F.col(tokens), o + k - 1), F.get(want, k - 1))))
-        places = F.when((k > 0) & (F.size(tokens) >= k), F.sequence(F.lit(0), F.size(tokens) - k))
-        return F.transform(F.filter(places, fits), lambda o: F.struct(o.alias("o"), p.alias("p"), k.alias("k")))
-
-    found = F.filter(F.transform(phrases, of), lambda x: x.isNotNull())
-    return F.sort_array(F.flatten(found))
-
-
-def _window(start: Column, n: int) -> Column:
-    """(score, start re-centred on the hits) of the window from ``start``."""
-    inside = F.filter("hits", lambda h: (h["o"] >= start) & (h["o"] < start + n))
-
-    def of(h: Column) -> Column:
-        kinds = F.size(F.array_distinct(F.transform(h, lambda x: x["p"])))
-        last = F.try_element_at(h, F.lit(-1))
-        around = ((F.lit(n) - (last["o"] + last["k"] - F.get(h, 0)["o"])) / 2).cast("int")
-        centred = F.greatest(F.least(F.get(h, 0)["o"] - around, F.size("tokens") - n), F.lit(0))
-        return F.struct((1000 * kinds + F.size(h) - kinds).alias("score"), centred.alias("start"))
-
-    return F.get(F.transform(F.array(inside), of), 0)
-
-
-def excerpts(rows: DataFrame, doc_col: str = "doc", phrases_col: str = "phrases", out: str = "excerpt", n: int = 20,
-             stem: bool = False) -> DataFrame:
-    """``rows`` with the excerpt of ``doc_col`` for ``phrases_col`` (array<struct<tokens, is_prefix>>) as ``out``.
-
-    A null body gives null; null phrases, no hits.
-    """
-    names = rows.columns
-    text = F.col(doc_col)
-    raw = F.regexp_extract_all(text, F.lit(RAW_TOKEN), F.lit(0))
-    folded = F.transform(raw, fold)
-    none = F.array().cast("array<struct<tokens:array<string>,is_prefix:boolean>>")
-    df = rows.withColumns({"raw": raw, "tokens": stem_tokens(folded) if stem else folded,
-                           "between": F.split(text, RAW_TOKEN, -1), "asked": F.coalesce(F.col(phrases_col), none)})
-    df = df.withColumn("hits", _hits("tokens", "asked"))
-    df = df.withColumn("firsts", F.filter(F.sequence(F.lit(0), F.size("tokens")), lambda i: (i == 0) | F.get(
-        "between", i).rlike(r"[.:][ \t\n\r]+$")))
-    sentence = lambda o: F.array_max(F.filter("firsts", lambda f: f <= o))
-
-    def candidates(h: Column) -> Column:
-        def earlier(f: Column) -> Column:
-            bonus = F.when(f == 0, 120).otherwise(100)
-            return F.when((f < h["o"]) & (F.size("tokens") > n),
-                          F.struct((_window(f, n)["score"] + bonus).alias("score"), f.alias("start")))
-        return F.array(_window(h["o"], n), F.get(F.transform(F.array(sentence(h["o"])), earlier), 0))
-
-    df = df.withColumn("windows", F.array_compact(F.flatten(F.transform("hits", candidates))))
-    df = df.withColumn("best", F.array_max(F.transform("windows", lambda w: w["score"])))
-    first = F.get(F.filter("windows", lambda w: w["score"] == F.col("best")), 0)["start"]
-    df = df.withColumn("start", F.coalesce(first, F.lit(0)))
-    df = df.withColumn("stop", F.col("start") + n - 1)
-    grown = F.aggregate("hits", F.array().cast("array<struct<s:int,e:int>>"), lambda acc, h: F.when(
-        (F.size(acc) > 0) & (h["o"] <= F.try_element_at(acc, F.lit(-1))["e"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-            F.try_element_at(acc, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(acc, F.lit(-1))["e"], h["o"] + h["k"] - 1).alias("e"))))
-    ).otherwise(F.concat(acc, F.array(F.struct(h["o"].cast("int").alias("s"), (h["o"] + h["k"] - 1).cast("int").alias("e"))))))
-    df = df.withColumn("marked", F.filter(grown, lambda r: r["s"] >= F.col("start")))
-    start, stop = F.col("start"), F.col("stop")
-
-    def shown(i: Column) -> Column:
-        opens = F.exists("marked", lambda r: r["s"] == i)
-        closes = F.exists("marked", lambda r: (r["e"] == i) | ((i == stop) & (r["s"] <= i) & (r["e"] > i)))
-        return F.concat(F.when((i > start) | (start == 0), F.get("between", i)).otherwise(""),
-                        F.when(opens, OPEN).otherwise(""), F.get("raw", i), F.when(closes, CLOSE).otherwise(""))
-
-    last = F.size("tokens") - 1
-    body = F.array_join(F.transform(F.sequence(start, F.least(stop, last)), shown), "")
-    whole = F.concat(F.when(start > 0, CUT).otherwise(""), body,
-                     F.when(stop >= last, F.get("between", last + 1)).otherwise(CUT))
-    return df.select(*names, F.when(text.isNull() | (last < 0), text).otherwise(whole).alias(out))
+LAYOUT = ["lens", "gaps", "sentences"]
+
+
+def with_layout(docs: DataFrame, doc_col: str = "doc") -> DataFrame:
+    """``docs`` with ``lens``, ``gaps`` and ``sentences`` of the body, unless it has them; null for a null body.
+
+    A sentence starts at the first token and at every token after ``.`` or ``:`` and white space."""
+    if set(LAYOUT) <= set(docs.columns):
+        return docs
+    length = lambda x: F.char_length(x)
+    between = F.split(F.col(doc_col), RAW_TOKEN, -1)
+    starts = F.transform(between, lambda g, i: F.when((i == 0) | g.rlike(r"[.:][ \t\n\r]+$"), i))
+    return docs.withColumns({"lens": F.transform(F.regexp_extract_all(doc_col, F.lit(RAW_TOKEN), F.lit(0)), length),
+                             "gaps": F.transform(between, length), "sentences": F.array_compact(starts)})
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def render(doc: str, start: Column, marked: Column, n: int) -> Column:
+    """The text of the ``n`` tokens from ``start`` on of a body with its layout; ``marked``: array of
+    ``(s, e)``, the first and last tokens of what is highlighted, beginning inside the window."""
+    text, lens, gaps = F.col(doc), F.col("lens"), F.col("gaps")
+    last = F.size("lens") - 1
+    stop = start + n - 1
+    shown = F.least(stop, last)
+    begin = _total(F.slice(gaps, F.lit(1), start + 1)) + _total(F.slice(lens, F.lit(1), start))
+    size = _total(F.slice(gaps, start + 2, shown - start)) + _total(F.slice(lens, start + 1, shown - start + 1))
+
+    def window(span: Column) -> Column:
+        def more(done: Column, i: Column) -> Column:
+            gap = F.when(i > start, F.get(gaps, i)).otherwise(0)
+            opens = F.exists(marked, lambda r: r["s"] == i)
+            closes = F.exists(marked, lambda r: (r["e"] == i) | ((i == stop) & (r["s"] <= i) & (r["e"] > i)))
+            piece = F.concat(done["out"], F.substring(span, done["at"] + 1, gap), F.when(opens, OPEN).otherwise(""),
+                             F.substring(span, done["at"] + gap + 1, F.get(lens, i)), F.when(closes, CLOSE).otherwise(""))
+            return F.struct(piece.alias("out"), (done["at"] + gap + F.get(lens, i)).alias("at"))
+
+        return F.aggregate(F.sequence(start, shown), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), more, lambda s: s["out"])
+
+    # In an array, so that the span is cut out of the body once.
+    body = F.get(F.transform(F.array(F.substring(text, begin + 1, size)), window), F.lit(0))
+    head = F.when(start > 0, F.lit(CUT)).otherwise(F.substring(text, F.lit(1), F.get(gaps, F.lit(0))))
+    tail = F.when(stop < last, F.lit(CUT)).otherwise(F.substring(text, begin + size + 1, F.get(gaps, last + 1)))
+    return F.when(text.isNull() | (last < 0), text).otherwise(F.concat(head, body, tail))

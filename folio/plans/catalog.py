@@ -340,7 +340,8 @@ from folio.plans import catalog_more  # noqa: E402,F401
 def _search_full(spark, sf, rows, stem):
     from folio.plans.search import with_excerpts
     res = _search_df(spark, sf, rows, stem=stem)
-    return with_excerpts(res, R.requests_frame(spark, rows), _index(spark, sf, "docs"), stem=stem)
+    return with_excerpts(res, R.requests_frame(spark, rows), _index(spark, sf, "docs", stem), _index(spark, sf, "postings", stem), stem,
+                         vocab=_index(spark, sf, "vocab", stem))
 
 
 @register("search_stemmed", O.search_sql(SEARCH_REQUESTS, stem=True) + """
@@ -351,19 +352,24 @@ def q_search_stemmed(spark, sf):
     return _search_df(spark, sf, SEARCH_REQUESTS, stem=True).withColumn("rank", F.round("rank", 6)).select(*SEARCH_COLS)
 
 
-@register("excerpts")
+@register("excerpts", O.excerpts_sql(SEARCH_REQUESTS) + """
+SELECT request_id, result_pos, id, excerpt FROM results JOIN excerpted USING (request_id, package, id)""")
 def q_excerpts(spark, sf):
     r = _search_full(spark, sf, SEARCH_REQUESTS, False)
     return r.select("request_id", "result_pos", "id", F.col("excerpts")[0].alias("excerpt"))
 
 
-@register("excerpts_stemmed")
+@register("excerpts_stemmed", O.excerpts_sql(SEARCH_REQUESTS, stem=True) + """
+SELECT request_id, result_pos, id, excerpt FROM results JOIN excerpted USING (request_id, package, id)""")
 def q_excerpts_stemmed(spark, sf):
     r = _search_full(spark, sf, SEARCH_REQUESTS, True)
     return r.select("request_id", "result_pos", "id", F.col("excerpts")[0].alias("excerpt"))
 
 
-@register("search_json")
+@register("search_json", O.excerpts_sql(SEARCH_REQUESTS) + """
+SELECT request_id, CAST(to_json(struct_pack(results := list(struct_pack(ref := ref, type := type, title := title, excerpts := [excerpt],
+  rank := rank, package := package) ORDER BY result_pos))) AS VARCHAR) AS body
+FROM results JOIN excerpted USING (request_id, package, id) GROUP BY request_id""")
 def q_search_json(spark, sf):
     from folio.plans.search import to_json_response
     r = _search_full(spark, sf, SEARCH_REQUESTS, False)

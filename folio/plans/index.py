@@ -8,8 +8,8 @@ An index is a set of parquet tables in a folder:
 * ``terms/`` ``(package, id, col, term, tf)``: each distinct term of a column once,
   for single-word clauses; ``lengths/`` ``(package, id, dl)``: tokens of every indexed row;
   ``vocab/`` ``(package, term, docs)`` for prefix expansion;
-* ``docs/`` ``(package, id, ref, type, title, doc)`` partitioned by ``package``
-  (bodies are stored once; postings refer to them by id);
+* ``docs/`` ``(package, id, ref, type, title, doc, lens, gaps, sentences)`` partitioned by ``package``
+  (bodies are stored once; postings refer to them by id; the layout of their tokens serves excerpts);
 * ``titles/`` ``(package, id, ititle, ref, type)`` for autocomplete and
   ``trigrams/`` ``(package, id, tri)``, its trigram index;
 * ``atitles/`` ``(id, package, lt, dl)`` and ``atrigrams/`` ``(package, id, tri)``: the
@@ -30,6 +30,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.functions.excerpt import with_layout
 from folio.operators.analysis import index_fault, indexable, postings, quarantine, term_docs_of
 from folio.operators.match import title_trigrams
 from folio.operators.rank import row_trigrams, trigram_rows
@@ -89,7 +90,7 @@ def build_search_index(docs: DataFrame, path: str, packages: DataFrame | None =
     build.write("lengths", rows.join(counted, ["package", "id"], "left").select(
         "package", "id", F.coalesce("dl", F.lit(0)).alias("dl")), ["package", "id"], by)
     kept = docs if raw_titles else docs.where(index_fault().isNull())
-    build.write("docs", kept.select("package", "id", "ref", "type", "title", "doc"), ["package", "id"])
+    build.write("docs", with_layout(kept.select("package", "id", "ref", "type", "title", "doc")), ["package", "id"])
     if not raw_titles:
         build.write("quarantine", quarantine(docs), ["package", "id"], None)
     build.commit()

@@ -268,6 +268,85 @@ def search_sql(rows, k: int = 25, stem: bool = False) -> str:
 ctp AS ("""), SEARCH_SQL.format(k=k))
 
 
+RAW_RE = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*"
+
+# Every candidate window scored by a join with the hits inside it; text put together token by token.
+EXCERPT_SQL = f"""
+asked AS (SELECT DISTINCT request_id, package, id FROM results),
+body AS (
+  SELECT package, id, doc, regexp_extract_all(doc, '{RAW_RE}') AS raw, regexp_split_to_array(doc, '{RAW_RE}') AS gaps
+  FROM docs WHERE (package, id) IN (SELECT (package, id) FROM asked)
+),
+xhits AS (
+  SELECT request_id, package, id, p, k, o FROM (
+    SELECT DISTINCT a.request_id, a.package, a.id, c.clause_no AS p, c.n_tokens AS k, t.pos - c.tok_idx AS o, c.tok_idx
+    FROM asked a JOIN ctx c ON a.request_id = c.request_id AND c.kind <> 'absent' AND coalesce(c.field_col, 1) = 1
+    JOIN postings t ON t.package = a.package AND t.id = a.id AND t.col = 1
+     AND (CASE WHEN c.is_prefix_tok THEN starts_with(t.term, c.token) ELSE t.term = c.token END)) s
+  GROUP BY request_id, package, id, p, k, o HAVING count(*) = k
+),
+sentences AS (
+  SELECT package, id, f FROM (SELECT package, id, gaps, unnest(range(len(raw))) AS f FROM body) s
+  WHERE f = 0 OR regexp_matches(gaps[f + 1], '[.:][ \t\n\r]+$')
+),
+cands AS (
+  SELECT request_id, package, id, o, p, k, 0 AS c, o AS s FROM xhits
+  UNION ALL
+  SELECT * FROM (
+    SELECT h.request_id, h.package, h.id, h.o, h.p, h.k, 1 AS c, max(f) AS s
+    FROM xhits h JOIN sentences USING (package, id) JOIN body USING (package, id)
+    WHERE f <= h.o AND len(raw) > 20 GROUP BY h.request_id, h.package, h.id, h.o, h.p, h.k) t WHERE s < o
+),
+scored AS (
+  SELECT c.request_id, c.package, c.id, c.o, c.p, c.k, c.c, c.s,
+    1000 * count(DISTINCT h.p) + count(*) - count(DISTINCT h.p)
+      + CASE WHEN c.c = 0 THEN 0 WHEN c.s = 0 THEN 120 ELSE 100 END AS score,
+    min(h.o) AS first, max(struct_pack(o := h.o, p := h.p, k := h.k)) AS last
+  FROM cands c JOIN xhits h ON h.request_id = c.request_id AND h.package = c.package AND h.id = c.id AND h.o >= c.s AND h.o < c.s + 20
+  GROUP BY c.request_id, c.package, c.id, c.o, c.p, c.k, c.c, c.s
+),
+chosen AS (
+  SELECT a.request_id, a.package, a.id, b.doc, b.raw, b.gaps,
+    CASE WHEN s.c IS NULL THEN 0 WHEN s.c = 1 THEN s.s
+      ELSE greatest(least(s.first - trunc((20 - (s.last.o + s.last.k - s.first)) / 2)::BIGINT, len(raw) - 20), 0) END AS start
+  FROM asked a JOIN body b USING (package, id) LEFT JOIN (
+    SELECT *, row_number() OVER (PARTITION BY request_id, package, id ORDER BY score DESC, o, p, k, c) AS n FROM scored) s
+    ON s.request_id = a.request_id AND s.package = a.package AND s.id = a.id AND s.n = 1
+),
+parted AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY request_id, package, id ORDER BY o, p, k) AS part FROM (
+    SELECT *, CASE WHEN o <= max(o + k - 1) OVER (PARTITION BY request_id, package, id ORDER BY o, p, k
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM xhits) t
+),
+marks AS (
+  SELECT request_id, package, id, min(o) AS s, max(o + k - 1) AS e FROM parted GROUP BY request_id, package, id, part
+),
+toks20 AS (
+  SELECT *, unnest(range(start, least(start + 20, len(raw)))) AS i FROM chosen WHERE len(raw) > 0
+),
+shown AS (
+  SELECT t.request_id, t.package, t.id, string_agg(
+    CASE WHEN i > start OR start = 0 THEN gaps[i + 1] ELSE '' END
+    || CASE WHEN EXISTS (FROM marks m WHERE m.request_id = t.request_id AND m.package = t.package AND m.id = t.id
+                         AND m.s >= t.start AND m.s = i) THEN '<em>' ELSE '' END
+    || raw[i + 1]
+    || CASE WHEN EXISTS (FROM marks m WHERE m.request_id = t.request_id AND m.package = t.package AND m.id = t.id
+                         AND m.s >= t.start AND m.s <= i AND (m.e = i OR (i = t.start + 19 AND m.e > i))) THEN '</em>' ELSE '' END, '' ORDER BY i) AS body
+  FROM toks20 t GROUP BY t.request_id, t.package, t.id
+),
+excerpted AS (
+  SELECT c.request_id, c.package, c.id,
+    CASE WHEN body IS NULL THEN doc ELSE CASE WHEN start > 0 THEN '...' ELSE '' END || body
+      || CASE WHEN start + 20 < len(raw) THEN '...' ELSE gaps[-1] END END AS excerpt
+  FROM chosen c LEFT JOIN shown USING (request_id, package, id)
+)"""
+
+
+def excerpts_sql(rows, stem: bool = False) -> str:
+    """The CTEs of ``search_sql`` and ``excerpted(request_id, package, id, excerpt)``."""
+    return search_sql(rows, stem=stem).rstrip() + "," + EXCERPT_SQL + "\n"
+
+
 AUTOCOMPLETE_SQL = """
 cp AS (
   SELECT c.request_id, r.package_pos, r.package, c.clause_no, c.kind, lower(c.text) AS needle

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.titles import type_boost
 from folio.operators.analysis import indexable
+from folio.operators.excerpt import excerpts
 from folio.operators.match import match_documents, substring_matches
 from folio.operators.requests import clauses, request_meta, request_packages
 from folio.session import BROADCAST_ROW_LIMIT, cut_lineage
@@ -113,8 +114,8 @@ def to_json_response(results: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def request_phrases(requests: DataFrame, stem: bool = False) -> DataFrame:
-    """``(request_id, phrases)``: tokenised non-absent clauses that can hit the body,
-    in query order, for the excerpt."""
+    """``(request_id, phrases)``: tokenised non-absent clauses that can hit the body, for the excerpt. Their order
+    changes no excerpt, so they are sorted: requests of the same words share their excerpts."""
     from folio.functions.text import word_tokens
 
     c = clauses(requests)
@@ -123,30 +124,24 @@ def request_phrases(requests: DataFrame, stem: bool = False) -> DataFrame:
         from folio.functions.porter import stem_tokens
         toks = stem_tokens(toks)
     ph = c.where((F.col("kind") != "absent") & (F.col("field").isNull() | (F.col("field") == "doc")))
-    ph = ph.select("request_id", F.struct("clause_no", F.struct(toks.alias("tokens"), "is_prefix").alias("p"))
-                   .alias("s"))
-    return ph.groupBy("request_id").agg(
-        F.transform(F.array_sort(F.collect_list("s")), lambda s: s["p"]).alias("phrases"))
+    ph = ph.select("request_id", F.struct(toks.alias("tokens"), "is_prefix").alias("p"))
+    return ph.groupBy("request_id").agg(F.array_sort(F.collect_list("p")).alias("phrases"))
 
 
-def with_excerpts(results: DataFrame, requests: DataFrame, docs: DataFrame, stem: bool = False,
-                  n: int = 20) -> DataFrame:
+def with_excerpts(results: DataFrame, requests: DataFrame, docs: DataFrame, postings: DataFrame, stem: bool = False,
+                  n: int = 20, vocab: DataFrame | None = None) -> DataFrame:
     """Add ``excerpts`` (one highlighted excerpt, as in the reference's
-    result map) to search results; computed only for the rows returned.
+    result map) to search results; computed only for the rows returned, from ``postings`` with the same words.
 
-    An excerpt depends only on the body and the phrase list, so it is computed
+    An excerpt depends only on the body and the phrases, so it is computed
     once per distinct (document, phrases) of the batch and joined back. The
     results are written once, as both sides of that join read them.
     """
-    from folio.functions.excerpt import excerpts
-
     r = cut_lineage(results.join(request_phrases(requests, stem), "request_id", "left"))
-    keys = r.select(F.col("package").alias("k_package"), F.col("id").alias("k_id"),
-                    F.col("phrases").alias("k_phrases")).distinct()
-    docs, = restrict_packages(r.select("package"), docs.select("package", "id", "doc"))
-    body = docs.select(F.col("package").alias("k_package"), F.col("id").alias("k_id"), "doc")
-    ex = excerpts(keys.join(body, ["k_package", "k_id"]), "doc", "k_phrases", "excerpt", n, stem)
-    ex = ex.select("k_package", "k_id", "k_phrases", F.array("excerpt").alias("excerpts"))
+    keys = r.select("package", "id", "phrases").distinct()
+    ex = excerpts(keys, *restrict_packages(r.select("package"), postings, docs, vocab), n)
+    ex = ex.select(F.col("package").alias("k_package"), F.col("id").alias("k_id"), F.col("phrases").alias("k_phrases"),
+                   F.array("excerpt").alias("excerpts"))
     cond = ((F.col("package") == F.col("k_package")) & (F.col("id") == F.col("k_id"))
             & F.col("phrases").eqNullSafe(F.col("k_phrases")))
     return r.join(ex, cond).drop("k_package", "k_id", "k_phrases", "phrases")

@@ -1,15 +1,21 @@
 import random
 import sqlite3
 
-from folio.functions.excerpt import excerpts
+from pyspark.sql import functions as F
+
+from folio.functions.porter import stem_tokens
+from folio.functions.text import word_tokens
+from folio.operators.excerpt import excerpts
 
 PHRASES = "id bigint, doc string, phrases array<struct<tokens:array<string>,is_prefix:boolean>>"
 
 
 def snippets(spark, rows, stem=False):
     """Excerpts of (doc, [(tokens, is_prefix), ...]) rows, in order."""
-    df = spark.createDataFrame([(i, d, p) for i, (d, p) in enumerate(rows)], PHRASES)
-    return [r.excerpt for r in sorted(excerpts(df, stem=stem).collect())]
+    df = spark.createDataFrame([(i, d, p) for i, (d, p) in enumerate(rows)], PHRASES).withColumn("package", F.lit("p"))
+    tokens = word_tokens(F.col("doc"))
+    postings = df.select("package", "id", F.lit(1).alias("col"), F.posexplode(stem_tokens(tokens) if stem else tokens).alias("pos", "term"))
+    return [r.excerpt for r in sorted(excerpts(df.select("package", "id", "phrases"), postings, df).select("id", "excerpt").collect())]
 
 
 def W(a, b):
