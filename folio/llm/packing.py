@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -132,25 +133,36 @@ def match(todo: DataFrame, slots: DataFrame, rows: int) -> DataFrame:
     return paired.unionAll(across.select("id", "size", "bin"))
 
 
-def _opening(sizes: list[tuple[int, int]], fit: int, capacity: int) -> tuple[int, float]:
-    """Which pieces open sequences: all larger than the first number, and of those of just that size
-    the given share. ``sizes``: (size, count), of which those over ``fit`` fit no gap."""
+def _opening(sizes: list[tuple[int, int]], fit: int, capacity: int) -> tuple[int, int]:
+    """Which pieces open sequences: all larger than the first number, and as many of just that size as the second
+    number says. ``sizes``: (size, count), of which those over ``fit`` fit no gap."""
     lone = sorted(((s, n) for s, n in sizes if s > fit), reverse=True)
     need = max(-(-sum(s * n for s, n in lone) // capacity), sum(n for s, n in lone if 2 * s > capacity))
     for s, n in lone:
         if need <= n:
-            return s, 1.0 if n <= 1000 else min(1.0, max(need, 50) / n)
+            return s, need
         need -= n
-    return fit, 0.0
+    return fit, 0
+
+
+def _first(rows: DataFrame, n: int) -> DataFrame:
+    """Just ``n`` of ``rows`` (which are written), from their partitions in turn: only a count a partition reaches the driver."""
+    ranked = rows.withColumn("rank", F.monotonically_increasing_id())
+    ranked = ranked.withColumn("part", F.shiftright("rank", 33)).withColumn("rank", F.col("rank").bitwiseAND((1 << 33) - 1))
+    quotas = []
+    for part, count in sorted(tuple(r) for r in ranked.groupBy("part").count().collect()):
+        quotas.append((part, min(count, n)))
+        n -= quotas[-1][1]
+    quotas = rows.sparkSession.createDataFrame(quotas, "part bigint, quota bigint")
+    return ranked.join(F.broadcast(quotas), "part").where("rank < quota").select(*rows.columns)  # a row a partition
 
 
 def place(todo: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces ``(id bigint, size bigint)`` with unique ids, sizes 1 to ``capacity`` -> ``(id, size, bin)``."""
     todo = cut_lineage(todo)
     none = todo.sparkSession.createDataFrame([], "id bigint, size bigint")
-    gaps, placed, turn = none, [], 0
+    gaps, placed = none, []
     while sizes := [tuple(r) for r in todo.groupBy("size").count().collect()]:
-        turn += 1
         n_gaps, widest = gaps.agg(F.count(F.lit(1)), F.max("size")).first()
         least, most = min(s for s, _ in sizes), max(s for s, _ in sizes)
         fit = min(widest or 0, most)
@@ -162,11 +174,11 @@ def place(todo: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             slots = slots.select("id", F.when(times > 1, F.lit(fit)).otherwise(F.col("size")).cast("bigint").alias("size"),
                                  F.explode(F.sequence(F.lit(1), times))).select("id", "size")
             done.append(match(todo.where(F.col("size") <= fit), slots, sum(n for _, n in sizes) + n_gaps))
-        size, share = _opening(sizes, fit, capacity) if widest is None or most > widest else (capacity, 0.0)
-        chosen = (F.col("size") > size) | ((F.col("size") == size) & (
-            F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 << 30)) < int(share * (1 << 30))))
-        done.append(todo.where(chosen & (F.col("size") > fit)).select("id", "size", F.col("id").alias("bin")))
-        step = cut_lineage(done[0].unionAll(done[-1]) if len(done) > 1 else done[0])
+        size, need = _opening(sizes, fit, capacity) if widest is None or most > widest else (capacity, 0)
+        lone = todo.where(F.col("size") > fit)
+        opening = [lone.where(F.col("size") > size)] + ([_first(lone.where(F.col("size") == size), need)] if need else [])
+        done += [o.select("id", "size", F.col("id").alias("bin")) for o in opening]
+        step = cut_lineage(reduce(DataFrame.unionAll, done))
         placed.append(step)
         todo = cut_lineage(todo.join(step.select("id"), "id", "left_anti"))
         used = step.groupBy("bin").agg(F.sum("size").alias("used"))

@@ -112,3 +112,9 @@ def test_texts_with_nul():
     encoder = Encoder(PATH)
     for _ in range(2):
         assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == want
+
+
+@pytest.mark.parametrize("size,n,want", [(512, 500, 250), (300, 1000, 334), (300, 1200, 400)])
+def test_pieces_of_one_size_share_sequences(spark, size, n, want):
+    placed = P.place(spark.createDataFrame([(i, size) for i in range(n)], "id bigint, size bigint")).collect()
+    assert len({r.bin for r in placed}) <= want + 1 and len(placed) == n
