@@ -38,12 +38,16 @@ def quarantine(docs: DataFrame) -> DataFrame:
     return docs.withColumn("reason", index_fault()).where(F.col("reason").isNotNull())
 
 
-def token_arrays(docs: DataFrame, raw_titles: bool = False) -> DataFrame:
-    """``(package, id, title_tokens, doc_tokens)``."""
+def with_tokens(docs: DataFrame, raw_titles: bool = False) -> DataFrame:
+    """The rows the title rules accept (all with raw titles) with ``title_tokens`` and ``doc_tokens``."""
     title = F.col("title") if raw_titles else F.col("ititle")
     src = docs if raw_titles else indexable(docs)
-    return src.select("package", "id", word_tokens(title).alias("title_tokens"),
-                      word_tokens(F.col("doc")).alias("doc_tokens"))
+    return src.withColumns({"title_tokens": word_tokens(title), "doc_tokens": word_tokens(F.col("doc"))})
+
+
+def token_arrays(docs: DataFrame, raw_titles: bool = False) -> DataFrame:
+    """``(package, id, title_tokens, doc_tokens)``."""
+    return with_tokens(docs, raw_titles).select("package", "id", "title_tokens", "doc_tokens")
 
 
 def postings(docs: DataFrame, stem: bool = False, raw_titles: bool = False) -> DataFrame:

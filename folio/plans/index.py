@@ -26,15 +26,18 @@ written to ``quarantine/`` with the reason: rows in = indexed + quarantined.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions.excerpt import with_layout
-from folio.operators.analysis import index_fault, indexable, postings, quarantine, term_docs_of
+from folio.functions.excerpt import LAYOUT, with_layout
+from folio.functions.porter import stemmed
+from folio.operators.analysis import indexable, postings_of, quarantine, term_docs_of, with_tokens
 from folio.operators.match import title_trigrams
 from folio.operators.rank import row_trigrams, trigram_rows
-from folio.session import checkpoint_dir
+from folio.session import checkpoint_dir, cut_lineage, spread
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -54,6 +57,12 @@ class _Build:
         self.tables.append(name)
         return self.spark.read.parquet(f"{self.path}/{name}/{self.version}")
 
+    def together(self, *jobs: Callable[[], None]) -> None:
+        """Submit jobs that do not depend on each other at once; the first error is raised."""
+        with ThreadPoolExecutor(len(jobs)) as pool:
+            for done in [pool.submit(job) for job in jobs]:
+                done.result()
+
     def commit(self) -> None:
         last = _commits(self.spark, self.path)
         turn = (last.agg(F.max("turn")).first()[0] or 0) + 1 if last is not None else 1
@@ -78,28 +87,33 @@ def build_search_index(docs: DataFrame, path: str, packages: DataFrame | None =
                        stem: bool = False, raw_titles: bool = False, partitioned: bool = True) -> None:
     """Write postings, terms, lengths, vocabulary, documents and quarantine
     for the selected packages (``partitioned=False``: one cross-package order, by term)."""
-    docs = _selected(docs, packages)
+    docs = spread(_selected(docs, packages))
     build, by = _Build(docs.sparkSession, path), "package" if partitioned else None
     order = ["package", "term", "id"] if partitioned else ["term", "package", "id"]
-    # Tokenised once: what follows is derived from the written postings.
-    found = build.write("postings", postings(docs, stem, raw_titles), order, by)
-    terms = build.write("terms", term_docs_of(found), order, by)
-    build.write("vocab", terms.groupBy("package", "term").agg(F.count(F.lit(1)).alias("docs")), order[:2], by)
-    rows = (docs if raw_titles else docs.where(index_fault().isNull())).select("package", "id")
-    counted = terms.groupBy("package", "id").agg(F.sum("tf").alias("dl"))
-    build.write("lengths", rows.join(counted, ["package", "id"], "left").select(
-        "package", "id", F.coalesce("dl", F.lit(0)).alias("dl")), ["package", "id"], by)
-    kept = docs if raw_titles else docs.where(index_fault().isNull())
-    build.write("docs", with_layout(kept.select("package", "id", "ref", "type", "title", "doc")), ["package", "id"])
-    if not raw_titles:
-        build.write("quarantine", quarantine(docs), ["package", "id"], None)
+    # Cut into tokens once, and written: the sample of a range partitioning would cut them a second time.
+    rows = cut_lineage(with_layout(with_tokens(docs, raw_titles)))
+
+    def of_postings() -> None:
+        found = postings_of(rows)
+        found = build.write("postings", stemmed(found) if stem else found, order, by)
+        terms = build.write("terms", term_docs_of(found), order, by)
+        build.write("vocab", terms.groupBy("package", "term").agg(F.count(F.lit(1)).alias("docs")), order[:2], by)
+
+    def of_rows() -> None:
+        length = F.greatest(F.size("title_tokens"), F.lit(0)) + F.greatest(F.size("doc_tokens"), F.lit(0))
+        build.write("docs", rows.select("package", "id", "ref", "type", "title", "doc", *LAYOUT), ["package", "id"])
+        build.write("lengths", rows.select("package", "id", length.cast("bigint").alias("dl")), ["package", "id"], by)
+        if not raw_titles:
+            build.write("quarantine", quarantine(docs), ["package", "id"], None)
+
+    build.together(of_postings, of_rows)
     build.commit()
 
 
 def build_title_index(docs: DataFrame, path: str, packages: DataFrame | None = None,
                       with_ref: bool = True) -> None:
     """Normalised titles, with ref and type or without, per package, and their trigrams."""
-    docs = _selected(docs, packages)
+    docs = spread(_selected(docs, packages))
     build = _Build(docs.sparkSession, path)
     t = indexable(docs).select("package", "id", "ititle", *(["ref", "type"] if with_ref else []))
     titles = build.write("titles", t, ["package", "id"])
@@ -110,7 +124,7 @@ def build_title_index(docs: DataFrame, path: str, packages: DataFrame | None = N
 def build_autocomplete_index(corpus: DataFrame, path: str) -> None:
     """The autocomplete corpus ``(id, package, atitle)`` for title BM25 and its trigrams, in one order over all packages."""
     build = _Build(corpus.sparkSession, path)
-    rows = build.write("atitles", trigram_rows(corpus), ["id"], None)
+    rows = build.write("atitles", trigram_rows(spread(corpus)), ["id"], None)
     build.write("atrigrams", row_trigrams(rows), ["tri", "id"], None)
     build.commit()
 

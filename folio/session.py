@@ -72,6 +72,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores if it comes in fewer partitions (a small table in one file), else as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def small_side(df: DataFrame, small: bool | None, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Broadcast ``df`` when the caller has proven it small (``small=True``),
     leave it to the planner when proven large (``False``), or count it (``None``)."""

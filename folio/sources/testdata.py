@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.functions.text import words
+from folio.functions.text import WORD_PATTERN
 from folio.functions.titles import CODE_TYPES, DOC_TYPES
+from folio.session import spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -29,13 +30,11 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _docs_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Staged projections: the word array is computed once (CollapseProject keeps
-    # a non-cheap expression that is referenced several times in its own project).
-    d = (table(spark, sf_dir, "documents")
-         .select("doc_id", "source", "text", words(F.col("text")).alias("_w"))
-         .select("doc_id", "source", "text",
-                 F.coalesce(F.get(F.col("_w"), 0), F.lit("x")).alias("_w1"),
-                 F.coalesce(F.get(F.col("_w"), 1), F.lit("x")).alias("_w2")))
+    # The first two words only: neither expression reads the text to its end.
+    text, second = F.col("text"), rf"{WORD_PATTERN}[^\p{{L}}\p{{N}}]+({WORD_PATTERN})"
+    d = spread(table(spark, sf_dir, "documents")).select(
+        "doc_id", "source", "text", F.coalesce(F.regexp_substr(text, F.lit(WORD_PATTERN)), F.lit("x")).alias("_w1"),
+        F.when(text.rlike(second), F.regexp_extract(text, second, 1)).otherwise("x").alias("_w2"))
     w1, w2 = F.col("_w1"), F.col("_w2")
     i = F.col("doc_id")
     type_ = F.element_at(F.array(*[F.lit(t) for t in DOC_TYPES]), (i % 12 + 1).cast("int"))
