@@ -146,6 +146,19 @@ def q_knn_lsh(spark, sf):
         (F.col("candidates") / F.col("total")).alias("candidate_share"))
 
 
+@register("knn_ivf")
+def q_knn_ivf(spark, sf):
+    """The whole query set through the inverted file, with its recall, the share of rows ranked exactly and of codes looked up."""
+    from folio.operators import ivf
+    vec = D.vectors(spark, sf)
+    q = _query_rows(vec)
+    found = ivf.search(ivf.build(vec, 10), q, vec, 10)
+    total = vec.agg(F.count("embedding").alias("total"))
+    return found.join(V.recall(found, V.knn_exact(q, vec, 10)), "query_id").join(total).select(
+        "query_id", "rk", "id", F.round("similarity", 6).alias("similarity"), "recall",
+        (F.col("candidates") / F.col("total")).alias("candidate_share"), (F.col("scanned") / F.col("total")).alias("scanned_share"))
+
+
 # ------------------------------------------------------------------ A1-A10, K5
 
 def _stats_json(spark, sf):

@@ -19,3 +19,31 @@ def test_searches_ask_with_every_hundredth_row(spark):
         assert rows["id"].iloc[0] == q and np.allclose(rows["similarity"], best, atol=1e-6)
         found = lsh[lsh["query_id"] == q]
         assert len(found) == 10 and np.allclose(found["recall"], len(set(found["id"]) & set(rows["id"])) / 10)
+
+
+def test_inverted_file_finds_the_neighbours(spark):
+    from folio.plans.catalog_more import q_knn_ivf
+
+    got = q_knn_ivf(spark, "/root/testdata/sf0.01").toPandas()
+    each = got.groupby("query_id").agg({"recall": "first", "candidate_share": "first", "id": "nunique"})
+    assert len(each) == 5 and (each["id"] == 10).all()
+    assert each["recall"].mean() >= 0.9 and each["candidate_share"].max() < 0.05
+
+
+def test_inverted_file_odd_rows(spark):
+    from folio.operators import ivf
+    from folio.operators.vectors import knn_exact
+
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(300)] + [(300 + i, [1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(200)]
+    rows += [(1000, [0.0] * 5), (1001, None), (None, [1.0] * 5)]
+    corpus = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    queries = spark.createDataFrame([(i, v) for i, v in rows[:300:30]] + [(7, None)], "query_id bigint, query array<double>")
+    index = ivf.build(corpus, k=5)
+    got = ivf.search(index, queries, corpus, k=5).toPandas()
+    exact = knn_exact(queries.where("query is not null"), corpus, 5).toPandas()
+    met = got.merge(exact, on=["query_id", "id"])
+    assert len(got) == 50 and len(met) >= 0.9 * len(exact) and np.allclose(met["similarity_x"], met["similarity_y"])
+    assert sum(len(b.ids) // 8 for b in index.blocks.collect()) == 501
+    empty = corpus.where("false")
+    assert ivf.search(ivf.build(empty), queries, empty).count() == 0
