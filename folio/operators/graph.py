@@ -1,9 +1,9 @@
 """Package dependency graph as DataFrames.
 
 Graph walks are level-by-level joins of a frontier with the edge table. All
-walks are multi-source: every row carries its ``start``, so one job answers
-many start packages. Levels are few (the reference walks at most 3-4 steps);
-lineage is cut with a reliable checkpoint every ``checkpoint_every`` levels.
+walks are multi-source: one job answers many start packages, breadth-first walks
+with the starts of a node as bitmaps. Levels are few (the reference walks at most
+3-4 steps); lineage is cut with a reliable checkpoint every level.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.operators.components import components
+from folio.operators.frontiers import has_bit, numbered, starts_of, walk
 from folio.session import cut_lineage
 
 # Per-degree download floors used to keep neighbours (degree 0..4).
@@ -45,37 +46,23 @@ def undirected(edges: DataFrame) -> DataFrame:
     return fwd.unionByName(back).distinct()
 
 
-def bfs(edges: DataFrame, starts: DataFrame, max_degree: int | None,
-        directed: bool = False, checkpoint_every: int = 4) -> DataFrame:
-    """Breadth-first neighbours ``(start, package, degree)``, first-seen degree,
-    the start itself at degree 0. ``max_degree=None`` walks to exhaustion (one
-    count per level decides when the frontier is empty)."""
-    adj = (edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
-           if directed else undirected(edges))
-    visited = starts.select("start", F.col("start").alias("package"), F.lit(0).alias("degree"))
-    frontier = visited.select("start", "package")
-    level = 0
-    while max_degree is None or level < max_degree:
-        level += 1
-        step = (frontier.join(adj, frontier["package"] == adj["src"])
-                .select("start", F.col("dst").alias("package")).distinct()
-                .join(visited.select("start", "package"), ["start", "package"], "left_anti"))
-        if max_degree is None:
-            # Walking to exhaustion: materialise each level once (reliable
-            # checkpoint), then one small action decides whether to go on.
-            step = cut_lineage(step)
-            if step.limit(1).count() == 0:
-                break
-        elif checkpoint_every and level % checkpoint_every == 0:
-            step = cut_lineage(step)
-        visited = visited.unionByName(step.withColumn("degree", F.lit(level)))
-        frontier = step
-    return visited.withColumn("degree", F.col("degree").cast("bigint"))
-
-
-def neighbours_by_degree(neighbours: DataFrame) -> DataFrame:
-    """K4: ``(start, degree, packages)`` with the package list sorted."""
-    return neighbours.groupBy("start", "degree").agg(F.array_sort(F.collect_list("package")).alias("packages"))
+def bfs(edges: DataFrame, starts: DataFrame, max_degree: int | None, directed: bool = False) -> DataFrame:
+    """Breadth-first neighbours ``(start, package, degree)``, first-seen degree, the start itself at degree 0, by
+    bit-parallel frontiers (``folio.operators.frontiers``). ``max_degree=None`` walks to exhaustion."""
+    adj = cut_lineage(edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
+                      if directed else undirected(edges))
+    numbers = cut_lineage(numbered(starts.select("start").distinct(), "number"))
+    levels = [starts_of(level, numbers).withColumn("degree", F.lit(k).cast("bigint"))
+              for k, level in enumerate(walk(adj, numbers, max_degree))]
+    return reduce(DataFrame.unionByName, levels)
+
+
+def neighbours_by_degree(neighbours: DataFrame, size: int = 1000) -> DataFrame:
+    """K4: ``(start, degree, part, packages)``: the sorted packages of a (start, degree) in lists of at most ``size``,
+    ``part`` from 0, so that a hub makes more rows and not a longer list."""
+    place = F.row_number().over(Window.partitionBy("start", "degree").orderBy("package")) - 1
+    parts = neighbours.withColumn("part", F.floor(place / size))
+    return parts.groupBy("start", "degree", "part").agg(F.array_sort(F.collect_list("package")).alias("packages"))
 
 
 def pruned_walk(edges: DataFrame, packages: DataFrame, starts: DataFrame,
@@ -133,10 +120,9 @@ def separation(edges: DataFrame, pairs: DataFrame, stdlib: list[str] | None = No
     """Degree of separation for ``pairs(a, b)``: 1 when either is a standard
     package, 0 for itself, the undirected BFS distance, or -1 when unreachable.
 
-    Component labels settle the unreachable pairs at once. The walk starts only from
-    packages that have an open pair and drops a start with its last one, so it
-    ends after the largest distance asked for and never lists all pairs. With
-    ``max_levels``, what is farther gets ``max_levels + 1``.
+    Component labels settle the unreachable pairs at once. The others are read off a bit-parallel walk from all
+    ``a`` together: a pair is settled at the level whose fresh bits at ``b`` have ``a``. The walk ends with the last open
+    pair. With ``max_levels``, what is farther gets ``max_levels + 1``.
     """
     stdlib = STDLIB if stdlib is None else stdlib
     adj = cut_lineage(undirected(edges))
@@ -149,21 +135,19 @@ def separation(edges: DataFrame, pairs: DataFrame, stdlib: list[str] | None = No
         F.col("la").isNull() | F.col("lb").isNull() | (F.col("la") != F.col("lb")), -1).cast("bigint").alias("degree")))
     found = [known.where(F.col("degree").isNotNull())]
     left = known.where(F.col("degree").isNull()).select("a", "b")
-    visited = left.select(F.col("a").alias("start"), F.col("a").alias("package")).distinct()
-    frontier, level = visited, 0
-    while (max_levels is None or level < max_levels) and left.limit(1).count():
-        level += 1
-        step = (frontier.join(adj, F.col("package") == F.col("src")).select("start", F.col("dst").alias("package")).distinct()
-                .join(visited, ["start", "package"], "left_anti"))
-        step = cut_lineage(step)
-        here = (F.col("a") == F.col("start")) & (F.col("b") == F.col("package"))
-        found.append(cut_lineage(left.join(step, here, "left_semi").withColumn("degree", F.lit(level).cast("bigint"))))
-        left = cut_lineage(left.join(step, here, "left_anti"))
-        starts = left.select(F.col("a").alias("start")).distinct()
-        visited = visited.unionByName(step).join(starts, "start", "left_semi")
-        frontier = step.join(starts, "start", "left_semi")
+    numbers = cut_lineage(numbered(left.select(F.col("a").alias("start")).distinct(), "number"))
+    left = cut_lineage(left.join(numbers, F.col("a") == F.col("start")).select(
+        "a", "b", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("position")))
+    for level, step in enumerate(walk(adj, numbers, max_levels)):
+        if left.isEmpty():
+            break
+        here = step.where("n > 0").select(F.col("package").alias("b"), "bucket", "fresh")
+        left = cut_lineage(left.join(here, ["b", "bucket"], "left").select(
+            "a", "b", "bucket", "position", F.coalesce(has_bit("fresh", "position"), F.lit(False)).alias("met")))
+        found.append(left.where("met").select("a", "b", F.lit(level).cast("bigint").alias("degree")))
+        left = left.where("not met").drop("met")
     if max_levels is not None:
-        found.append(left.withColumn("degree", F.lit(max_levels + 1).cast("bigint")))
+        found.append(left.select("a", "b", F.lit(max_levels + 1).cast("bigint").alias("degree")))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -82,10 +82,12 @@ def q_bfs_neighbours(spark, sf):
 
 
 @register("neighbour_lists", "WITH RECURSIVE " + with_sql(D.EDGES_SQL, NODES_SQL, BFS2_SQL)[5:] + """
-SELECT start, degree, string_agg(package, ',' ORDER BY package) AS packages FROM bfs GROUP BY start, degree""")
+SELECT start, degree, part, string_agg(package, ',' ORDER BY package) AS packages FROM (
+  SELECT *, CAST((row_number() OVER (PARTITION BY start, degree ORDER BY package) - 1) // 1000 AS BIGINT) AS part FROM bfs) s
+GROUP BY start, degree, part""")
 def q_neighbour_lists(spark, sf):
     lists = G.neighbours_by_degree(_bfs2(spark, sf))
-    return lists.select("start", "degree", F.array_join("packages", ",").alias("packages"))
+    return lists.select("start", "degree", "part", F.array_join("packages", ",").alias("packages"))
 
 
 @register("degree_floor", "WITH RECURSIVE " + with_sql(D.GRAPH_PACKAGES_SQL, D.EDGES_SQL, NODES_SQL, BFS2_SQL)[5:]
@@ -142,31 +144,17 @@ def q_nearest_distance(spark, sf):
 
 # ------------------------------------------------------------------ G7-G13 (part names)
 
-SHARED_WORD_PAIRS_SQL = """
-fullnames AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part),
-words AS (SELECT name, unnest(string_split(name, '_')) AS w FROM fullnames),
-pairs AS (SELECT DISTINCT a.name AS a, b.name AS b FROM words a JOIN words b ON a.w = b.w AND a.name < b.name)"""
-
-
-def _shared_word_pairs(spark, sf):
-    names = D.table(spark, sf, "part").select(F.replace(F.col("p_name"), F.lit(" "), F.lit("_")).alias("name")) \
-        .distinct()
-    w = names.select("name", F.explode(F.split("name", "_", -1)).alias("w"))
-    a, b = w.alias("a"), w.alias("b")
-    return (a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.name") < F.col("b.name")))
-            .select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct())
-
-
 def _sep_sql(pairs_cte: str, pairs_name: str) -> str:
     return f"""
 nund AS (SELECT source AS src, target AS dst FROM nedges UNION SELECT target, source FROM nedges),
 sstarts AS (SELECT DISTINCT a AS start FROM {pairs_name}),
-swalk(start, node, d) AS (
+swalk(start, node, d) USING KEY (start, node) AS (
   SELECT start, start, 0 FROM sstarts
   UNION
-  SELECT w.start, u.dst, w.d + 1 FROM swalk w JOIN nund u ON w.node = u.src WHERE w.d < 64  -- the name chains are shorter
+  SELECT w.start, u.dst, min(w.d) + 1 FROM swalk w JOIN nund u ON w.node = u.src
+  LEFT JOIN recurring.swalk r ON r.start = w.start AND r.node = u.dst WHERE r.node IS NULL GROUP BY w.start, u.dst
 ),
-sdist AS (SELECT start, node, min(d) AS d FROM swalk GROUP BY start, node),
+sdist AS (SELECT start, node, d FROM swalk),
 sep AS (
   SELECT p.a, p.b, CAST(CASE WHEN p.a IN ('ex_unit', 'logger', 'eex') OR p.b IN ('ex_unit', 'logger', 'eex')
     THEN 1 ELSE coalesce(s.d, -1) END AS BIGINT) AS degree
@@ -174,10 +162,24 @@ sep AS (
 )"""
 
 
-@register("separation", "WITH RECURSIVE " + with_sql(D.NAMES_SQL, D.NAME_EDGES_SQL, SHARED_WORD_PAIRS_SQL,
-                                                       _sep_sql("", "pairs"))[5:] + "SELECT a, b, degree FROM sep")
+NEIGHBOUR_PAIRS_SQL = """
+nedges AS (SELECT source, target FROM edges),
+named AS (SELECT source AS name FROM edges UNION SELECT target FROM edges),
+pairs AS (SELECT name AS a, next AS b FROM (SELECT name, lead(name) OVER (ORDER BY name) AS next FROM named) s WHERE next IS NOT NULL)"""
+
+
+def _neighbour_pairs(edges):
+    """Each package of the graph and the next by name: as many pairs as packages, at any distance."""
+    names = G.numbered(edges.select(F.col("source").alias("b")).union(edges.select("target")).distinct()
+                       .repartitionByRange("b").sortWithinPartitions("b"), "n")
+    return names.join(names.select(F.col("b").alias("a"), (F.col("n") + 1).alias("n")), "n").select("a", "b")
+
+
+@register("separation", "WITH RECURSIVE " + with_sql(D.EDGES_SQL, NEIGHBOUR_PAIRS_SQL, _sep_sql("", "pairs"))[5:] + "SELECT a, b, degree FROM sep")
 def q_separation(spark, sf):
-    return G.separation(D.name_edges(spark, sf), _shared_word_pairs(spark, sf))
+    """Over the part graph, which grows with the orders."""
+    edges = D.package_edges(spark, sf)
+    return G.separation(edges, _neighbour_pairs(edges))
 
 
 SIMILAR_SQL = f"""
