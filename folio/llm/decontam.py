@@ -10,7 +10,8 @@ found whole: all document grams of just their length are joined.
 
 The benchmark side is broadcast, in blocks of at most ``BLOCK_WORDS`` words, so
 the documents' fingerprints are not shuffled; hits are, and then the texts that have
-one, to extend them. Results are keyed by a 128-bit digest of the text: copies of a
+one, to extend them: they are found by a broadcast of the digests of hit texts, if these
+are counted to be few, else by a join on the digest. Results are keyed by a 128-bit digest of the text: copies of a
 text are one key.
 """
 
@@ -22,13 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import ascii_lower, col, fresh, text_digest
-from folio.session import cut_lineage
+from folio.session import bounded_broadcast, cut_lineage
 
 SPAN = 10
 GRAM = 5
 #: Benchmark words broadcast at once: about 40 MB with their fingerprints.
 BLOCK_WORDS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words before A-Z are lower-cased.
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -36,9 +39,12 @@ def words_of(text: Column) -> Column:
 
 
 def _grams(words: str, n: int, least: int | None = None) -> Column:
-    """A hash of the n words from each place on; null for a text of fewer than ``least`` words."""
-    places = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    return F.when(F.size(words) >= (least or n), F.transform(places, lambda i: F.xxhash64(F.slice(F.col(words), i, n))))
+    """A hash of the n words from each place on, from the hashes of the words; null for a text of fewer than ``least`` words."""
+    places = F.sequence(F.lit(0), F.size(words) - n)
+    each = F.transform(words, lambda w: F.xxhash64(w))
+    # In an array, so that every word is hashed once.
+    return F.when(F.size(words) >= (least or n), F.get(F.transform(F.array(each), lambda h: F.transform(
+        places, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))), F.lit(0)))
 
 
 def winnow(rows: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -97,13 +103,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
         marks = winnow(own, span, gram).withColumnRenamed("at", "item_at")
         met = [winnow(texts, span, gram).join(F.broadcast(marks), "mark").withColumn("n", F.lit(gram))]
         for n in (n for n, some in enumerate(short, 1) if some):
-            whole = own.where(F.size("words") == n).select("i1", "i2", F.xxhash64("words").alias("mark"), F.lit(0).alias("item_at"))
+            whole = own.where(F.size("words") == n).select("i1", "i2", F.get(_grams("words", n), F.lit(0)).alias("mark"), F.lit(0).alias("item_at"))
             every = texts.select("k1", "k2", F.posexplode(_grams("words", n)).alias("at", "mark"))
             met.append(every.join(F.broadcast(whole), "mark").withColumn("n", F.lit(n)))
         # Hits are few. Written, they part the join of fingerprints from their extension.
         cols = ["k1", "k2", "i1", "i2", "at", "item_at", "n"]
         spots = cut_lineage(reduce(DataFrame.union, [m.select(*cols) for m in met]).distinct())
-        around = texts.join(spots.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
+        around = texts.join(bounded_broadcast(spots.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
         start, stop = _run(span)
         runs = spots.join(around, ["k1", "k2"]).join(F.broadcast(own.withColumnRenamed("words", "item_words")), ["i1", "i2"]) \
             .select("k1", "k2", "i1", "i2", start, stop).where("stop is not null").distinct()
@@ -137,8 +143,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     text = col(docs, text_col)
     k1, k2 = text_digest(text)
     rows = docs.select(col(docs, id_col).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.coalesce(
-        F.regexp_count(ascii_lower(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("n_words"))
-    return rows.join(by_text, ["k1", "k2"], "left").select(
+        F.regexp_count(text, F.lit(RAW_WORD)), F.lit(0)).cast("bigint").alias("n_words"))
+    return rows.join(bounded_broadcast(cut_lineage(by_text)), ["k1", "k2"], "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("bigint")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
@@ -149,5 +155,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     k1, k2 = fresh(docs, "k1", "k2")
     found = hits(docs, benchmark, text_col, item_col, item_text_col, span, gram) \
         .select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct()
+    found = bounded_broadcast(cut_lineage(found))
     a, b = text_digest(col(docs, text_col))
     return docs.join(found, (a == found[k1]) & (b == found[k2]), "left_anti")
