@@ -361,6 +361,33 @@ def q_index_rebuild(spark, sf):
     return _postings_out(IX.read_index(spark, path))
 
 
+def _older(d):
+    """An earlier state of the documents: some with another body, some missing, and some that are no more."""
+    step = F.col("id") % 100
+    gone = d.where(step == 9).withColumn("id", F.col("id") + 1_000_000_000)
+    return d.where(step != 8).withColumn("doc", F.when(step == 7, F.concat(F.lit("older "), "doc")).otherwise(F.col("doc"))).unionByName(gone)
+
+
+@register("index_upsert", _postings_sql("true"))
+def q_index_upsert(spark, sf):
+    """An index of an earlier state, brought up to date by a delta build and then compacted, has the postings of a full build."""
+    path, d = IX.scratch_path(spark, "upsert"), D.docs(spark, sf)
+    IX.build_search_index(_older(d), path)
+    IX.update_index(d, path)
+    IX.compact_index(spark, path)
+    return _postings_out(IX.read_index(spark, path))
+
+
+@register("index_delta_terms", with_sql(D.DOCS_SQL, *_index_ctes()) + """
+SELECT package, term, count(*) AS docs FROM (SELECT DISTINCT package, id, col, term FROM postings) s GROUP BY package, term""")
+def q_index_delta_terms(spark, sf):
+    """The vocabulary of an updated index, from the counts of the first build and the signed counts of the delta."""
+    path, d = IX.scratch_path(spark, "delta"), D.docs(spark, sf)
+    IX.build_search_index(_older(d), path)
+    IX.update_index(d, path)
+    return IX.read_index(spark, path, "vocab").select("package", "term", "docs")
+
+
 @register("index_all_packages", _postings_sql("true"))
 def q_index_all_packages(spark, sf):
     path = IX.scratch_path(spark, "index-all")

@@ -1,5 +1,6 @@
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from docs_helper import docs_frame
@@ -72,3 +73,44 @@ def test_derived_tables(spark):
     assert read("terms", "id", "col", "term", "tf") == [(1, 0, "alpha", 1), (1, 1, "alpha", 1), (1, 1, "beta", 2), (2, 0, "x", 1)]
     assert read("lengths", "id", "dl") == [(1, 4), (2, 1), (3, 0)]
     assert read("vocab", "term", "docs") == [("alpha", 2), ("beta", 1), ("x", 1)]
+
+
+def test_update_is_a_rebuild_and_cuts_only_what_changed(spark):
+    rows = [(i, f"p{i % 3}", "function", f"Mod.fun_{i}/1", f"alpha beta {i} gamma. delta alpha") for i in range(1, 201)]
+    path, again = (tempfile.mkdtemp(prefix="folio-ix-test-") for _ in range(2))
+    IX.build_search_index(docs_frame(spark, rows), path)
+    IX.build_title_index(docs_frame(spark, rows), path)
+    now = [(1, "p1", "function", "Mod.other/2", "changed body alpha"), *rows[1:199], (300, "p4", "module", "New", "new alpha"),
+           (301, "p4", "widget", "Bad", "x")]
+    d = docs_frame(spark, now)
+    assert IX.update_index(d, path) == {"new": 2, "changed": 1, "gone": 1}
+    assert IX.update_index(d, path) == {"new": 0, "changed": 0, "gone": 0}
+    IX.build_search_index(d, again)
+    IX.build_title_index(d, again)
+    tables = ["postings", "terms", "vocab", "lengths", "docs", "quarantine", "digests", "titles", "trigrams"]
+
+    def state(where):
+        return {t: sorted(map(str, IX.read_index(spark, where, t).select(*sorted(IX.read_index(spark, where, t).columns)).collect())) for t in tables}
+
+    want = state(again)
+    assert state(path) == want
+    versions = [c["version"] for c in IX._commits(spark, path) if c["table"] == "postings"]
+    assert len(versions) == 2
+    delta = spark.read.parquet(f"{path}/postings/{versions[1]}")
+    assert {r.id for r in delta.select("id").distinct().collect()} == {1, 300}
+    gone = IX.compact_index(spark, path)
+    assert any(versions[0] in g for g in gone) and state(path) == want
+    # An upsert takes nothing away, and brings back what a tombstone named.
+    assert IX.update_index(docs_frame(spark, [rows[199], rows[0]]), path, whole=False) == {"new": 1, "changed": 1, "gone": 0}
+    back = docs_frame(spark, [rows[0], *now[1:], rows[199]])
+    IX.build_search_index(back, again)
+    IX.build_title_index(back, again)
+    assert state(path) == state(again)
+
+
+def test_two_builds_of_one_turn(spark):
+    path = tempfile.mkdtemp(prefix="folio-ix-test-")
+    IX.build_search_index(docs_frame(spark, _rows()), path)
+    open(f"{path}/turns/2", "w").close()
+    with pytest.raises(RuntimeError, match="turn 2"):
+        IX.build_title_index(docs_frame(spark, _rows()), path)
