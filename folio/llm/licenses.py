@@ -11,13 +11,15 @@ that a document has unchanged equals one of the notice's windows there.
 Every notice met is then checked: it is found if at least ``MIN_SHARE`` of its
 distinct shingles are among the document's around that window. With ``apart``, so
 must be all shingles that tell it from a notice of another license which would pass
-for it (version 2 from version 3). Notices
-are a short list: their bands are broadcast once counted to be under a bound.
+for it (version 2 from version 3). The bands of the notices are broadcast, in blocks of a
+counted size.
 The documents are neither shuffled nor grouped.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ WINDOW = 6
 STRIDE = 4
 BANDS = 16
 MIN_SHARE = 0.8
-#: Rows of the notices' band table at most; a longer list must be given in parts.
+#: Rows of the notices' band table that are broadcast at once; a longer list is scanned in blocks.
 MAX_BAND_ROWS = 1_000_000
 
 # Notices as their licenses word them.
@@ -56,14 +58,44 @@ NOTICES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-#: Further short forms. NOTICES itself is part of the registered query's SQL.
+#: Further short forms.
 SHORT_FORMS = [("CC-BY-4.0", "Licensed under CC BY 4.0.")]
+# Bodies of short licenses, without their copyright lines.
+BODIES = [
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+            "that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE "
+            "AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+            "FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+            "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+            "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+            "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+            "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software "
+            "is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+            "included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY "
+            "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE "
+            "AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+            "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+            "OTHER DEALINGS IN THE SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+             "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, "
+             "including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+             "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use "
+             "this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+             "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+             "3. This notice may not be removed or altered from any source distribution."),
+]
+#: What the registered query looks for.
+TEMPLATES = NOTICES + SHORT_FORMS + BODIES
 
 
 def _shingles(words: str) -> Column:
     """Hashes of the shingles; a text of fewer words is one shingle (and so found whole only), one without words has none."""
     n = F.greatest(F.size(words) - (SHINGLE - 1), F.least(F.size(words), F.lit(1)))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(F.col(words), i, SHINGLE))))
+    each = F.transform(words, lambda w: F.xxhash64(w))
+    # In an array, so that every word is hashed once.
+    return F.when(n > 0, F.get(F.transform(F.array(each), lambda h: F.transform(
+        F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))), F.lit(0)))
 
 
 def _bands(rows: DataFrame, stride: int, bands: int) -> DataFrame:
@@ -101,20 +133,22 @@ def matches(docs: DataFrame, notices: DataFrame, text_col: str = "text", name_co
     known = known.withColumn("shingles", _shingles("words")).drop("words")
     known = known.withColumn("own", F.array_distinct("shingles"))
     bound = known.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    if bound * bands > MAX_BAND_ROWS:
-        raise ValueError(f"{bound * bands} band rows of notices exceed {MAX_BAND_ROWS}: scan them in parts")
     marks = []
     if apart:
         known, marks = _with_marks(known, min_share), ["marks"]
-    theirs = _bands(known, 1, bands).select("band", "license", "own", *marks, F.size("shingles").alias("n")).distinct()
-    met = _bands(texts, STRIDE, bands).join(F.broadcast(theirs), "band")
-    around = F.slice("shingles", F.greatest(F.col("p") - F.col("n"), F.lit(0)) + 1,
-                     F.least(F.col("p"), F.col("n")) + WINDOW + F.col("n"))
-    share = F.size(F.array_intersect("own", around)) / F.size("own")
-    if apart:
-        met = met.where(F.size(F.array_except("marks", around)) == 0)
-    found = met.select("k1", "k2", "license", share.alias("share")).where(F.col("share") >= min_share)
-    return found.groupBy("k1", "k2", "license").agg(F.max("share").alias("share"))
+    blocks = max(1, -(-bound * bands // MAX_BAND_ROWS))
+    found = []
+    for b in range(blocks):
+        part = known.where(F.pmod(F.xxhash64("own"), F.lit(blocks)) == b) if blocks > 1 else known
+        theirs = _bands(part, 1, bands).select("band", "license", "own", *marks, F.size("shingles").alias("n")).distinct()
+        met = _bands(texts, STRIDE, bands).join(F.broadcast(theirs), "band")
+        around = F.slice("shingles", F.greatest(F.col("p") - F.col("n"), F.lit(0)) + 1,
+                         F.least(F.col("p"), F.col("n")) + WINDOW + F.col("n"))
+        share = F.size(F.array_intersect("own", around)) / F.size("own")
+        if apart:
+            met = met.where(F.size(F.array_except("marks", around)) == 0)
+        found.append(met.select("k1", "k2", "license", share.alias("share")).where(F.col("share") >= min_share))
+    return reduce(DataFrame.unionAll, found).groupBy("k1", "k2", "license").agg(F.max("share").alias("share"))
 
 
 def scan(docs: DataFrame, notices: DataFrame, id_col: str = "doc_id", text_col: str = "text", name_col: str = "license",

@@ -52,16 +52,13 @@ windows AS (SELECT rid, i, list_slice(w, i, i + 4) AS win
             FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS n FROM windows) WHERE n > 1),
 repeats AS (SELECT rid, count(DISTINCT pos) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS pos FROM twice) GROUP BY rid),
-lines AS (SELECT rid, source, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+lines AS (SELECT rid, doc_id, source, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
                  regexp_replace(translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') AS key
-          FROM (SELECT rid, source, text, unnest(string_split(t, chr(10))) AS line FROM d)),
+          FROM (SELECT rid, doc_id, source, text, unnest(string_split(t, chr(10))) AS line FROM d)),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines WHERE words > 0 GROUP BY rid),
-hosts AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
-above AS (SELECT f.source, f.key
-          FROM (SELECT source, key, count(DISTINCT text) AS docs FROM lines WHERE words > 0 GROUP BY source, key) f
-          JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
-          WHERE docs > 10 AND docs > 0.01 * texts),
+above AS (SELECT source, key FROM lines WHERE words > 0 GROUP BY source, key
+          HAVING count(DISTINCT struct_pack(doc_id := doc_id, text := text)) > 10),
 lost AS (SELECT l.rid, sum(l.words) AS n FROM lines l JOIN above a
            ON l.key = a.key AND l.source IS NOT DISTINCT FROM a.source WHERE l.words > 0 GROUP BY l.rid),
 base AS (
@@ -92,11 +89,19 @@ s AS (SELECT rid, w, i - 1 AS pos, list_slice(w, i, i + 2) AS sh, greatest(len(w
 hit AS (SELECT s.rid, s.pos, s.size, x.nid, x.sh FROM s JOIN (SELECT nid, unnest(own) AS sh FROM ns) x ON s.sh = x.sh),
 near AS (SELECT DISTINCT rid, nid, p FROM (
   SELECT rid, nid, pos, size, unnest(range(0, greatest(size - 6 + 3, 0) + 1, 4)) AS p FROM hit) WHERE pos >= p AND pos < p + 6),
-share AS (SELECT near.rid, near.nid, p, count(DISTINCT h.sh) / any_value(len(ns.own)) AS share
+each AS (SELECT nid, license, len(own) AS size, unnest(own) AS sh FROM ns),
+same AS (SELECT a.nid, b.nid AS other FROM each a JOIN each b ON a.sh = b.sh AND a.license <> b.license
+         GROUP BY a.nid, b.nid, a.size HAVING count(*) >= 0.8 * a.size),
+marks AS (SELECT DISTINCT e.nid, e.sh FROM each e JOIN same USING (nid)
+          WHERE NOT EXISTS (SELECT 1 FROM each o WHERE o.nid = same.other AND o.sh = e.sh)),
+needed AS (SELECT nid, count(*) AS k FROM marks GROUP BY nid),
+share AS (SELECT near.rid, near.nid, p, count(DISTINCT h.sh) / any_value(len(ns.own)) AS share, count(DISTINCT m.sh) AS marked
           FROM near JOIN ns USING (nid) JOIN hit h ON h.rid = near.rid AND h.nid = near.nid
-            AND h.pos >= greatest(p - ns.n, 0) AND h.pos < p + 6 + ns.n GROUP BY near.rid, near.nid, p),
+            AND h.pos >= greatest(p - ns.n, 0) AND h.pos < p + 6 + ns.n
+          LEFT JOIN marks m ON m.nid = h.nid AND m.sh = h.sh GROUP BY near.rid, near.nid, p),
 found AS (SELECT rid, string_agg(license, ',' ORDER BY license) AS licenses, count(*) AS k
-          FROM (SELECT DISTINCT rid, license FROM share JOIN ns USING (nid) WHERE share >= 0.8) GROUP BY rid)
+          FROM (SELECT DISTINCT rid, license FROM share JOIN ns USING (nid) LEFT JOIN needed ON needed.nid = share.nid
+                WHERE share >= 0.8 AND marked = coalesce(needed.k, 0)) GROUP BY rid)
 SELECT doc_id, CAST(coalesce(k, 0) AS BIGINT) AS n_licenses, coalesce(licenses, '') AS licenses FROM d LEFT JOIN found USING (rid)
 """
 

@@ -2,6 +2,7 @@ import random
 import re
 
 from folio.llm import licenses as L
+from folio.llm.queries import QUERIES
 from llm_helpers import frame, prose
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -72,7 +73,7 @@ def test_no_python_in_the_plan(spark):
 
 def test_near_notices_are_told_apart(spark):
     """Each notice within a text gives its own license alone; both notices give both."""
-    notices = L.NOTICES + L.SHORT_FORMS
+    notices = L.TEMPLATES
     rows = [(i, prose(i, 40) + " " + notice + " " + prose(900 + i, 40)) for i, (_, notice) in enumerate(notices)]
     two, three = (next(t for n, t in notices if n == x) for x in ("GPL-2.0", "GPL-3.0"))
     rows += [(100, two + " " + prose(5, 60) + " " + three), (101, "Released " + three[10:]), (102, three.replace("3", "9"))]
@@ -80,3 +81,18 @@ def test_near_notices_are_told_apart(spark):
     got = {r.doc_id: r.licenses for r in L.scan(frame(spark, rows), table, apart=True).collect()}
     assert {i: got[i] for i in range(len(notices))} == {i: [name] for i, (name, _) in enumerate(notices)}
     assert got[100] == ["GPL-2.0", "GPL-3.0"] and got[101] == ["GPL-3.0"] and got[102] == []
+
+
+def test_a_notice_in_every_version_is_itself_alone_in_the_query(spark, tmp_path):
+    rows = [(i, prose(i, 30) + " " + notice) for i, (_, notice) in enumerate(L.TEMPLATES)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.licenses for r in QUERIES["op4_licenses"](spark, str(tmp_path)).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(L.TEMPLATES)}
+
+
+def test_templates_in_blocks(spark, monkeypatch):
+    rows = [(i, prose(i, 30) + " " + notice) for i, (_, notice) in enumerate(L.TEMPLATES)]
+    table = spark.createDataFrame(L.TEMPLATES, "license string, notice string")
+    monkeypatch.setattr(L, "MAX_BAND_ROWS", 4000)
+    got = {r.doc_id: r.licenses for r in L.scan(frame(spark, rows), table, apart=True).collect()}
+    assert got == {i: [name] for i, (name, _) in enumerate(L.TEMPLATES)}
