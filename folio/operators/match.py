@@ -17,7 +17,7 @@ aggregates are keyed by document id, with map-side partial aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import word_tokens
@@ -142,9 +142,21 @@ def title_trigrams(titles: DataFrame, title_col: str = "ititle") -> DataFrame:
     return lt.select("package", "id", F.explode(trigrams(F.col("lt"))).alias("tri"))
 
 
+#: Trigrams of a needle that its candidates are looked up by, where the trigrams are counted.
+RAREST = 2
+
+
+def trigram_counts(tri_index: DataFrame) -> DataFrame:
+    """``(package, tri, docs)``: rows that hold each trigram."""
+    return tri_index.groupBy("package", "tri").agg(F.count(F.lit(1)).alias("docs"))
+
+
 def trigram_candidates(tri_index: DataFrame, needles: DataFrame, keys: list[str],
-                       small: bool | None = None) -> DataFrame:
-    """Rows of ``tri_index(package, id, tri)`` holding every trigram of a needle.
+                       small: bool | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Rows of ``tri_index(package, id, tri)`` holding every trigram of a needle - or, with ``counts`` (see
+    ``trigram_counts``; a count may be too high, not missing), its ``RAREST`` rarest ones, which is all a
+    later check with ``contains`` needs: a needle with a trigram that no row has is dropped at once, and hot
+    trigrams are not joined.
 
     ``needles`` has ``keys`` + ``c_package`` + ``needle``; it is request-sized and
     broadcast when its size is proven small, so hot trigrams never shuffle. The
@@ -152,6 +164,13 @@ def trigram_candidates(tri_index: DataFrame, needles: DataFrame, keys: list[str]
     """
     nt = needles.select(*keys, "c_package", "needle", F.explode(trigrams(F.col("needle"))).alias("n_tri"),
                         F.size(trigrams(F.col("needle"))).alias("n_tris"))
+    if counts is not None:
+        rows = counts.select(F.col("package").alias("c_package"), F.col("tri").alias("n_tri"), "docs")
+        known = rows.join(small_side(nt, small), ["c_package", "n_tri"])
+        w = Window.partitionBy(*keys, "c_package", "needle")
+        known = known.withColumn("known", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy("docs", "n_tri")))
+        nt = known.where((F.col("known") == F.col("n_tris")) & (F.col("place") <= RAREST)).select(
+            *keys, "c_package", "needle", "n_tri", F.least("n_tris", F.lit(RAREST)).alias("n_tris"))
     nt = small_side(nt, small)
     j = tri_index.join(nt, (tri_index["package"] == F.col("c_package")) & (tri_index["tri"] == F.col("n_tri")))
     return (j.groupBy(*keys, "package", "id", "needle", "n_tris").agg(F.count(F.lit(1)).alias("k"))
@@ -160,7 +179,7 @@ def trigram_candidates(tri_index: DataFrame, needles: DataFrame, keys: list[str]
 
 def substring_matches(titles: DataFrame, clause_df: DataFrame, req_pk: DataFrame,
                       meta: DataFrame, min_chars: int = 3, tri_index: DataFrame | None = None,
-                      small: bool | None = None) -> DataFrame:
+                      small: bool | None = None, tri_counts: DataFrame | None = None) -> DataFrame:
     """Case-insensitive substring match of each clause on ``ititle``.
 
     Clauses shorter than ``min_chars`` characters never match (they contribute
@@ -175,7 +194,7 @@ def substring_matches(titles: DataFrame, clause_df: DataFrame, req_pk: DataFrame
                   "kind", F.lower(F.col("text")).alias("needle")))
     tri = tri_index if tri_index is not None else title_trigrams(titles)
     keys = ["request_id", "package_pos", "clause_no", "kind"]
-    cand = trigram_candidates(tri, cp, keys, small)
+    cand = trigram_candidates(tri, cp, keys, small, tri_counts)
     t = titles.select(F.col("package").alias("t_package"), F.col("id").alias("t_id"),
                       F.lower(F.col("ititle")).alias("lt"))
     inst = (cand.join(t, (cand["package"] == t["t_package"]) & (cand["id"] == t["t_id"]))

@@ -72,7 +72,7 @@ def row_trigrams(rows: DataFrame) -> DataFrame:
 
 
 def bm25_trigram(corpus_rows: DataFrame, clause_df: DataFrame, meta: DataFrame,
-                 min_chars: int = 3, tri_index: DataFrame | None = None) -> DataFrame:
+                 min_chars: int = 3, tri_index: DataFrame | None = None, tri_counts: DataFrame | None = None) -> DataFrame:
     """F4 over the trigram title corpus (``trigram_rows``): ``(request_id, id, rank)``
     for rows satisfying the request (substring semantics of E9).
 
@@ -82,7 +82,8 @@ def bm25_trigram(corpus_rows: DataFrame, clause_df: DataFrame, meta: DataFrame,
           .where(F.char_length("text") >= min_chars)
           .select("request_id", "clause_no", "kind", F.lower(F.col("text")).alias("needle")))
     tri = (tri_index if tri_index is not None else row_trigrams(corpus_rows)).select(F.lit("*").alias("package"), "id", "tri")
-    cand = trigram_candidates(tri, cp.withColumn("c_package", F.lit("*")), ["request_id", "clause_no", "kind"])
+    cand = trigram_candidates(tri, cp.withColumn("c_package", F.lit("*")), ["request_id", "clause_no", "kind"],
+                              counts=tri_counts)
     rows = corpus_rows.select(F.col("id").alias("r_id"), "lt", "dl")
     hits = (cand.join(rows, cand["id"] == rows["r_id"]).where(F.col("lt").contains(F.col("needle")))
             .select("request_id", "clause_no", "kind", "id", "dl",
@@ -101,13 +102,19 @@ def top_k(df: DataFrame, k: int, order: list, by: str = "request_id") -> DataFra
 
 
 def blend_rows(ranks: DataFrame, docs: DataFrame, packages: DataFrame, floor: float,
-               nearest: DataFrame | None = None) -> DataFrame:
+               nearest: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
     """Rank rows joined with their document, package (downloads > floor)
-    and, when given, the nearest graph distance of the package per request."""
+    and, when given, the nearest graph distance of the package per request. ``within(request_id, package)``
+    restricts the requests it names to packages; the others have all."""
     d = docs.select("id", "package", "ref", "title")
     p = packages.where(F.col("recent_downloads") > floor).select(
         F.col("name").alias("package"), "recent_downloads")
     rows = ranks.join(d, "id").join(p, "package")
+    if within is not None:
+        asked = within.select("request_id", "package").distinct().withColumn("asked", F.lit(True))
+        named = asked.select("request_id").distinct().withColumn("named", F.lit(True))
+        rows = rows.join(named, "request_id", "left").join(asked, ["request_id", "package"], "left") \
+            .where(F.col("named").isNull() | F.col("asked").isNotNull()).drop("named", "asked")
     if nearest is not None:
         rows = rows.join(nearest.select("request_id", "package", "distance"), ["request_id", "package"], "left")
     return rows

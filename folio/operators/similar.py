@@ -9,7 +9,7 @@ join is a plain shuffle/broadcast hash join on a string key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.operators.graph import by_downloads, separation
@@ -94,11 +94,21 @@ def group_members(groups: DataFrame, names: DataFrame) -> DataFrame:
     return own.unionByName(theirs).distinct()
 
 
-def group_siblings(groups: DataFrame, packages: DataFrame) -> DataFrame:
-    """Packages sharing a group with ``name``, with their downloads and, by these, their order."""
+def group_classes(groups: DataFrame, packages: DataFrame) -> DataFrame:
+    """G13 as classes: ``(package_group, package, recent_downloads, pos, n_members)``, a row a member and not a row a pair:
+    its downloads, its place in the group by these, and the number of members with downloads."""
+    rows = groups.select("package_group", "package").distinct().join(
+        packages.select(F.col("name").alias("package"), "recent_downloads"), "package")
+    members = F.count(F.lit(1)).over(Window.partitionBy("package_group")).alias("n_members")
+    return rows.select("package_group", "package", "recent_downloads", by_downloads(["package_group"], "package"), members)
+
+
+def group_siblings(groups: DataFrame, packages: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Packages sharing a group with each of ``names(name)`` (all, if none are given), with their downloads and, by these,
+    their order. ``group_classes`` has the same without a row a pair."""
     g = groups.select(F.col("package").alias("name"), "package_group")
-    sib = groups.select("package_group", F.col("package").alias("sibling"))
-    return (g.join(sib, "package_group")
-            .join(packages.select(F.col("name").alias("sibling"), "recent_downloads"), "sibling")
-            .select("name", "sibling", "recent_downloads").distinct()
+    if names is not None:
+        g = g.join(names.select("name").distinct(), "name", "left_semi")
+    classes = group_classes(groups, packages).select("package_group", F.col("package").alias("sibling"), "recent_downloads")
+    return (g.join(classes, "package_group").select("name", "sibling", "recent_downloads").distinct()
             .select("*", by_downloads(["name"], "sibling")))

@@ -317,7 +317,7 @@ def q_type_boost(spark, sf):
 @register("autocomplete", O.autocomplete_sql(AUTOCOMPLETE_REQUESTS) + "SELECT * FROM results")
 def q_autocomplete(spark, sf):
     return autocomplete(R.requests_frame(spark, AUTOCOMPLETE_REQUESTS), _index(spark, sf, "docs"),
-                        titles=_index(spark, sf, "titles"), tri_index=_index(spark, sf, "trigrams"))
+                        titles=_index(spark, sf, "titles"), tri_index=_index(spark, sf, "trigrams"), tri_counts=_index(spark, sf, "tricounts"))
 
 
 @register("match_substring", O.autocomplete_sql(AUTOCOMPLETE_REQUESTS) + "SELECT * FROM matched")
@@ -327,7 +327,7 @@ def q_match_substring(spark, sf):
     c = R.clauses(reqs)
     meta = R.request_meta(reqs, c, allowed_fields=("title",))
     return substring_matches(_index(spark, sf, "titles"), c, R.request_packages(reqs), meta,
-                             tri_index=_index(spark, sf, "trigrams")).drop("title_hit")
+                             tri_index=_index(spark, sf, "trigrams"), tri_counts=_index(spark, sf, "tricounts")).drop("title_hit")
 
 
 # Further query families register themselves on import.

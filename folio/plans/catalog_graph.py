@@ -272,6 +272,15 @@ def q_group_siblings(spark, sf):
     return S.group_siblings(_groups(spark, sf), D.package_names(spark, sf))
 
 
+@register("group_classes", GROUPS_FULL_SQL + """
+SELECT package_group, package, recent_downloads, count(*) OVER (PARTITION BY package_group) AS n_members,
+  CAST(row_number() OVER (PARTITION BY package_group ORDER BY recent_downloads DESC, package) AS BIGINT) AS pos
+FROM (SELECT DISTINCT package_group, package FROM groups) g JOIN npackages n ON n.name = g.package""")
+def q_group_classes(spark, sf):
+    """G13 without a row a pair: every group's members by downloads."""
+    return S.group_classes(_groups(spark, sf), D.package_names(spark, sf))
+
+
 # ------------------------------------------------------------------ F4 BM25 (word index)
 
 @register("bm25", with_sql(D.DOCS_SQL, O.IDX_SQL, O.POSTINGS_SQL, O.requests_sql(BM25_REQUESTS), O.clauses_sql())
@@ -362,7 +371,8 @@ def _tranks(spark, sf, rows):
     c = R.clauses(reqs)
     meta = R.request_meta(reqs, c, allowed_fields=("title",))
     from folio.plans.catalog import _index
-    return reqs, RK.bm25_trigram(_index(spark, sf, "atitles"), c, meta, tri_index=_index(spark, sf, "atrigrams"))
+    return reqs, RK.bm25_trigram(_index(spark, sf, "atitles"), c, meta, tri_index=_index(spark, sf, "atrigrams"),
+                                 tri_counts=_index(spark, sf, "atricounts"))
 
 
 def _nearest(spark, sf, reqs):
@@ -374,10 +384,9 @@ def _nearest(spark, sf, reqs):
         .select("request_id", "package", "distance")
 
 
-def _blend_rows(spark, sf, floor, with_nearest=True):
+def _blend_rows(spark, sf, floor, within=None):
     reqs, ranks = _tranks(spark, sf, BLEND_REQUESTS)
-    near = _nearest(spark, sf, reqs) if with_nearest else None
-    return RK.blend_rows(ranks, D.docs(spark, sf), D.search_packages(spark, sf), floor, near)
+    return RK.blend_rows(ranks, D.docs(spark, sf), D.search_packages(spark, sf), floor, _nearest(spark, sf, reqs), within)
 
 
 BLEND_COLS = ["request_id", "pos", "id", "package", "ref", "title", "rank", "recent_downloads", "distance"]
@@ -416,6 +425,22 @@ def q_blend_downloads_25(spark, sf):
     return _out(RK.blend_downloads(_blend_rows(spark, sf, BLEND_FLOOR), 1.0, 50_000, 25))
 
 
+BLEND_WITHIN = [(1, "src0"), (1, "src3"), (2, "src5"), (4, "src3"), (4, "src7"), (6, "nope")]
+
+
+@register("blend_downloads_within", _blend_sql(BLEND_FLOOR, f"""
+SELECT request_id, pos, id, package, ref, title, round(rank, 6) AS rank, recent_downloads, distance
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY request_id
+                     ORDER BY rank - recent_downloads // 50000, id) AS BIGINT) AS pos
+      FROM brows b WHERE request_id NOT IN ({', '.join(str(r) for r, _ in BLEND_WITHIN)})
+        OR (request_id, package) IN (VALUES {', '.join(f"({r}, '{p}')" for r, p in BLEND_WITHIN)})) s
+WHERE pos <= 25"""))
+def q_blend_downloads_within(spark, sf):
+    """F7 with its package restriction: some requests name packages, the others have all."""
+    within = spark.createDataFrame(BLEND_WITHIN, "request_id bigint, package string")
+    return _out(RK.blend_downloads(_blend_rows(spark, sf, BLEND_FLOOR, within), 1.0, 50_000, 25))
+
+
 @register("blend_downloads_10", _blend_sql(-1, """
 SELECT request_id, pos, id, package, ref, title, round(rank, 6) AS rank, recent_downloads, distance
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY request_id

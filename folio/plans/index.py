@@ -11,7 +11,7 @@ An index is a set of parquet tables in a folder:
 * ``docs/`` ``(package, id, ref, type, title, doc, lens, gaps, sentences)`` partitioned by ``package``
   (bodies are stored once; postings refer to them by id; the layout of their tokens serves excerpts);
 * ``titles/`` ``(package, id, ititle, ref, type)`` for autocomplete and
-  ``trigrams/`` ``(package, id, tri)``, its trigram index;
+  ``trigrams/`` ``(package, id, tri)``, its trigram index, with ``tricounts/`` ``(package, tri, docs)``;
 * ``atitles/`` ``(id, package, lt, dl)`` and ``atrigrams/`` ``(package, id, tri)``: the
   autocomplete corpus (B5) for title BM25.
 
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from folio.functions.excerpt import LAYOUT, with_layout
 from folio.functions.porter import stemmed
 from folio.operators.analysis import indexable, postings_of, quarantine, term_docs_of, with_tokens
-from folio.operators.match import title_trigrams
+from folio.operators.match import title_trigrams, trigram_counts
 from folio.operators.rank import row_trigrams, trigram_rows
 from folio.session import BROADCAST_ROW_LIMIT, bounded_broadcast, checkpoint_dir, cut_lineage, spread
 
@@ -156,7 +156,8 @@ def build_search_index(docs: DataFrame, path: str, packages: DataFrame | None =
 def _write_titles(build: _Build, docs: DataFrame, with_ref: bool) -> None:
     t = indexable(docs).select("package", "id", "ititle", *(["ref", "type"] if with_ref else []))
     titles = build.write("titles", t, ["package", "id"])
-    build.write("trigrams", title_trigrams(titles), ["package", "tri", "id"])
+    found = build.write("trigrams", title_trigrams(titles), ["package", "tri", "id"])
+    build.write("tricounts", trigram_counts(found), ["package", "tri"])
 
 
 def update_index(docs: DataFrame, path: str, packages: DataFrame | None = None, whole: bool = True) -> dict[str, int]:
@@ -202,9 +203,10 @@ def compact_index(spark: SparkSession, path: str) -> list[str]:
         options = json.loads(chains[t][0]["options"])
         build = build or _Build(spark, path)
         build.options |= options
-        by = None if t in ("digests", "quarantine") or (t not in ("docs", "titles", "trigrams") and not options.get("partitioned", True)) else "package"
-        order = [c for c in (["package", "term", "id"] if by else ["term", "package", "id"]) + ["tri"] if c in read_index(spark, path, t).columns]
-        build.write(t, read_index(spark, path, t), order, by)
+        by = None if t in ("digests", "quarantine") or (t not in ("docs", "titles", "trigrams", "tricounts") and not options.get("partitioned", True)) else "package"
+        now = trigram_counts(read_index(spark, path, "trigrams")) if t == "tricounts" else read_index(spark, path, t)
+        order = [c for c in (["package", "term", "id"] if by else ["term", "package", "id"]) + ["tri"] if c in now.columns]
+        build.write(t, now, order, by)
     if build:
         build.commit()
     live = {f"{c['table']}/{c['version']}" for t in tables for c in _chain(_commits(spark, path), t)}
@@ -226,11 +228,17 @@ def build_title_index(docs: DataFrame, path: str, packages: DataFrame | None = N
 def build_autocomplete_index(corpus: DataFrame, path: str) -> None:
     """The autocomplete corpus ``(id, package, atitle)`` for title BM25 and its trigrams, in one order over all packages."""
     build = _Build(corpus.sparkSession, path)
-    rows = build.write("atitles", trigram_rows(spread(corpus)), ["id"], None)
-    build.write("atrigrams", row_trigrams(rows), ["tri", "id"], None)
+    rows = build.write("atitles", trigram_rows(cut_lineage(corpus)), ["id"], None)
+    found = build.write("atrigrams", row_trigrams(rows), ["tri", "id"], None)
+    build.write("atricounts", trigram_counts(found.withColumn("package", F.lit("*"))), ["tri"], None)
     build.commit()
 
 
+#: Tables of counts a key: those of several builds are added up. Those of the vocabulary are exact, as deltas take counts
+#: back; those of the trigrams, which only tell rare from frequent, keep what is gone until they are compacted.
+SUMMED = {"vocab": "term", "tricounts": "tri"}
+
+
 def _small(rows: DataFrame, n: int) -> DataFrame:
     """``rows``, known to be ``n``, broadcast within the bound."""
     return F.broadcast(rows) if n <= BROADCAST_ROW_LIMIT else rows
@@ -248,7 +256,7 @@ def read_index(spark: SparkSession, path: str, table: str = "postings",
         if packages is not None:
             part = part.where(F.col("package").isin(packages))
         later = [d for d in dead if d["turn"] > c["turn"]]
-        if later and table != "vocab":
+        if later and table not in SUMMED:
             gone = reduce(DataFrame.unionByName, [spark.read.schema("package string, id bigint").parquet(
                 f"{path}/tombstones/{d['version']}") for d in later]).distinct()
             part = part.join(_small(gone, sum(json.loads(d["options"])["tombstones"] for d in later)), ["package", "id"], "left_anti")
@@ -256,6 +264,6 @@ def read_index(spark: SparkSession, path: str, table: str = "postings",
     if not parts:
         raise ValueError(f"no table {table} in {path}")
     df = reduce(DataFrame.unionByName, parts)
-    if table == "vocab" and len(parts) > 1:
-        df = df.groupBy("package", "term").agg(F.sum("docs").alias("docs")).where("docs > 0")
+    if table in SUMMED and len(parts) > 1:
+        df = df.groupBy("package", SUMMED[table]).agg(F.sum("docs").alias("docs")).where("docs > 0")
     return df

@@ -82,21 +82,21 @@ def _search_block(requests, docs, postings, stem, k, terms, vocab) -> DataFrame:
 
 
 def autocomplete(requests: DataFrame, docs: DataFrame, k: int = AUTOCOMPLETE_HITS_PER_PACKAGE,
-                 glue: str = "", titles: DataFrame | None = None, tri_index: DataFrame | None = None
-                 ) -> DataFrame:
+                 glue: str = "", titles: DataFrame | None = None, tri_index: DataFrame | None = None,
+                 tri_counts: DataFrame | None = None) -> DataFrame:
     """first ``k`` title matches per package in id order, packages in request
     order: ``(request_id, result_pos, package_pos, package, id, title, ref, type)``."""
     titles = titles if titles is not None else indexable(docs, glue)
     return reduce(DataFrame.unionByName, [
-        _autocomplete_block(block, docs, k, titles, tri_index) for block in request_blocks(requests)])
+        _autocomplete_block(block, docs, k, titles, tri_index, tri_counts) for block in request_blocks(requests)])
 
 
-def _autocomplete_block(requests, docs, k, titles, tri_index) -> DataFrame:
+def _autocomplete_block(requests, docs, k, titles, tri_index, tri_counts) -> DataFrame:
     c = clauses(requests)
     meta = request_meta(requests, c, allowed_fields=("title",))
     rp = request_packages(requests)
-    titles, tri_index, docs = restrict_packages(rp, titles, tri_index, docs)
-    matches = substring_matches(titles, c, rp, meta, tri_index=tri_index, small=True)
+    titles, tri_index, docs, tri_counts = restrict_packages(rp, titles, tri_index, docs, tri_counts)
+    matches = substring_matches(titles, c, rp, meta, tri_index=tri_index, small=True, tri_counts=tri_counts)
     top = top_per_package(matches, k, ["id"])
     d = docs.select(F.col("package").alias("d_package"), F.col("id").alias("d_id"), "title", "ref", "type")
     joined = top.join(d, (top["package"] == d["d_package"]) & (top["id"] == d["d_id"]))

@@ -28,7 +28,7 @@ def answer_stream(spark: SparkSession, requests_dir: str, index_path: str, sink_
             found = search(batch, table("docs"), table("postings"), stem=stem, terms=table("terms"), vocab=table("vocab"))
             res = with_excerpts(found, batch, table("docs"), table("postings"), stem, vocab=table("vocab"))
         else:
-            res = autocomplete(batch, table("docs"), titles=table("titles"), tri_index=table("trigrams"))
+            res = autocomplete(batch, table("docs"), titles=table("titles"), tri_index=table("trigrams"), tri_counts=table("tricounts"))
         res.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     writer = stream.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
