@@ -20,14 +20,18 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under the classifier's cut go; it learns from the ``labels`` of ``docs``."""
+    """Documents that score under the classifier's cut go; it learns from the ``labels`` of ``docs``.
+
+    A null or empty text is scored like any other; repeated rows and ties score alike and go or stay together. Without labels of both
+    kinds nothing goes; an empty table stays empty. All columns are kept as they are."""
     ship_package(spark)
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a smaller document has too go from the texts; ``n_chars`` follows where a text changed.
-    A document that loses all lines stays, with an empty text."""
+    A document that loses all lines stays, with an empty text. A null text stays null; a null id is the largest; rows that repeat
+    an id are one document and keep the same lines; an empty table stays empty. Further columns are kept as they are."""
     ship_package(spark)
     lines, dropped = fresh(docs, "n_lines", "n_dropped")
     out = LineIndex.create(spark).insert(docs).dedup(docs, counts=(lines, dropped), indexed=True)
@@ -38,18 +42,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
+    """One document of each group of near duplicates stays: the one with the smallest id.
+
+    Of rows that repeat that id one stays, by a hash of the row; a null id stays only in a group of null ids alone. Null and
+    empty texts have the fingerprint zero and are near duplicates of each other. An empty table stays empty."""
     ship_package(spark)
     return simhash.keep_one_per_group(docs, shingle=3, max_bits=3)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share ten words in a row (or a whole shorter item) with ``benchmark`` go."""
+    """Documents that share ten words in a row (or a whole shorter item) with ``benchmark`` go.
+
+    A null or empty text shares nothing and stays, a null or empty item has nothing to share; repeated rows go or stay together, null
+    ids are like others; an empty table stays empty. All columns are kept as they are."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents left, placed in sequences of 1024 tokens."""
+    """The pieces of all documents left, placed in sequences of 1024 tokens.
+
+    A null or empty text is its end token alone; repeated rows are packed each; a null id stays null; an empty table gives no rows. The
+    columns are those of ``op3_pack``: this is the last stage."""
     ship_package(spark)
     return packing.pack(docs, TOKENIZER)
 
