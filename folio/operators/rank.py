@@ -138,3 +138,12 @@ def blend_downloads(rows: DataFrame, rank_div: float, downloads_div: int, k: int
     """Order by rank / rank_div - downloads div downloads_div."""
     score = F.col("rank") / rank_div - F.expr(f"recent_downloads div {int(downloads_div)}")
     return top_k(rows.withColumn("score", score), k, ["score", "id"])
+
+
+def neighbour_first(rows: DataFrame, walked: DataFrame, k: int = 10) -> DataFrame:
+    """``(request_id, id, title, rank)``: the best ``k`` among the packages that a walk reaches, united with the best ``k`` of all.
+    ``walked(request_id, package, distance)`` may reach a package at several distances: a document of it then fills as many
+    of the first ``k`` places, as the limit comes after the join."""
+    near = top_k(rows.join(walked.select("request_id", "package", "distance"), ["request_id", "package"]), k, ["rank", "id", "distance"])
+    cols = ["request_id", "id", "title", "rank"]
+    return near.select(*cols).union(top_k(rows, k, ["rank", "id"]).select(*cols)).distinct()

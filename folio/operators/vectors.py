@@ -7,9 +7,12 @@ in double precision.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.session import cut_lineage
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -57,6 +60,8 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
 
 #: Rows in a block of the corpus and of the queries: a scored pair of blocks is 64 MB.
 CORPUS_BLOCK, QUERY_BLOCK = 4096, 2048
+#: Query blocks that are broadcast at once, about: some 50 MB for vectors of 64 numbers.
+BLOCKS_AT_ONCE = 32
 
 
 def _blocks(df: DataFrame, id_col: str, vec_col: str, size: int, prefix: str) -> DataFrame:
@@ -89,7 +94,7 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     ``corpus(id, embedding)`` to each ``queries(query_id, query)``; similarity =
     1 - cosine distance, nearest first, ties by id. Rows without a vector are left out.
 
-    Corpus and queries are packed to blocks and every pair of blocks is one
+    Corpus and queries are packed to blocks, the query blocks are broadcast in parts of a counted size, and every pair of blocks is one
     matrix product that keeps the top ``k`` per query: a task holds one pair at a
     time, any number of queries will do, and the window at the end sees blocks x
     queries x k rows, never all pairs. Neither side is collected.
@@ -106,9 +111,18 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
                 yield pd.DataFrame({"query_id": np.repeat(qids, best.shape[1]), "id": ids[best].ravel(),
                                     "similarity": np.take_along_axis(sims, best, 1).ravel()})
 
-    pairs = _blocks(corpus, "id", "embedding", CORPUS_BLOCK, "c").crossJoin(
-        _blocks(queries, "query_id", "query", QUERY_BLOCK, "q"))  # blocks of the query set against blocks of rows
-    return _top(pairs.mapInPandas(score, "query_id bigint, id bigint, similarity double"), k)
+    rows = _blocks(corpus, "id", "embedding", CORPUS_BLOCK, "c")
+    asked = cut_lineage(_blocks(queries, "query_id", "query", QUERY_BLOCK, "q"))
+    parts = -(-asked.count() // BLOCKS_AT_ONCE)
+    if parts > 1:
+        rows = cut_lineage(rows)
+    found = []
+    for p in range(max(1, parts)):
+        part = asked.where(F.pmod(F.xxhash64("q_ids"), F.lit(parts)) == p) if parts > 1 else asked
+        # Blocks of the query set, counted above, against blocks of rows.
+        pairs = rows.crossJoin(F.broadcast(part))
+        found.append(_top(pairs.mapInPandas(score, "query_id bigint, id bigint, similarity double"), k))
+    return reduce(DataFrame.unionAll, found)
 
 
 def knn_lsh(queries: DataFrame, corpus: DataFrame, k: int = 10, bands: int = 24, bits: int = 8,

@@ -375,13 +375,16 @@ def _tranks(spark, sf, rows):
                                  tri_counts=_index(spark, sf, "atricounts"))
 
 
-def _nearest(spark, sf, reqs):
-    e = D.doc_package_edges(spark, sf)
+def _walked(spark, sf, reqs):
+    """``(request_id, package, distance)``: the walk from each request's package, a row for each distance that reaches a package."""
     starts = reqs.select(F.col("packages").alias("start")).distinct()
-    walk = G.pruned_walk(e, D.search_packages(spark, sf), starts, **DOC_WALK)
-    near = G.nearest_distance(walk)
-    return reqs.select("request_id", F.col("packages").alias("start")).join(near, "start") \
-        .select("request_id", "package", "distance")
+    walk = G.pruned_walk(D.doc_package_edges(spark, sf), D.search_packages(spark, sf), starts, **DOC_WALK)
+    return reqs.select("request_id", F.col("packages").alias("start")).join(walk, "start").select(
+        "request_id", F.col("target").alias("package"), "distance", "recent_downloads")
+
+
+def _nearest(spark, sf, reqs):
+    return _walked(spark, sf, reqs).groupBy("request_id", "package").agg(F.min("distance").alias("distance"))
 
 
 def _blend_rows(spark, sf, floor, within=None):
@@ -473,19 +476,18 @@ def q_group_only(spark, sf):
 
 
 @register("neighbour_first", _blend_sql(-1, """
+, walked AS (SELECT DISTINCT r.request_id, w.target AS package, w.distance FROM requests r JOIN dwalk w ON w.start = r.packages)
 SELECT DISTINCT request_id, id, title, round(rank, 6) AS rank FROM (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank, id) AS pos
-                 FROM brows WHERE distance IS NOT NULL) a WHERE pos <= 10
+  SELECT request_id, id, title, rank FROM (SELECT b.*, row_number() OVER (PARTITION BY b.request_id ORDER BY rank, id, w.distance) AS pos
+                 FROM brows b JOIN walked w ON w.request_id = b.request_id AND w.package = b.package) a WHERE pos <= 10
   UNION ALL
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank, id) AS pos
+  SELECT request_id, id, title, rank FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank, id) AS pos
                  FROM brows) b WHERE pos <= 10
 ) s"""))
 def q_neighbour_first(spark, sf):
-    rows = _blend_rows(spark, sf, -1)
-    near = RK.top_k(rows.where(F.col("distance").isNotNull()), 10, ["rank", "id"])
-    overall = RK.top_k(rows, 10, ["rank", "id"])
-    cols = ["request_id", "id", "title", F.round("rank", 6).alias("rank")]
-    return near.select(*cols).union(overall.select(*cols)).distinct()
+    reqs, ranks = _tranks(spark, sf, BLEND_REQUESTS)
+    rows = RK.blend_rows(ranks, D.docs(spark, sf), D.search_packages(spark, sf), -1)
+    return RK.neighbour_first(rows, _walked(spark, sf, reqs)).withColumn("rank", F.round("rank", 6))
 
 
 @register("bm25_titles", _blend_sql(-1, """

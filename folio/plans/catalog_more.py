@@ -213,7 +213,7 @@ def _items_json(spark, sf):
 
 @register("ingest_items", with_sql(D.DOCS_SQL) + "SELECT package, ref, title, type, doc FROM docs")
 def q_ingest_items(spark, sf):
-    return I.parse_items(_items_json(spark, sf))
+    return I.items_with_repair(_items_json(spark, sf))[0]
 
 
 def _doc_files(spark, sf):

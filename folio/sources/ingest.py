@@ -70,17 +70,6 @@ def add_stdlib(packages: DataFrame, names: list[str] | None = None,
     return upsert(packages, lib, ["name"])
 
 
-def parse_items(raw: DataFrame, lenient: bool = False) -> DataFrame:
-    """A4: ``(package, ref, title, type, doc)`` from ``(package, json)`` where json is
-    ``{"items": [...]}`` or a bare list; a null type becomes ``extras``. For texts known to be
-    valid; ``items_with_repair`` also hands back what cannot be parsed."""
-    opts = LENIENT if lenient else {}
-    obj = F.from_json(F.col("json"), ITEMS_OBJECT, opts)
-    lst = F.from_json(F.col("json"), ITEMS_LIST, opts)
-    items = F.when(F.ltrim(F.col("json")).startswith("["), lst).otherwise(obj["items"])
-    return _flat_items(raw.select("package", F.explode(items).alias("it")))
-
-
 def repair_json(json: Column) -> Column:
     """A5 text fixes that parser options do not cover: quote a bare ``<<...>>`` doc
     value, delimiters included, and drop the backslash of ``\\#{``."""

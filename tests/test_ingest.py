@@ -24,7 +24,7 @@ def test_items_both_shapes_and_default_type(spark):
             ("p2", json.dumps([{"ref": "b", "title": "B", "type": None, "doc": "y"},
                                {"ref": "c", "title": "C", "doc": "z"}]))]
     df = spark.createDataFrame(rows, "package string, json string")
-    got = sorted(tuple(r) for r in I.parse_items(df).collect())
+    got = sorted(tuple(r) for r in I.items_with_repair(df)[0].collect())
     assert got == [("p1", "a", "A", "module", "x"), ("p2", "b", "B", "extras", "y"), ("p2", "c", "C", "extras", "z")]
 
 
