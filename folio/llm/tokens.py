@@ -18,7 +18,7 @@ from array import array
 from functools import lru_cache
 
 #: Words remembered by a worker at most (about 250 bytes each): as many new ones as old ones.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 
 _ATOM = re.compile(r"[ \n]*[^ \n]+|[ \n]+\Z")
 # White space other than these, and NUL, which marks keys.
