@@ -105,7 +105,7 @@ def _bands(rows: DataFrame, stride: int, bands: int) -> DataFrame:
     rows = rows.withColumn("p", F.explode_outer(starts)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(bands))))
     least = F.least(*[F.when(F.get("shingles", F.col("p") + k).isNotNull(),
                              F.xxhash64(F.get("shingles", F.col("p") + k), F.col("b"))) for k in range(WINDOW)])
-    return rows.withColumn("band", F.xxhash64(least, F.col("b"))).where(F.get("shingles", F.col("p")).isNotNull()).drop("b")
+    return rows.withColumn("band", least.bitwiseXOR(F.col("b").cast("bigint"))).where(F.get("shingles", F.col("p")).isNotNull()).drop("b")
 
 
 def _with_marks(known: DataFrame, min_share: float) -> DataFrame:
