@@ -37,3 +37,37 @@ def test_separation_stops_at_the_levels_asked_for(spark):
     assert {(r.a, r.b): r.degree for r in G.separation(edges, pairs).collect()} == want
     near = {(r.a, r.b): r.degree for r in G.separation(edges, pairs, max_levels=3).collect()}
     assert near == {k: min(v, 4) for k, v in want.items()}
+
+
+def test_bit_walks_against_brute_force(spark):
+    import random
+
+    from folio.operators import frontiers as X
+
+    rng = random.Random(6)
+    pairs = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(45)]
+    edges = spark.createDataFrame(pairs, "source string, target string")
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for s in near:
+        front, level = {s}, 0
+        while front:
+            want |= {(s, n): level for n in front}
+            front, level = {m for n in front for m in near[n] if (s, m) not in want}, level + 1
+    starts = spark.createDataFrame([(s,) for s in near], "start string")
+    got = {(r.start, r.package): r.degree for r in G.bfs(edges, starts, None).collect()}
+    assert got == want
+    two = G.bfs(edges, starts, 2)
+    assert {(r.start, r.package): r.degree for r in two.collect()} == {k: d for k, d in want.items() if d <= 2}
+    lists = G.neighbours_by_degree(two, 2).collect()
+    assert max(len(r.packages) for r in lists) <= 2 and sum(len(r.packages) for r in lists) == two.count()
+    # The last bit of one bucket and the first of the next.
+    numbers = spark.createDataFrame([("n1", 32_768), ("n2", 32_769)], "start string, number bigint")
+    adj = G.undirected(edges)
+    *_, last = ((k, X.starts_of(level, numbers)) for k, level in enumerate(X.walk(adj, numbers, 1)))
+    assert {(r.start, r.package) for r in last[1].collect()} == {(s, n) for (s, n), d in want.items() if d == 1 and s in ("n1", "n2")}
+    ask = spark.createDataFrame([(a, b) for a in near for b in near], "a string, b string")
+    assert {(r.a, r.b): r.degree for r in G.separation(edges, ask).collect()} == {(a, b): want.get((a, b), -1) for a in near for b in near}
