@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -40,8 +40,11 @@ MIN_WORDS = 12
 WINDOW = 8
 #: Words remembered by a worker at most; then it starts anew.
 CACHE_WORDS = 500_000
+#: Texts are hashed together up to about this many characters; a longer one alone.
+CHUNK_CHARS = 1 << 20
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _MASK = (1 << 64) - 1
+_TRAIL = ".,;:!?)\"'"
 _STOPS = ".!?\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u061f\u06d4"
 # Thai, Lao, Tibetan, Burmese, Khmer, Chinese, Japanese and full-width forms.
 _WIDE = ("\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fff\u3001-\u312f\u31a0-\u31bf\u31f0-\u4dbf\u4e00-\u9fff"
@@ -50,31 +53,82 @@ _HAS_WIDE = re.compile(f"[{_WIDE}]")
 _WORD = re.compile(rf"[{_WIDE}]|[^\s{_WIDE}]+")
 
 
+def _end(word: str) -> float:
+    """1 if a sentence ends after the word, else its rank (below 1) among its neighbours."""
+    if word[-1] in _STOPS:
+        return 1.0
+    bare = word.lower().rstrip(_TRAIL)
+    return (xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass")) >> 11) / (1 << 53)
+
+
+class _Words(dict):
+    """word -> its number; by number, what ``_end`` gives and two hashes of the word in lower case."""
+
+    def __init__(self) -> None:
+        self.end, self.one, self.two = np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        ids = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):
+            met = [words[i] for i in unknown.tolist()]
+            self._add(list(set(met)))
+            ids[unknown] = [self[w] for w in met]
+        return ids
+
+    def _add(self, new: list[str]) -> None:
+        low = "\n".join(new).lower().split("\n")
+        digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, _bytes(low))), ">u8").reshape(-1, 2).astype(np.uint64)
+        bare = [w.rstrip(_TRAIL) for w in low]
+        rank = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, _bytes(bare))), ">u8").astype(np.uint64)
+        end = (rank >> np.uint64(11)) / (1 << 53)
+        end[[w[-1] in _STOPS for w in new]] = 1
+        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
+        self.end, self.one, self.two = (np.concatenate(x) for x in (
+            (self.end, end), (self.one, digests[:, 1]), (self.two, digests[:, 0])))
+
+
+def _bytes(words: list[str]) -> list[bytes]:
+    return "\n".join(words).encode("utf-8", "surrogatepass").split(b"\n")
+
+
 class _Ends(dict):
-    """word -> 1 if a sentence ends after it, else its rank (below 1) among its neighbours."""
+    """word -> what ``_end`` gives."""
+
+    def __init__(self) -> None:
+        self.words = _Words()
 
     def __missing__(self, word: str) -> float:
         if len(self) > CACHE_WORDS:
             self.clear()
-        bare = word.lower().rstrip(".,;:!?)\"'")
-        rank = (xxhash.xxh3_64_intdigest(bare.encode("utf-8", "surrogatepass")) >> 11) / (1 << 53)
-        self[word] = end = 1.0 if word[-1] in _STOPS else rank
+        self[word] = end = _end(word)
         return end
 
 
-def _cut(text: str, ends: dict[str, float]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The words of the text, the number of words to the end of each sentence, and to the end of each line."""
-    wide = _HAS_WIDE.search(text)
-    lines = [_WORD.findall(x) if wide else x.split() for x in text.split("\n")]
-    words = [w for x in lines for w in x]
-    upto = np.cumsum([len(x) for x in lines])
-    rank = np.fromiter(map(ends.__getitem__, words), np.float64, len(words))
+def _split(text: str) -> list[list[str]]:
+    """The words of each line."""
+    if not text.isascii() and _HAS_WIDE.search(text):
+        return [_WORD.findall(x) for x in text.split("\n")]
+    return [x.split() for x in text.split("\n")]
+
+
+def _stops(rank: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """The number of words to the end of each sentence, of words of these ranks with line ends after ``upto``. Windows
+    over a line end find an end that is there already, so texts may follow each other."""
     rank[upto[upto > 0] - 1] = 1
     end = rank >= 1
-    if len(words) >= WINDOW:
+    if len(rank) >= WINDOW:
         windows = np.lib.stride_tricks.sliding_window_view(rank, WINDOW)
         end[np.arange(len(windows)) + windows.argmax(axis=1)] = True
-    return words, np.flatnonzero(end) + 1, upto
+    return np.flatnonzero(end) + 1
+
+
+def _cut(text: str, ends: dict[str, float]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of the text, the number of words to the end of each sentence, and to the end of each line."""
+    lines = _split(text)
+    words = list(chain.from_iterable(lines))
+    upto = np.cumsum([len(x) for x in lines])
+    return words, _stops(np.fromiter(map(ends.__getitem__, words), np.float64, len(words)), upto), upto
 
 
 def sentences(text: str, ends: dict[str, float]) -> list[list[list[str]]]:
@@ -84,41 +138,75 @@ def sentences(text: str, ends: dict[str, float]) -> list[list[list[str]]]:
     return [flat[a:b] for a, b in pairwise([0, *np.searchsorted(stops, upto, "right").tolist()])]
 
 
-def run_hashes(text: str, ends: dict[str, float], run: int, min_words: int,
+def run_hashes(text: str, ends: _Ends, run: int, min_words: int,
                lengthen: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, hash, second hash) of every run; sentences are numbered through, and a place is the number of the
     first, times 65,536, and how many the run has."""
-    words, stops, _ = _cut(text, ends)
-    if len(stops) < run:
-        return (np.zeros(0, np.int64),) * 3
+    return next(_hash_texts([text], ends.words, run, min_words, lengthen))
+
+
+def _hash_texts(texts: list[str], numbers: _Words, run: int, min_words: int,
+                lengthen: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``run_hashes`` of each of the texts, all cut and hashed as one sequence of words."""
+    lines = [_split(t) for t in texts]
+    words = list(chain.from_iterable(chain.from_iterable(lines)))
+    upto = np.cumsum([len(x) for t in lines for x in t])
+    last = upto[np.cumsum([len(t) for t in lines]) - 1]
+    del lines
+    ids = numbers.numbers(words)
+    del words
+    stops = _stops(numbers.end[ids], upto)
     sizes = np.concatenate([[0], stops])
-    digests = [xxhash.xxh3_128_intdigest(" ".join(words[a:b]).lower().encode("utf-8", "surrogatepass"))
-               for a, b in pairwise(sizes.tolist())]
-    one = np.array([d & _MASK for d in digests], np.uint64)
-    two = np.array([d >> 64 for d in digests], np.uint64)
-    at = np.arange(len(stops) - run + 1)
+    # A sentence is hashed as a polynomial of its words; a run mixes its sentences in order.
+    within = np.arange(len(ids)) - np.repeat(sizes[:-1], np.diff(sizes))
+    one, two = (_sums(table[ids], base, within, sizes[:-1]) for table, base in ((numbers.one, _A), (numbers.two, _B)))
+    until = np.searchsorted(stops, last, "right")
+    at = np.arange(len(stops))
+    limit = np.repeat(until, np.diff(until, prepend=0))
     to = at + run
     if lengthen:
         to = np.maximum(to, np.searchsorted(sizes, sizes[at] + min_words))
-        at, to = at[to <= len(stops)], to[to <= len(stops)]
+        whole = to <= limit
     else:
-        enough = sizes[to] - sizes[at] >= min_words
-        at, to = at[enough], to[enough]
+        whole = to <= limit
+        whole[whole] = sizes[to[whole]] - sizes[at[whole]] >= min_words
+    at, to = at[whole], to[whole]
     h, g = one[at], two[at]
     for k in range(1, (to - at).max(initial=1)):
-        more = at + k < to
+        more = slice(None) if k < run else np.flatnonzero(at + k < to)
         x, y, nxt = h[more], g[more], at[more] + k
         h[more] = (x ^ (x >> np.uint64(29))) * np.uint64(_A) + one[nxt]
         g[more] = (y ^ (y >> np.uint64(31))) * np.uint64(_B) + two[nxt]
-    return (at << 16) + (to - at), h.view(np.int64), g.view(np.int64)
+    first = np.concatenate([[0], until[:-1]])
+    for a, b, start in zip(np.searchsorted(at, first).tolist(), np.searchsorted(at, until).tolist(), first.tolist(), strict=True):
+        yield (at[a:b] - start << 16) + (to[a:b] - at[a:b]), h[a:b].view(np.int64), g[a:b].view(np.int64)
+
+
+def _sums(values: np.ndarray, base: int, within: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each sentence, the sum of its words' values times powers of ``base`` by their places within it."""
+    if not len(starts):
+        return values
+    powers = np.cumprod(np.full(int(within.max()) + 1, base, np.uint64))
+    return np.add.reduceat(values * powers[within], starts)
 
 
 def _runs_column(text: Column, run: int, min_words: int, lengthen: bool) -> Column:
     @F.pandas_udf("at array<bigint>, h array<bigint>, g array<bigint>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ends = _Ends()
+        numbers = _Words()
         for texts in parts:
-            yield pd.DataFrame([run_hashes(t or "", ends, run, min_words, lengthen) for t in texts], columns=["at", "h", "g"])
+            out, some, size = [], [], 0
+            for t in texts:
+                some.append(t or "")
+                size += len(some[-1])
+                if size >= CHUNK_CHARS:
+                    out.extend(_hash_texts(some, numbers, run, min_words, lengthen))
+                    some, size = [], 0
+                    if len(numbers) > CACHE_WORDS:
+                        numbers = _Words()
+            if some:
+                out.extend(_hash_texts(some, numbers, run, min_words, lengthen))
+            yield pd.DataFrame(out, columns=["at", "h", "g"])
 
     return of(text)
 
