@@ -11,13 +11,13 @@ sentences and ``min_words`` words, so short lines and sentences are in runs as w
 In 50 shared words the cuts at most 7 words from either end may differ; of the 36
 between, at most 8 come before the first cut, and a run takes 24 at most: one run
 is sure to be whole. Without, runs of exactly ``run`` sentences with fewer words are
-left out. Every run is hashed (two 64-bit hashes). Runs are joined globally; of the places of a repeated run the first (by
+left out. Every run is hashed (96 bits). Runs are joined globally; of the places of a repeated run the first (by
 document id, then place) stays, and sentences covered by any other are removed.
 
-Three passes: count one hash alone (8 bytes a run are shuffled, summed before);
-join the places of the runs to the hashes that recur, a join that Spark can split where a
-run is hot; find the first place of each run among these few by a
-partial minimum. A document's removed sentences then meet its text again.
+Texts are cut once. A worker hashes a few megabytes of text together; of the places of a run in them all but the
+first are known to go, so a run that a third of all documents hold sends a row a few megabytes, not a row a document,
+to the shuffle by hash. There places are ranked within their run, a document's removed sentences are gathered, and
+meet its text again.
 """
 
 from __future__ import annotations
@@ -28,12 +28,14 @@ from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folio.llm.common import col, fresh, text_digest
-from folio.session import cut_lineage
 
 RUN = 3
 MIN_WORDS = 12
@@ -41,9 +43,9 @@ WINDOW = 8
 #: Words remembered by a worker at most; then it starts anew.
 CACHE_WORDS = 500_000
 #: Texts are hashed together up to about this many characters; a longer one alone.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 22
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_MASK = (1 << 64) - 1
+_ODD = 0x1E3779B97F4A7C15
 _TRAIL = ".,;:!?)\"'"
 _STOPS = ".!?\u3002\uff01\uff1f\uff0e\uff61\u0964\u0965\u061f\u06d4"
 # Thai, Lao, Tibetan, Burmese, Khmer, Chinese, Japanese and full-width forms.
@@ -190,25 +192,60 @@ def _sums(values: np.ndarray, base: int, within: np.ndarray, starts: np.ndarray)
     return np.add.reduceat(values * powers[within], starts)
 
 
-def _runs_column(text: Column, run: int, min_words: int, lengthen: bool) -> Column:
-    @F.pandas_udf("at array<bigint>, h array<bigint>, g array<bigint>")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _places(docs: DataFrame, run: int, min_words: int, lengthen: bool) -> DataFrame:
+    """``(id, k1, at, h, g, gone)``: the places of all runs of documents ``(id, k1, text)``. One is ``gone`` if the texts
+    cut with it hold a smaller place of its run; its hash is then that of the place, so that such rows spread."""
+    rest = T.StructType.fromDDL("k1 bigint, at bigint, h bigint, g int, gone boolean")
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *rest])
+
+    def of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = _Words()
-        for texts in parts:
-            out, some, size = [], [], 0
-            for t in texts:
-                some.append(t or "")
-                size += len(some[-1])
-                if size >= CHUNK_CHARS:
-                    out.extend(_hash_texts(some, numbers, run, min_words, lengthen))
-                    some, size = [], 0
-                    if len(numbers) > CACHE_WORDS:
-                        numbers = _Words()
-            if some:
-                out.extend(_hash_texts(some, numbers, run, min_words, lengthen))
-            yield pd.DataFrame(out, columns=["at", "h", "g"])
-
-    return of(text)
+        for part in parts:
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            sizes = np.cumsum([len(t) for t in texts]) // CHUNK_CHARS
+            edges = np.flatnonzero(np.diff(sizes, prepend=-1, append=-1)).tolist()
+            for a, b in pairwise(edges):
+                yield _chunk(part.slice(a, b - a), list(_hash_texts(texts[a:b], numbers, run, min_words, lengthen)))
+                if len(numbers) > CACHE_WORDS:
+                    numbers = _Words()
+
+    return docs.mapInArrow(of, schema)
+
+
+def _chunk(part: pa.RecordBatch, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    doc = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+    at, h, g = (np.concatenate(x) for x in zip(*found, strict=True))
+    g = g.astype(np.int32)
+    ids, k1 = part.column("id"), part.column("k1").to_numpy()
+    gone = _later(h, g, _ranks(ids, k1)[doc], at)
+    of_doc = k1[doc]
+    h = np.where(gone, (of_doc ^ (at * np.int64(_ODD))) * np.int64(_ODD), h)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), *map(pa.array, (of_doc, at, h, g, gone))],
+                                      names=["id", "k1", "at", "h", "g", "gone"])
+
+
+def _ranks(ids: pa.Array, k1: np.ndarray) -> np.ndarray:
+    """The rank of each document by id (null last), then text hash; equal ones share theirs."""
+    order = pc.sort_indices(pa.table({"id": ids, "k1": k1}), sort_keys=[("id", "ascending"), ("k1", "ascending")]).to_numpy()
+    code = ids.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)[order]
+    step = (np.diff(code, prepend=code[:1]) != 0) | (np.diff(k1[order], prepend=k1[order][:1]) != 0)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(step)
+    return rank
+
+
+def _later(h: np.ndarray, g: np.ndarray, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether each place is greater than another of the same run here."""
+    out = np.zeros(len(h), bool)
+    order = np.argsort(h)
+    same = np.diff(h[order]) == 0
+    some = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(h) else order
+    if len(some):
+        some = some[np.lexsort((at[some], rank[some], g[some], h[some]))]
+        new = np.concatenate([[True], (np.diff(h[some]) != 0) | (np.diff(g[some]) != 0)])
+        first = some[np.flatnonzero(new)][np.cumsum(new) - 1]
+        out[some] = (rank[some] != rank[first]) | (at[some] != at[first])
+    return out
 
 
 def _cut_column(text: Column, gone: Column) -> Column:
@@ -256,15 +293,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run:
     """
     if max(run, min_words) >= 1 << 16:
         raise ValueError("a run has fewer than 65,536 sentences")
-    a, b = text_digest(col(docs, text_col))
-    runs = docs.select(col(docs, id_col).alias("id"), a.alias("k1"), _runs_column(col(docs, text_col), run, min_words, lengthen).alias("r"))
-    runs = runs.select("id", "k1", F.explode(F.arrays_zip("r.at", "r.h", "r.g")).alias("s")) \
-        .select("id", "k1", "s.at", "s.h", "s.g")
-    again = runs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    places = cut_lineage(runs.join(again, "h", "left_semi"))
-    spot = F.struct(F.col("id").isNull().alias("r"), "id", "k1", "at")
-    first = places.groupBy("h", "g").agg(F.min(spot).alias("first"))
-    lost = places.join(first, ["h", "g"]).where(~spot.eqNullSafe(F.col("first")))
+    a, _ = text_digest(col(docs, text_col))
+    places = _places(docs.select(col(docs, id_col).alias("id"), a.alias("k1"), col(docs, text_col).alias("text")),
+                     run, min_words, lengthen)
+    order = Window.partitionBy("h", "g").orderBy(F.col("id").asc_nulls_last(), "k1", "at")
+    lost = places.withColumn("rank", F.rank().over(order)).where(F.col("gone") | (F.col("rank") > 1))
     lost = lost.groupBy("id", "k1").agg(F.collect_set("at").alias("at"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(
         F.shiftright(x, 16), F.shiftright(x, 16) + x % (1 << 16) - 1)))))
