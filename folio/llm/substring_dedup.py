@@ -9,8 +9,8 @@ it alone, and so falls alike in every copy of a passage. No sentence has more th
 With ``lengthen``, a run starts at every sentence and takes as many as make ``run``
 sentences and ``min_words`` words, so short lines and sentences are in runs as well.
 In 50 shared words the cuts at most 7 words from either end may differ; of the 36
-between, at most 8 come before the first cut, and a run takes 24 at most: one run
-is sure to be whole. Without, runs of exactly ``run`` sentences with fewer words are
+between, at most 8 come before the first cut, and a run takes at most 24, or 7 more than ``min_words``:
+up to ``min_words`` of 21 one run is sure to be whole. Without, runs of exactly ``run`` sentences with fewer words are
 left out. Every run is hashed (96 bits). Runs are joined globally; of the places of a repeated run the first (by
 document id, then place) stays, and sentences covered by any other are removed.
 

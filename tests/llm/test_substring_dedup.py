@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from folio.llm import substring_dedup as S
 from llm_helpers import frame, prose
 
@@ -119,6 +121,8 @@ def test_every_shared_span_of_50_words_holds_a_run():
             held += 1
             a, b = (set(S.run_hashes(t, ends, 3, 12, True)[1].tolist()) for t in texts)
             assert a & b, texts
+            a, b = (set(S.run_hashes(t, ends, 3, 20, True)[1].tolist()) for t in texts)
+            assert a & b, texts
     assert held > 3900
 
 
@@ -131,3 +135,60 @@ def test_short_lines_and_text_without_blanks_are_removed(spark):
     assert got[1] == rows[0][1] and got[3] == rows[2][1] and got[5] == rows[4][1]
     assert not any(f"Dish{i} " in got[2] for i in range(5, 35)) and prose(3) in got[2]
     assert len(got[4]) < 25 and got[4].startswith("\u53e6") and got[4].endswith("\u4e00\u500b") and " " not in got[4]
+
+
+def brute_lengthened(rows, run=3, min_words=12):
+    """(id, text) -> removed sentence numbers: from every sentence the fewest that make ``run`` sentences and
+    ``min_words`` words, compared as tuples of words. Ids have one text each."""
+    ends, first, places = S._Ends(), {}, []
+    for null, i, t in sorted({(i is None, i or 0, t) for i, t in rows if t}):
+        flat = [s for line in S.sentences(t, ends) for s in line]
+        for at in range(len(flat)):
+            to = at + run
+            while to < len(flat) and sum(map(len, flat[at:to])) < min_words:
+                to += 1
+            if to <= len(flat) and sum(map(len, flat[at:to])) >= min_words:
+                k = tuple(" ".join(s).lower() for s in flat[at:to])
+                first.setdefault(k, (null, i, at))
+                places.append((k, (null, i, at), to))
+    gone = {}
+    for k, (null, i, at), to in places:
+        if first[k] != (null, i, at):
+            gone.setdefault((null, i), set()).update(range(at, to))
+    return [(i, sorted(gone[i is None, i or 0]) if (i is None, i or 0) in gone else None) for i, _ in rows]
+
+
+@pytest.mark.parametrize("min_words", [12, 20])
+def test_lengthened_runs_against_brute_force(spark, min_words):
+    """With 20 as the query is registered: short lines, a passage in nearly every document, texts over many partitions, repeated rows, a null id."""
+    rng = random.Random(16)
+    hot, shared = passage(6000), [passage(6001 + i) for i in range(4)]
+    menu = "\n".join(f"Dish{i} {i}" for i in range(30))
+    rows = []
+    for i in range(120):
+        w = prose(2000 + i, 70).split(" ")
+        for p in [hot] * (i % 10 > 0) + rng.sample([*shared, menu], i % 3):
+            w.insert(rng.randrange(len(w)), p)
+        rows.append((i * 37 % 127, " ".join(w)))
+    rows += [rows[5], rows[5], (None, rows[9][1]), (500, hot + "\n" + hot), (501, "x. " * 40), (502, ""), (503, None), (504, "A b.")]
+    want = order(brute_lengthened(rows, min_words=min_words))
+    for parts in (1, 13):
+        got = S.dedup(frame(spark, rows).repartition(parts), lengthen=True, min_words=min_words).collect()
+        assert order((r.doc_id, sorted(r.removed_sentences) if r.removed_sentences else None) for r in got) == want
+    assert sum(g is not None for _, g in want) > 100 and any(g is None for _, g in want)
+
+
+def test_later_places_of_a_worker():
+    import numpy as np
+    import pyarrow as pa
+
+    ids, k1 = pa.array([5, None, 3, 3, 5]), np.array([1, 0, 9, 9, 0])
+    rank = S._ranks(ids, k1)
+    assert rank.tolist() == [2, 3, 0, 0, 1]
+    doc, at = np.array([0, 1, 2, 3, 3, 4]), np.array([7, 1, 4, 4, 6, 2])
+    h, g = np.array([8, 8, 8, 8, 8, 1]), np.array([0, 0, 0, 0, 0, 0], np.int32)
+    assert S._later(h, g, rank[doc], at).tolist() == [True, True, False, False, True, False]
+    g[1] = 1
+    assert S._later(h, g, rank[doc], at).tolist() == [True, False, False, False, True, False]
+    assert S._later(h[:0], g[:0], rank[:0], at[:0]).tolist() == []
+    assert S._ranks(pa.array([], pa.int64()), k1[:0]).tolist() == []
