@@ -1,27 +1,27 @@
 """Bit-parallel walks from many starts.
 
-The starts are numbered, and a node holds the starts that reach it as bitmaps: one row a
-node and bucket of 32,768 starts. A level sends the bits that are new at a node along
-its edges and unites them at the other end (``bitmap_or_agg``, summed before the shuffle),
-so its rows are edges x buckets, however many starts share them.
+The starts are numbered, and a node holds the starts that reach it as words of 63 bits: one row a
+node and word in which a bit is set, so a start that reaches few nodes costs a row each, and starts
+that share their nodes share their rows. A level sends the bits that are new at a node along its
+edges and unites them at the other end (``bit_or``, summed before the shuffle).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.session import cut_lineage
 
-BITMAP = "package string, bucket bigint, seen binary, fresh binary, n bigint"
+#: Starts a word: the sign of a long stays free.
+WORD = 63
 
 
 def numbered(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` (written) with numbers from 1 (the first bit of the first bucket) without gaps; only a count a partition reaches the driver."""
+    """``rows`` (written) with numbers from 1 (the first bit of the first word) without gaps; only a count a partition reaches the driver."""
     at = cut_lineage(rows).withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33))
     offsets, total = [], 1
     for part, n in sorted(tuple(r) for r in at.groupBy("part").count().collect()):
@@ -32,55 +32,74 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
     return at.join(F.broadcast(offsets), "part").select(*rows.columns, number.alias(name))  # a row a partition
 
 
-def _unseen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bits that came in but were not there before."""
-    for batch in batches:
-        rows = []
-        for package, bucket, came, seen in batch.itertuples(index=False, name=None):
-            old = np.frombuffer(seen, np.uint8)
-            new = np.frombuffer(came, np.uint8) & ~old
-            if new.any():
-                rows.append((package, bucket, (old | new).tobytes(), new.tobytes(), int(np.bitwise_count(new).sum())))
-            else:
-                rows.append((package, bucket, seen, None, 0))
-        yield pd.DataFrame(rows, columns=["package", "bucket", "seen", "fresh", "n"])
-
-
-def walk(adj: DataFrame, numbers: DataFrame, max_degree: int | None = None) -> Iterator[DataFrame]:
-    """The levels of a walk over ``adj(src, dst)`` from ``numbers(start, number)``: ``(package, bucket, seen, fresh, n)``, written; ``fresh`` has
-    the ``n`` starts that reach the package at just this level (null if 0). Ends when nothing is new or after ``max_degree`` levels."""
-    bucket, position = F.bitmap_bucket_number("number"), F.bitmap_bit_position("number")
-    level = numbers.select(F.col("start").alias("package"), bucket.alias("bucket"), position.alias("position"))
-    level = level.groupBy("package", "bucket").agg(F.bitmap_construct_agg("position").alias("seen"), F.count(F.lit(1)).alias("n"))
-    level = cut_lineage(level.select("package", "bucket", "seen", F.col("seen").alias("fresh"), "n"))
-    yield level
-    degree = 0
-    while max_degree is None or degree < max_degree:
-        degree += 1
-        front = level.where("n > 0").select("package", "bucket", "fresh")
-        sent = front.join(adj, F.col("package") == F.col("src")).select(F.col("dst").alias("package"), "bucket", F.col("fresh").alias("came"),
-                                                                        F.lit(None).cast("binary").alias("seen"))
-        both = sent.unionByName(level.select("package", "bucket", F.lit(None).cast("binary").alias("came"), "seen"))
-        both = both.groupBy("package", "bucket").agg(F.bitmap_or_agg("came").alias("came"), F.bitmap_or_agg("seen").alias("seen"))
-        level = cut_lineage(both.mapInPandas(_unseen, BITMAP))
-        if level.where("n > 0").isEmpty():
+def first_level(numbers: DataFrame) -> DataFrame:
+    """``numbers(start, number)`` as a level ``(package, word, fresh)``, each start at itself."""
+    bit = F.expr(f"shiftleft(1L, int((number - 1) % {WORD}))")
+    rows = numbers.select(F.col("start").alias("package"), F.expr(f"(number - 1) div {WORD}").alias("word"), bit.alias("bit"))
+    return rows.groupBy("package", "word").agg(F.bit_or("bit").alias("fresh"))
+
+
+def next_level(front: DataFrame, adj: DataFrame, before: list[DataFrame]) -> DataFrame:
+    """The bits of ``front`` one step of ``adj(src, dst)`` on, without those that the levels ``before`` have at the same node."""
+    none = F.lit(0).cast("bigint")
+    sent = front.join(adj, F.col("package") == F.col("src")).select(
+        F.col("dst").alias("package"), "word", F.col("fresh").alias("came"), none.alias("seen"))
+    old = [level.select("package", "word", none.alias("came"), F.col("fresh").alias("seen")) for level in before]
+    both = reduce(DataFrame.unionByName, [sent, *old]).groupBy("package", "word").agg(F.bit_or("came").alias("came"), F.bit_or("seen").alias("seen"))
+    return both.select("package", "word", F.col("came").bitwiseAND(F.bitwise_not("seen")).alias("fresh")).where("fresh <> 0")
+
+
+def walk(adj: DataFrame, numbers: DataFrame, max_degree: int | None = None, both_ways: bool = False) -> Iterator[DataFrame]:
+    """The levels of a walk over ``adj(src, dst)`` from ``numbers(start, number)``: ``(package, word, fresh)``, written; ``fresh`` has
+    the starts that reach the package at just this level. Ends when nothing is new or after ``max_degree`` levels. With ``both_ways``,
+    ``adj`` has every edge in both directions, and what a step meets again is in the last two levels."""
+    levels = [cut_lineage(first_level(numbers))]
+    yield levels[0]
+    while max_degree is None or len(levels) <= max_degree:
+        level = cut_lineage(next_level(levels[-1], adj, levels[-2:] if both_ways else levels))
+        if level.isEmpty():
             return
+        levels.append(level)
         yield level
 
 
+def bits_of(rows: DataFrame, bits: str = "fresh") -> DataFrame:
+    """``rows`` with a row for each set bit of their word: its ``number`` for ``word`` and ``bits``."""
+    every = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit(F.col(bits), i) == 1)
+    places = F.when(F.bit_count(bits) == 1, F.array(F.bit_count(F.col(bits) - 1))).otherwise(every)
+    more = [c for c in rows.columns if c not in ("word", bits)]
+    return rows.select(*more, "word", F.explode(places).alias("place")).select(*more, (F.col("word") * WORD + F.col("place") + 1).alias("number"))
+
+
 def starts_of(level: DataFrame, numbers: DataFrame) -> DataFrame:
-    """``(start, package)``: the starts whose bits are fresh at a level's packages."""
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for package, bucket, fresh in batch.itertuples(index=False, name=None):
-                at = np.flatnonzero(np.unpackbits(np.frombuffer(fresh, np.uint8), bitorder="little"))
-                yield pd.DataFrame({"package": package, "number": (bucket - 1) * (1 << 15) + at + 1})
+    """``(start, package)`` and any further columns of a level: the starts whose bits are fresh at its packages."""
+    rows = bits_of(level)
+    return rows.join(numbers, "number").select("start", *[c for c in rows.columns if c != "number"])
 
-    rows = level.where("n > 0").select("package", "bucket", "fresh").mapInPandas(explode, "package string, number bigint")
-    return rows.join(numbers, "number").select("start", "package")
 
+def meetings(adj: DataFrame, pairs: DataFrame, max_degree: int | None = None) -> Iterator[tuple[int, DataFrame]]:
+    """Distances of ``pairs(a, b, number)``, ``a`` and ``b`` apart, over ``adj`` with every edge in both directions: at each
+    degree from 1 on the words ``(word, met)`` of the pairs that far apart, written.
 
-def has_bit(bits: str, position: str) -> Column:
-    """Whether the bit at ``position`` of a bitmap is set."""
-    byte = F.conv(F.hex(F.expr(f"substring({bits}, int({position} div 8) + 1, 1)")), 16, 10).cast("int")
-    return F.expr(f"shiftleft(1, int({position} % 8))").bitwiseAND(byte) != 0
+    Both ends walk, a step at a time in turn, and a pair is settled where its two fronts meet: each end goes half the way, so a
+    pair costs the neighbourhoods of half its distance. Settled pairs walk no further. Ends with the last open pair, with
+    ``max_degree``, or when no front is left."""
+    ends = [[cut_lineage(first_level(pairs.select(F.col(c).alias("start"), "number")))] for c in ("a", "b")]
+    left = cut_lineage(ends[0][0].groupBy("word").agg(F.bit_or("fresh").alias("open")))
+    degree = 0
+    while (max_degree is None or degree < max_degree) and not left.isEmpty():
+        mine, theirs = ends[degree % 2], ends[1 - degree % 2]
+        degree += 1
+        front = mine[-1].join(left, "word").select("package", "word", F.col("fresh").bitwiseAND(F.col("open")).alias("fresh")).where("fresh <> 0")
+        level = cut_lineage(next_level(front, adj, mine[-2:]))
+        mine.append(level)
+        if level.isEmpty():
+            return
+        there = theirs[-1].select("package", "word", F.col("fresh").alias("theirs"))
+        met = level.join(there, ["package", "word"]).groupBy("word").agg(F.bit_or(F.col("fresh").bitwiseAND(F.col("theirs"))).alias("met"))
+        met = met.join(left, "word").select("word", F.col("met").bitwiseAND(F.col("open")).alias("met")).where("met <> 0")
+        met = cut_lineage(met)
+        yield degree, met
+        left = left.join(met, "word", "left").select(
+            "word", F.col("open").bitwiseAND(F.bitwise_not(F.coalesce("met", F.lit(0).cast("bigint")))).alias("open")).where("open <> 0")
+        left = cut_lineage(left)

@@ -2,7 +2,7 @@
 
 Graph walks are level-by-level joins of a frontier with the edge table. All
 walks are multi-source: one job answers many start packages, breadth-first walks
-with the starts of a node as bitmaps. Levels are few (the reference walks at most
+with the starts of a node as bits. Levels are few (the reference walks at most
 3-4 steps); lineage is cut with a reliable checkpoint every level.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.operators.components import components
-from folio.operators.frontiers import has_bit, numbered, starts_of, walk
+from folio.operators.frontiers import bits_of, meetings, numbered, starts_of, walk
 from folio.session import cut_lineage
 
 # Per-degree download floors used to keep neighbours (degree 0..4).
@@ -52,9 +52,9 @@ def bfs(edges: DataFrame, starts: DataFrame, max_degree: int | None, directed: b
     adj = cut_lineage(edges.select(F.col("source").alias("src"), F.col("target").alias("dst")).distinct()
                       if directed else undirected(edges))
     numbers = cut_lineage(numbered(starts.select("start").distinct(), "number"))
-    levels = [starts_of(level, numbers).withColumn("degree", F.lit(k).cast("bigint"))
-              for k, level in enumerate(walk(adj, numbers, max_degree))]
-    return reduce(DataFrame.unionByName, levels)
+    levels = [level.withColumn("degree", F.lit(k).cast("bigint"))
+              for k, level in enumerate(walk(adj, numbers, max_degree, both_ways=not directed))]
+    return starts_of(reduce(DataFrame.unionByName, levels), numbers)
 
 
 def neighbours_by_degree(neighbours: DataFrame, size: int = 1000) -> DataFrame:
@@ -120,9 +120,8 @@ def separation(edges: DataFrame, pairs: DataFrame, stdlib: list[str] | None = No
     """Degree of separation for ``pairs(a, b)``: 1 when either is a standard
     package, 0 for itself, the undirected BFS distance, or -1 when unreachable.
 
-    Component labels settle the unreachable pairs at once. The others are read off a bit-parallel walk from all
-    ``a`` together: a pair is settled at the level whose fresh bits at ``b`` have ``a``. The walk ends with the last open
-    pair. With ``max_levels``, what is farther gets ``max_levels + 1``.
+    Component labels settle the unreachable pairs at once. The others are settled where bit-parallel walks from both their ends
+    meet, half the way from each (``frontiers.meetings``). With ``max_levels``, what is farther gets ``max_levels + 1``.
     """
     stdlib = STDLIB if stdlib is None else stdlib
     adj = cut_lineage(undirected(edges))
@@ -131,23 +130,19 @@ def separation(edges: DataFrame, pairs: DataFrame, stdlib: list[str] | None = No
     std = F.col("a").isin(stdlib) | F.col("b").isin(stdlib) if stdlib else F.lit(False)
     known = (pairs.join(labels.withColumnRenamed("node", "a").withColumnRenamed("label", "la"), "a", "left")
              .join(labels.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b", "left"))
-    known = cut_lineage(known.select("a", "b", F.when(std, 1).when(F.col("a") == F.col("b"), 0).when(
+    known = cut_lineage(known.select("a", "b", "la", F.when(std, 1).when(F.col("a") == F.col("b"), 0).when(
         F.col("la").isNull() | F.col("lb").isNull() | (F.col("la") != F.col("lb")), -1).cast("bigint").alias("degree")))
-    found = [known.where(F.col("degree").isNotNull())]
-    left = known.where(F.col("degree").isNull()).select("a", "b")
-    numbers = cut_lineage(numbered(left.select(F.col("a").alias("start")).distinct(), "number"))
-    left = cut_lineage(left.join(numbers, F.col("a") == F.col("start")).select(
-        "a", "b", F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("position")))
-    for level, step in enumerate(walk(adj, numbers, max_levels)):
-        if left.isEmpty():
-            break
-        here = step.where("n > 0").select(F.col("package").alias("b"), "bucket", "fresh")
-        left = cut_lineage(left.join(here, ["b", "bucket"], "left").select(
-            "a", "b", "bucket", "position", F.coalesce(has_bit("fresh", "position"), F.lit(False)).alias("met")))
-        found.append(left.where("met").select("a", "b", F.lit(level).cast("bigint").alias("degree")))
-        left = left.where("not met").drop("met")
-    if max_levels is not None:
-        found.append(left.select("a", "b", F.lit(max_levels + 1).cast("bigint").alias("degree")))
+    found = [known.where(F.col("degree").isNotNull()).select("a", "b", "degree")]
+    # Pairs of a component, and of a start, are near in number: what their walks share is in the same words.
+    left = known.where(F.col("degree").isNull()).select("a", "b", "la")
+    left = cut_lineage(numbered(left.repartitionByRange("la", "a").sortWithinPartitions("la", "a"), "number"))
+    met = [words.withColumn("degree", F.lit(degree).cast("bigint")) for degree, words in meetings(adj, left, max_levels)]
+    far = F.lit(-1 if max_levels is None else max_levels + 1).cast("bigint")
+    if met:
+        left = left.join(bits_of(reduce(DataFrame.unionByName, met), "met"), "number", "left")
+    else:
+        left = left.withColumn("degree", far)
+    found.append(left.select("a", "b", F.coalesce("degree", far).alias("degree")))
     return reduce(DataFrame.unionByName, found)
 
 
