@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.session import cut_lineage
+from folio.session import written
 
 MAX_ROUNDS = 60
 
@@ -37,16 +37,16 @@ def components(edges: DataFrame) -> DataFrame:
     """Edges ``(u bigint, v bigint)`` -> ``(node, component)``, component the least node reachable.
 
     Self loops and repeated edges are harmless; no edges give no rows. Every
-    round is checkpointed to the shared folder; a round that changes nothing
+    round is written to the shared folder; a round that changes nothing
     (same number and sum of edges) ends the loop.
     """
-    state, last = cut_lineage(edges.where("u <> v").distinct()), None
+    state, last = written(edges.where("u <> v").distinct()), None
     for _ in range(MAX_ROUNDS):
         n, s = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not n or (n, s) == last:
             break
         last = (n, s)
-        state = cut_lineage(_star(_star(state, True), False))
+        state = written(_star(_star(state, True), False))
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.session import cut_lineage
+from folio.session import cut_lineage, written
 
 #: Starts a word: the sign of a long stays free.
 WORD = 63
@@ -85,7 +85,7 @@ def meetings(adj: DataFrame, pairs: DataFrame, max_degree: int | None = None) ->
     pair costs the neighbourhoods of half its distance. Settled pairs walk no further. Ends with the last open pair, with
     ``max_degree``, or when no front is left."""
     ends = [[cut_lineage(first_level(pairs.select(F.col(c).alias("start"), "number")))] for c in ("a", "b")]
-    left = cut_lineage(ends[0][0].groupBy("word").agg(F.bit_or("fresh").alias("open")))
+    left = written(ends[0][0].groupBy("word").agg(F.bit_or("fresh").alias("open")))
     degree = 0
     while (max_degree is None or degree < max_degree) and not left.isEmpty():
         mine, theirs = ends[degree % 2], ends[1 - degree % 2]
@@ -98,8 +98,8 @@ def meetings(adj: DataFrame, pairs: DataFrame, max_degree: int | None = None) ->
         there = theirs[-1].select("package", "word", F.col("fresh").alias("theirs"))
         met = level.join(there, ["package", "word"]).groupBy("word").agg(F.bit_or(F.col("fresh").bitwiseAND(F.col("theirs"))).alias("met"))
         met = met.join(left, "word").select("word", F.col("met").bitwiseAND(F.col("open")).alias("met")).where("met <> 0")
-        met = cut_lineage(met)
+        met = written(met)
         yield degree, met
         left = left.join(met, "word", "left").select(
             "word", F.col("open").bitwiseAND(F.bitwise_not(F.coalesce("met", F.lit(0).cast("bigint")))).alias("open")).where("open <> 0")
-        left = cut_lineage(left)
+        left = written(left)

@@ -71,3 +71,16 @@ def test_bit_walks_against_brute_force(spark):
     assert {(r.start, r.package) for r in last[1].collect()} == {(s, n) for (s, n), d in want.items() if d == 1 and s in ("n1", "n2")}
     ask = spark.createDataFrame([(a, b) for a in near for b in near], "a string, b string")
     assert {(r.a, r.b): r.degree for r in G.separation(edges, ask).collect()} == {(a, b): want.get((a, b), -1) for a in near for b in near}
+
+
+def test_walk_keeps_a_word_only_where_a_bit_is_set(spark):
+    from folio.operators import frontiers as X
+
+    edges = spark.createDataFrame([(f"a{i}", f"b{i}") for i in range(130)], "source string, target string")
+    numbers = spark.createDataFrame([(f"a{i}", i + 1) for i in range(130)], "start string, number bigint")
+    *_, last = X.walk(G.undirected(edges), numbers, 1, both_ways=True)
+    assert dict(last.dtypes)["fresh"] == "bigint" and last.count() == 130
+    assert {(r.start, r.package) for r in X.starts_of(last, numbers).collect()} == {(f"a{i}", f"b{i}") for i in range(130)}
+    pairs = spark.createDataFrame([("a1", "b1", 63), ("a2", "b2", 64)], "a string, b string, number bigint")
+    found = {r.number: degree for degree, met in X.meetings(G.undirected(edges), pairs) for r in X.bits_of(met, "met").collect()}
+    assert found == {63: 1, 64: 1}
