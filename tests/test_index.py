@@ -114,3 +114,18 @@ def test_two_builds_of_one_turn(spark):
     open(f"{path}/turns/2", "w").close()
     with pytest.raises(RuntimeError, match="turn 2"):
         IX.build_title_index(docs_frame(spark, _rows()), path)
+
+
+def test_terms_are_counted_from_postings_dealt_by_range(spark, tmp_path):
+    from folio.plans import index as IX
+
+    rows = [("p", 1, "r", "function", "a b a", "x y x"), ("p", 1, "r", "function", "a", "x"), ("q", None, "r", "function", "a", None)]
+    docs = spark.createDataFrame(rows, "package string, id bigint, ref string, type string, title string, doc string")
+    IX.build_search_index(docs, str(tmp_path / "index"))
+    terms = IX.read_index(spark, str(tmp_path / "index"), "terms")
+    found = IX.read_index(spark, str(tmp_path / "index")).groupBy("package", "id", "col", "term").count()
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, terms.select("package", "id", "col", "term", "tf").collect())) == sorted(map(key, found.collect()))
+    build = IX._Build(spark, str(tmp_path / "one"))
+    build.write("terms", found.repartitionByRange("package", "term", "id"), ["package", "term", "id"], dealt=True)
+    assert spark.read.parquet(f"{tmp_path}/one/terms").count() == terms.count()
