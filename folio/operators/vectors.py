@@ -58,8 +58,8 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
             .select(F.col(key).alias("query_id"), F.transform("s", lambda s: s["x"]).alias("query")))
 
 
-#: Rows in a block of the corpus and of the queries: a scored pair of blocks is 64 MB.
-CORPUS_BLOCK, QUERY_BLOCK = 4096, 2048
+#: Rows in a block of the corpus and of the queries, and queries scored at once: 8 MB, and as much again for each array that sorts them.
+CORPUS_BLOCK, QUERY_BLOCK, QUERIES_AT_ONCE = 4096, 2048, 256
 #: Query blocks that are broadcast at once, about: some 50 MB for vectors of 64 numbers.
 BLOCKS_AT_ONCE = 32
 
@@ -95,7 +95,7 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
     1 - cosine distance, nearest first, ties by id. Rows without a vector are left out.
 
     Corpus and queries are packed to blocks, the query blocks are broadcast in parts of a counted size, and every pair of blocks is one
-    matrix product that keeps the top ``k`` per query: a task holds one pair at a
+    matrix product, a few queries at a time, that keeps the top ``k`` per query: a task holds one pair at a
     time, any number of queries will do, and the window at the end sees blocks x
     queries x k rows, never all pairs. Neither side is collected.
     """
@@ -106,10 +106,12 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
         for pdf in frames:
             for c_ids, c, q_ids, q in zip(pdf["c_ids"], pdf["c_unit"], pdf["q_ids"], pdf["q_unit"], strict=True):
                 ids, qids = np.frombuffer(c_ids, np.int64), np.frombuffer(q_ids, np.int64)
-                sims = np.frombuffer(q).reshape(len(qids), -1) @ np.frombuffer(c).reshape(len(ids), -1).T
-                best = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(qids, best.shape[1]), "id": ids[best].ravel(),
-                                    "similarity": np.take_along_axis(sims, best, 1).ravel()})
+                rows, asked = np.frombuffer(c).reshape(len(ids), -1), np.frombuffer(q).reshape(len(qids), -1)
+                for i in range(0, len(qids), QUERIES_AT_ONCE):
+                    sims = asked[i:i + QUERIES_AT_ONCE] @ rows.T
+                    best = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
+                    yield pd.DataFrame({"query_id": np.repeat(qids[i:i + QUERIES_AT_ONCE], best.shape[1]), "id": ids[best].ravel(),
+                                        "similarity": np.take_along_axis(sims, best, 1).ravel()})
 
     rows = _blocks(corpus, "id", "embedding", CORPUS_BLOCK, "c")
     asked = cut_lineage(_blocks(queries, "query_id", "query", QUERY_BLOCK, "q"))

@@ -47,3 +47,13 @@ def test_inverted_file_odd_rows(spark):
     assert sum(len(b.ids) // 8 for b in index.blocks.collect()) == 501
     empty = corpus.where("false")
     assert ivf.search(ivf.build(empty), queries, empty).count() == 0
+
+
+def test_knn_exact_in_slices_of_queries(spark, monkeypatch):
+    from folio.operators import vectors as V
+
+    monkeypatch.setattr(V, "QUERIES_AT_ONCE", 3)
+    rows = [(i, [float(i % 7), float(i % 5 + 1), float(i)]) for i in range(20)]
+    corpus = spark.createDataFrame(rows, "id bigint, embedding array<double>")
+    got = V.knn_exact(corpus.selectExpr("id AS query_id", "embedding AS query"), corpus, 1).collect()
+    assert {(r.query_id, r.id) for r in got} == {(i, i) for i in range(20)}
