@@ -156,16 +156,18 @@ class LineIndex:
         owned = self.repeated(keys)
         lost = keys.join(owned, ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("owner"))) \
             .groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("lost"))
-        gone_id, gone, kept = fresh(docs, "gone_id", "gone", "kept")
+        gone_id, gone, kept, keyed, digest = fresh(docs, "gone_id", "gone", "kept", "keyed", "digest")
         lost = lost.select(F.col("doc_id").alias(gone_id), F.col("lost").alias(gone))
         both = docs.join(lost, col(docs, id_col).eqNullSafe(lost[gone_id]), "left")
         text = col(both, text_col)
         lines = _lines(text)
-        key = F.when(col(both, gone).isNotNull(), F.transform(lines, lambda x: F.struct(*_digest(line_key(x)))))
-        long_enough = F.when(col(both, gone).isNotNull(),
-                             F.transform(lines, lambda x: F.length(line_key(x)) >= self.min_chars))
+        # Columns of their own, as an array function is evaluated anew for every use.
+        both = both.withColumn(keyed, F.when(col(both, gone).isNotNull(), F.transform(lines, line_key)))
+        both = both.withColumn(digest, F.transform(col(both, keyed), lambda x: F.struct(
+            *_digest(x), (F.length(x) >= self.min_chars).alias("long_enough"))))
+        key = col(both, digest)
         left = both.withColumn(kept, _without(F.when(col(both, gone).isNotNull(), lines), key["hi"], key["lo"],
-                                              long_enough, col(both, gone)["hi"], col(both, gone)["lo"]))
+                                              key["long_enough"], col(both, gone)["hi"], col(both, gone)["lo"]))
         n = F.size(_lines(col(left, text_col))).cast("bigint")
         n_lost = F.coalesce(n - F.size(col(left, kept)), F.lit(0)).cast("bigint")
         out = [F.when(n_lost == 0, col(left, c)).otherwise(F.array_join(col(left, kept), "\n")).alias(c)

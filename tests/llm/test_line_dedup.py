@@ -101,3 +101,16 @@ def test_cuckoo_chain_loses_nothing():
     same = np.zeros(30, np.int64)
     chain.put(same, same)  # more copies of one key than its two buckets hold
     assert (chain.copies(same, same) == 30).all()
+
+
+def test_keys_of_ascii_and_other_lines(spark):
+    from folio.llm.common import ascii_lower
+    from pyspark.sql import functions as F
+
+    texts = ["", "ABC Xyz", "ÄB c", "İI ß", "Ⅳ Ⓐ A", "名A", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    lower = {chr(c): chr(c + 32) for c in range(65, 91)}
+    want = [None if t is None else "".join(lower.get(x, x) for x in t) for t in texts]
+    assert [r.k for r in rows.select(ascii_lower(F.col("t")).alias("k")).collect()] == want
+    plan = rows.select(ascii_lower(F.col("t")).alias("k"))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "octet_length" in plan  # plain text is not searched
