@@ -33,7 +33,7 @@ END_ID = 2
 #: Rows that one task sweeps.
 ROWS_A_TASK = 200_000
 #: Characters tokenised at once by a worker.
-CHARS_AT_ONCE = 500_000
+CHARS_AT_ONCE = 1_000_000
 
 
 def cuts(length: int, capacity: int) -> list[tuple[int, int]]:

@@ -53,6 +53,41 @@ def test_ids_of_real_texts(spark):
         assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == want
 
 
+def test_new_words_of_letters_are_not_asked_of_the_tokenizer():
+    """They are merged together: the tokenizer's model is not called once a word."""
+    texts = [" ".join("".join(filter(str.isalpha, w)) + "élñßя"[i % 5] * (k % 4) + "." * (k % 9 == 8)
+                      for k, w in enumerate(prose(i, 60).split())) for i in range(40)]
+    texts = [t.replace(". ", ".\n") for t in texts]
+    encoder, asked = Encoder(PATH), []
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+    class Model:
+        def tokenize(self, word):
+            asked.append(word)
+            return Tokenizer.from_file(PATH).model.tokenize(word)
+
+    encoder.model = Model()
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == want
+    assert asked == [] and len({w for t in texts for w in t.split()}) > 500
+
+
+@pytest.mark.parametrize("remembered", [50, 250_000])
+def test_ids_of_odd_words_together(monkeypatch, remembered):
+    """Words with marks, line ends, digits and many scripts, in one call and with little remembered."""
+    monkeypatch.setattr("folio.llm.tokens.CACHE_WORDS", remembered)
+    rng = random.Random(3)
+    parts = ["a", "thing", "ing", "é", "ß", "中", "я", "'", "'s", "n't", "...", ",", "!", "#", "1", "23", "²", "½", "_", "(", "x" * 40,
+             "😀", "①", "\t", *[" "] * 5, "\n", "\n\n", "\n\n\n", "  ", " \n", "\n "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(400)]
+    texts += [t.replace("\t", "").replace("\n ", "\n").replace(" \n", "\n").replace("  ", " ").strip(" ") for t in texts]
+    encoder = Encoder(PATH)
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for at in range(0, len(texts), 100):
+        got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts[at:at + 100])]
+        assert got == want[at:at + 100]
+    assert encoder.encode([]) == []
+
+
 def test_cuts():
     assert P.cuts(5, 10) == [(0, 5)] and P.cuts(10, 10) == [(0, 10)]
     assert P.cuts(25, 10) == [(0, 5), (5, 10), (15, 10)] and P.cuts(30, 10) == [(0, 10), (10, 10), (20, 10)]
