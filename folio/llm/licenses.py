@@ -8,11 +8,14 @@ and surely if they are equal. A notice of 3 to 5 shingles is whole, or but for o
 in some document window (s >= 1/2: 0.99998 with 16 bands); a notice of 9 and more
 that a document has unchanged equals one of the notice's windows there.
 
+Windows that meet have the shingle of that MinHash in common, so only windows of a document
+round a shingle that is a MinHash of a notice are hashed; the others cannot meet any.
+
 Every notice met is then checked: it is found if at least ``MIN_SHARE`` of its
 distinct shingles are among the document's around that window. With ``apart``, so
 must be all shingles that tell it from a notice of another license which would pass
-for it (version 2 from version 3). The bands of the notices are broadcast, in blocks of a
-counted size.
+for it (version 2 from version 3). The notices' MinHashes (shingle and band) are broadcast,
+in blocks of a counted size.
 The documents are neither shuffled nor grouped.
 """
 
@@ -31,7 +34,7 @@ WINDOW = 6
 STRIDE = 4
 BANDS = 16
 MIN_SHARE = 0.8
-#: Rows of the notices' band table that are broadcast at once; a longer list is scanned in blocks.
+#: Rows of the notices' table of MinHashes that are broadcast at once; a longer list is scanned in blocks.
 MAX_BAND_ROWS = 1_000_000
 
 # Notices as their licenses word them.
@@ -98,14 +101,34 @@ def _shingles(words: str) -> Column:
         F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)]))), F.lit(0)))
 
 
-def _bands(rows: DataFrame, stride: int, bands: int) -> DataFrame:
-    """Rows with ``shingles`` -> a row for each window (from shingle ``p``) and band: ``band`` is its MinHash."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size("shingles") - WINDOW + stride - 1, F.lit(0)), F.lit(stride))
+def _bands(shingles: str, p: Column, b: Column) -> list[Column]:
+    """The hashes, in band ``b``, of the shingles of the window from shingle ``p`` on; null behind the last one."""
+    return [F.when(F.get(shingles, p + k).isNotNull(), F.xxhash64(F.get(shingles, p + k), b)) for k in range(WINDOW)]
+
+
+def _chosen(known: DataFrame, bands: int) -> DataFrame:
+    """Notices with ``shingles`` -> a row for each window (from any shingle on) and band ``b``: ``shingle`` is the one with the MinHash."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("shingles") - WINDOW, F.lit(0)))
+    rows = known.withColumn("p", F.explode(starts)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(bands))))
+    each = [F.when(h.isNotNull(), F.struct(h.alias("h"), F.get("shingles", F.col("p") + k).alias("shingle")))
+            for k, h in enumerate(_bands("shingles", F.col("p"), F.col("b")))]
+    return rows.withColumn("shingle", F.least(*each)["shingle"]).where("shingle is not null").drop("p")
+
+
+def _met(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Texts with ``shingles`` and what is ``chosen`` of notices -> a row for each window of a text (from shingle ``p``)
+    that meets a window of a notice in a band.
+
+    Windows with one MinHash have its shingle in common: so texts are searched for the chosen shingles, and only
+    windows round these are hashed."""
     # Outer: or the optimizer would look for texts without shingles before, and cut each into words twice.
-    rows = rows.withColumn("p", F.explode_outer(starts)).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(bands))))
-    least = F.least(*[F.when(F.get("shingles", F.col("p") + k).isNotNull(),
-                             F.xxhash64(F.get("shingles", F.col("p") + k), F.col("b"))) for k in range(WINDOW)])
-    return rows.withColumn("band", least.bitwiseXOR(F.col("b").cast("bigint"))).where(F.get("shingles", F.col("p")).isNotNull()).drop("b")
+    at = texts.select("k1", "k2", "shingles", F.posexplode_outer("shingles").alias("i", "shingle"))
+    hits = at.join(F.broadcast(chosen), "shingle")  # at most MAX_BAND_ROWS
+    last = F.col("i") - F.col("i") % STRIDE
+    rows = hits.withColumn("p", F.explode(F.array(*[last - d for d in range(0, WINDOW, STRIDE)])))
+    rows = rows.where((F.col("p") >= 0) & (F.col("p") > F.col("i") - WINDOW)
+                      & (F.col("p") <= F.greatest(F.size("shingles") - WINDOW + STRIDE - 1, F.lit(0))))
+    return rows.where(F.xxhash64("shingle", "b") == F.least(*_bands("shingles", F.col("p"), F.col("b"))))
 
 
 def _with_marks(known: DataFrame, min_share: float) -> DataFrame:
@@ -140,8 +163,7 @@ def matches(docs: DataFrame, notices: DataFrame, text_col: str = "text", name_co
     found = []
     for b in range(blocks):
         part = known.where(F.pmod(F.xxhash64("own"), F.lit(blocks)) == b) if blocks > 1 else known
-        theirs = _bands(part, 1, bands).select("band", "license", "own", *marks, F.size("shingles").alias("n")).distinct()
-        met = _bands(texts, STRIDE, bands).join(F.broadcast(theirs), "band")
+        met = _met(texts, _chosen(part, bands).select("shingle", "b", "license", "own", *marks, F.size("shingles").alias("n")).distinct())
         around = F.slice("shingles", F.greatest(F.col("p") - F.col("n"), F.lit(0)) + 1,
                          F.least(F.col("p"), F.col("n")) + WINDOW + F.col("n"))
         share = F.size(F.array_intersect("own", around)) / F.size("own")

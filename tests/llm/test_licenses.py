@@ -1,7 +1,10 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from folio.llm import licenses as L
+from folio.llm.decontam import words_of
 from folio.llm.queries import QUERIES
 from llm_helpers import frame, prose
 
@@ -96,3 +99,43 @@ def test_templates_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(L, "MAX_BAND_ROWS", 4000)
     got = {r.doc_id: r.licenses for r in L.scan(frame(spark, rows), table, apart=True).collect()}
     assert got == {i: [name] for i, (name, _) in enumerate(L.TEMPLATES)}
+
+
+def test_windows_are_made_only_round_shingles_of_notices(spark):
+    """A text without any gives a row a shingle, and none a window and band."""
+    rows = [(i, prose(i, 300)) for i in range(40)]
+    table = spark.createDataFrame(L.NOTICES[:2], "license string, notice string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = L.matches(frame(spark, rows), table)
+        assert found.collect() == []
+        todo, made = [found._jdf.queryExecution().executedPlan()], 0
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName().startswith("Generate"):
+                made += node.metrics().apply("numOutputRows").value()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < made <= sum(len(shingles(t)) for _, t in rows) + 40 * (L.BANDS + 1)
+
+
+def test_windows_meet_as_their_least_hashes_do(spark):
+    """The same windows and notices as by comparing every window's MinHash in every band."""
+    rows = [(i, " ".join([prose(i, i), n[:len(n) * (i % 4 + 1) // 4], prose(50 + i, 9), *n.split(" ")[i % 7:]]))
+            for i, (_, n) in enumerate(L.TEMPLATES)] + [(90, "one"), (91, "Licensed under"), (92, "")]
+    cut = [df.withColumn("shingles", L._shingles("words")) for df in (
+        spark.createDataFrame(rows, "k1 int, text string").select("k1", F.lit(0).alias("k2"), words_of(F.col("text")).alias("words")),
+        spark.createDataFrame([*L.TEMPLATES, ("c", "one")], "license string, notice string").select("license", words_of(F.col("notice")).alias("words")))]
+
+    def windows(df, stride):
+        last = F.greatest(F.size("shingles") - 6 + stride - 1, F.lit(0))
+        df = df.withColumn("p", F.explode(F.sequence(F.lit(0), last, F.lit(stride)))).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(16))))
+        return df.withColumn("least", F.array_min(F.transform(F.slice("shingles", F.col("p") + 1, 6), lambda s: F.xxhash64(s, "b")))) \
+            .where("least is not null")
+
+    want = windows(cut[0], 4).join(windows(cut[1], 1).select("license", "b", "least").distinct(), ["b", "least"])
+    got = L._met(cut[0].drop("words"), L._chosen(cut[1], 16).select("shingle", "b", "license").distinct())
+    key = ["k1", "p", "b", "license"]
+    want, got = ({tuple(r) for r in df.select(*key).collect()} for df in (want, got))
+    assert got == want and len(want) > 1000
