@@ -59,12 +59,13 @@ def test_new_words_of_letters_are_not_asked_of_the_tokenizer():
                       for k, w in enumerate(prose(i, 60).split())) for i in range(40)]
     texts = [t.replace(". ", ".\n") for t in texts]
     encoder, asked = Encoder(PATH), []
+    model = encoder.model
     want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
     class Model:
         def tokenize(self, word):
             asked.append(word)
-            return Tokenizer.from_file(PATH).model.tokenize(word)
+            return model.tokenize(word)
 
     encoder.model = Model()
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == want
