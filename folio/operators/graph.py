@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.operators.components import components
+from folio.operators.ends import distances, stored
 from folio.operators.frontiers import bits_of, meetings, numbered, starts_of, walk
-from folio.session import cut_lineage
+from folio.session import cut_lineage, mounted_folder, written
 
 # Per-degree download floors used to keep neighbours (degree 0..4).
 DEGREE_FLOORS = {0: 1, 1: 100, 2: 15_000, 3: 1_000_000, 4: 3_000_000}
@@ -120,37 +121,46 @@ def separation(edges: DataFrame, pairs: DataFrame, stdlib: list[str] | None = No
     """Degree of separation for ``pairs(a, b)``: 1 when either is a standard
     package, 0 for itself, the undirected BFS distance, or -1 when unreachable.
 
-    Component labels settle the unreachable pairs at once. The others are settled where bit-parallel walks from both their ends
-    meet, half the way from each (``frontiers.meetings``). With ``max_levels``, what is farther gets ``max_levels + 1``.
+    Component labels settle the unreachable pairs at once. The others are settled where walks from both their ends meet, half the way
+    from each: within tasks that map the graph's files (``ends.distances``), or, where the shared folder is not mounted, by bit-parallel
+    fronts as tables (``frontiers.meetings``). With ``max_levels``, what is farther gets ``max_levels + 1``.
     """
     stdlib = STDLIB if stdlib is None else stdlib
-    adj = cut_lineage(undirected(edges))
-    labels = component_labels(adj)
+    adj = written(undirected(edges))
+    nodes = cut_lineage(numbered(adj.select(F.col("src").alias("node")).where("node is not null").distinct()
+                                 .repartitionByRange("node").sortWithinPartitions("node"), "place"))
+    at = lambda node, place: nodes.select(F.col("node").alias(node), F.col("place").alias(place))
+    links = written(adj.join(at("src", "u"), "src").join(at("dst", "v"), "dst").select("u", "v"))
+    labels = cut_lineage(component_labels(nodes, links))
     pairs = pairs.select("a", "b").distinct()
     std = F.col("a").isin(stdlib) | F.col("b").isin(stdlib) if stdlib else F.lit(False)
-    known = (pairs.join(labels.withColumnRenamed("node", "a").withColumnRenamed("label", "la"), "a", "left")
-             .join(labels.withColumnRenamed("node", "b").withColumnRenamed("label", "lb"), "b", "left"))
-    known = cut_lineage(known.select("a", "b", "la", F.when(std, 1).when(F.col("a") == F.col("b"), 0).when(
-        F.col("la").isNull() | F.col("lb").isNull() | (F.col("la") != F.col("lb")), -1).cast("bigint").alias("degree")))
-    found = [known.where(F.col("degree").isNotNull()).select("a", "b", "degree")]
-    # Pairs of a component, and of a start, are near in number: what their walks share is in the same words.
-    left = known.where(F.col("degree").isNull()).select("a", "b", "la")
-    left = cut_lineage(numbered(left.repartitionByRange("la", "a").sortWithinPartitions("la", "a"), "number"))
-    met = [words.withColumn("degree", F.lit(degree).cast("bigint")) for degree, words in meetings(adj, left, max_levels)]
+    of = lambda end: labels.toDF(end, f"{end}_place", f"{end}_label")
+    known = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    known = cut_lineage(known.select("a", "b", F.col("a_place").alias("u"), F.col("b_place").alias("v"), "a_label", F.when(std, 1).when(
+        F.col("a") == F.col("b"), 0).when(F.col("a_label").isNull() | F.col("b_label").isNull() | (F.col("a_label") != F.col("b_label")), -1)
+        .cast("bigint").alias("degree")))
+    found = known.where(F.col("degree").isNotNull()).select("a", "b", "degree")
+    left = known.where(F.col("degree").isNull()).drop("degree")
     far = F.lit(-1 if max_levels is None else max_levels + 1).cast("bigint")
+    folder = mounted_folder(edges.sparkSession, "graph")
+    if left.isEmpty():
+        return found
+    if folder:
+        left = written(distances(stored(links, nodes.count(), folder), left.select("a", "b", "u", "v"), max_levels))
+        return found.unionByName(left.select("a", "b", F.when(F.col("degree") < 0, far).otherwise(F.col("degree")).alias("degree")))
+    # Pairs of a component, and of a start, are near in number: what their walks share is in the same words.
+    left = cut_lineage(numbered(left.repartitionByRange("a_label", "a").sortWithinPartitions("a_label", "a"), "number"))
+    met = [words.withColumn("degree", F.lit(degree).cast("bigint")) for degree, words in meetings(
+        links.toDF("src", "dst"), left.select(F.col("u").alias("a"), F.col("v").alias("b"), "number"), max_levels)]
     if met:
         left = left.join(bits_of(reduce(DataFrame.unionByName, met), "met"), "number", "left")
     else:
         left = left.withColumn("degree", far)
-    found.append(left.select("a", "b", F.coalesce("degree", far).alias("degree")))
-    return reduce(DataFrame.unionByName, found)
-
-
-def component_labels(adj: DataFrame) -> DataFrame:
-    """``(node, label)`` for the nodes of ``adj(src, dst)``, both directions given: nodes with one label reach
-    each other. Names are numbered by a 64-bit hash, and components found on the numbers."""
-    number = lambda c: F.xxhash64(c)
-    found = components(adj.select(number("src").alias("u"), number("dst").alias("v")))
-    nodes = adj.select(F.col("src").alias("node")).distinct().withColumn("number", number("node"))
-    return nodes.join(found.withColumnRenamed("node", "number"), "number", "left").select(
-        "node", F.coalesce("component", "number").alias("label"))
+    return found.unionByName(left.select("a", "b", F.coalesce("degree", far).alias("degree")))
+
+
+def component_labels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, place, label)`` for ``nodes(node, place)`` and ``links(u, v)`` of places, both directions given: nodes with one label
+    reach each other."""
+    found = components(links).select(F.col("node").alias("place"), "component")
+    return nodes.join(found, "place", "left").select("node", "place", F.coalesce("component", "place").alias("label"))

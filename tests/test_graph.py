@@ -84,3 +84,46 @@ def test_walk_keeps_a_word_only_where_a_bit_is_set(spark):
     pairs = spark.createDataFrame([("a1", "b1", 63), ("a2", "b2", 64)], "a string, b string, number bigint")
     found = {r.number: degree for degree, met in X.meetings(G.undirected(edges), pairs) for r in X.bits_of(met, "met").collect()}
     assert found == {63: 1, 64: 1}
+
+
+def test_separation_walks_within_tasks_and_without_rows_a_node(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from folio.operators import ends as E
+
+    rng = random.Random(3)
+    links = [(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(170)] + [("n0", f"h{i}") for i in range(60)] + [("s", "s")]
+    edges = spark.createDataFrame(links + [("n0", None)], "source string, target string")
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    names = sorted(near)
+    pairs = [(a, names[(i * 7 + 5) % len(names)]) for i, a in enumerate(names)] + [(a, "n0") for a in names] + [("s", "s"), (None, "n0")]
+    want = {}
+    for a, b in pairs:
+        seen, front, k = {a}, {a}, 0
+        while front and b not in front:
+            front, k = {y for x in front for y in near.get(x, ()) if y not in seen}, k + 1
+            seen |= front
+        want[a, b] = k if b in front else -1
+    ask = spark.createDataFrame(pairs, "a string, b string")
+    found = lambda **kw: {(r.a, r.b): r.degree for r in G.separation(edges, ask, **kw).collect()}
+    near_by = {k: v if v < 3 else 3 for k, v in want.items()}
+    with monkeypatch.context() as m:  # no table has a row for a pair and a node that it meets
+        m.setattr(G, "meetings", None)
+        assert found() == want and {k: v for k, v in found(max_levels=2).items() if want[k] >= 0} == {k: v for k, v in near_by.items() if want[k] >= 0}
+    monkeypatch.setattr(G, "mounted_folder", lambda *_: None)
+    assert found() == want
+    # Few links at once: pairs walk on in halves, and a hub is followed in slices.
+    order = {n: i for i, n in enumerate(names)}
+    begin, to = [0], []
+    for n in names:
+        to += sorted(order[x] for x in near[n])
+        begin.append(len(to))
+    monkeypatch.setattr(E, "EDGES", 5)
+    some = [(a, b) for a, b in want if a != b and a in order and b in order]
+    got = E.walked(np.array([order[a] for a, _ in some]), np.array([order[b] for _, b in some]), np.array(begin), np.array(to))
+    assert got.tolist() == [want[p] for p in some]
