@@ -8,11 +8,13 @@ ASCII count as consonants.
 
 Each step is one ``transform`` over an array of tokens, so a step's result is
 computed once however often its rules look at it. A corpus is never stemmed by
-occurrence: ``stems`` maps its distinct terms, and they are joined back.
+occurrence: ``stems`` maps its distinct terms, and they are joined back; an index
+build, which has a batch's distinct terms at hand, stems them where it cuts them (``Stemmer``).
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -126,3 +128,50 @@ def stemmed(rows: DataFrame) -> DataFrame:
     s = stems(rows).withColumnRenamed("term", "_term")
     return rows.join(s, rows["term"] == s["_term"]).select(
         *[F.col("stem").alias("term") if c == "term" else rows[c] for c in rows.columns])
+
+
+class Stemmer:
+    """``stem_column`` for words in a task. Up to ``known`` words are remembered."""
+
+    def __init__(self, known: int = 200_000):
+        self.limit, self.known = known, {}
+        # Java's intersections of classes, told apart before the character is taken.
+        tests = (M_OVER_0, M_IS_1, M_OVER_1, HAS_VOWEL, SHORT, DOUBLE, "(at|bl|iz)$", "[st]$")
+        plain = [re.sub(r"\[\\x00-\\x7f&&(\[\^\w+\])\]", r"(?:(?=[\\x00-\\x7f])\1)", t) for t in tests]
+        self.m0, self.m_is_1, self.m1, self.vowel, self.short, self.double, self.take_e, self.s_or_t = (re.compile(t).search for t in plain)
+        swap = lambda rules, test: [{x: (r, test) for x, r in rules if len(x) == n} for n in sorted({len(x) for x, _ in rules}, reverse=True)]
+        self.steps = [swap(STEP2, self.m0), swap(STEP3, self.m0), swap([(x, "") for x in STEP4], self.m1)]
+
+    def __call__(self, words: list[str]) -> list[str]:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        known = self.known
+        for w in words:
+            if w not in known:
+                known[w] = self._stem(w) if MIN_BYTES <= len(w.encode("utf-8", "replace")) <= MAX_BYTES else w
+        return [known[w] for w in words]
+
+    def _stem(self, w: str) -> str:
+        if w.endswith("s"):
+            w = w[:-2] if w.endswith(("sses", "ies")) else w if w.endswith("ss") else w[:-1]
+        if w.endswith("eed"):
+            w = w[:-1] if self.m0(w[:-3]) else w
+        else:
+            cut = w[:-2] if w.endswith("ed") else w[:-3] if w.endswith("ing") else ""
+            if cut and self.vowel(cut):
+                w = cut + "e" if self.take_e(cut) else cut[:-1] if self.double(cut) else cut + "e" if self.short(cut) else cut
+        if w.endswith("y") and self.vowel(w[:-1]):
+            w = w[:-1] + "i"
+        for step in self.steps:
+            for rules in step:
+                n = len(next(iter(rules)))
+                if (rule := rules.get(w[-n:])) is not None:
+                    stem, (rep, test) = w[:-n], rule
+                    if test(stem) and (n != 3 or w[-3:] != "ion" or self.s_or_t(stem)):
+                        w = stem + rep
+                    break
+        if w.endswith("e"):
+            cut = w[:-1]
+            if self.m1(cut) or self.m_is_1(cut) and not self.short(cut):
+                w = cut
+        return w[:-1] if w.endswith("ll") and self.m1(w) else w

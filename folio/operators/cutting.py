@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from folio.functions.excerpt import LAYOUT
+from folio.functions.porter import Stemmer
 from folio.functions.text import FOLD_FROM, FOLD_TO, MARKS, TOKEN_PATTERN
 
 #: Characters cut at once; a longer text is cut alone.
@@ -136,23 +137,26 @@ class Cutter:
         sentences = (at - heads[np.searchsorted(heads, at, "right") - 1])
         return [_lists(firsts, e - s, null), _lists(offsets, end - begin, null), _lists(np.searchsorted(at, offsets), sentences, null)]
 
-    def places(self, texts: list[str | None]) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-        """Each distinct token of a text once: the text, the distinct tokens and the number of the token among them, and where its
-        places begin (one more: the end) among all places, which are in order."""
+    def places(self, texts: list[str | None], stemmer: Stemmer | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """Each distinct token, or stem, of a text once: the text, the distinct tokens and the number of the token among them, and where
+        its places begin (one more: the end) among all places, which are in order."""
         points, s, e, owner = self.tokens(texts)
         body = points[self.letter[points]]
         width = 1 + (body > 0x7F).astype(np.int8) + (body > 0x7FF) + (body > 0xFFFF)
         ends = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])[np.concatenate([[0], np.cumsum(e - s)])]
         words = pa.StringArray.from_buffers(len(s), pa.py_buffer(ends.astype("<i4")), pa.py_buffer(body.astype("<i4").tobytes().decode("utf-32-le").encode()))
         coded = words.dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code, terms = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        if stemmer:
+            stems = pa.array(stemmer(terms.to_pylist()), pa.string()).dictionary_encode()
+            code, terms = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code], stems.dictionary
         place = np.arange(len(s)) - np.searchsorted(owner, owner)
-        key = owner * max(len(coded.dictionary), 1) + code
+        key = owner * max(len(terms), 1) + code
         order = np.argsort(key, kind="stable")
         key = key[order]
         first = np.flatnonzero(np.diff(key, prepend=-1))
         offsets = np.append(first, len(s))
-        return owner[order][first], coded.dictionary, code[order][first], offsets, place[order]
+        return owner[order][first], terms, code[order][first], offsets, place[order]
 
 
 def with_cuts(rows: DataFrame, title: str, doc: str = "doc") -> DataFrame:
@@ -176,18 +180,18 @@ def with_cuts(rows: DataFrame, title: str, doc: str = "doc") -> DataFrame:
     return low.mapInArrow(cut, StructType([*rows.schema.fields, *[StructField(name, INTS) for name in LAYOUT], StructField("dl", LongType())]))
 
 
-def term_places(rows: DataFrame, title: str, doc: str = "doc", by_package: bool = True) -> DataFrame:
-    """``(package, id, col, term, tf, places)``: each distinct word of a title (col 0) or body (col 1) once, with the
+def term_places(rows: DataFrame, title: str, doc: str = "doc", by_package: bool = True, stem: bool = False) -> DataFrame:
+    """``(package, id, col, term, tf, places)``: each distinct word, or stem, of a title (col 0) or body (col 1) once, with the
     number and the list of its places; in runs in order of package and term, or of term and package."""
     table = letters(rows.sparkSession)
     low = rows.select("package", "id", F.lower(title).alias("_title"), F.lower(doc).alias("_doc"))
 
     def cut(batches):
-        cutter = Cutter(table)
+        cutter, stemmer = Cutter(table), Stemmer() if stem else None
         for batch in batches:
             titles, docs = _texts(batch.column(2)), _texts(batch.column(3))
             for part in _parts(titles, docs):
-                owner, words, code, offsets, place = cutter.places([t for row in zip(titles[part], docs[part]) for t in row])
+                owner, words, code, offsets, place = cutter.places([t for row in zip(titles[part], docs[part]) for t in row], stemmer)
                 package = batch.column(0).slice(part.start, part.stop - part.start).dictionary_encode("encode")
                 of = package.indices.to_numpy(zero_copy_only=False)[owner // 2]
                 rank = np.empty(len(words), np.int64)

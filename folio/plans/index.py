@@ -41,7 +41,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.functions.excerpt import LAYOUT
-from folio.functions.porter import stemmed
 from folio.operators.analysis import indexable, quarantine, with_index_title
 from folio.operators.cutting import term_places, with_cuts
 from folio.operators.match import title_trigrams, trigram_counts
@@ -128,11 +127,11 @@ def _write_search_tables(build: _Build, docs: DataFrame, stem: bool, raw_titles:
     rows = build.write("docs", with_cuts(dealt, title).select(*kept, *LAYOUT, "dl"), ["package", "id"], dealt=True)
 
     def of_postings() -> None:
-        found = term_places(named(rows), title, by_package=partitioned)
-        # Words of one stem, or of rows of one id, are one term: put together where the range has brought them, without a further shuffle.
-        merge = stem or not rows.groupBy("package", "id").count().where("count > 1").isEmpty()
+        found = term_places(named(rows), title, by_package=partitioned, stem=stem)
+        # Words of rows of one id are one term: put together where the range has brought them, without a further shuffle.
+        merge = not rows.groupBy("package", "id").count().where("count > 1").isEmpty()
         if merge:
-            found = written(stemmed(found) if stem else found).repartitionByRange(*order).groupBy("package", "id", "col", "term").agg(
+            found = written(found).repartitionByRange(*order).groupBy("package", "id", "col", "term").agg(
                 F.sum("tf").alias("tf"), F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
         found = build.write("postings", found, order, by, dealt=merge)
         vocab = found.groupBy("package", "term").agg(F.count(F.lit(1)).alias("docs"))

@@ -42,3 +42,26 @@ def test_vocabulary_matches_fts5_porter(spark):
     assert all(sql[w] == s for w, s in PAIRS.items())
     mine = {r.term: r.stem for r in found}
     assert all(mine[w] == s for w, s in sql.items() if w in mine)
+
+
+def test_words_are_stemmed_where_they_are_cut(spark, tmp_path):
+    import random
+
+    from docs_helper import docs_frame
+    from folio.functions import porter as P
+    from folio.operators import analysis as A
+    from folio.operators.cutting import term_places
+    from folio.plans import index as IX
+
+    rng, ends = random.Random(2), [s for s, _ in P.STEP2 + P.STEP3] + P.STEP4 + ["s", "sses", "ies", "ss", "ed", "eed", "ing", "y", "e", "ll", ""]
+    made = {"".join(rng.choice("aeiouybtslzwxé1") for _ in range(rng.randrange(6))) + rng.choice(ends) + rng.choice(ends) for _ in range(3000)}
+    words = sorted({*made, *PAIRS, "x" * 70, "ß" * 33} - {""})
+    want = {r.term: r.stem for r in stems(spark.createDataFrame([(w,) for w in words], "term string")).collect()}
+    assert dict(zip(words, P.Stemmer(known=100)(words))) == want
+    docs = docs_frame(spark, [(i, "p", "function", "Mod.running/1", " ".join(rng.choices(words, k=50)) + " runs run") for i in range(30)])
+    key = ["package", "id", "col", "pos", "term"]
+    flat = lambda df: sorted(map(str, df.select(*[F.col(c).cast("string").alias(c) for c in key]).collect()))
+    IX.build_search_index(docs, str(tmp_path / "index"), stem=True)
+    assert flat(IX.read_index(spark, str(tmp_path / "index"))) == flat(A.postings(docs, stem=True))
+    cut = term_places(A.with_index_title(docs), "ititle", stem=True)
+    assert cut.groupBy("package", "id", "col", "term").count().where("count > 1").isEmpty()
