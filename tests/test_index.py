@@ -129,3 +129,21 @@ def test_terms_are_counted_from_postings_dealt_by_range(spark, tmp_path):
     build = IX._Build(spark, str(tmp_path / "one"))
     build.write("terms", found.repartitionByRange("package", "term", "id"), ["package", "term", "id"], dealt=True)
     assert spark.read.parquet(f"{tmp_path}/one/terms").count() == terms.count()
+
+
+def test_a_build_lets_go_of_its_shuffle_files(spark, tmp_path):
+    import time
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in files.mkString("\n").split("\n") if "/shuffle_" in f and f.endswith(".data")}
+
+    before, build = shuffled(), IX._Build(spark, str(tmp_path))
+    rows = spark.range(5000).selectExpr("'p' AS package", "id")
+    build.write("digests", rows, ["package", "id"], None)
+    first = shuffled() - before
+    build.write("lengths", rows, ["package", "id"], None)
+    until = time.time() + 20
+    while first & shuffled() and time.time() < until:
+        time.sleep(0.2)
+    assert not first & shuffled()
