@@ -57,3 +57,30 @@ def test_knn_exact_in_slices_of_queries(spark, monkeypatch):
     corpus = spark.createDataFrame(rows, "id bigint, embedding array<double>")
     got = V.knn_exact(corpus.selectExpr("id AS query_id", "embedding AS query"), corpus, 1).collect()
     assert {(r.query_id, r.id) for r in got} == {(i, i) for i in range(20)}
+
+
+def test_blocks_and_rows_of_candidates_agree(spark, monkeypatch):
+    from folio.operators import vectors as V
+
+    rng = np.random.default_rng(5)
+    # Equal vectors tie by id, and some queries have few candidates.
+    m = np.concatenate([rng.normal(size=(90, 6)), np.repeat(rng.normal(size=(2, 6)), 15, axis=0)])
+    rows = [(int(i), v.tolist()) for i, v in enumerate(m)]
+    corpus = spark.createDataFrame(rows + [(500, None)], "id bigint, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame(rows[::7], "query_id bigint, query array<double>")
+    c, q = corpus.where("embedding is not null"), queries
+    flat = lambda df: sorted((r.query_id, r.id, r.rk, r.candidates, round(r.similarity, 9)) for r in df.collect())
+    want = flat(V._lsh_by_id(q, c, corpus, 4, 1, 8, 7))
+    assert len({x[3] for x in want}) > 2 and any(x[3] == 120 for x in want)
+    with monkeypatch.context() as p:  # no row a candidate
+        p.setattr(V, "_lsh_by_id", None)
+        p.setattr(V, "QUERIES_AT_ONCE", 5)
+        p.setattr(V, "CORPUS_BLOCK", 11)
+        assert flat(V.knn_lsh(queries, corpus, 4, bands=1, bits=8)) == want
+        exact = V.knn_exact(queries, corpus, 4).collect()
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for i in [r[0] for r in rows[::7]]:
+        s = np.einsum("ij,ij->i", unit, np.repeat(unit[i:i + 1], len(unit), axis=0))
+        assert [r.id for r in sorted(exact, key=lambda r: r.rk) if r.query_id == i] == np.lexsort((np.arange(len(s)), -s))[:4].tolist()
+    twice = corpus.unionByName(corpus.where("id = 3"))
+    assert flat(V.knn_lsh(queries, twice, 4, bands=1, bits=8)) == flat(V._lsh_by_id(q, twice.where("embedding is not null"), twice, 4, 1, 8, 7))
